@@ -11,27 +11,22 @@ MONTH_KEYS = [m.lower() for m in MONTH_NAMES]
 _ANY_MONTH = "|".join(MONTH_KEYS)
 
 
-def lookup(index: Column, values: list) -> Column:
-    """values[index] for a 0-based index, null outside."""
-    out = F.when(index == 0, F.lit(values[0]))
-    for i, v in enumerate(values[1:], start=1):
-        out = out.when(index == i, F.lit(v))
-    return out
-
-
 def day_index(day: Column | str) -> Column:
     """Day of a 365-day year, 0..364 (29 February has no index of its own)."""
     d = col(day)
-    return lookup(F.month(d) - 1, DAYS_BEFORE_MONTH) + F.dayofmonth(d) - 1
+    y = F.year(d)
+    leap = (y % 4 == 0) & ((y % 100 != 0) | (y % 400 == 0))
+    return F.dayofyear(d) - 1 - F.when(leap & (F.month(d) > 2), 1).otherwise(0)
+
+
+def _plain_date(di: Column) -> Column:
+    """The date of a 365-day-year index in a year without 29 February."""
+    return F.date_add(F.lit("2001-01-01").cast("date"), di)
 
 
 def month_of_index(di: Column | str) -> Column:
     """Month 0..11 of a 365-day-year index."""
-    di = col(di)
-    out = F.lit(0)
-    for m in range(1, 12):
-        out = F.when(di >= DAYS_BEFORE_MONTH[m], m).otherwise(out)
-    return out
+    return F.month(_plain_date(col(di))) - 1
 
 
 def season_index(vi: Column | str, southern: Column | str) -> Column:
@@ -49,16 +44,13 @@ def doy_to_vi(doy: Column | str, southern: Column | str) -> Column:
 def vi_to_date(vi: Column | str, southern: Column | str) -> Column:
     """Virtual index -> struct(month 0..11, day 1..31, doy 0..364)."""
     di = season_index(vi, southern)
-    m = month_of_index(di)
-    return F.struct(m.alias("month"), (di - lookup(m, DAYS_BEFORE_MONTH) + 1).alias("day"), di.alias("doy"))
+    d = _plain_date(di)
+    return F.struct((F.month(d) - 1).alias("month"), F.dayofmonth(d).alias("day"), di.alias("doy"))
 
 
 def vi_label(vi: Column | str, southern: Column | str) -> Column:
     """Virtual index -> 'Apr 21'; '-' when missing."""
-    di = season_index(vi, southern)
-    m = month_of_index(di)
-    text = F.concat(lookup(m, MONTH_NAMES), F.lit(" "), (di - lookup(m, DAYS_BEFORE_MONTH) + 1).cast("string"))
-    return F.coalesce(text, F.lit("-"))
+    return F.coalesce(F.date_format(_plain_date(season_index(vi, southern)), "MMM d"), F.lit("-"))
 
 
 def _harvest_days(phrase: Column | str) -> Column:

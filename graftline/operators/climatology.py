@@ -82,14 +82,13 @@ def _sd(c: Column | str, at_least: float | None = None) -> Column:
 
 def summarise_cycles(metrics: DataFrame) -> DataFrame:
     """Cross-year summary, one row per place.  Bloom-dependent values use only the years that bloomed."""
-    groups = range(fx.FLOWER_GROUPS)
-    frost_p, nights, lows = [], [], []
-    for g in groups:
+    hits, nights, lows, spread = [], [], [], []
+    for g in range(fx.FLOWER_GROUPS):
         n, low = F.col("frost_nights")[g], F.col("frost_min")[g]
-        hits = F.avg((n > 0).cast("double"))
-        frost_p.append(F.lit(0.5) * hits + F.lit(0.5) * norm_cdf((F.lit(fx.FROST_NIGHT) - F.avg(low)) / _sd(low, 1.2)))
+        hits.append(F.avg((n > 0).cast("double")))
         nights.append(F.avg(n))
         lows.append(F.avg(low))
+        spread.append(_sd(low, 1.2))
     spring = F.when(F.col("last_frost") >= 0, F.col("last_frost"))
     out = metrics.groupBy("place_id").agg(
         F.first("lat").alias("lat"), F.first("southern").alias("southern"), F.count("*").alias("n_cycles"),
@@ -98,7 +97,7 @@ def summarise_cycles(metrics: DataFrame) -> DataFrame:
         F.max("chill").alias("chill_max"), F.avg("chill_hours").alias("chill_hours"),
         F.avg("winter_min").alias("ext_min_mean"), F.min("winter_min").alias("ext_min_abs"),
         F.avg("bloom").alias("bloom_vi"), _sd("bloom").alias("bloom_sd"),
-        F.array(*frost_p).alias("frost_p"), F.array(*nights).alias("frost_nights"), F.array(*lows).alias("frost_min"),
+        F.array(*hits).alias("hits"), F.array(*spread).alias("spread"), F.array(*nights).alias("frost_nights"), F.array(*lows).alias("frost_min"),
         F.avg(spring).alias("last_spring_vi"), F.count(spring).alias("frost_years"),
         F.array(*[half_up(F.avg(F.col("gdd_curve")[k])) for k in range(fx.CURVE_LEN)]).alias("gdd_curve"),
         F.transform(F.array_sort(F.collect_list(F.when(F.col("bloom").isNotNull(), F.struct("cycle", "gdd_total")))),
@@ -112,22 +111,22 @@ def summarise_cycles(metrics: DataFrame) -> DataFrame:
         F.avg("mildew_idx").alias("mildew_idx"), F.avg("scab_events").alias("scab_events"), F.avg("lwd_spring").alias("lwd_spring"),
         F.avg("gs_precip").alias("gs_precip"), F.avg("gs_et0").alias("gs_et0"), F.avg("rh_gs").alias("rh_gs"),
         F.avg("snow_days").alias("snow_days"), F.avg("frost_free_days").alias("frost_free_days"))
-    zone = wx.usda_zone("ext_min_mean")
+    z = F.zip_with("frost_min", "spread", lambda low, sd: (F.lit(fx.FROST_NIGHT) - low) / sd)
+    chance = F.zip_with("hits", F.transform(z, norm_cdf), lambda hit, fit: F.lit(0.5) * hit + F.lit(0.5) * fit)
+    out = out.withColumns({"frost_p": chance, "zone": wx.usda_zone("ext_min_mean"), "bloomed": F.col("n_bloom") > 0})
     rarely = F.col("frost_years") < F.col("n_bloom") / 2
     labels = {"bloom_label": vi_label("bloom_vi", "southern"), "end_label": vi_label("end_vi", "southern"),
               "last_spring": F.when(rarely, "rarely").otherwise(vi_label("last_spring_vi", "southern")),
               "first_freeze": F.when(F.col("freezes") > 0, vi_label("freeze_vi", "southern"))}
-    bloomed = F.col("n_bloom") > 0
-    out = (out.withColumn("zone_value", zone["value"]).withColumn("zone_label", zone["label"])
-           .withColumn("freeze_years", F.when(bloomed, F.col("freezes") / F.col("n_bloom")))
-           .withColumn("aridity", F.col("gs_precip") / F.greatest(F.lit(1.0), F.col("gs_et0")))
-           .withColumn("no_bloom", ~bloomed)
-           .withColumn("tropical", (F.col("ext_min_mean") > 12) | (F.col("chill_mean") < 30)))
-    for name, text in labels.items():
-        out = out.withColumn(name, F.when(bloomed, text))
-    for name in ("frost_p", "frost_nights", "frost_min", "gdd_curve", "gend_per"):
-        out = out.withColumn(name, F.when(bloomed, F.col(name)))
-    return out.drop("freezes", "freeze_vi", "frost_years")
+    only_bloomed = {c: F.col(c) for c in ("frost_p", "frost_nights", "frost_min", "gdd_curve", "gend_per")} | labels
+    return out.withColumns({
+        "zone_value": F.col("zone.value"), "zone_label": F.col("zone.label"),
+        "freeze_years": F.when(F.col("bloomed"), F.try_divide("freezes", "n_bloom")),
+        "aridity": F.col("gs_precip") / F.greatest(F.lit(1.0), F.col("gs_et0")),
+        "no_bloom": ~F.col("bloomed"),
+        "tropical": (F.col("ext_min_mean") > 12) | (F.col("chill_mean") < 30),
+        **{name: F.when(F.col("bloomed"), c) for name, c in only_bloomed.items()},
+    }).drop("freezes", "freeze_vi", "frost_years", "hits", "spread", "zone", "bloomed")
 
 
 def feature_status(complete_cycles: DataFrame, summary: DataFrame) -> DataFrame:

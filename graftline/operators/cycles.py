@@ -95,18 +95,17 @@ def with_leaf_wetness(cycles: DataFrame, humidity: DataFrame) -> DataFrame:
     j = cycles.join(humidity.select("place_id", "dew_gap", "rain_hours"), "place_id")
     gap, hours = F.col("dew_gap")[F.col("cmonth")], F.col("rain_hours")[F.col("cmonth")]
     rh, rhn, dew = wx.day_humidity("tmax", "tmin", gap)
-    return (j.withColumn("rh", rh).withColumn("rhn", rhn).withColumn("dew", dew)
+    return (j.withColumns({"rh": rh, "rhn": rhn, "dew": dew})
             .withColumn("lwd", wx.leaf_wet_hours("dew", "prcp", hours)).drop("dew_gap", "rain_hours"))
 
 
 def with_day_terms(cycles: DataFrame) -> DataFrame:
     """Chill units, chill hours, growing degrees, blight degree-hours and water demand of every day."""
     doy = F.when(F.col("southern"), (F.col("vi") + fx.SOUTH_SHIFT) % 365 + 1).otherwise(F.col("vi") + 1)
-    return (cycles.withColumn("chill", wx.chill_units("tmax", "tmin"))
-            .withColumn("h72", wx.hours_at_or_below("tmax", "tmin", fx.CHILL_HOURS_AT))
-            .withColumn("gdd", wx.growing_degrees("tmean"))
-            .withColumn("dh", wx.blight_degree_hours("tmax", "tmin"))
-            .withColumn("et0", wx.hargreaves_et0("lat", doy, "tmax", "tmin")))
+    return cycles.withColumns({
+        "chill": wx.chill_units("tmax", "tmin"), "h72": wx.hours_at_or_below("tmax", "tmin", fx.CHILL_HOURS_AT),
+        "gdd": wx.growing_degrees("tmean"), "dh": wx.blight_degree_hours("tmax", "tmin"),
+        "et0": wx.hargreaves_et0("lat", doy, "tmax", "tmin")})
 
 
 def with_prev_autumn(days: DataFrame) -> DataFrame:
