@@ -1,2 +1 @@
-"""Imports every query module so that the registry is complete."""
-from checks import climate  # noqa: F401
+from checks import climate, scores, spatial  # noqa: F401

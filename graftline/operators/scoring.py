@@ -44,15 +44,21 @@ def _daily_normals(monthly: str) -> Column:
     return F.transform(F.sequence(F.lit(0), F.lit(364)), lambda d: wx.normal_on(monthly, d))
 
 
-def _window_means(daily: str, days: int) -> Column:
-    """Mean over `days` sampled every third day, for a window that starts at each virtual day 0..364."""
+def _window_means(monthly: str, days: int) -> Column:
+    """Mean over `days` sampled every third day, for a window that starts at each virtual day 0..364.
+
+    The daily normals are bound once as the element of a one-element array, so they are not recomputed per window."""
     n = days // 3 + 1
     steps = F.sequence(F.lit(0), F.lit(n - 1))
 
-    def at(start: Column) -> Column:
-        return F.aggregate(steps, F.lit(0.0), lambda a, k: a + F.element_at(daily, (start + _shift("southern") + k * 3) % 365 + 1)) / F.lit(float(n))
+    def all_starts(daily: Column) -> Column:
+        def at(start: Column) -> Column:
+            day = lambda k: F.element_at(daily, (start + _shift("southern") + k * 3) % 365 + 1)      # noqa: E731
+            return F.aggregate(steps, F.lit(0.0), lambda a, k: a + day(k)) / F.lit(float(n))
+
+        return F.transform(F.sequence(F.lit(0), F.lit(364)), at)
 
-    return F.transform(F.sequence(F.lit(0), F.lit(364)), at)
+    return F.element_at(F.transform(F.array(_daily_normals(monthly)), all_starts), 1)
 
 
 def window_mean(table: Column | str, start_vi: Column) -> Column:
@@ -63,11 +69,8 @@ def window_mean(table: Column | str, start_vi: Column) -> Column:
 def prepare_places(places: DataFrame) -> DataFrame:
     """Add what scoring needs per place: disease pressures, the mean of the 60 days after bloom, six-week window means."""
     p = site_pressures(places)
-    p = p.withColumns({"tmax_day": _daily_normals("tmax_m"), "tmin_day": _daily_normals("tmin_m")})
-    p = p.withColumns({"win_tmax": _window_means("tmax_day", 42), "win_tmin": _window_means("tmin_day", 42),
-                       "after_tmax": _window_means("tmax_day", 60), "after_tmin": _window_means("tmin_day", 60)})
-    t60 = (window_mean("after_tmax", F.col("bloom_vi")) + window_mean("after_tmin", F.col("bloom_vi"))) / 2
-    return p.withColumn("t60", t60).drop("tmax_day", "tmin_day", "after_tmax", "after_tmin")
+    after = [wx.span_mean(m, F.col("bloom_vi"), F.col("bloom_vi") + 60, "southern") for m in ("tmax_m", "tmin_m")]
+    return p.withColumns({"t60": (after[0] + after[1]) / 2, "win_tmax": _window_means("tmax_m", 42), "win_tmin": _window_means("tmin_m", 42)})
 
 
 def reference_place(prepared: DataFrame, place_id) -> Column:
