@@ -1 +1 @@
-from checks import browse, climate, scores, spatial  # noqa: F401
+from checks import browse, climate, labs, scores, spatial  # noqa: F401
