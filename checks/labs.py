@@ -11,6 +11,7 @@ from graftline.functions import names as nm
 from graftline.functions import numeric as nu
 from graftline.operators import lab
 from graftline.operators import matching as mt
+from graftline.plans.panel import kept_accessions
 
 # names of parts, suppliers and customers as lists write them: case, accents, apostrophes, entities, qualifiers
 FIXTURES["listed_name"] = """
@@ -136,7 +137,7 @@ def linked_place_names(spark, sf):
 
 
 # ---- accessions -----------------------------------------------------------------------------
-FIXTURES["accession_name"] = """SELECT l.l_orderkey * 10 + l.l_linenumber AS accession_id, 'P' AS source, v.name || CASE WHEN l.l_linenumber = 1 THEN '' WHEN l.l_linenumber = 2 THEN ' (LA 12A)' WHEN l.l_linenumber = 3 THEN ' EMLA 4' WHEN l.l_linenumber = 4 THEN ' (Kent)'
+FIXTURES["accession_name"] = """SELECT ((l.l_orderkey * 10 + l.l_linenumber) * 100000 + l.l_partkey) * 10000 + l.l_suppkey AS accession_id, 'P' AS source, v.name || CASE WHEN l.l_linenumber = 1 THEN '' WHEN l.l_linenumber = 2 THEN ' (LA 12A)' WHEN l.l_linenumber = 3 THEN ' EMLA 4' WHEN l.l_linenumber = 4 THEN ' (Kent)'
   WHEN l.l_linenumber = 5 THEN ' (red sport)' WHEN l.l_linenumber = 6 THEN ' unknown (syn ' || v.aka1 || ')' ELSE '  (' || v.aka1 || ') (a)' END AS name, CASE WHEN l.l_suppkey % 4 = 0 THEN '' ELSE 'G' || CAST(l.l_suppkey % 3 AS STRING) END AS munq,
   CASE WHEN l.l_quantity > 45 THEN NULL ELSE CAST(1 + CAST(floor(l.l_quantity) AS INT) % 9 AS DOUBLE) END AS sweet, CAST(1 + l.l_suppkey % 9 AS DOUBLE) AS acid, CAST(1 + l.l_partkey % 9 AS DOUBLE) AS balance, CASE WHEN l.l_partkey % 4 = 0 THEN NULL ELSE CAST(1 + l.l_orderkey % 9 AS DOUBLE) END AS aroma,
   CAST(1 + (l.l_orderkey + l.l_suppkey) % 9 AS DOUBLE) AS firm, CAST(1 + (l.l_orderkey * 3) % 9 AS DOUBLE) AS crunch, CAST(1 + (l.l_partkey * 5) % 9 AS DOUBLE) AS juice, CAST(1 + (l.l_partkey + l.l_orderkey) % 9 AS DOUBLE) AS quality,
@@ -145,10 +146,6 @@ FROM {lineitem} l JOIN (SELECT p_partkey, p_name || CASE WHEN p_partkey % 3 = 0
 FIXTURES["no_curated"] = "SELECT 'P' AS source, p_name AS name, max(p_partkey) AS variety_id FROM {part} GROUP BY p_name"
 
 
-def lookup_sql(x: str, v: str, k: str) -> str:
-    return ""
-
-
 CLASSIFY = INDEX + f""",
 pa AS (SELECT accession_id, trim(regexp_replace(name, '\\s+', ' ', 'g')) AS name FROM accession_name),
 pb AS (SELECT *, list_transform(regexp_extract_all(name, '\\(([^()]*)(?:\\)|$)', 1), lambda q: trim(q)) AS ins, trim(split_part(name, '(', 1)) AS b0 FROM pa),
@@ -184,8 +181,7 @@ pkeep AS (SELECT p.*, k AND NOT (munq <> '' AND munq <> coalesce(top, munq)) AS
 
 
 def _kept(spark, sf):
-    rows = lab.panel_rows(fixture(spark, sf, "accession_name"))
-    return lab.panel_keep(_classified(spark, sf).drop("name", "source").join(rows, "accession_id"))
+    return kept_accessions(fixture(spark, sf, "accession_name"), _index(spark, sf), fixture(spark, sf, "no_curated"))
 
 
 @query("panel_dropped", oracle(ACC, "SELECT p.variety_id, p.accession_id, a.name, reason FROM pkeep p JOIN accession_name a USING (accession_id) WHERE NOT kept", PKEEP))
@@ -243,7 +239,7 @@ def lab_percentiles(spark, sf):
     return ranked(spark, sf).select("source", "variety_id", "ssc", "ta", "pct_ssc", "pct_ta")
 
 
-@query("measured_varieties", oracle(["lab_obs"], "SELECT variety_id, round_even(avg(ssc), 1) AS ssc, round_even(avg(ta), 1) AS ta, round_even(avg(pct_ssc), 1) AS pct_ssc, round_even(avg(pct_ta), 1) AS pct_ta, count(*) AS n FROM pct GROUP BY variety_id", PCT))
+@query("measured_varieties", oracle(["lab_obs"], "SELECT variety_id, round_even(sum(CAST(round(ssc * 10) AS BIGINT)) / count(ssc) / 10, 1) AS ssc, round_even(sum(CAST(round(ta * 100) AS BIGINT)) / count(ta) / 100, 1) AS ta, round_even(avg(pct_ssc), 1) AS pct_ssc, round_even(avg(pct_ta), 1) AS pct_ta, count(*) AS n FROM pct GROUP BY variety_id", PCT))
 def measured_varieties(spark, sf):
     return lab.measured(ranked(spark, sf))
 

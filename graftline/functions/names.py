@@ -12,6 +12,7 @@ from functools import cache
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from graftline import fixed_values as fx
 from graftline.functions.numeric import col
@@ -79,7 +80,7 @@ def upper_key(c: Column | str) -> Column:
     return F.upper(F.trim(F.regexp_replace(s, "[^A-Za-z0-9]+", " ")))
 
 
-def _full(s: str | None, loose: bool = False) -> str | None:
+def _full(s: str | None) -> str | None:
     if s is None:
         return None
     s = unicodedata.normalize("NFKD", html.unescape(s))
@@ -88,7 +89,7 @@ def _full(s: str | None, loose: bool = False) -> str | None:
     return " ".join(re.sub("[^a-z0-9]+", " ", s).split())
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def name_key_full(names: pd.Series) -> pd.Series:
     """`name_key` with every HTML entity and every Unicode decomposition (Arrow batches; for text outside Latin scripts)."""
     return names.map(_full)

@@ -96,7 +96,8 @@ def midrank_pct(records: DataFrame, measure: str, width: float = 1.0) -> DataFra
 
 def measured(records: DataFrame) -> DataFrame:
     """Per variety: mean of values and percentiles over the sources (one decimal) and the number of sources."""
-    return records.groupBy("variety_id").agg(*[F.bround(F.avg(c), 1).alias(c) for c in ("ssc", "ta", "pct_ssc", "pct_ta")], F.count("*").alias("n"))
+    exact = lambda c: F.avg(F.col(c).cast("decimal(18,4)"))                    # noqa: E731  (sums of rounded values, whatever their order)
+    return records.groupBy("variety_id").agg(*[F.bround(exact(c), 1).cast("double").alias(c) for c in ("ssc", "ta", "pct_ssc", "pct_ta")], F.count("*").alias("n"))
 
 
 def lab_coverage(records: DataFrame) -> DataFrame:
