@@ -1 +1 @@
-from checks import browse, climate, flavour, labs, scores, spatial  # noqa: F401
+from checks import browse, climate, flavour, labs, library, scores, spatial  # noqa: F401

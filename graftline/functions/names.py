@@ -132,7 +132,7 @@ def clean_title(c: Column | str) -> Column:
 def parse_accession(c: Column | str) -> Column:
     """Accession name -> struct(base, quals, syns): parenthesised qualifiers, '(syn X)' names and a trailing clone code."""
     name = F.trim(F.regexp_replace(col(c), r"\s+", " "))
-    inside = F.transform(F.regexp_extract_all(name, F.lit(r"\(([^()]*)(?:\)|$)"), 1), F.trim)
+    inside = F.transform(F.regexp_extract_all(name, F.lit(r"\(([^()]*)(?:\)|$)"), 1), lambda q: F.trim(q))
     syn = r"(?i)^syn\.?\s+(.+)$"
     syns = F.transform(F.filter(inside, lambda q: q.rlike(syn)), lambda q: F.trim(F.regexp_extract(q, syn, 1)))
     quals = F.filter(inside, lambda q: (q != "") & ~q.rlike(syn))
