@@ -10,6 +10,7 @@ from checks.orchard import pick
 from graftline import fixed_values as fx
 from graftline.operators import corpus as co
 from graftline.operators import gaps as gp
+from graftline.plans.coverage import coverage as cover
 from graftline.sources import text as tx
 
 BACKSLASH_N = "chr(10)"
@@ -46,8 +47,7 @@ FIXTURES["page_line"] = """SELECT CASE WHEN o_custkey % 3 = 0 THEN 0 ELSE o_cust
 
 
 @query("running_page_numbers", oracle(["page_line"], """SELECT book, line_no, list_reduce(list_prepend(0::BIGINT, ns[1:i]), lambda a, b: CASE WHEN b > a AND b <= a + 40 THEN b ELSE a END) AS page FROM (
- SELECT book, line_no, row_number() OVER (PARTITION BY book ORDER BY line_no) AS i, list(n) OVER (PARTITION BY book ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS ns FROM (SELECT book, line_no, trim(text)::BIGINT AS n FROM page_line WHERE regexp_matches(trim(text), '^\\d{1,4}$'))) ORDER BY 1, 2""") if False else
-       None)
+ SELECT book, line_no, row_number() OVER (PARTITION BY book ORDER BY line_no) AS i, list(n) OVER (PARTITION BY book ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS ns FROM (SELECT book, line_no, trim(text)::BIGINT AS n FROM page_line WHERE regexp_matches(trim(text), '^\\d{1,4}$'))) ORDER BY 1, 2"""))
 def running_page_numbers(spark, sf):
     return co.page_numbers(fixture(spark, sf, "page_line"), chunk_lines=4000)
 
@@ -133,9 +133,7 @@ GFROM = ["listing", "atlas"]
 
 
 def coverage(spark, sf):
-    clean = gp.clean_listing(fixture(spark, sf, "listing"))
-    names, aliases, have = gp.consolidate(clean), gp.alias_keys(clean), gp.atlas_keys(fixture(spark, sf, "atlas"))
-    return names, aliases, have, gp.covered_keys(names, aliases, have)
+    return cover(fixture(spark, sf, "listing"), fixture(spark, sf, "atlas"))
 
 
 @query("consolidated_listing", oracle(GFROM, "SELECT key, name, array_to_string(sources, ',') AS sources, url FROM nm", GAPS))

@@ -35,13 +35,12 @@ def _folding() -> tuple[str, str, dict[str, str]]:
 
 
 def strip_accents(c: Column | str) -> Column:
-    """Plain letters for accented ones; loose combining marks are dropped."""
+    """Plain letters for accented ones; loose combining marks are dropped.  One linear chain: the text is named once."""
     single, plain, several = _folding()
-    out = F.regexp_replace(F.translate(col(c), single, plain), r"\p{M}+", "")
-    spelled = out
+    out = col(c)
     for ch, letters in several.items():
-        spelled = F.replace(spelled, F.lit(ch), F.lit(letters))
-    return F.when(out.rlike("[" + "".join(several) + "]"), spelled).otherwise(out)
+        out = F.replace(out, F.lit(ch), F.lit(letters))
+    return F.regexp_replace(F.translate(out, single, plain), r"\p{M}+", "")
 
 
 def unescape(c: Column | str) -> Column:
@@ -50,23 +49,27 @@ def unescape(c: Column | str) -> Column:
     for rx, ch in ((r"&(#0*39|#x0*27|apos);", "'"), (r"&(#0*8217|#x0*2019|rsquo);", "’"), (r"&(#0*8216|#x0*2018|lsquo);", "‘"), (r"&(quot|#0*34);", '"'),
                    (r"&(nbsp|#0*160);", " "), (r"&lt;", "<"), (r"&gt;", ">"), (r"&(amp|#0*38);", "&")):
         out = F.regexp_replace(out, rx, ch)
-    return F.when(F.contains(col(c), F.lit("&")), out).otherwise(col(c))
+    return out
 
 
 def _words_only(c: Column) -> Column:
     return F.trim(F.regexp_replace(c, "[^a-z0-9]+", " "))
 
 
+def _key(plain: Column) -> Column:
+    s = F.regexp_replace(F.lower(strip_accents(plain)), "['’‘`]", "")
+    return _words_only(F.regexp_replace(s, r"\b(st|saint)\.?\s", "st "))
+
+
 def name_key(c: Column | str) -> Column:
     """Case, accent and punctuation do not matter; apostrophes vanish; 'St.' and 'Saint' are 'st'."""
-    s = F.regexp_replace(F.lower(strip_accents(unescape(c))), "['’‘`]", "")
-    return _words_only(F.regexp_replace(s, r"\b(st|saint)\.?\s", "st "))
+    return _key(unescape(c))
 
 
 def loose_key(c: Column | str) -> Column:
     """`name_key` after dropping possessive endings."""
     s = F.regexp_replace(unescape(c), r"([\p{L}\p{N}_])['’]s(?![\p{L}\p{N}_])", "$1")
-    return name_key(F.regexp_replace(s, r"([\p{L}\p{N}_])s['’](?=\s|$)", "$1s"))
+    return _key(F.regexp_replace(s, r"([\p{L}\p{N}_])s['’](?=\s|$)", "$1s"))
 
 
 def build_key(c: Column | str) -> Column:

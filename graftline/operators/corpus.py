@@ -130,7 +130,7 @@ def verify_quotes(entries: DataFrame, quotes: DataFrame, lines: DataFrame, at_le
 def tag_found(text: Column | str, pattern: str) -> Column:
     """Whether a pattern occurs without a negation in the clause before it (at most 25 characters back)."""
     c = F.col(text) if isinstance(text, str) else text
-    return c.rlike(f"(?<!{fx.NEGATION}[^.;]{{0,25}})(?i:{pattern})")
+    return c.rlike(f"(?=(?i:{pattern}))(?<!{fx.NEGATION}[^.;]{{0,25}})")          # the look-behind only runs where the pattern is
 
 
 def scan_tags(texts: DataFrame, patterns: dict[str, str] = fx.TAG_PATTERNS, limit: int = fx.MAX_TAGS) -> DataFrame:
