@@ -1 +1 @@
-from checks import browse, climate, flavour, labs, library, reports, scores, spatial  # noqa: F401
+from checks import atlas, browse, climate, flavour, labs, library, reports, scores, spatial  # noqa: F401

@@ -1,6 +1,8 @@
 """Listing sources landed as HTML or wiki markup."""
 from __future__ import annotations
 
+from functools import cache
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -21,19 +23,29 @@ def extract_links(pages: DataFrame, rx: str, html: str = "html") -> DataFrame:
 CARD = r'(?s)<h3 class="text-lg[^>]*>\s*([^<]+?)\s*</h3>.*?applebyname/(([a-z0-9-]+)-id-\d+)" type="button"'
 
 
-def decode_page(raw: Column | str) -> Column:
-    """Bytes of a page as text: UTF-8, or Windows-1252 where that is not valid."""
-    b = F.col(raw) if isinstance(raw, str) else raw
-    return F.coalesce(F.try_validate_utf8(b.cast("string")), F.decode(b, "windows-1252"))
+@cache
+def _windows_marks() -> tuple[str, str]:
+    """The characters Windows-1252 has where Latin-1 has control codes."""
+    codes = [i for i in range(0x80, 0xA0) if i not in (0x81, 0x8D, 0x8F, 0x90, 0x9D)]
+    return "".join(map(chr, codes)), bytes(codes).decode("cp1252")
+
+
+def repaired(latin: Column | str) -> Column:
+    """Bytes read as Latin-1, as the text they are: UTF-8 where that is valid, else Windows-1252."""
+    c = F.col(latin) if isinstance(latin, str) else latin
+    return F.coalesce(F.try_validate_utf8(F.encode(c, "ISO-8859-1").cast("string")), F.translate(c, *_windows_marks()))
 
 
-def extract_cards(pages: DataFrame, html: str = "html") -> DataFrame:
-    """Listing cards (name, link): group prefixes and trailing marks dropped, lost accents taken from the link."""
-    c = pages.select(F.explode(_all(html, CARD, ["title", "link", "slug"])).alias("m")).select("m.*")
+def extract_cards(pages: DataFrame, raw: str = "raw") -> DataFrame:
+    """Listing cards (name, link) of landed pages (bytes): each title is decoded by itself, group prefixes and trailing marks are
+    dropped, and accents lost at the source are replaced by the plain spelling of the link."""
+    page = pages.select(F.decode(raw, "ISO-8859-1").alias("page"))
+    c = page.select(F.explode(_all("page", CARD, ["title", "link", "slug"])).alias("m")).select(repaired("m.title").alias("title"), "m.link", "m.slug")
     name = F.regexp_replace(F.trim(unescape("title")), r"^R[FD]:\s*", "")
     name = F.regexp_replace(F.regexp_replace(name, r"\s*>{2,}.*$", ""), r"(\w)�(s\b)", "$1'$2")
+    c = c.select("link", "slug", name.alias("name"))
     plain = F.initcap(F.replace(F.col("slug"), F.lit("-"), F.lit(" ")))
-    return c.select(F.when(F.contains(name, F.lit("�")), plain).otherwise(name).alias("name"), "link").distinct()
+    return c.select(F.when(F.contains("name", F.lit("�")), plain).otherwise(F.col("name")).alias("name"), "link").distinct()
 
 
 def parse_wiki_list(lines: DataFrame) -> DataFrame:

@@ -15,15 +15,13 @@ def read_csv_checked(spark: SparkSession, path: str, expect: dict[int, str]) ->
     return df.toDF(*names)
 
 
-def read_preamble_csv(spark: SparkSession, path: str, schema: str, preamble: int = 2) -> DataFrame:
-    """CSV files that open with two lines before the header.
-
-    Lines are told apart by what they are (the title, a bare comma, the header), so files may be split."""
-    header = ",".join(n.split()[0] for n in schema.split(","))
-    raw = spark.read.text(path).where((F.trim("value") != "") & (F.trim("value") != ",") & ~F.lower("value").startswith(header.lower()))
-    width = len(schema.split(","))
-    rows = raw.where(F.size(F.split("value", ",")) >= (width if preamble else 1))
-    return rows.select(F.from_csv("value", schema).alias("r")).select("r.*")
+def read_preamble_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """CSV files that open with a title line and a bare comma before the header.
+
+    The three lines are told by what they are - too few columns, or the header's own names - so files may be split."""
+    names = [part.split()[0] for part in schema.split(",")]
+    raw = spark.read.text(path).where((F.size(F.split("value", ",")) >= len(names)) & ~F.lower("value").startswith(",".join(names).lower()))
+    return raw.select(F.from_csv("value", schema).alias("r")).select("r.*")
 
 
 def read_tsv(spark: SparkSession, path: str) -> DataFrame:
