@@ -35,12 +35,19 @@ def _folding() -> tuple[str, str, dict[str, str]]:
 
 
 def strip_accents(c: Column | str) -> Column:
-    """Plain letters for accented ones; loose combining marks are dropped.  One linear chain: the text is named once."""
+    """Plain letters for accented ones; loose combining marks are dropped.
+
+    Text that is ASCII already is passed through after one look; the text is bound once, as the element of an array."""
     single, plain, several = _folding()
-    out = col(c)
-    for ch, letters in several.items():
-        out = F.replace(out, F.lit(ch), F.lit(letters))
-    return F.regexp_replace(F.translate(out, single, plain), r"\p{M}+", "")
+
+    def fold(x: Column) -> Column:
+        out = x
+        for ch, letters in several.items():
+            out = F.replace(out, F.lit(ch), F.lit(letters))
+        out = F.regexp_replace(F.translate(out, single, plain), r"\p{M}+", "")
+        return F.when(x.rlike(r"[^\x00-\x7F]"), out).otherwise(x)
+
+    return F.element_at(F.transform(F.array(col(c)), fold), 1)
 
 
 def unescape(c: Column | str) -> Column:

@@ -21,13 +21,26 @@ def variety_headings(varieties: DataFrame) -> DataFrame:
     return varieties.select("variety_id", F.explode(heading_keys("name", "aka")).alias("key"))
 
 
+def _opening(text: str, n: Column) -> Column:
+    """The start of a line as far as its n-th token with a plain letter or digit.
+
+    Every such token makes at least one word of a key and no word crosses a space, so the first n words are in it."""
+
+    def cut(tokens: Column) -> Column:
+        counted = F.filter(F.transform(tokens, lambda t, i: F.when(t.rlike("[A-Za-z0-9]"), i + 1)), lambda i: i.isNotNull())
+        return F.array_join(F.slice(tokens, 1, F.coalesce(F.try_element_at(counted, n), F.size(tokens))), " ")
+
+    return F.element_at(F.transform(F.array(F.split(text, r"\s+")), cut), 1)
+
+
 def locate(lines: DataFrame, keys: DataFrame, k: int = 6) -> DataFrame:
     """Candidate headings: lines that open with a key, scored for capitals, punctuation and length; best six per book and variety.
 
     A line offers each of its openings (as many words as the longest key has) and meets the keys on equality, so only true
     openings are ever paired."""
     longest = keys.agg(F.max(F.size(F.split("key", " ")))).scalar()
-    raw = lines.select("book", "line_no", F.trim("text").alias("raw")).where(F.length("raw") >= 5).withColumns({"w": F.split(upper_key("raw"), " "), "longest": longest})
+    raw = lines.select("book", "line_no", F.trim("text").alias("raw")).where(F.length("raw") >= 5).withColumn("longest", longest)
+    raw = raw.withColumn("w", F.split(upper_key(_opening("raw", F.col("longest"))), " "))
     opened = raw.select("book", "line_no", "raw", F.explode(F.transform(F.sequence(F.lit(1), F.least(F.size("w"), F.col("longest"))), lambda n: F.array_join(F.slice("w", 1, n), " "))).alias("key"))
     hits = opened.join(keys, "key")
     size = F.length("key")
@@ -122,7 +135,9 @@ def verify_quotes(entries: DataFrame, quotes: DataFrame, lines: DataFrame, at_le
     forms = q.select("entry_id", "field", "i", "x", F.explode(F.array_compact("forms")).alias("p"))
     direct = forms.join(pool.withColumn("hit", F.lit(1)), ["entry_id", "p"], "left").groupBy("entry_id", "field", "i", "x").agg(F.max("hit").alias("hit"))
     open_words = direct.where("hit IS NULL AND length(x) >= 4").select("entry_id", "x").distinct()
-    near = within_edits(open_words, pool, "x", "p", on=["entry_id"]).where(F.abs(F.length("x") - F.length("p")) <= 2).select("entry_id", "x").distinct().withColumn("near", F.lit(1))
+    # spellings are compared once per pair of distinct words, however many entries they occur in
+    alike = within_edits(open_words.select("x").distinct(), pool.select("p").distinct(), "x", "p").where(F.abs(F.length("x") - F.length("p")) <= 2).select("x", "p")
+    near = open_words.join(alike, "x").join(pool, ["entry_id", "p"], "left_semi").select("entry_id", "x").distinct().withColumn("near", F.lit(1))
     found = direct.join(near, ["entry_id", "x"], "left").withColumn("found", F.coalesce("hit", "near", F.lit(0)))
     return found.groupBy("entry_id", "field").agg(F.count("*").alias("words"), F.avg("found").alias("share")).withColumn("ok", F.col("share") >= at_least)
 

@@ -122,7 +122,7 @@ def _probes(text: Column, share: float) -> Column:
         return F.flatten(F.transform(F.sequence(F.lit(0), k), piece))
 
     lengths = F.filter(F.sequence(F.greatest(F.lit(1), m - k_max), m + k_max), lambda n: F.abs(n - m) <= allowed_edits(F.greatest(n, m), share))
-    return F.array_distinct(F.flatten(F.transform(lengths, of_length)))
+    return F.flatten(F.transform(lengths, of_length))
 
 
 def within_edits(left: DataFrame, right: DataFrame, left_text: str, right_text: str, on: list[str] | None = None, share: float = 0.2) -> DataFrame:

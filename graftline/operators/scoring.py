@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from graftline import fixed_values as fx
 from graftline.functions import weather as wx
 from graftline.functions.calendar import vi_label
+from graftline.functions.spread import spread
 from graftline.functions.numeric import banded, clamp, half_up, piecewise, weeks_shift
 
 INF = float("inf")
@@ -68,7 +69,7 @@ def window_mean(table: Column | str, start_vi: Column) -> Column:
 
 def prepare_places(places: DataFrame) -> DataFrame:
     """Add what scoring needs per place: disease pressures, the mean of the 60 days after bloom, six-week window means."""
-    p = site_pressures(places)
+    p = site_pressures(spread(places, "place_id"))
     after = [wx.span_mean(m, F.col("bloom_vi"), F.col("bloom_vi") + 60, "southern") for m in ("tmax_m", "tmin_m")]
     return p.withColumns({"t60": (after[0] + after[1]) / 2, "win_tmax": _window_means("tmax_m", 42), "win_tmin": _window_means("tmin_m", 42)})
 

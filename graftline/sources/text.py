@@ -4,10 +4,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from graftline.functions.spread import spread
+
 
 def numbered_lines(texts: DataFrame, key: str, text: str) -> DataFrame:
     """Whole texts -> one row per (key, line_no from 1, text)."""
-    return texts.select(key, F.posexplode(F.split(text, r"\r?\n")).alias("pos", "line")).select(key, (F.col("pos") + 1).cast("long").alias("line_no"), F.col("line").alias("text"))
+    return spread(texts.select(key, text), key).select(key, F.posexplode(F.split(text, r"\r?\n")).alias("pos", "line")).select(key, (F.col("pos") + 1).cast("long").alias("line_no"), F.col("line").alias("text"))
 
 
 def read_book_lines(spark: SparkSession, folder: str) -> DataFrame:
