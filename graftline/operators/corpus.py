@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from graftline import fixed_values as fx
 from graftline.functions.names import heading_keys, name_key, strip_accents, upper_key, words
 from graftline.operators.matching import within_edits
+from graftline.plans.lineage import cut
 
 MAX_PAGE = 9999
 PAGE_STEP = 40
@@ -26,11 +27,11 @@ def _opening(text: str, n: Column) -> Column:
 
     Every such token makes at least one word of a key and no word crosses a space, so the first n words are in it."""
 
-    def cut(tokens: Column) -> Column:
+    def leading(tokens: Column) -> Column:
         counted = F.filter(F.transform(tokens, lambda t, i: F.when(t.rlike("[A-Za-z0-9]"), i + 1)), lambda i: i.isNotNull())
         return F.array_join(F.slice(tokens, 1, F.coalesce(F.try_element_at(counted, n), F.size(tokens))), " ")
 
-    return F.element_at(F.transform(F.array(F.split(text, r"\s+")), cut), 1)
+    return F.element_at(F.transform(F.array(F.split(text, r"\s+")), leading), 1)
 
 
 def locate(lines: DataFrame, keys: DataFrame, k: int = 6) -> DataFrame:
@@ -105,8 +106,8 @@ def entry_text(entries: DataFrame, lines: DataFrame, limit: int = 5000) -> DataF
     paras = F.filter(F.split(text, r"\n(?:\n)+"), lambda p: F.trim(p) != "")
     joined = F.transform(paras, lambda p: F.regexp_replace(F.regexp_replace(F.regexp_replace(p, r"^\n+|\n+$", ""), r"-\n(?=\p{Ll})", ""), r"\n", " "))
     g = g.select("entry_id", F.array_join(joined, "\n\n").alias("full"))
-    cut = F.concat(F.regexp_replace(F.substring("full", 1, limit), r"(?s) [^ ]*$", ""), F.lit(" …"))
-    return g.select("entry_id", F.when(F.length("full") <= limit, F.col("full")).otherwise(cut).alias("text"))
+    shown = F.concat(F.regexp_replace(F.substring("full", 1, limit), r"(?s) [^ ]*$", ""), F.lit(" …"))
+    return g.select("entry_id", F.when(F.length("full") <= limit, F.col("full")).otherwise(shown).alias("text"))
 
 
 def check_spans(entries: DataFrame, lines: DataFrame) -> DataFrame:
@@ -122,18 +123,19 @@ def verify_quotes(entries: DataFrame, quotes: DataFrame, lines: DataFrame, at_le
     """Share of each quote's words that the entry's own lines contain: verbatim, run together with a neighbour, or within a fifth
     of the letters (words of four letters or more).  A quote needs 80%.
 
-    `quotes`: entry_id, field, quote.  The lines are read two above and two below the entry."""
+    `quotes`: entry_id, field, quote.  The lines are read two above and two below the entry.  The entry words and the words
+    found directly are each read several times, so both are cut off at the shared folder."""
     chunk = (_entry_lines(entries, lines, before=2, after=2).groupBy("entry_id").agg(F.array_sort(F.collect_list(F.struct("line_no", "text"))).alias("ls"))
              .select("entry_id", F.array_join(F.transform("ls", lambda x: x["text"]), "\n").alias("chunk")))
     # a word split by a hyphen counts both joined and as its two halves
-    pool = chunk.select("entry_id", F.explode(F.array_distinct(F.concat(words("chunk"), F.regexp_extract_all(F.lower("chunk"), F.lit("([a-z]+)"), 1)))).alias("p"))
+    pool = cut(chunk.select("entry_id", F.explode(F.array_distinct(F.concat(words("chunk"), F.regexp_extract_all(F.lower("chunk"), F.lit("([a-z]+)"), 1)))).alias("p")))
     q = quotes.select("entry_id", "field", words("quote").alias("ws")).where(F.size("ws") > 0)
     at = lambda i: F.coalesce(F.try_element_at("ws", i), F.lit(""))             # noqa: E731
     q = q.select("entry_id", "field", "ws", F.posexplode("ws").alias("i", "x"))
     nxt, prv = at(F.col("i") + 2), F.when(F.col("i") > 0, at(F.greatest(F.lit(1), F.col("i")))).otherwise("")
     q = q.select("entry_id", "field", "i", "x", F.array(F.col("x"), F.when(nxt != "", F.concat("x", nxt)), F.when(prv != "", F.concat(prv, F.col("x")))).alias("forms"))
     forms = q.select("entry_id", "field", "i", "x", F.explode(F.array_compact("forms")).alias("p"))
-    direct = forms.join(pool.withColumn("hit", F.lit(1)), ["entry_id", "p"], "left").groupBy("entry_id", "field", "i", "x").agg(F.max("hit").alias("hit"))
+    direct = cut(forms.join(pool.withColumn("hit", F.lit(1)), ["entry_id", "p"], "left").groupBy("entry_id", "field", "i", "x").agg(F.max("hit").alias("hit")))
     open_words = direct.where("hit IS NULL AND length(x) >= 4").select("entry_id", "x").distinct()
     # spellings are compared once per pair of distinct words, however many entries they occur in
     alike = within_edits(open_words.select("x").distinct(), pool.select("p").distinct(), "x", "p").where(F.abs(F.length("x") - F.length("p")) <= 2).select("x", "p")

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from graftline import fixed_values as fx
 from graftline.functions.names import build_key, loose_key, name_key, parse_accession, unescape
+from graftline.plans.lineage import cut
 
 
 def all_names(varieties: DataFrame) -> DataFrame:
@@ -100,8 +101,8 @@ def _segments(text: Column, share: float) -> Column:
     n = F.length(text)
     k = allowed_edits(F.floor(n / F.lit(1.0 - share) + 1e-9), share)
     parts = k + 1
-    cut = lambda i: F.floor(i * n / parts).cast("int")                          # noqa: E731
-    return F.transform(F.sequence(F.lit(0), k), lambda i: F.struct(n.alias("n"), i.alias("i"), cut(i).alias("at"), F.substring(text, cut(i) + 1, cut(i + 1) - cut(i)).alias("piece")))
+    edge = lambda i: F.floor(i * n / parts).cast("int")                         # noqa: E731
+    return F.transform(F.sequence(F.lit(0), k), lambda i: F.struct(n.alias("n"), i.alias("i"), edge(i).alias("at"), F.substring(text, edge(i) + 1, edge(i + 1) - edge(i)).alias("piece")))
 
 
 def _probes(text: Column, share: float) -> Column:
@@ -112,12 +113,12 @@ def _probes(text: Column, share: float) -> Column:
     def of_length(n: Column) -> Column:
         k = allowed_edits(F.floor(n / F.lit(1.0 - share) + 1e-9), share)
         edits = allowed_edits(F.greatest(n, m), share)
-        cut = lambda i: F.floor(i * n / (k + 1)).cast("int")                    # noqa: E731
+        edge = lambda i: F.floor(i * n / (k + 1)).cast("int")                   # noqa: E731
 
         def piece(i: Column) -> Column:
-            size = cut(i + 1) - cut(i)
-            starts = F.filter(F.sequence(cut(i) - edits, cut(i) + edits), lambda s: (s >= 0) & (s + size <= m))
-            return F.transform(starts, lambda s: F.struct(n.alias("n"), i.alias("i"), cut(i).alias("at"), F.substring(text, s + 1, size).alias("piece")))
+            size = edge(i + 1) - edge(i)
+            starts = F.filter(F.sequence(edge(i) - edits, edge(i) + edits), lambda s: (s >= 0) & (s + size <= m))
+            return F.transform(starts, lambda s: F.struct(n.alias("n"), i.alias("i"), edge(i).alias("at"), F.substring(text, s + 1, size).alias("piece")))
 
         return F.flatten(F.transform(F.sequence(F.lit(0), k), piece))
 
@@ -125,17 +126,40 @@ def _probes(text: Column, share: float) -> Column:
     return F.flatten(F.transform(lengths, of_length))
 
 
+SHORT = 14                      # up to this length a fifth of the letters is at most two edits
+
+
+def _deletions(text: Column, share: float) -> Column:
+    """A short text and everything left of it after as many deletions as any partner allows (none, one or two)."""
+    k = allowed_edits(F.floor(F.length(text) / F.lit(1.0 - share) + 1e-9), share)
+
+    def less_one(t: Column) -> Column:
+        return F.transform(F.sequence(F.lit(1), F.length(t)), lambda i: F.concat(F.substring(t, 1, i - 1), F.substring(t, i + 1, F.length(t))))
+
+    def up_to_two(once: Column) -> Column:
+        twice = F.when(k >= 2, F.flatten(F.transform(once, less_one))).otherwise(F.array().cast("array<string>"))
+        return F.array_distinct(F.concat(F.array(text), once, twice))
+
+    return F.when(k < 1, F.array(text)).otherwise(F.element_at(F.transform(F.array(less_one(text)), up_to_two), 1))
+
+
 def within_edits(left: DataFrame, right: DataFrame, left_text: str, right_text: str, on: list[str] | None = None, share: float = 0.2) -> DataFrame:
     """Pairs of texts whose edit distance is at most `share` of the longer length: (on..., left_text, right_text, edits).
 
-    Both sides should be distinct texts.  Candidates share an unchanged piece at about the same place, which every true pair
-    does, so the equality join loses nothing and compares no text with all others."""
+    Both sides should be distinct texts.  Two equality joins find every true pair and compare no text with all others: short
+    texts meet in what is left of them after one or two deletions, long ones in an unchanged piece at about the same place."""
+    if share > 0.2:
+        raise ValueError("at most a fifth of the letters may differ")
     on = on or []
-    a = left.select(*on, left_text, F.explode(_probes(F.col(left_text), share)).alias("key"))
-    b = right.select(*on, right_text, F.explode(_segments(F.col(right_text), share)).alias("key"))
-    pairs = a.join(b, on + ["key"]).select(*on, left_text, right_text).distinct()
-    limit = allowed_edits(F.greatest(F.length(left_text), F.length(right_text)), share)
-    return pairs.withColumn("edits", F.levenshtein(left_text, right_text)).where(F.col("edits") <= limit)
+    a, b = left.select(*on, left_text), right.select(*on, right_text)
+    n, m = F.length(left_text), F.length(right_text)
+    short = (a.where(n <= SHORT).withColumn("key", F.explode(_deletions(F.col(left_text), share)))
+             .join(b.where(m <= SHORT).withColumn("key", F.explode(_deletions(F.col(right_text), share))), on + ["key"]))
+    least = int(SHORT * (1.0 - share))                                       # a partner of a longer text has more letters than this
+    long_ = (a.where(n > least).withColumn("key", F.explode(_probes(F.col(left_text), share)))
+             .join(b.where(m > least).withColumn("key", F.explode(_segments(F.col(right_text), share))), on + ["key"]).where(F.greatest(n, m) > SHORT))
+    pairs = short.drop("key").unionByName(long_.drop("key")).where(F.abs(n - m) <= allowed_edits(F.greatest(n, m), share)).distinct()
+    return pairs.withColumn("edits", F.levenshtein(left_text, right_text)).where(F.col("edits") <= allowed_edits(F.greatest(n, m), share))
 
 
 def close_names(missing: DataFrame, varieties: DataFrame) -> DataFrame:
@@ -143,8 +167,8 @@ def close_names(missing: DataFrame, varieties: DataFrame) -> DataFrame:
     the missing name (or, for missing names of several words, contain all of its words).
 
     `missing`: distinct (source, name).  Containment is found by joining on each name's rarest word."""
-    ask = missing.select("source", "name", name_key("name").alias("ask")).where("ask <> ''")
-    known = all_names(varieties).select(name_key("name").alias("known")).where("known <> ''").distinct()
+    ask = cut(missing.select("source", "name", name_key("name").alias("ask")).where("ask <> ''"))
+    known = cut(all_names(varieties).select(name_key("name").alias("known")).where("known <> ''").distinct())
     asked = ask.select("ask").distinct()
     near = within_edits(asked, known, "ask", "known").select("ask", "known", F.lit("spelling").alias("how"))
     split = lambda c: F.array_distinct(F.split(F.col(c), " "))                  # noqa: E731
