@@ -388,3 +388,49 @@ def curves_and_scales(spark, sf):
 
 
 _ = (codes, co, mt)
+
+
+def _documents(df, record, size: int = 100):
+    """Records packed into documents of a fixed size by key (bounded whatever the scale): rows (doc, entries)."""
+    return df.groupBy(F.floor(F.col("k") / size).alias("doc")).agg(F.collect_list(F.struct("id", record.alias("r"))).alias("entries"))
+
+
+def _people(spark, sf):
+    return fixture(spark, sf, "customer").select(F.col("c_custkey").alias("k"), F.concat(F.lit("c"), F.col("c_custkey").cast("string")).alias("id"), F.col("c_name").alias("heading"), (F.col("c_custkey") % 6).cast("int").alias("sweet"), F.col("c_acctbal").alias("ssc"))
+
+
+@query("record_arrays", "SELECT 'c' || c_custkey AS id, c_name AS name FROM customer")
+def record_arrays(spark, sf):
+    path = fresh_folder(spark)
+    docs = _documents(_people(spark, sf), F.col("heading"))
+    docs.select(F.to_json(F.transform("entries", lambda x: F.struct(x["id"].alias("id"), x["r"].alias("name")))).alias("value"), "doc").write.partitionBy("doc").text(path)
+    return rc.read_records(spark, path, "id string, name string").select("id", "name")
+
+
+@query("keyed_documents", "SELECT 'c' || c_custkey AS id, c_name AS heading, c_custkey % 6 AS sweet FROM customer")
+def keyed_documents(spark, sf):
+    from graftline.schemas import BOOK_ENTRY
+
+    path = fresh_folder(spark)
+    docs = _documents(_people(spark, sf), F.struct("heading", "sweet"))
+    keyed = F.map_concat(F.create_map(F.lit("_book"), F.struct(F.lit("meta").alias("heading"), F.lit(0).alias("sweet"))), F.map_from_entries("entries"))
+    docs.select(F.to_json(keyed).alias("value"), "doc").write.partitionBy("doc").text(path)
+    return rc.read_keyed(spark, path, BOOK_ENTRY).select("id", "heading", "sweet")
+
+
+@query("source_bundles", "SELECT 's' AS source, 'c' || c_custkey AS id, c_acctbal AS ssc FROM customer WHERE c_custkey // 100 % 3 <> 0")
+def source_bundles(spark, sf):
+    from graftline.schemas import LAB_RECORD
+
+    path = fresh_folder(spark)
+    docs = _documents(_people(spark, sf), F.struct("ssc"))
+    source = F.when(F.col("doc") % 3 != 0, F.struct(F.lit("s").alias("key"), F.lit("t").alias("title")))
+    docs.select(F.to_json(F.struct(source.alias("_source"), F.map_from_entries("entries").alias("records"))).alias("value"), "doc").write.partitionBy("doc").text(path)
+    return rc.read_bundle(spark, path, LAB_RECORD).select("source", "id", "ssc")
+
+
+@query("single_acidity_values", "SELECT l_suppkey AS accession, l_tax AS ta, 2019 AS year FROM lineitem WHERE l_tax > 0")
+def single_acidity_values(spark, sf):
+    from graftline.operators.lab import single_values
+
+    return single_values(fixture(spark, sf, "lineitem").select(F.col("l_suppkey").alias("accession"), F.nullif("l_tax", F.lit(0.0)).alias("ta")), 2019)

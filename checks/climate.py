@@ -323,7 +323,7 @@ fz AS (SELECT place_id, g, emp, nights, mu, (1.5 - mu) / sd AS z FROM fp),
 fa AS (SELECT place_id, list(0.5 * emp + 0.5 * ({ncdf('z')}) ORDER BY g) AS frost_p, list(nights ORDER BY g) AS frost_nights, list(mu ORDER BY g) AS frost_min FROM fz GROUP BY place_id),
 cv AS (SELECT place_id, list(floor(v + 0.5) ORDER BY k) AS gdd_curve FROM (SELECT place_id, k, avg(gdd_curve[k + 1]) AS v FROM call, (SELECT unnest(range(27)) AS k) ks WHERE bloom IS NOT NULL GROUP BY place_id, k) GROUP BY place_id),
 summ AS (SELECT place_id, any_value(south) AS southern, count(*) AS n_cycles, count(*) - count(bloom) AS no_bloom_years, count(bloom) AS n_bloom, avg(chill) AS chill_mean, quantile_cont(chill, 0.2) AS chill_p20, min(chill) AS chill_min, max(chill) AS chill_max,
-  avg(chill_hours) AS chill_hours, avg(winter_min) AS ext_min_mean, min(winter_min) AS ext_min_abs, avg(bloom) AS bloom_vi, coalesce(stddev_samp(bloom), 0) AS bloom_sd,
+  avg(chill_hours) AS chill_hours72, avg(winter_min) AS ext_min_mean, min(winter_min) AS ext_min_abs, avg(bloom) AS bloom_vi, coalesce(stddev_samp(bloom), 0) AS bloom_sd,
   avg(CASE WHEN last_frost >= 0 THEN last_frost END) AS last_spring_vi, count(CASE WHEN last_frost >= 0 THEN 1 END) AS nlf,
   list(floor(gdd_total + 0.5) ORDER BY cycle) FILTER (WHERE bloom IS NOT NULL) AS gend_per, quantile_cont(gdd_total, 0.5) AS gend_median, quantile_cont(gdd_total, 0.2) AS gend_p20, avg(end_vi) AS end_vi, avg(season_days) AS season_days,
   count(freeze_vi) AS freezes, avg(freeze_vi) AS freeze_vi, avg(hot32) AS hot32, avg(hot35) AS hot35, avg(hot38) AS hot38, avg(fall_tmin) AS fall_tmin, avg(spring_wet_days) AS spring_wet_days, avg(spring_t) AS spring_t,
@@ -334,7 +334,7 @@ place AS (SELECT summ.* EXCLUDE (freeze_vi), fa.* EXCLUDE (place_id), cv.gdd_cur
   CASE WHEN nlf < n_bloom / 2 THEN 'rarely' ELSE {vi_label_sql('last_spring_vi', 'southern')} END AS last_spring, CASE WHEN freezes > 0 THEN {vi_label_sql('freeze_vi', 'southern')} END AS first_freeze
   FROM summ LEFT JOIN fa USING (place_id) LEFT JOIN cv USING (place_id))"""
 TO_PLACE = TO_SEASON + "," + GROWN + "," + BLIGHT + "," + SUMMARY
-SUMMARY_NUMBERS = ("chill_mean chill_p20 chill_min chill_max chill_hours ext_min_mean ext_min_abs bloom_vi bloom_sd last_spring_vi gend_median gend_p20 end_vi season_days "
+SUMMARY_NUMBERS = ("chill_mean chill_p20 chill_min chill_max chill_hours72 ext_min_mean ext_min_abs bloom_vi bloom_sd last_spring_vi gend_median gend_p20 end_vi season_days "
                    "hot32 hot35 hot38 fall_tmin spring_wet_days spring_t canker_days fire_blight_events mildew_idx scab_events lwd_spring gs_precip gs_et0 rh_gs snow_days frost_free_days "
                    "aridity freeze_years").split()
 SUMMARY_ARRAYS = ["frost_p", "frost_nights", "frost_min", "gdd_curve", "gend_per"]

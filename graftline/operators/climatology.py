@@ -94,7 +94,7 @@ def summarise_cycles(metrics: DataFrame) -> DataFrame:
         F.first("lat").alias("lat"), F.first("southern").alias("southern"), F.count("*").alias("n_cycles"),
         F.count("bloom").alias("n_bloom"), (F.count("*") - F.count("bloom")).alias("no_bloom_years"),
         F.avg("chill").alias("chill_mean"), F.percentile("chill", 0.2).alias("chill_p20"), F.min("chill").alias("chill_min"),
-        F.max("chill").alias("chill_max"), F.avg("chill_hours").alias("chill_hours"),
+        F.max("chill").alias("chill_max"), F.avg("chill_hours").alias("chill_hours72"),
         F.avg("winter_min").alias("ext_min_mean"), F.min("winter_min").alias("ext_min_abs"),
         F.avg("bloom").alias("bloom_vi"), _sd("bloom").alias("bloom_sd"),
         F.array(*hits).alias("hits"), F.array(*spread).alias("spread"), F.array(*nights).alias("frost_nights"), F.array(*lows).alias("frost_min"),

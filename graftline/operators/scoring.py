@@ -175,8 +175,9 @@ def _combined(j: DataFrame) -> DataFrame:
 def join_pairs(pairs: DataFrame, varieties: DataFrame, prepared: DataFrame) -> DataFrame:
     """Attach both sides to (variety_id, place_id) pairs by key.
 
-    No side is forced: Spark broadcasts one only when its measured size allows, and splits skewed keys otherwise."""
-    return pairs.join(varieties, "variety_id").join(prepared, "place_id")
+    No side is forced: Spark broadcasts one only when its measured size allows, and splits skewed keys otherwise.  Where both
+    sides have a column (name, country), the variety's is kept."""
+    return pairs.join(varieties, "variety_id").join(prepared.drop(*[c for c in varieties.columns if c != "place_id"]), "place_id")
 
 
 def score(pairs: DataFrame, varieties: DataFrame, prepared: DataFrame, ref: Column) -> DataFrame:
