@@ -99,9 +99,9 @@ def summarise_cycles(metrics: DataFrame) -> DataFrame:
         F.avg("bloom").alias("bloom_vi"), _sd("bloom").alias("bloom_sd"),
         F.array(*hits).alias("hits"), F.array(*spread).alias("spread"), F.array(*nights).alias("frost_nights"), F.array(*lows).alias("frost_min"),
         F.avg(spring).alias("last_spring_vi"), F.count(spring).alias("frost_years"),
-        F.array(*[half_up(F.avg(F.col("gdd_curve")[k])) for k in range(fx.CURVE_LEN)]).alias("gdd_curve"),
+        F.array(*[half_up(F.avg(F.col("gdd_curve")[k])).cast("double") for k in range(fx.CURVE_LEN)]).alias("gdd_curve"),
         F.transform(F.array_sort(F.collect_list(F.when(F.col("bloom").isNotNull(), F.struct("cycle", "gdd_total")))),
-                    lambda s: half_up(s["gdd_total"])).alias("gend_per"),
+                    lambda s: half_up(s["gdd_total"]).cast("double")).alias("gend_per"),
         F.percentile("gdd_total", 0.5).alias("gend_median"), F.percentile("gdd_total", 0.2).alias("gend_p20"),
         F.avg("end_vi").alias("end_vi"), F.avg("season_days").alias("season_days"),
         F.count("freeze_vi").alias("freezes"), F.avg("freeze_vi").alias("freeze_vi"),
