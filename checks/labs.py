@@ -213,7 +213,7 @@ lr AS (SELECT b.source, b.variety_id, round_even(b.ssc, 1) AS ssc, round_even(b.
 PCT = LAB + """,
 pc AS (SELECT *, round_even(100 * ((SELECT count(*) FROM lr x WHERE x.source = lr.source AND x.ssc < lr.ssc) + 0.5::DOUBLE * (SELECT count(*) FROM lr x WHERE x.source = lr.source AND x.ssc = lr.ssc)) / (SELECT count(x.ssc) FROM lr x WHERE x.source = lr.source), 0) AS p1,
  round_even(100 * ((SELECT count(*) FROM lr x WHERE x.source = lr.source AND x.ta < lr.ta) + 0.5::DOUBLE * (SELECT count(*) FROM lr x WHERE x.source = lr.source AND x.ta = lr.ta)) / (SELECT count(x.ta) FROM lr x WHERE x.source = lr.source), 0) AS p2 FROM lr),
-pct AS (SELECT * EXCLUDE (p1, p2), CASE WHEN ssc IS NOT NULL THEN p1 END AS pct_ssc, CASE WHEN ta IS NOT NULL THEN p2 END AS pct_ta FROM pc)"""
+pct AS (SELECT * EXCLUDE (p1, p2), CASE WHEN ssc IS NOT NULL THEN p1::INT END AS pct_ssc, CASE WHEN ta IS NOT NULL THEN p2::INT END AS pct_ta FROM pc)"""
 
 
 def records(spark, sf):
@@ -271,7 +271,7 @@ def yearly_columns(spark, sf):
     return rounded(lab.yearly_columns(fixture(spark, sf, "wide_trial"), ["l_orderkey", "l_linenumber"], {"h16": ("ssc", "harvest", 2016), "s16": ("ssc", "storage", 2016), "ta17": ("ta", "harvest", 2017)}), "value")
 
 
-FIXTURES["trial_row"] = "SELECT l_orderkey, l_linenumber, l_partkey AS genotype, CASE WHEN l_linenumber % 2 = 0 THEN 'M1' ELSE 'M2' END AS management, floor(l_discount * 100e0 + 0.5e0) AS firm FROM {lineitem}"
+FIXTURES["trial_row"] = "SELECT l_orderkey, l_linenumber, l_partkey AS genotype, CASE WHEN l_linenumber % 2 = 0 THEN 'M1' ELSE 'M2' END AS management, CAST(floor(l_discount * 100e0 + 0.5e0) AS DOUBLE) AS firm FROM {lineitem}"
 FIXTURES["genotype_name"] = "SELECT p_partkey AS genotype, CASE WHEN p_partkey % 5 = 0 THEN NULL WHEN p_partkey % 7 = 0 THEN '' ELSE p_name END AS name FROM {part}"
 
 
