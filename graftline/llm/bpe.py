@@ -198,7 +198,7 @@ def _broadcast(spark: SparkSession, tokenizer: str):
         return spark.sparkContext.broadcast(f.read())
 
 
-def encode(df: DataFrame, text_col: str = "text", ids_col: str = "ids", tokenizer: str | None = None) -> DataFrame:
+def encode(df: DataFrame, text_col: str = "text", ids_col: str = "ids", tokenizer: str | None = None, keep_text: bool = True) -> DataFrame:
     """Add the ids of each whole text, special strings inside texts counting as special tokens, none added, nothing cut off."""
     content = _broadcast(df.sparkSession, tokenizer or default_tokenizer())
 
@@ -211,7 +211,7 @@ def encode(df: DataFrame, text_col: str = "text", ids_col: str = "ids", tokenize
 
         return work
 
-    return add_from_text(df, text_col, [(ids_col, ArrayType(IntegerType()))], make)
+    return add_from_text(df, text_col, [(ids_col, ArrayType(IntegerType()))], make, keep_text)
 
 
 def decode(df: DataFrame, ids_col: str = "ids", decoded_col: str = "decoded", tokenizer: str | None = None) -> DataFrame:

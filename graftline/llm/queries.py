@@ -24,6 +24,21 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from graftline.llm import bpe
 
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
-    ids = bpe.encode(docs).select("doc_id", "ids")
-    return bpe.decode(ids).select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.concat_ws(" ", F.col("ids").cast("array<string>")), 256).alias("ids_sha256"),
+    return bpe.decode(bpe.encode(docs, keep_text=False)).select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.concat_ws(" ", F.col("ids").cast("array<string>")), 256).alias("ids_sha256"),
                                   F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+@_query
+def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from graftline.llm.quality_rules import quality_rules
+
+    judged = quality_rules(_table(spark, sf_dir, "documents"))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "distance")
+
+
+@_query
+def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from graftline.llm.token_counts import count_tokens
+
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"))
+    return count_tokens(docs, keep_text=False).select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 2048).alias("over_limit"))

@@ -39,23 +39,24 @@ def quoted(name: str) -> Column:
     return F.col("`" + name.replace("`", "``") + "`")
 
 
-def add_from_text(df: DataFrame, text_col: str, added: list[tuple[str, DataType]], make: Callable[[], Callable[[list[bytes]], list[pa.Array]]]) -> DataFrame:
+def add_from_text(df: DataFrame, text_col: str, added: list[tuple[str, DataType]], make: Callable[[], Callable[[list[bytes]], list[pa.Array]]], keep_text: bool = True) -> DataFrame:
     """Append columns computed from the text column, task by task.
 
     `make` runs once in each task and returns the function from texts to arrays, one array for each added column.  Input columns
-    with the name of an added one are replaced, the text column itself excepted only if it is one of them."""
+    with the name of an added one are replaced; the text goes on to the result unless `keep_text` is off."""
     names = [n for n, _ in added]
-    carried = without(df, names)
-    staged = carried.withColumn("__text", quoted(text_col)) if text_col in carried.columns else df.select(*[quoted(c) for c in carried.columns], quoted(text_col).alias("__text"))
+    carried = without(df, names if keep_text else [*names, text_col])
+    shown = text_col in carried.columns
+    staged = df.select(*[quoted(c) for c in carried.columns], *([] if shown else [quoted(text_col).alias("__text")]))
+    place, width = (carried.columns.index(text_col) if shown else len(carried.columns)), len(carried.columns)
     schema = StructType([*carried.schema.fields, *[StructField(n, t) for n, t in added]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = make()
         for batch in batches:
-            column = batch.column(batch.num_columns - 1)
-            data = texts(column)
+            data = texts(batch.column(place))
             for start, n in slices([len(t) for t in data]):
                 part = batch.slice(start, n)
-                yield pa.RecordBatch.from_arrays([*part.columns[:-1], *work(data[start:start + n])], [*part.schema.names[:-1], *names])
+                yield pa.RecordBatch.from_arrays([*part.columns[:width], *work(data[start:start + n])], [*part.schema.names[:width], *names])
 
     return staged.mapInArrow(run, schema)
