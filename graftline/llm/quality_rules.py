@@ -30,7 +30,7 @@ from graftline.plans.lineage import cut
 
 P = 4
 #: Share of rows in the subset; quantile beyond which a row is rejected; rows a group needs; concentration steps.
-SHARE, TAIL, LEAST, STEPS = 0.75, 1 - 1e-6, 60, 4
+SHARE, TAIL, LEAST, STEPS = 0.75, 1 - 1e-9, 60, 4
 #: Smallest spread that counts, of the four ratios on the logarithmic scale.
 FLOOR = (0.08, 0.35, 0.6, 0.35)
 STATS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines"]

@@ -42,3 +42,53 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"))
     return count_tokens(docs, keep_text=False).select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 2048).alias("over_limit"))
+
+
+@_query
+def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from graftline.llm.url_filter import url_filter
+
+    judged = url_filter(_table(spark, sf_dir, "pages").select("page_id", "url"))
+    return judged.select("page_id", "host", "path", "rule", "verdict", "score")
+
+
+def tool_messages(conversations: DataFrame) -> DataFrame:
+    """The conversations as tool traffic: a user turn becomes a call (of two tools, some with wrong arguments) that builds on the user turn
+    before, an assistant turn the result of the call just before it; other turns stay as they are."""
+    call = """concat('{"tool_calls":[{"name":"', if(turn % 4 < 2, 'search', 'lookup'), '","id":"c', turn, '","arguments":',
+        if(turn % 4 < 2, to_json(named_struct('query', text, 'limit', char_length(text) % 60, 'lang', element_at(array('en', 'de', 'fr', 'es', 'xx'), cast(conv_id % 5 + 1 as int)))),
+           concat('{"key":', to_json(named_struct('t', text)), ',"exact":', if(turn % 3 = 0, '"yes"', 'true'), '}')), ',"after":"c', turn - 2, '"}]}')"""
+    result = "concat('{\"content\":', substr(to_json(named_struct('v', text)), 6, char_length(to_json(named_struct('v', text))) - 6), ',\"tool_call_id\":\"c', turn - 1, '\"}')"
+    return conversations.selectExpr("conv_id", "turn", "case role when 'user' then 'assistant' when 'assistant' then 'tool' else role end as role",
+                                    f"case role when 'user' then {call} when 'assistant' then {result} else text end as text")
+
+
+@_query
+def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from graftline.llm.chat_format import format_chats
+
+    return format_chats(tool_messages(_table(spark, sf_dir, "conversations")))
+
+
+ORACLES["op10_chat_format"] = """
+WITH u AS (SELECT conv_id, turn, text, turn - 2 * row_number() OVER (PARTITION BY conv_id, turn % 2 ORDER BY turn) AS island FROM conversations WHERE role = 'user'),
+c AS (SELECT conv_id, turn, text, row_number() OVER (PARTITION BY conv_id, turn % 2, island ORDER BY turn) - 1 AS level FROM u),
+a AS (SELECT conv_id, turn, text FROM conversations WHERE role = 'assistant'),
+args AS (SELECT c.*, turn % 4 < 2 AS is_search, length(text) % 60 AS n, ['en', 'de', 'fr', 'es', 'xx'][conv_id % 5 + 1] AS l FROM c)
+SELECT conv_id, turn, 'message' AS kind, NULL::VARCHAR AS call_id, NULL::VARCHAR AS name, 0::BIGINT AS level, turn AS seq_turn, 'plain' AS status, '' AS errors,
+       '{"content":' || to_json(text)::VARCHAR || ',"role":' || to_json(role)::VARCHAR || '}' AS json
+FROM conversations WHERE role NOT IN ('user', 'assistant')
+UNION ALL
+SELECT g.conv_id, g.turn, 'call', 'c' || g.turn, CASE WHEN is_search THEN 'search' ELSE 'lookup' END, level, g.turn, CASE WHEN a.turn IS NULL THEN 'no_result' ELSE 'linked' END,
+       CASE WHEN is_search THEN concat_ws(',', CASE WHEN l = 'xx' THEN 'lang:choice' END, CASE WHEN n > 50 THEN 'limit:maximum' END, CASE WHEN n < 1 THEN 'limit:minimum' END, CASE WHEN length(g.text) > 400 THEN 'query:max_length' END)
+            ELSE concat_ws(',', CASE WHEN g.turn % 3 = 0 THEN 'exact:type' END, 'key:type') END,
+       '{"after":"c' || (g.turn - 2) || '","arguments":' ||
+       CASE WHEN is_search THEN '{"lang":"' || l || '","limit":' || n || ',"query":' || to_json(g.text)::VARCHAR || '}'
+            ELSE '{"exact":' || CASE WHEN g.turn % 3 = 0 THEN '"yes"' ELSE 'true' END || ',"key":{"t":' || to_json(g.text)::VARCHAR || '}}' END ||
+       ',"id":"c' || g.turn || '","name":"' || CASE WHEN is_search THEN 'search' ELSE 'lookup' END || '"}'
+FROM args g LEFT JOIN a ON a.conv_id = g.conv_id AND a.turn = g.turn + 1
+UNION ALL
+SELECT a.conv_id, a.turn, 'result', 'c' || (a.turn - 1), NULL, coalesce(c.level, -1), a.turn, CASE WHEN c.turn IS NULL THEN 'orphan' ELSE 'linked' END, '',
+       '{"content":' || to_json(a.text)::VARCHAR || ',"role":"tool","tool_call_id":"c' || (a.turn - 1) || '"}'
+FROM a LEFT JOIN c ON c.conv_id = a.conv_id AND c.turn = a.turn - 1
+"""
