@@ -92,3 +92,10 @@ SELECT a.conv_id, a.turn, 'result', 'c' || (a.turn - 1), NULL, coalesce(c.level,
        '{"content":' || to_json(a.text)::VARCHAR || ',"role":"tool","tool_call_id":"c' || (a.turn - 1) || '"}'
 FROM a LEFT JOIN c ON c.conv_id = a.conv_id AND c.turn = a.turn - 1
 """
+
+
+@_query
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from graftline.llm.licenses import scan_licenses
+
+    return scan_licenses(_table(spark, sf_dir, "documents")).drop("spans")
