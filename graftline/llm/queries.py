@@ -99,3 +99,10 @@ def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     from graftline.llm.licenses import scan_licenses
 
     return scan_licenses(_table(spark, sf_dir, "documents")).drop("spans")
+
+
+@_query
+def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from graftline.llm.near_dedup import classes
+
+    return classes(_table(spark, sf_dir, "documents"))
