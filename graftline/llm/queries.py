@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -113,3 +113,26 @@ def op8_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     from graftline.llm.decontaminate import matches
 
     return matches(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def remainder(divisor: int, id_col: str = "doc_id") -> Column:
+    """crc32 of the id as text, modulo the divisor."""
+    return F.crc32(F.col(id_col).cast("string")) % divisor
+
+
+@_query
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from graftline.llm import toxicity
+
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", F.coalesce(remainder(5) == 0, F.lit(False)).alias("held_out"))
+    scored = toxicity.score(docs, _table(spark, sf_dir, "labels"), train=remainder(5) != 0, keep_text=False)
+    return scored.select("doc_id", "held_out", "score", "predicted")
+
+
+@_query
+def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from graftline.llm import quality_classifier
+
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", F.coalesce(remainder(3) == 1, F.lit(False)).alias("held_out"))
+    scored = quality_classifier.score(docs, _table(spark, sf_dir, "labels"), train=remainder(3) != 1, keep_text=False)
+    return scored.select("doc_id", "held_out", "score", "predicted")
