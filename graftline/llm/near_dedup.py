@@ -123,13 +123,13 @@ def digests(w: Words, n_texts: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def signatures(df: DataFrame, id_col: str, text_col: str, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """(id, d1, d2, size, bands) of each row; all but the id null where a text has no words."""
-    slim = df.select(quoted(id_col).alias("id"), quoted(text_col))
-    schema = StructType([slim.schema["id"], StructField("d1", LongType()), StructField("d2", LongType()), StructField("size", IntegerType()), StructField("bands", ArrayType(LongType()))])
+    """(id, text_key, d1, d2, size, bands) of each row; all but the first two null where a text has no words."""
+    slim = df.select(quoted(id_col).alias("id"), F.xxhash64(quoted(text_col)).alias("text_key"), quoted(text_col))
+    schema = StructType([slim.schema["id"], slim.schema["text_key"], StructField("d1", LongType()), StructField("d2", LongType()), StructField("size", IntegerType()), StructField("bands", ArrayType(LongType()))])
 
     def run(batches):
         for batch in batches:
-            data = texts(batch.column(1))
+            data = texts(batch.column(2))
             for start, n in slices([len(t) for t in data]):
                 w = words(data[start:start + n])
                 text, h, count = elements(w, n)
@@ -138,7 +138,7 @@ def signatures(df: DataFrame, id_col: str, text_col: str, bands: int = BANDS, ro
                 none = size == 0
                 d1, d2 = digests(w, n)
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * bands), pa.array(keys.reshape(-1)), mask=pa.array(none))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(start, n), pa.array(d1, mask=none), pa.array(d2, mask=none), pa.array(size.astype(np.int32), mask=none), lists], ["id", "d1", "d2", "size", "bands"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(start, n), batch.column(1).slice(start, n), pa.array(d1, mask=none), pa.array(d2, mask=none), pa.array(size.astype(np.int32), mask=none), lists], ["id", "text_key", "d1", "d2", "size", "bands"])
 
     return slim.mapInArrow(run, schema)
 
@@ -254,24 +254,36 @@ def node_labels(rows: DataFrame, docs: DataFrame, id_col: str, text_col: str, th
     return components(facts.select("node"), links.unionByName(rest))
 
 
-def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """One row per input row: id, class_id (smallest id of its class), class_size (rows of the class)."""
+def _classed(docs: DataFrame, id_col: str, text_col: str, threshold: float) -> DataFrame:
+    """(id, text_key, class) of each row, written to the shared folder; the class is null for texts without words."""
     rows = cut(signatures(docs, id_col, text_col))
     labels = node_labels(rows, docs, id_col, text_col, threshold)
-    node = F.struct("d1", "d2")
-    named = cut(rows.select("id", F.when(F.col("d1").isNotNull(), node).alias("node")).join(labels, "node", "left").select("id", F.coalesce("label", "node").alias("class")))
+    node = F.when(F.col("d1").isNotNull(), F.struct("d1", "d2"))
+    return cut(rows.select("id", "text_key", node.alias("node")).join(labels, "node", "left").select("id", "text_key", F.coalesce("label", "node").alias("class")))
+
+
+def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """One row per input row: id, class_id (smallest id of its class), class_size (rows of the class)."""
+    named = _classed(docs, id_col, text_col, threshold)
     whole = named.filter("class is not null").groupBy("class").agg(F.min("id").alias("class_id"), F.count("*").alias("class_size"))
     alone = named.filter("class is null").select(F.col("id").alias(id_col), F.col("id").alias("class_id"), F.lit(1).cast("long").alias("class_size"))
     return named.filter("class is not null").join(whole, "class").select(F.col("id").alias(id_col), "class_id", "class_size").unionByName(alone)
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of `docs` without all but one of each class: the one with the smallest id stays; texts without words all stay.
-
-    Rows with a null id stay only if their text has no words or their class has no other id."""
-    found = cut(classes(docs, id_col, text_col, threshold))
-    again = found.groupBy(id_col).agg(F.count("*").alias("n"), F.min("class_id").alias("low"), F.max("class_id").alias("high")).filter("n > 1").limit(1).count()
-    if again:
-        raise ValueError(f"{id_col} must be unique to keep one row of each class; number the rows first")
-    gone = found.filter(F.col(id_col) != F.col("class_id")).select(F.col(id_col).alias("__gone"))
-    return docs.join(gone, quoted(id_col) == F.col("__gone"), "left_anti")
+    """The rows of `docs` without all but one of each class: the smallest id stays, a null id only if there is no other; texts without
+    words all stay.  Of several rows with that id and the same text one stays."""
+    named = _classed(docs, id_col, text_col, threshold).filter("class is not null")
+    counted = named.groupBy("class", "id", "text_key").agg(F.count("*").alias("n"))
+    first = counted.groupBy("class").agg(F.min(F.struct(F.col("id").isNull().alias("last"), "id", "text_key")).alias("first"))
+    marked = cut(counted.join(first, "class").select("id", "text_key", "n", (F.col("id").eqNullSafe(F.col("first.id")) & (F.col("text_key") == F.col("first.text_key"))).alias("stays")))
+    keyed = docs.select(*[quoted(c) for c in docs.columns], F.xxhash64(quoted(text_col)).alias("__key"))
+
+    same = quoted(id_col).eqNullSafe(F.col("__id")) & (F.col("__key") == F.col("__text"))
+    gone = marked.filter(~F.col("stays")).select(F.col("id").alias("__id"), F.col("text_key").alias("__text"))
+    kept = keyed.join(gone, same, "left_anti")
+    again = marked.filter(F.col("stays") & (F.col("n") > 1)).select(F.col("id").alias("__id"), F.col("text_key").alias("__text"))
+    if again.limit(1).count():
+        once = kept.join(again, same, "left_semi").dropDuplicates([id_col, "__key"])
+        kept = kept.join(again, same, "left_anti").unionByName(once)
+    return kept.drop("__key")
