@@ -59,11 +59,13 @@ def elements(w: Words, n_texts: int, shingle: int = SHINGLE) -> tuple[np.ndarray
 def _arrivals(h: np.ndarray, nth: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Waiting time (in whole ticks, so that sums are exact) and random bits of the nth arrival of elements."""
     r = mix(h * np.uint64(0x9E3779B97F4A7C15) + nth.astype(np.uint64) * np.uint64(0xD1B54A32D192ED03))
-    return (-np.log(((r >> np.uint64(11)).astype(np.float64) + 1.0) * 2.0**-53) * _TICKS).astype(np.int64), (r & np.uint64(0x7FF)).astype(np.int64)
+    return (-np.log(((r >> np.uint64(16)).astype(np.float64) + 1.0) * 2.0**-48) * _TICKS).astype(np.int64), (r & np.uint64(0xFFFF)).astype(np.int64)
 
 
 def prob_minhash(text: np.ndarray, h: np.ndarray, weight: np.ndarray, n_texts: int, registers: int) -> np.ndarray:
     """Register contents (hash of the element that arrived first) of each text; texts without elements keep zeros."""
+    if not 2 <= registers <= 1 << 13:
+        raise ValueError("between 2 and 8192 registers")
     signature = np.zeros(n_texts * registers, np.uint64)
     total = np.bincount(text, weights=weight, minlength=n_texts)
     limit = registers * (np.log(registers) + 3.0) / np.maximum(total, 1e-300)
@@ -74,7 +76,7 @@ def prob_minhash(text: np.ndarray, h: np.ndarray, weight: np.ndarray, n_texts: i
         ticks, bits = _arrivals(e, np.zeros(len(e)))
         early = ticks / _TICKS / w <= limit[t]
         t, e, w, ticks = t[early], e[early], w[early], ticks[early]
-        keys, times, owners = [t * registers + (bits[early] * registers >> 11)], [ticks / _TICKS / w], [e]
+        keys, times, owners = [t * registers + (bits[early] * registers >> 16)], [ticks / _TICKS / w], [e]
         nth = np.ones(len(e), np.int64)
         while len(e):  # further arrivals, as many at once as the time left lets expect
             left = np.maximum(limit[t] - ticks / _TICKS / w, 0) * w
@@ -86,7 +88,7 @@ def prob_minhash(text: np.ndarray, h: np.ndarray, weight: np.ndarray, n_texts: i
             run += (ticks - np.r_[0, run[ends[:-1] - 1]])[who] if len(ends) > 1 else ticks[who]
             time = run / _TICKS / w[who]
             inside = time <= limit[t[who]]
-            keys.append((t[who] * registers + (bits * registers >> 11))[inside])
+            keys.append((t[who] * registers + (bits * registers >> 16))[inside])
             times.append(time[inside])
             owners.append(e[who][inside])
             more = time[ends - 1] <= limit[t]
