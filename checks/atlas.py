@@ -276,13 +276,13 @@ def tab_separated(spark, sf):
     return tb.read_tsv(spark, path)
 
 
-@query("csv_with_preamble", "SELECT o_orderkey, o_orderpriority, o_totalprice FROM orders")
+@query("csv_with_preamble", "SELECT o_orderkey, o_orderpriority, CASE WHEN o_orderkey % 11 <> 0 THEN o_totalprice END AS o_totalprice, NULL::VARCHAR AS unreadable FROM orders")
 def csv_with_preamble(spark, sf):
     path = fresh_folder(spark)
-    o = fixture(spark, sf, "orders").select(F.concat_ws(",", F.col("o_orderkey").cast("string"), "o_orderpriority", F.col("o_totalprice").cast("string")).alias("value"), (F.col("o_orderkey") % 7).alias("f"))
+    o = fixture(spark, sf, "orders").select(F.concat_ws(",", F.col("o_orderkey").cast("string"), "o_orderpriority", F.when(F.col("o_orderkey") % 11 != 0, F.col("o_totalprice").cast("string"))).alias("value"), (F.col("o_orderkey") % 7).alias("f"))
     heads = o.select("f").distinct().select(F.explode(F.array(F.lit("Title of the download"), F.lit(","), F.lit("o_orderkey,o_orderpriority,o_totalprice"))).alias("value"), "f")
     heads.unionByName(o).write.partitionBy("f").text(path)
-    return tb.read_preamble_csv(spark, path, "o_orderkey bigint, o_orderpriority string, o_totalprice double").select("o_orderkey", "o_orderpriority", "o_totalprice")
+    return tb.read_preamble_csv(spark, path, "o_orderkey bigint, o_orderpriority string, o_totalprice double", ["Title of the download", ","])
 
 
 FIXTURES["gene_bank"] = "SELECT CASE WHEN c_custkey % 4 = 0 THEN '300' WHEN c_custkey % 4 = 1 THEN 'Landrace' WHEN c_custkey % 4 = 2 THEN '' ELSE 'wild' END AS sampstat, CASE WHEN c_custkey % 5 = 0 THEN '12 / 3' WHEN c_custkey % 5 = 1 THEN c_name || '; ' || c_mktsegment ELSE c_name END AS accename FROM {customer}"

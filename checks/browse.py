@@ -62,7 +62,7 @@ def kinds(spark, sf):
 @query("place_friendliness", oracle(FROM, f"""SELECT place_id, {half_up('avg(climate)')} AS score, count(*) AS n FROM scored
  WHERE variety_id IN (SELECT variety_id FROM (SELECT variety_id, row_number() OVER (ORDER BY variety_id) - 1 AS i FROM variety) WHERE i % 6 = 0) GROUP BY place_id""", TO_SCORES))
 def place_friendliness(spark, sf):
-    sample = vw.every_nth(fixture(spark, sf, "variety").select("variety_id"), "variety_id", F.floor(F.col("variety_id") / 1000))
+    sample = vw.every_nth(fixture(spark, sf, "variety").select("variety_id"), "variety_id")
     return sc.mean_score_by_place(scored(spark, sf).join(sample, "variety_id", "left_semi")).drop("band")
 
 
@@ -153,17 +153,17 @@ def needs_pollination(spark, sf):
     return pl.needs_pollination(favs(spark, sf), v(spark, sf))
 
 
-TOP = "top24 AS (SELECT variety_id FROM (SELECT l_partkey AS variety_id, count(*) AS n FROM lineitem GROUP BY l_partkey ORDER BY n DESC, l_partkey LIMIT 24))"
+PICKED = "picked AS (SELECT DISTINCT l_partkey AS variety_id FROM lineitem WHERE l_returnflag = 'R' AND l_quantity >= 45)"
 SIM = " + ".join(f"pow(coalesce(p.{k}::DOUBLE, 2.5) - coalesce(v.{k}::DOUBLE, 2.5), 2)" for k in pl.TASTE_KEYS)
 
 
 @query("similar_varieties", oracle(["variety"], f"""SELECT variety_id, pick_id, round(likeness, 6) AS likeness, rank FROM (SELECT *, row_number() OVER (PARTITION BY pick_id ORDER BY likeness DESC, sn, variety_id) AS rank FROM (
  SELECT v.variety_id, p.variety_id AS pick_id, lower(v.name) AS sn, 1 / (1 + sqrt({SIM})) * 0.6::DOUBLE + len(list_intersect(p.tags, v.tags)) / greatest(1, len(list_distinct(list_concat(p.tags, v.tags)))) * 0.7::DOUBLE
-  + CASE WHEN list_has_any(p.uses, v.uses) THEN 0.1::DOUBLE ELSE -0.4::DOUBLE END AS likeness FROM variety v JOIN variety p ON p.variety_id IN (SELECT variety_id FROM top24) AND p.variety_id <> v.variety_id)) WHERE rank <= 6""", TOP))
+  + CASE WHEN list_has_any(p.uses, v.uses) THEN 0.1::DOUBLE ELSE -0.4::DOUBLE END AS likeness FROM variety v JOIN variety p ON p.variety_id IN (SELECT variety_id FROM picked) AND p.variety_id <> v.variety_id)) WHERE rank <= 6""", PICKED))
 def similar_varieties(spark, sf):
-    """Like the 24 most shipped parts (a visitor's favourites hold at most 24)."""
-    top = fixture(spark, sf, "lineitem").groupBy(F.col("l_partkey").alias("variety_id")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "variety_id").limit(24)
-    return rounded(pl.similar_to(top, v(spark, sf)), "likeness")
+    """Like the parts returned in large lots."""
+    picked = fixture(spark, sf, "lineitem").where("l_returnflag = 'R' AND l_quantity >= 45").select(F.col("l_partkey").alias("variety_id"))
+    return rounded(pl.similar_to(picked, v(spark, sf)), "likeness")
 
 
 # ---- rootstocks -----------------------------------------------------------------------
@@ -244,7 +244,7 @@ def _table_sql() -> str:
     for k, c in RT.items():
         for d in ("ASC", "DESC"):
             nat = NAT.format(d=d)
-            parts.append(f"SELECT * FROM (SELECT '{k} {d.lower()}' AS sort, rootstock_id FROM rootstock ORDER BY {(c + ' ' + d + ' NULLS LAST, ') if c else ''}{nat}, rootstock_id LIMIT 10)")
+            parts.append(f"SELECT '{k} {d.lower()}' AS sort, rootstock_id, row_number() OVER (ORDER BY {(c + ' ' + d + ' NULLS LAST, ') if c else ''}{nat}, rootstock_id) AS position FROM rootstock")
     return " UNION ALL ".join(parts)
 
 
@@ -253,7 +253,7 @@ def rootstock_table(spark, sf):
     df, out = fixture(spark, sf, "rootstock"), None
     for k in rs.TABLE_COLUMNS:
         for d in (False, True):
-            p = rs.rootstock_table(df, k, d).limit(10).select(F.lit(f"{k} {'desc' if d else 'asc'}").alias("sort"), "rootstock_id")
+            p = rs.rootstock_table(df, k, d).select(F.lit(f"{k} {'desc' if d else 'asc'}").alias("sort"), "rootstock_id", "position")
             out = p if out is None else out.unionByName(p)
     return out
 

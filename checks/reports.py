@@ -1,7 +1,6 @@
 """Tasting reports, batch and stream."""
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import functions as F
@@ -10,7 +9,6 @@ from checks.base import FIXTURES, fixture, oracle, query
 from checks.climate import CHILL, SEASON
 from checks.labs import build_sql
 from checks.orchard import pick
-from graftline import fixed_values as fx
 from graftline.operators import tastings as ts
 from graftline.plans.lineage import shared_folder
 from graftline.streaming import phenology as ph
@@ -117,16 +115,22 @@ def run_to_files(df, mode: str, out: str, checkpoint: str):
     q.awaitTermination()
 
 
-@query("streamed_tastings", oracle(FROM, SUMMARY, PARSED))
+# edited issues: of every ten one has its scores changed, of every thirty-five one turns into spam
+EDITED = PARSED.replace("FROM taste_report)", "FROM (SELECT number, created_at, CASE WHEN number % 35 = 0 THEN ['spam'] ELSE labels END AS labels, title, CASE WHEN number % 10 = 0 THEN replace(body, 'so so', '9') ELSE body END AS body FROM taste_report))", 1)
+EDITED = EDITED.replace("string_split(chr(10) || coalesce(body, '')", "string_split(chr(10) || coalesce(CASE WHEN number % 10 = 0 THEN regexp_replace(body, '[0-9] - 9', '2 - 9') ELSE body END, '')", 1)
+
+
+@query("streamed_tastings", oracle(FROM, SUMMARY, EDITED))
 def streamed_tastings(spark, sf):
     root = fresh_folder(spark)
-    reports = fixture(spark, sf, "taste_report").withColumn("created_at", F.col("created_at").cast("timestamp"))
-    again = reports.where("number % 10 = 0")                                    # edited issues arrive a second time
-    land(reports.unionByName(again), ["1997-01-01", "1999-01-01", "2000-06-01"], "created_at", f"{root}/in")
-    stream = spark.readStream.schema(reports.schema).option("maxFilesPerTrigger", 4).parquet(f"{root}/in")
-    names = ts.report_names(fixture(spark, sf, "fruit"))
-    run_to_files(st.stream_tastings(stream, names, "3000 days"), "complete", f"{root}/out", f"{root}/cp")
-    return spark.read.parquet(f"{root}/out")
+    first = fixture(spark, sf, "taste_report").withColumn("updated_at", F.col("created_at").cast("timestamp")).withColumn("created_at", F.col("updated_at"))
+    later = first.withColumn("updated_at", F.expr("updated_at + INTERVAL 700 DAYS"))
+    scores = F.when(F.col("number") % 10 == 0, F.regexp_replace("body", "[0-9] - so so", "2 - 9")).otherwise(F.col("body"))
+    again = later.where("number % 10 = 0 OR number % 35 = 0").withColumn("body", scores).withColumn("labels", F.when(F.col("number") % 35 == 0, F.array(F.lit("spam"))).otherwise(F.col("labels")))
+    land(first.unionByName(again), ["1995-01-01", "1997-01-01", "1999-01-01"], "updated_at", f"{root}/in")
+    stream = spark.readStream.schema(first.schema).option("maxFilesPerTrigger", 4).parquet(f"{root}/in")
+    st.keep_current_reports(stream, f"{root}/store", f"{root}/cp").awaitTermination()
+    return st.stored_summary(spark, f"{root}/store", ts.report_names(fixture(spark, sf, "fruit")))
 
 
 @query("streamed_tag_weeks", """SELECT strftime(start, '%Y-%m-%d') AS start, tag, n FROM (SELECT time_bucket(INTERVAL 7 DAY, ts, TIMESTAMP '1970-01-01') AS start, event_type AS tag, count(*) AS n FROM events GROUP BY 1, 2)
@@ -154,5 +158,3 @@ def streamed_bloom(spark, sf):
     ph.stream_phenology(stream, f"{root}/state", f"{root}/cp").awaitTermination()
     return spark.read.parquet(f"{root}/state/bloom").select("place_id", "cycle", "chill", "bloom")
 
-
-_ = (tempfile, fx)

@@ -1,23 +1,29 @@
 """Positions and counts over a whole ordered table without sorting it in one task.
 
-The order is cut into buckets that do not overlap (a coarse, monotone prefix of the sort key).  Counting per bucket is a plain
-aggregate, the running total over buckets is a tiny window, and rows are ranked inside their bucket.
+Rows are dealt by ranges of the whole sort key, so a common beginning of the key is no bottleneck; each range is numbered where it
+lies and shifted by the rows before it.
 """
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from graftline.plans.lineage import cut
 
-def global_row_number(df: DataFrame, order: list[Column], bucket: Column, name: str = "row") -> DataFrame:
-    """1-based position of every row in the whole table by `order`; `bucket` must never decrease along the order."""
-    b = df.withColumn("_bucket", bucket)
-    counts = b.groupBy("_bucket").agg(F.count("*").alias("_n"))
-    before = F.sum("_n").over(Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1))
-    offsets = counts.select(F.col("_bucket").alias("_b"), F.coalesce(before, F.lit(0)).alias("_before"))
-    inside = F.row_number().over(Window.partitionBy("_bucket").orderBy(*order))
-    return (b.withColumn("_inside", inside).join(offsets, F.col("_bucket").eqNullSafe(F.col("_b")))
-            .withColumn(name, F.col("_before") + F.col("_inside")).drop("_bucket", "_b", "_before", "_inside"))
+_IN_PARTITION = (1 << 33) - 1
+
+
+def global_row_number(df: DataFrame, order: list[Column], name: str = "row") -> DataFrame:
+    """1-based position of every row in the whole table by `order`, which should tell all rows apart.
+
+    The numbered ranges are written to the shared folder, so that a lost task cannot number them anew; the running total is over
+    one row per range."""
+    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    inside = cut(ranged.select("*", F.spark_partition_id().alias("_range"), F.monotonically_increasing_id().bitwiseAND(F.lit(_IN_PARTITION)).alias("_inside")))
+    sizes = inside.groupBy("_range").agg(F.count("*").alias("_n"))
+    before = F.sum("_n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1))
+    offsets = sizes.select("_range", F.coalesce(before, F.lit(0)).alias("_before"))
+    return inside.join(offsets, "_range").withColumn(name, F.col("_before") + F.col("_inside") + 1).drop("_range", "_inside", "_before")
 
 
 def counts_below(df: DataFrame, group: str, value: str, width: float) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from graftline import fixed_values as fx
 from graftline.functions.codes import mapped
-from graftline.functions.names import clean_title, loose_key, name_key, slug, unescape
+from graftline.functions.names import clean_title, loose_key, name_key, unescape
 from graftline.functions.ordered import global_row_number
 from graftline.operators.corpus import searchable
 from graftline.operators.matching import all_names
@@ -112,7 +112,7 @@ def missing(names: DataFrame, covered: DataFrame) -> DataFrame:
 def coverage_batches(gaps: DataFrame, known_ids: DataFrame, skip: list[str] = (), rename: dict[str, str] | None = None, size: int = 20) -> DataFrame:
     """Work batches of the strongest gaps: score 4 or more on the first lists, or 3 with an article of its own.
 
-    Batches are cut in score and name order over the whole table; positions come from per-bucket counts, not from one sort."""
+    Batches are cut in score and name order over the whole table."""
     score0 = list_score("sources", [k for k in fx.LIST_WEIGHTS if k not in fx.HEIRLOOM_LISTS])
     g = gaps.withColumn("score0", score0).where((F.col("score0") >= 4) | ((F.col("score0") == 3) & F.array_contains("sources", "wikipedia-article")))
     if skip:
@@ -122,17 +122,17 @@ def coverage_batches(gaps: DataFrame, known_ids: DataFrame, skip: list[str] = ()
     order = [F.desc("score"), F.asc(F.lower("name")), F.asc("id")]
     g = g.groupBy("id").agg(F.min_by(F.struct("name", "score", "sources", "url"), F.struct((-F.col("score")).alias("s"), F.lower("name").alias("n"), F.col("key").alias("k"))).alias("r")).select("id", "r.*")
     g = g.join(known_ids.select("id"), "id", "left_anti")
-    g = global_row_number(g, order, F.struct((-F.col("score")).alias("s"), F.substring(F.lower("name"), 1, 2).alias("p")), "row")
+    g = global_row_number(g, order)
     return g.withColumn("batch", (F.floor((F.col("row") - 1) / size) + 1).cast("int")).drop("row")
 
 
 def theme_batches(entries: DataFrame, most: int = 22) -> DataFrame:
     """Batches of equal size within a theme, at most 22; an entry named in several themes belongs to the first (theme order, ord).
 
-    `entries`: id, theme, theme_no, ord.  Positions come from one bucketed numbering of the whole table."""
+    `entries`: id, theme, theme_no, ord."""
     first = F.struct("theme_no", "ord")
     e = entries.groupBy("id").agg(F.min_by(F.struct("theme", "theme_no", "ord"), first).alias("r"), F.count("*").alias("listed_in")).select("id", "r.*", "listed_in")
-    e = global_row_number(e, [F.asc("theme_no"), F.asc("ord"), F.asc("id")], F.struct("theme_no", F.floor(F.col("ord") / 1000).alias("o")), "row")
+    e = global_row_number(e, [F.asc("theme_no"), F.asc("ord"), F.asc("id")])
     sizes = e.groupBy("theme").agg(F.count("*").alias("n"), F.min("row").alias("row0"))
     per = F.ceil(F.col("n") / F.ceil(F.col("n") / most))
     return (e.join(sizes, "theme").withColumn("batch", (F.floor((F.col("row") - F.col("row0")) / per) + 1).cast("int"))
@@ -182,5 +182,3 @@ def region_batches(places: DataFrame, packs: dict[str, list[str]]) -> DataFrame:
     p = places.withColumn("batch", batch).where("batch IS NOT NULL").select("batch", "place_id")
     return p.join(p.groupBy("batch").agg(F.count("*").alias("count")), "batch")
 
-
-_ = slug

@@ -6,7 +6,6 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from graftline.operators.views import FAVOURITES_MAX
 
 
 def own_cost() -> Column:
@@ -81,18 +80,22 @@ def needs_pollination(favs: DataFrame, varieties: DataFrame) -> DataFrame:
     return j.where((F.col("self_fertile") == "no") | (F.col("ploidy") == "triploid")).select("selection_id", "variety_id", "position")
 
 
+#: Picks that are compared together.
+PICKS_OF_A_BLOCK = 32
 TASTE_KEYS = ["sweet", "acid", "aroma", "tannin", "crisp", "juicy"]
 
 
 def similar_to(picks: DataFrame, varieties: DataFrame, n: int = 6) -> DataFrame:
     """The n varieties most like each pick.
 
-    `picks` is one selection (at most 24 varieties); they are packed into one scalar value, the variety table is read once,
-    and each task keeps only its best n per pick before the shuffle."""
+    Picks are a query set of any size: they are packed in blocks, each variety meets every block once, and each task keeps only its
+    best n per pick before the shuffle."""
     taste = [F.coalesce(F.col(k).cast("double"), F.lit(2.5)).alias(k) for k in TASTE_KEYS]
     v = varieties.select("variety_id", F.lower("name").alias("sort_name"), "uses", F.coalesce("tags", F.array().cast("array<string>")).alias("tags"), *taste)
-    chosen = v.join(picks.select("variety_id").distinct().orderBy("variety_id").limit(FAVOURITES_MAX), "variety_id", "left_semi")
-    packed = chosen.agg(F.collect_list(F.struct("variety_id", "uses", "tags", *TASTE_KEYS)).alias("picks")).scalar()
+    wanted = picks.select("variety_id").distinct()
+    blocks = wanted.count() // PICKS_OF_A_BLOCK + 1
+    chosen = v.join(wanted, "variety_id", "left_semi").withColumn("block", F.pmod(F.xxhash64("variety_id"), F.lit(blocks)))
+    packed = chosen.groupBy("block").agg(F.collect_list(F.struct("variety_id", "uses", "tags", *TASTE_KEYS)).alias("picks"))
 
     def likeness(p: Column) -> Column:
         d = F.sqrt(reduce(lambda a, b: a + b, [(p[k] - F.col(k)) * (p[k] - F.col(k)) for k in TASTE_KEYS]))
@@ -100,6 +103,6 @@ def similar_to(picks: DataFrame, varieties: DataFrame, n: int = 6) -> DataFrame:
         use = F.when(F.arrays_overlap(p["uses"], "uses"), 0.1).otherwise(-0.4)
         return F.struct(p["variety_id"].alias("pick_id"), (F.lit(1.0) / (F.lit(1.0) + d) * 0.6 + both / either * 0.7 + use).alias("likeness"))
 
-    rows = v.withColumn("picks", packed).select("variety_id", "sort_name", F.explode(F.transform("picks", likeness)).alias("s")).select("variety_id", "sort_name", "s.*")
+    rows = v.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long")))).join(packed, "block").select("variety_id", "sort_name", F.explode(F.transform("picks", likeness)).alias("s")).select("variety_id", "sort_name", "s.*")
     w = Window.partitionBy("pick_id").orderBy(F.desc("likeness"), "sort_name", "variety_id")
     return rows.where("variety_id <> pick_id").withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n).drop("sort_name")

@@ -6,6 +6,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from graftline.functions.ordered import global_row_number
 from graftline import fixed_values as fx
 from graftline.functions.codes import mapped, size_ordinal
 from graftline.functions.numeric import clamp, half_up
@@ -116,8 +117,9 @@ def table_order(sort: str = "size", descending: bool = False) -> list[Column]:
 
 
 def rootstock_table(rootstocks: DataFrame, sort: str = "size", descending: bool = False, size: str | None = None) -> DataFrame:
+    """Every rootstock with its position in the comparison table."""
     df = rootstocks if size is None else rootstocks.where(F.col("size_class") == size)
-    return df.orderBy(*table_order(sort, descending), "rootstock_id")
+    return global_row_number(df, [*table_order(sort, descending), F.asc("rootstock_id")], "position")
 
 
 def pairing_advice(varieties: DataFrame) -> DataFrame:

@@ -84,9 +84,9 @@ def kind(df: DataFrame, name: str) -> DataFrame:
     return df.where(KINDS[name]())
 
 
-def every_nth(df: DataFrame, id_column: str, bucket: Column, n: int = 6) -> DataFrame:
+def every_nth(df: DataFrame, id_column: str, n: int = 6) -> DataFrame:
     """Every n-th row by id, starting with the first: the deterministic sample behind the map overview."""
-    return global_row_number(df, [F.asc(id_column)], bucket, "row").where((F.col("row") - 1) % n == 0).drop("row")
+    return global_row_number(df, [F.asc(id_column)]).where((F.col("row") - 1) % n == 0).drop("row")
 
 
 def lookup(df: DataFrame, text: str, exclude: DataFrame, n: int = 7) -> DataFrame:

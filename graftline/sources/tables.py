@@ -15,13 +15,17 @@ def read_csv_checked(spark: SparkSession, path: str, expect: dict[int, str]) ->
     return df.toDF(*names)
 
 
-def read_preamble_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """CSV files that open with a title line and a bare comma before the header.
+def read_preamble_csv(spark: SparkSession, path: str, schema: str, preamble: list[str]) -> DataFrame:
+    """CSV files that open with stated lines before the header.
 
-    The three lines are told by what they are - too few columns, or the header's own names - so files may be split."""
+    Exactly those lines and the header itself are left out, wherever they stand, so files may be split.  A short row has nulls at its
+    end; a row that cannot be read at all keeps its text in `unreadable`."""
     names = [part.split()[0] for part in schema.split(",")]
-    raw = spark.read.text(path).where((F.size(F.split("value", ",")) >= len(names)) & ~F.lower("value").startswith(",".join(names).lower()))
-    return raw.select(F.from_csv("value", schema).alias("r")).select("r.*")
+    line = F.trim(F.regexp_replace("value", r"^\ufeff|\r$", ""))
+    raw = spark.read.text(path).where(~line.isin([p.strip() for p in preamble]) & (F.lower(line) != ",".join(names).lower()) & (line != ""))
+    row = F.from_csv(line, schema + ", unreadable string", {"columnNameOfCorruptRecord": "unreadable"})
+    short = F.size(F.split(line, ",")) < len(names)
+    return raw.select(row.alias("r"), short.alias("short")).select(*[F.col(f"r.{n}") for n in names], F.when(~F.col("short"), F.col("r.unreadable")).alias("unreadable"))
 
 
 def read_tsv(spark: SparkSession, path: str) -> DataFrame:

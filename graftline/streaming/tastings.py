@@ -1,23 +1,39 @@
-"""Taste reports as a stream: running summaries and windowed tag counts."""
+"""Taste reports as a stream: the current state of every report, summaries of it, and windowed tag counts."""
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 from graftline.operators import tastings as ts
 
 
-def resolved_stream(reports: DataFrame, names: DataFrame, delay: str = "30 days") -> DataFrame:
-    """Parsed, unlabelled, resolved reports of a stream; an issue edited within the delay counts once.
+def current_reports(reports: DataFrame, version: str = "updated_at") -> DataFrame:
+    """The latest version of each report (of equal times the one with the larger hash); a stream's state holds one row a report.
 
-    `names` is a static table, joined batch by batch."""
-    fresh = reports.withWatermark("created_at", delay).dropDuplicatesWithinWatermark(["number"])
-    return ts.resolve_reports(ts.parse_reports(ts.valid_reports(fresh)), names)
+    Later edits replace text and labels, however late they come."""
+    latest = F.struct(F.col(version), F.xxhash64(*[F.to_json(F.struct(c)) for c in reports.columns]))
+    return reports.groupBy("number").agg(F.max_by(F.struct(*[c for c in reports.columns if c != "number"]), latest).alias("r")).select("number", "r.*")
 
 
-def stream_tastings(reports: DataFrame, names: DataFrame, delay: str = "30 days") -> DataFrame:
-    """Running summary per variety (update or complete mode)."""
-    return ts.tasting_summary(resolved_stream(reports, names, delay))
+def keep_current_reports(reports: DataFrame, store: str, checkpoint: str, version: str = "updated_at") -> StreamingQuery:
+    """Write the reports that each batch changes, in their new version, as the batch's own folder of the store."""
+
+    def write(changed: DataFrame, batch: int) -> None:
+        changed.write.mode("overwrite").parquet(f"{store}/batch={batch}")
+
+    return (current_reports(reports, version).writeStream.outputMode("update").option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(write).start())
+
+
+def stored_reports(spark: SparkSession, store: str) -> DataFrame:
+    """Every report as its last batch left it."""
+    rows = spark.read.parquet(store)
+    return rows.groupBy("number").agg(F.max_by(F.struct(*[c for c in rows.columns if c not in ("number", "batch")]), "batch").alias("r")).select("number", "r.*")
+
+
+def stored_summary(spark: SparkSession, store: str, names: DataFrame) -> DataFrame:
+    """Summary per variety of the current reports: a report that has turned spam or names another variety counts as it now is."""
+    return ts.tasting_summary(ts.resolve_reports(ts.parse_reports(ts.valid_reports(stored_reports(spark, store))), names))
 
 
 def stream_tag_windows(tags: DataFrame, length: str = "7 days", delay: str = "2 days") -> DataFrame:
