@@ -29,6 +29,8 @@ from graftline.llm.rows import add_from_text, quoted
 from graftline.plans.lineage import cut
 
 P = 4
+#: Parts of each group's rows where they meet its estimate, so that a large group is no single task's.
+PARTS = 64
 #: Share of rows in the subset; quantile beyond which a row is rejected; rows a group needs; concentration steps.
 SHARE, TAIL, LEAST, STEPS = 0.75, 1 - 1e-9, 60, 4
 #: Smallest spread that counts, of the four ratios on the logarithmic scale.
@@ -98,6 +100,15 @@ def _distance() -> Column:
     return sum(((1 if i == j else 2) * d[i] * d[j] * F.col(f"p{i}{j}") for i, j in PRODUCTS), F.lit(0.0))
 
 
+def _part() -> Column:
+    return F.pmod(F.xxhash64(*VECTOR), F.lit(PARTS)).cast("int").alias("part")
+
+
+def _for_parts(df: DataFrame) -> DataFrame:
+    """A small table with a copy of each row for every part."""
+    return df.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
+
+
 def _moments() -> list[Column]:
     return [F.count("*").alias("n"), *[F.sum(v).alias(f"s{i}") for i, v in enumerate(VECTOR)], *[F.sum(F.col(f"v{i}") * F.col(f"v{j}")).alias(f"q{i}{j}") for i, j in PRODUCTS]]
 
@@ -135,7 +146,7 @@ def _estimate(moments: DataFrame, diagonal: bool = False) -> DataFrame:
 
 def _by_bucket(rows: DataFrame, estimate: DataFrame) -> DataFrame:
     """Moments by group, start and distance bucket."""
-    near = rows.join(estimate, "grp").withColumn("bucket", F.floor(16 * F.log2(F.greatest(_distance(), F.lit(1e-9)))))
+    near = rows.join(_for_parts(estimate), ["grp", "part"]).withColumn("bucket", F.floor(16 * F.log2(F.greatest(_distance(), F.lit(1e-9)))))
     return near.groupBy("grp", "start", "total", "bucket").agg(*_moments())
 
 
@@ -151,7 +162,7 @@ def _nearest(by_bucket: DataFrame, share: float) -> DataFrame:
 def robust_estimates(rows: DataFrame, share: float = SHARE, steps: int = STEPS) -> DataFrame:
     """Reweighted minimum-covariance-determinant estimate of each group: grp, total, centre m*, inverse covariance p*.
 
-    `rows` has grp and the vector columns; it should be a written table, as each step reads it again."""
+    `rows` has grp, part and the vector columns; it should be a written table, as each step reads it again."""
     middle = rows.groupBy("grp").agg(F.count("*").alias("total"), *[F.percentile_approx(v, [0.25, 0.5, 0.75], 1000).alias(v) for v in VECTOR])
     # first start: medians and quartile ranges, second start: plain mean and covariance
     medians = middle.select("grp", F.lit(0).alias("start"), "total", F.lit(1).cast("long").alias("n"), *[F.col(v)[1].alias(f"s{i}") for i, v in enumerate(VECTOR)],
@@ -166,7 +177,7 @@ def robust_estimates(rows: DataFrame, share: float = SHARE, steps: int = STEPS)
     # the subset's covariance is too small by the share it leaves out: its reach should be that share's quantile
     scaled = cut(best.select("grp", "start", "total", *[f"m{i}" for i in range(P)], *[(F.col(f"p{i}{j}") * chi2_quantile(share) / F.greatest(F.col("reach"), F.lit(chi2_quantile(share)))).alias(f"p{i}{j}") for i, j in PRODUCTS],
                              "logdet", "reach"))
-    inner = rows.join(scaled, "grp").filter(_distance() <= chi2_quantile(0.975)).groupBy("grp", "start", "total").agg(*_moments()).withColumn("reach", F.lit(0.0)).withColumn("scale", F.lit(1.0))
+    inner = rows.join(_for_parts(scaled), ["grp", "part"]).filter(_distance() <= chi2_quantile(0.975)).groupBy("grp", "start", "total").agg(*_moments()).withColumn("reach", F.lit(0.0)).withColumn("scale", F.lit(1.0))
     return cut(_estimate(inner)).drop("start", "logdet", "reach")
 
 
@@ -179,10 +190,10 @@ def quality_rules(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     stats = cut(counted.withColumn("base_failed", failed).withColumns(_vector()))
     levels = F.array(F.concat_ws("\x01", F.lit("s"), "__lang", "__source"), F.concat_ws("\x01", F.lit("l"), "__lang"), F.lit("a"))
-    rows = cut(stats.filter(~F.col("base_failed")).select(F.explode(levels).alias("grp"), *VECTOR))
+    rows = cut(stats.filter(~F.col("base_failed")).select(F.explode(levels).alias("grp"), _part(), *VECTOR))
     estimates = robust_estimates(rows, share).filter(F.col("total") >= least)
     groups = stats.select("__lang", "__source").distinct().select("*", F.posexplode(levels).alias("level", "grp"))
     chosen = groups.join(estimates, "grp").groupBy("__lang", "__source").agg(F.min_by(F.struct("total", *[f"m{i}" for i in range(P)], *[f"p{i}{j}" for i, j in PRODUCTS]), "level").alias("e")).select("__lang", "__source", "e.*")
-    judged = stats.join(cut(chosen), ["__lang", "__source"], "left").withColumn("distance", _distance())
+    judged = stats.withColumn("part", _part()).join(_for_parts(cut(chosen)), ["__lang", "__source", "part"], "left").withColumn("distance", _distance())
     kept = ~F.col("base_failed") & F.coalesce(F.col("distance") <= chi2_quantile(tail), F.lit(True))
     return judged.select(quoted(id_col), *STATS, "base_failed", "distance", kept.alias("kept"))
