@@ -124,9 +124,22 @@ cl AS (SELECT *, {loose_sql('name')} AS key, {RANK} AS lr FROM l1 WHERE name <>
 nm AS (SELECT key, arg_min(name, (lr, ord)) AS name, list_sort(list(DISTINCT list)) AS sources, arg_min(url, (lr, ord)) FILTER (WHERE url IS NOT NULL) AS url FROM cl GROUP BY key),
 al AS (SELECT DISTINCT key, aka, {loose_sql('aka')} AS aka_key FROM (SELECT key, unnest(aka) AS aka FROM cl) WHERE aka <> ''),
 hv AS (SELECT DISTINCT key FROM (SELECT {key_sql('n')} AS key FROM (SELECT unnest(list_prepend(name, aka)) AS n FROM atlas) UNION ALL SELECT {loose_sql('n')} FROM (SELECT unnest(list_prepend(name, aka)) AS n FROM atlas)) WHERE key <> ''),
-cv AS (SELECT DISTINCT key FROM (SELECT key, key AS f FROM nm UNION ALL SELECT key, {key_sql('name')} FROM nm UNION ALL SELECT key, aka_key FROM al UNION ALL SELECT key, {key_sql('aka')} FROM al) WHERE f IN (SELECT key FROM hv)),
-eg AS (SELECT DISTINCT a, b FROM (SELECT key AS a, aka_key AS b FROM al WHERE aka_key IN (SELECT key FROM nm) AND aka_key <> key UNION ALL SELECT x.key, y.b FROM nm x JOIN (SELECT replace(key, ' ', '') AS p, min(key) AS b FROM nm GROUP BY 1 HAVING count(*) > 1) y ON y.p = replace(x.key, ' ', '') AND x.key <> y.b
- UNION ALL SELECT x.key, y.b FROM nm x JOIN (SELECT split_part(key, ' ', 1) AS w, min(key) AS b FROM nm WHERE contains(key, ' ') GROUP BY 1 HAVING count(*) = 1) y ON y.w = x.key WHERE length(x.key) >= 5 AND x.key NOT IN (SELECT key FROM hv)))"""
+nr AS (SELECT n.*, row_number() OVER (ORDER BY m.lr, m.ord, n.key) AS o FROM nm n JOIN (SELECT key, min((lr, ord))[1] AS lr, min((lr, ord))[2] AS ord FROM cl GROUP BY key) m USING (key)),
+ed AS (SELECT DISTINCT a.key AS p, a.aka_key AS c, x.o AS op, y.o AS oc FROM al a JOIN nr x ON x.key = a.key JOIN nr y ON y.key = a.aka_key WHERE a.key <> a.aka_key),
+pn AS (SELECT p, row_number() OVER (ORDER BY op) AS i, list(c ORDER BY oc) AS cs FROM ed GROUP BY p, op),
+st(i, gone, who) AS (SELECT 0::BIGINT, []::VARCHAR[], []::VARCHAR[] UNION ALL SELECT st.i + 1, CASE WHEN list_contains(gone, p) THEN gone ELSE list_concat(gone, list_filter(cs, lambda x: NOT list_contains(gone, x))) END,
+  CASE WHEN list_contains(gone, p) THEN who ELSE list_concat(who, list_transform(list_filter(cs, lambda x: NOT list_contains(gone, x)), lambda x: p)) END FROM st JOIN pn ON pn.i = st.i + 1),
+ab AS (SELECT unnest(gone) AS c, unnest(who) AS p FROM (SELECT gone, who FROM st ORDER BY i DESC LIMIT 1)),
+rt(key, root, way) AS (SELECT c, p, [o] FROM ab JOIN nr ON nr.key = c UNION ALL SELECT rt.key, ab.p, list_prepend(n.o, way) FROM rt JOIN ab ON ab.c = rt.root JOIN nr n ON n.key = rt.root),
+r1 AS (SELECT key, max_by(root, len(way)) AS root, max_by(way, len(way)) AS way FROM rt GROUP BY key),
+m1 AS (SELECT coalesce(r1.root, n.key) AS key, arg_min(url, coalesce(way, [])) FILTER (WHERE url IS NOT NULL) AS url, list_sort(list_distinct(flatten(list(sources)))) AS sources FROM nr n LEFT JOIN r1 USING (key) GROUP BY 1),
+m1n AS (SELECT m1.*, n.name, n.o, replace(m1.key, ' ', '') AS pk FROM m1 JOIN nr n USING (key)),
+m2 AS (SELECT arg_min(key, o) AS key, arg_min(name, o) AS name, min(o) AS o, arg_min(url, o) FILTER (WHERE url IS NOT NULL) AS url, list_sort(list_distinct(flatten(list(sources)))) AS sources FROM m1n GROUP BY pk),
+lg AS (SELECT split_part(key, ' ', 1) AS w, min(key) AS root FROM m2 WHERE contains(key, ' ') GROUP BY 1 HAVING count(*) = 1),
+sf AS (SELECT s.key, lg.root FROM m2 s JOIN lg ON lg.w = s.key WHERE length(s.key) >= 5 AND s.key NOT IN (SELECT key FROM hv) AND {key_sql('s.name')} NOT IN (SELECT key FROM hv)),
+mg AS (SELECT m2.key, name, url, list_sort(list_distinct(list_concat(sources, coalesce(x.more, [])))) AS sources FROM m2 LEFT JOIN (SELECT root, flatten(list(sources)) AS more FROM sf JOIN m2 USING (key) GROUP BY root) x ON x.root = m2.key WHERE m2.key NOT IN (SELECT key FROM sf)),
+am AS (SELECT al.* FROM al JOIN mg USING (key)),
+cv AS (SELECT DISTINCT key FROM (SELECT key, key AS f FROM mg UNION ALL SELECT key, {key_sql('name')} FROM mg UNION ALL SELECT key, aka_key FROM am UNION ALL SELECT key, {key_sql('aka')} FROM am) WHERE f IN (SELECT key FROM hv))"""
 SCORE = " + ".join(f"CASE WHEN list_contains(sources, '{k}') THEN {w} ELSE 0 END" for k, w in fx.LIST_WEIGHTS.items())
 SCORE0 = " + ".join(f"CASE WHEN list_contains(sources, '{k}') THEN {w} ELSE 0 END" for k, w in fx.LIST_WEIGHTS.items() if k not in fx.HEIRLOOM_LISTS)
 GFROM = ["listing", "atlas"]
@@ -136,45 +149,48 @@ def coverage(spark, sf):
     return cover(fixture(spark, sf, "listing"), fixture(spark, sf, "atlas"))
 
 
-@query("consolidated_listing", oracle(GFROM, "SELECT key, name, array_to_string(sources, ',') AS sources, url FROM nm", GAPS))
+def gap_sql(body: str, fixtures: tuple[str, ...] = (), more: str = "") -> str:
+    return oracle([*GFROM, *fixtures], body, GAPS + more).replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+@query("consolidated_listing", gap_sql("SELECT key, name, array_to_string(sources, ',') AS sources, url FROM nm"))
 def consolidated_listing(spark, sf):
-    return coverage(spark, sf)[0].withColumn("sources", F.array_join("sources", ","))
+    return coverage(spark, sf).listed.select("key", "name", F.array_join("sources", ",").alias("sources"), "url")
 
 
-@query("merge_edges", oracle(GFROM, "SELECT a, b FROM eg", GAPS))
+@query("merge_edges", gap_sql("SELECT p AS a, c AS b FROM ed"))
 def merge_edges(spark, sf):
-    names, aliases, have, _ = coverage(spark, sf)
-    return gp.merge_edges(names, aliases, have)
+    c = coverage(spark, sf)
+    clean_aliases = gp.alias_keys(gp.clean_listing(fixture(spark, sf, "listing")))
+    return gp.synonym_edges(c.listed, clean_aliases).select("a", "b")
 
 
-@query("merged_listing", oracle(GFROM, """SELECT root AS key, arg_min(name, key) AS name, array_to_string(list_sort(list(DISTINCT source)), ',') AS sources, arg_min(url, key) FILTER (WHERE url IS NOT NULL) AS url
- FROM (SELECT coalesce(r.root, n.key) AS root, n.key, n.name, n.url, unnest(n.sources) AS source FROM nm n LEFT JOIN (SELECT key, min(root) AS root FROM reach GROUP BY key) r USING (key)) GROUP BY root""",
-                                  GAPS.replace("l0 AS (", "RECURSIVE_MARK l0 AS (", 1) + ",\nboth_ways AS (SELECT a, b FROM eg UNION SELECT b, a FROM eg),\nreach(key, root) AS (SELECT a, a FROM both_ways UNION SELECT r.key, e.b FROM reach r JOIN both_ways e ON e.a = r.root)").replace("WITH ", "WITH RECURSIVE ", 1).replace("RECURSIVE_MARK ", ""))
+@query("merged_listing", gap_sql("SELECT key, name, array_to_string(sources, ',') AS sources, url FROM mg"))
 def merged_listing(spark, sf):
-    names, aliases, have, _ = coverage(spark, sf)
-    return gp.merge_candidates(names, aliases, have).withColumn("sources", F.array_join("sources", ","))
+    return coverage(spark, sf).names.select("key", "name", F.array_join("sources", ",").alias("sources"), "url")
 
 
-@query("list_coverage", oracle(GFROM, "SELECT list, count(*) AS names, count(c) AS covered, round_even(count(c) * 100.0 / count(*), 0)::INT AS percent FROM (SELECT unnest(sources) AS list, cv.key AS c FROM nm LEFT JOIN cv USING (key)) GROUP BY list", GAPS))
+@query("list_coverage", gap_sql("SELECT list, count(*) AS names, count(c) AS covered, round_even(count(c) * 100.0 / count(*), 0)::INT AS percent FROM (SELECT unnest(sources) AS list, cv.key AS c FROM mg LEFT JOIN cv USING (key)) GROUP BY list"))
 def list_coverage(spark, sf):
-    names, _, _, covered = coverage(spark, sf)
-    return gp.list_coverage(names, covered)
+    c = coverage(spark, sf)
+    return gp.list_coverage(c.names, c.covered)
 
 
-@query("missing_names", oracle(GFROM, f"SELECT key, name, array_to_string(sources, ',') AS sources, url, {SCORE} AS score FROM nm WHERE key NOT IN (SELECT key FROM cv)", GAPS))
+@query("missing_names", gap_sql(f"SELECT key, name, array_to_string(sources, ',') AS sources, url, {SCORE} AS score FROM mg WHERE key NOT IN (SELECT key FROM cv)"))
 def missing_names(spark, sf):
-    names, _, _, covered = coverage(spark, sf)
-    return gp.missing(names, covered).withColumn("sources", F.array_join("sources", ","))
+    c = coverage(spark, sf)
+    return gp.missing(c.names, c.covered).withColumn("sources", F.array_join("sources", ",")).drop("met")
 
 
 FIXTURES["known_id"] = "SELECT DISTINCT lower(replace(p_name, ' ', '-')) AS id FROM {part} WHERE p_size < 3"
 
 
-@query("coverage_batches", oracle(GFROM + ["known_id"], f"""SELECT id, name, score, (row_number() OVER (ORDER BY score DESC, lower(name), id) - 1) // 20 + 1 AS batch FROM (SELECT id, arg_min(name, (-score, lower(name), key)) AS name, arg_min(score, (-score, lower(name), key)) AS score FROM (
- SELECT key, name, score, replace({key_sql("translate(name, '()', '  ')")}, ' ', '-') AS id FROM (SELECT *, {SCORE} AS score, {SCORE0} AS s0 FROM nm WHERE key NOT IN (SELECT key FROM cv)) WHERE s0 >= 2) WHERE id <> '' GROUP BY id) WHERE id NOT IN (SELECT id FROM known_id)""".replace("WHERE s0 >= 2", "WHERE s0 >= 4 OR (s0 = 3 AND list_contains(sources, 'wikipedia-article'))"), GAPS))
+@query("coverage_batches", gap_sql(f"""SELECT id, name, score, coalesce((SELECT array_to_string((list_sort(list(DISTINCT aka)))[1:4], ',') FROM am WHERE am.key = q.key), '') AS aka_hint, (row_number() OVER (ORDER BY score DESC, lower(name), id) - 1) // 20 + 1 AS batch FROM (SELECT id, arg_min(key, (-score, lower(name), key)) AS key, arg_min(name, (-score, lower(name), key)) AS name, arg_min(score, (-score, lower(name), key)) AS score FROM (
+ SELECT key, name, score, replace({key_sql("translate(name, '()', '  ')")}, ' ', '-') AS id FROM (SELECT *, {SCORE} AS score, {SCORE0} AS s0 FROM mg WHERE key NOT IN (SELECT key FROM cv)) WHERE s0 >= 4 OR (s0 = 3 AND list_contains(sources, 'wikipedia-article'))) WHERE id <> '' GROUP BY id) q WHERE id NOT IN (SELECT id FROM known_id)""", ("known_id",)))
 def coverage_batches(spark, sf):
-    names, _, _, covered = coverage(spark, sf)
-    return gp.coverage_batches(gp.missing(names, covered), fixture(spark, sf, "known_id")).select("id", "name", "score", "batch")
+    c = coverage(spark, sf)
+    b = gp.coverage_batches(gp.missing(c.names, c.covered), fixture(spark, sf, "known_id"), c.aliases)
+    return b.select("id", "name", "score", F.array_join("aka_hint", ",").alias("aka_hint"), "batch")
 
 
 FIXTURES["theme_entry"] = "SELECT DISTINCT p_name || ' ' || CAST(p_size AS STRING) AS id, p_type AS theme, CAST(length(p_type) AS INT) * 1000 + ascii(p_type) AS theme_no, p_size * 100 + length(p_name) AS ord FROM {part}"
@@ -194,16 +210,16 @@ def look_sql(x: str) -> str:
     return f"CASE WHEN {key_sql(x)} <> '' AND len(list_filter(string_split({key_sql(x)}, ' '), lambda w: w NOT IN ({COMMON}))) > 0 THEN {key_sql(x)} END"
 
 
-HEIR = GAPS + f""",
-hm AS (SELECT *, len(sources) AS ns FROM nm WHERE key NOT IN (SELECT key FROM cv) AND list_has_any(sources, ['toc', 'pomiferous', 'eurisco']) AND NOT regexp_matches(name, '{fx.SPORT_NAME}')),
-lk AS (SELECT DISTINCT key, h FROM (SELECT key, {look_sql('name')} AS h FROM hm UNION ALL SELECT a.key, {look_sql('a.aka')} FROM al a JOIN hm USING (key)) WHERE h IS NOT NULL),
+HEIR = f""",
+hm AS (SELECT *, len(sources) AS ns FROM mg WHERE key NOT IN (SELECT key FROM cv) AND list_has_any(sources, ['toc', 'pomiferous', 'eurisco']) AND NOT regexp_matches(name, '{fx.SPORT_NAME}')),
+lk AS (SELECT DISTINCT key, h FROM (SELECT key, {look_sql('name')} AS h FROM hm UNION ALL SELECT a.key, {look_sql('a.aka')} FROM am a JOIN hm USING (key)) WHERE h IS NOT NULL),
 hbk AS (SELECT key, count(DISTINCT book) AS books FROM lk JOIN old_heading o ON o.heading = lk.h GROUP BY key)"""
 
 
-@query("heirloom_tiers", oracle(GFROM + ["old_heading"], """SELECT h.key, name, coalesce(books, 0) AS books, CASE WHEN ns >= 3 AND books > 0 THEN 'A' WHEN ns >= 3 OR (ns >= 2 AND books > 0) THEN 'B' ELSE 'C' END AS tier, ns + least(2, coalesce(books, 0)) AS strength FROM hm h LEFT JOIN hbk USING (key)""", HEIR))
+@query("heirloom_tiers", gap_sql("""SELECT h.key, name, coalesce(books, 0) AS books, CASE WHEN ns >= 3 AND books > 0 THEN 'A' WHEN ns >= 3 OR (ns >= 2 AND books > 0) THEN 'B' ELSE 'C' END AS tier, ns + least(2, coalesce(books, 0)) AS strength FROM hm h LEFT JOIN hbk USING (key)""", ("old_heading",), HEIR))
 def heirloom_tiers(spark, sf):
-    names, aliases, _, covered = coverage(spark, sf)
-    h = gp.heirloom_gaps(gp.missing(names, covered), aliases, fixture(spark, sf, "old_heading"))
+    c = coverage(spark, sf)
+    h = gp.heirloom_gaps(gp.missing(c.names, c.covered), c.aliases, fixture(spark, sf, "old_heading"))
     return gp.gap_tiers(h).select("key", "name", "books", "tier", "strength")
 
 

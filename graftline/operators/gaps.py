@@ -29,9 +29,9 @@ def _list_rank(c: str = "list") -> Column:
 
 
 def consolidate(clean: DataFrame) -> DataFrame:
-    """One row per key: the first name and link met, and the lists that have it (at most the ten lists)."""
-    order = F.struct(_list_rank().alias("l"), F.col("ord"))
-    return clean.groupBy("key").agg(F.min_by("name", order).alias("name"), F.array_sort(F.collect_set("list")).alias("sources"),
+    """One row per key: the first name and link met, the lists that have it (at most the ten lists), and where it was met first."""
+    order = F.struct(_list_rank().alias("l"), F.col("ord"), F.col("key").alias("k"))
+    return clean.groupBy("key").agg(F.min(order).alias("met"), F.min_by("name", order).alias("name"), F.array_sort(F.collect_set("list")).alias("sources"),
                                     F.min_by("url", F.when(F.col("url").isNotNull(), order)).alias("url"))
 
 
@@ -46,43 +46,74 @@ def atlas_keys(varieties: DataFrame) -> DataFrame:
     return n.select(name_key("name").alias("key")).unionByName(n.select(loose_key("name").alias("key"))).where("key <> ''").distinct()
 
 
-def merge_edges(names: DataFrame, aliases: DataFrame, have: DataFrame) -> DataFrame:
-    """(a, b): keys that are the same apple - one's other name is the other's name; they differ only by spaces; or a one-word name
-    of five letters that opens exactly one longer name and is not itself in the atlas."""
-    keys = names.select("key")
-    syn = aliases.select(F.col("key").alias("a"), F.col("aka_key").alias("b")).join(keys.withColumnRenamed("key", "b"), "b", "left_semi").where("a <> b")
-    packed = F.replace("key", F.lit(" "), F.lit(""))
-    joined = keys.groupBy(packed.alias("p")).agg(F.min("key").alias("b"), F.count("*").alias("n")).where("n > 1")
-    spaced = keys.select(F.col("key").alias("a"), packed.alias("p")).join(joined, "p").where("a <> b").select("a", "b")
-    longer = (keys.where(F.contains("key", F.lit(" "))).groupBy(F.substring_index("key", " ", 1).alias("a")).agg(F.min("key").alias("b"), F.count("*").alias("n")).where("n = 1 AND length(a) >= 5").select("a", "b"))
-    short = keys.withColumnRenamed("key", "a").join(have.withColumnRenamed("key", "a"), "a", "left_anti").join(longer, "a")
-    return syn.select("a", "b").unionByName(spaced).unionByName(short.select("a", "b")).distinct()
-
-
-def components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
-    """(key, root): connected components of the edges, root = smallest key.
-
-    Each round every key takes the smallest label among its neighbours and then its label's label, so chains shrink by half
-    at least; it ends when a round changes nothing.  Every round is cut off at the shared folder."""
-    both = cut(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    labels = cut(both.groupBy(F.col("a").alias("key")).agg(F.least(F.min("b"), F.min("a")).alias("root")))
-    for _ in range(max_rounds):
-        seen = both.join(labels.withColumnRenamed("key", "b"), "b").groupBy(F.col("a").alias("key")).agg(F.min("root").alias("near"))
-        step = labels.join(seen, "key").select("key", F.col("root").alias("old"), F.least("root", "near").alias("root"))
-        up = step.select(F.col("key").alias("root"), F.col("root").alias("higher"))
-        new = cut(step.join(up, "root", "left").select("key", "old", F.least("root", F.coalesce("higher", "root")).alias("root")))
-        labels = new.select("key", "root")
-        if new.where("root <> old").isEmpty():
-            return labels
-    raise RuntimeError(f"components did not settle in {max_rounds} rounds")
+def synonym_edges(names: DataFrame, aliases: DataFrame) -> DataFrame:
+    """(a, b, a_met, b_met): another name of listed name a is itself the listed name b."""
+    here = names.select("key", "met")
+    return (aliases.select(F.col("key").alias("a"), F.col("aka_key").alias("b")).where("a <> b").distinct()
+            .join(here.select(F.col("key").alias("b"), F.col("met").alias("b_met")), "b").join(here.select(F.col("key").alias("a"), F.col("met").alias("a_met")), "a"))
+
+
+def absorbers(edges: DataFrame) -> DataFrame:
+    """(key, into, met): the name that takes a synonym in, names taking their turn in the order they were first met.
+
+    A name that has been taken in before its turn takes nothing.  Whether it has depends only on names met before it, so a round decides
+    every name whose earlier takers are all decided; the rounds are as many as the longest chain of such names."""
+    edges = cut(edges)
+    earlier = edges.where("a_met < b_met").select("a", "b")
+    state = cut(edges.select(F.col("a").alias("key")).distinct().join(earlier.select(F.col("b").alias("key")).distinct().withColumn("w", F.lit(1)), "key", "left").select("key", F.when(F.col("w").isNull(), "takes").alias("turn")))
+    while not state.where("turn IS NULL").isEmpty():
+        before = earlier.join(state.select(F.col("key").alias("a"), "turn"), "a").groupBy(F.col("b").alias("key")).agg(F.max(F.col("turn") == "takes").alias("taken"), F.count(F.when(F.col("turn").isNull(), 1)).alias("open"))
+        now = F.coalesce("turn", F.when(F.col("taken"), "gone").when(F.col("open") == 0, "takes"))
+        state = cut(state.join(before, "key", "left").select("key", now.alias("turn")))
+    takes = state.where("turn = 'takes'").select(F.col("key").alias("a"))
+    return edges.join(takes, "a").groupBy(F.col("b").alias("key"), F.col("b_met").alias("met")).agg(F.min_by("a", "a_met").alias("into")).select("key", "into", "met")
+
+
+def merge_synonyms(names: DataFrame, aliases: DataFrame) -> DataFrame:
+    """Names whose synonym is listed too take it in: lists are united, the taker keeps its name and the first link on the way."""
+    into = cut(absorbers(synonym_edges(names, aliases)))
+    step = into.select(F.col("key").alias("root"), F.col("into").alias("higher"), F.col("met").alias("root_met"))
+    way = cut(into.select("key", F.col("into").alias("root"), F.array("met").alias("way")))
+    while True:
+        up = way.join(step, "root")
+        if up.isEmpty():
+            break
+        way = cut(way.join(step, "root", "left").select("key", F.coalesce("higher", "root").alias("root"), F.when(F.col("higher").isNull(), F.col("way")).otherwise(F.concat(F.array("root_met"), "way")).alias("way")))
+    j = names.join(way, "key", "left").withColumns({"root": F.coalesce("root", "key"), "way": F.coalesce("way", F.array().cast("array<struct<l:int,ord:bigint,k:string>>"))})
+    return _united(j.select("root", "key", "name", "met", "url", "sources", F.col("way").alias("turn")))
+
+
+def _united(rows: DataFrame) -> DataFrame:
+    """One row per root: its own name and place, all lists, the first link by turn."""
+    own = F.col("key") == F.col("root")
+    each = rows.select("*", F.explode("sources").alias("source"))
+    return each.groupBy(F.col("root").alias("key")).agg(F.max(F.when(own, F.col("name"))).alias("name"), F.max(F.when(own, F.col("met"))).alias("met"), F.array_sort(F.collect_set("source")).alias("sources"),
+                                                        F.min_by("url", F.when(F.col("url").isNotNull(), F.col("turn"))).alias("url"))
+
+
+def merge_spaced(names: DataFrame) -> DataFrame:
+    """Names that differ only by spaces become the one met first."""
+    packed = names.withColumn("p", F.replace("key", F.lit(" "), F.lit("")))
+    first = packed.groupBy("p").agg(F.min_by("key", "met").alias("root"))
+    return _united(packed.join(first, "p").select("root", "key", "name", "met", "url", "sources", F.col("met").alias("turn")))
+
+
+def short_forms(names: DataFrame, have: DataFrame) -> DataFrame:
+    """(key, root): a one-word name of five letters or more that opens exactly one longer name and that the atlas lacks."""
+    longer = names.where(F.contains("key", F.lit(" "))).groupBy(F.substring_index("key", " ", 1).alias("key")).agg(F.min("key").alias("root"), F.count("*").alias("n")).where("n = 1 AND length(key) >= 5").select("key", "root")
+    short = names.select("key", "name").join(longer, "key")
+    ours = short.select("key", F.explode(F.array("key", name_key("name"))).alias("form")).join(have.withColumnRenamed("key", "form"), "form", "left_semi").select("key").distinct()
+    return short.join(ours, "key", "left_anti").select("key", "root")
 
 
 def merge_candidates(names: DataFrame, aliases: DataFrame, have: DataFrame) -> DataFrame:
-    """Merge names that are the same apple: sources are united, name and link come from the smallest key that has one."""
-    roots = components(merge_edges(names, aliases, have))
-    j = names.join(roots, "key", "left").withColumn("root", F.coalesce("root", "key"))
-    one = j.select("root", "key", "name", "url", F.explode("sources").alias("source"))
-    return one.groupBy(F.col("root").alias("key")).agg(F.min_by("name", "key").alias("name"), F.array_sort(F.collect_set("source")).alias("sources"), F.min_by("url", F.when(F.col("url").isNotNull(), F.col("key"))).alias("url"))
+    """Merge listed names that are the same apple, by three rules in this order: synonyms, spaces, short forms.
+
+    Each rule sees what the one before left.  A short form adds its lists to the longer name, which keeps its own link."""
+    two = cut(merge_spaced(cut(merge_synonyms(names, aliases))))
+    short = cut(short_forms(two, have))
+    j = two.join(short, "key", "left")
+    return _united(j.select(F.coalesce("root", "key").alias("root"), "key", "name", "met", F.when(F.col("root").isNull(), F.col("url")).alias("url"), "sources", F.col("met").alias("turn")))
 
 
 def covered_keys(names: DataFrame, aliases: DataFrame, have: DataFrame) -> DataFrame:
@@ -109,8 +140,9 @@ def missing(names: DataFrame, covered: DataFrame) -> DataFrame:
     return names.join(covered, "key", "left_anti").withColumn("score", list_score("sources"))
 
 
-def coverage_batches(gaps: DataFrame, known_ids: DataFrame, skip: list[str] = (), rename: dict[str, str] | None = None, size: int = 20) -> DataFrame:
-    """Work batches of the strongest gaps: score 4 or more on the first lists, or 3 with an article of its own.
+def coverage_batches(gaps: DataFrame, known_ids: DataFrame, aliases: DataFrame, skip: list[str] = (), rename: dict[str, str] | None = None, size: int = 20) -> DataFrame:
+    """Work batches of the strongest gaps: score 4 or more on the first lists, or 3 with an article of its own; the first four
+    other names of a gap come along as a hint.
 
     Batches are cut in score and name order over the whole table."""
     score0 = list_score("sources", [k for k in fx.LIST_WEIGHTS if k not in fx.HEIRLOOM_LISTS])
@@ -120,9 +152,10 @@ def coverage_batches(gaps: DataFrame, known_ids: DataFrame, skip: list[str] = ()
     named = F.coalesce(mapped("name", rename), F.col("name")) if rename else F.col("name")
     g = g.withColumns({"name": named}).withColumn("id", F.regexp_replace(name_key(F.translate("name", "()", "  ")), " ", "-")).where("id <> ''")
     order = [F.desc("score"), F.asc(F.lower("name")), F.asc("id")]
-    g = g.groupBy("id").agg(F.min_by(F.struct("name", "score", "sources", "url"), F.struct((-F.col("score")).alias("s"), F.lower("name").alias("n"), F.col("key").alias("k"))).alias("r")).select("id", "r.*")
+    g = g.groupBy("id").agg(F.min_by(F.struct("key", "name", "score", "sources", "url"), F.struct((-F.col("score")).alias("s"), F.lower("name").alias("n"), F.col("key").alias("k"))).alias("r")).select("id", "r.*")
     g = g.join(known_ids.select("id"), "id", "left_anti")
-    g = global_row_number(g, order)
+    hints = aliases.join(g.select("key").distinct(), "key").groupBy("key").agg(F.slice(F.array_sort(F.collect_set("aka")), 1, 4).alias("aka_hint"))
+    g = global_row_number(g.join(hints, "key", "left").withColumn("aka_hint", F.coalesce("aka_hint", F.array().cast("array<string>"))), order)
     return g.withColumn("batch", (F.floor((F.col("row") - 1) / size) + 1).cast("int")).drop("row")
 
 

@@ -1,4 +1,4 @@
-"""Coverage: raw listings -> cleaned names -> what the atlas has and lacks."""
+"""Coverage: raw listings -> cleaned names -> merged names -> what the atlas has and lacks."""
 from __future__ import annotations
 
 from typing import NamedTuple
@@ -10,6 +10,7 @@ from graftline.plans.lineage import cut
 
 
 class Coverage(NamedTuple):
+    listed: DataFrame
     names: DataFrame
     aliases: DataFrame
     have: DataFrame
@@ -17,9 +18,11 @@ class Coverage(NamedTuple):
 
 
 def coverage(listing: DataFrame, varieties: DataFrame) -> Coverage:
-    """Consolidated names, their aliases, the atlas keys and the covered keys.
+    """Listed names as consolidated and as merged, the aliases of the merged ones, the atlas keys and the covered keys.
 
-    The cleaned listing and the atlas keys are read by every step after them, so each is cut off once."""
+    Names are merged before anything is counted.  What several steps read is cut off once."""
     clean = cut(gaps.clean_listing(listing))
-    names, aliases, have = cut(gaps.consolidate(clean)), cut(gaps.alias_keys(clean)), cut(gaps.atlas_keys(varieties))
-    return Coverage(names, aliases, have, gaps.covered_keys(names, aliases, have))
+    listed, aliases, have = cut(gaps.consolidate(clean)), cut(gaps.alias_keys(clean)), cut(gaps.atlas_keys(varieties))
+    names = cut(gaps.merge_candidates(listed, aliases, have))
+    own = cut(aliases.join(names.select("key"), "key", "left_semi"))
+    return Coverage(listed, names, own, have, gaps.covered_keys(names, own, have))
