@@ -27,7 +27,7 @@ from graftline.llm.rows import add_from_text, quoted, slices, texts
 from graftline.plans.lineage import cut
 
 #: Labelled rows of each class used as examples; terms at most; chi-square a term needs; neighbours; weight of the prior; examples of a block.
-EXAMPLES, TERMS, LEAST_CHI2, NEIGHBOURS, PRIOR, BLOCK = 4_000, 4_096, 25.0, 15, 0.05, 64
+EXAMPLES, TERMS, LEAST_CHI2, NEIGHBOURS, PRIOR, BLOCK = 4_000, 2_048, 25.0, 15, 0.5, 64
 LENGTHS = (4, 5, 6)
 _BITS = 22
 _SHIFT = np.uint64(64 - _BITS)
@@ -53,6 +53,13 @@ def grams(data: list[bytes]):
         yield n, key | np.uint64(n << 56), left >= n, text
 
 
+def distinct(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct values and how often each occurs."""
+    x = np.sort(x)
+    first = np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]])) if len(x) else np.empty(0, np.int64)
+    return x[first], np.diff(np.append(first, len(x)))
+
+
 class Terms:
     """The chosen runs, and where they occur in texts."""
 
@@ -71,7 +78,7 @@ class Terms:
                 place = np.minimum(np.searchsorted(self.keys, key[at]), len(self.keys) - 1)
                 real = self.keys[place] == key[at]
                 found.append(text[at][real].astype(np.int64) * width + place[real])
-        both, n = np.unique(np.concatenate(found) if found else np.empty(0, np.int64), return_counts=True)
+        both, n = distinct(np.concatenate(found) if found else np.empty(0, np.int64))
         return both // width, both % width, n
 
 
@@ -84,11 +91,12 @@ def _count_buckets(sample: DataFrame) -> DataFrame:
             data, label = texts(batch.column(0)), batch.column(1).to_numpy()
             for start, n in slices([len(t) for t in data]):
                 own = label[start:start + n]
-                parts = [np.unique((text[inside].astype(np.uint64) << np.uint64(_BITS)) | ((key[inside] * _ODD) >> _SHIFT)) for _, key, inside, text in grams(data[start:start + n])]
-                both = np.unique(np.concatenate(parts))
+                parts = [(text[inside].astype(np.uint64) << np.uint64(_BITS)) | ((key[inside] * _ODD) >> _SHIFT) for _, key, inside, text in grams(data[start:start + n])]
+                both, _ = distinct(np.concatenate(parts))
                 for c in (0, 1):
                     mine = both[own[(both >> np.uint64(_BITS)).astype(np.int64)] == c]
-                    count[c] += np.bincount((mine & np.uint64((1 << _BITS) - 1)).astype(np.int64), minlength=1 << _BITS).astype(np.int32)
+                    bucket, many = distinct((mine & np.uint64((1 << _BITS) - 1)).astype(np.int64))
+                    count[c][bucket] += many.astype(np.int32)
         at = np.flatnonzero(count[1] > 4)
         for lot in range(0, len(at), 100_000):
             b = at[lot:lot + 100_000]
@@ -118,9 +126,9 @@ def _count_keys(sample: DataFrame, buckets: np.ndarray) -> DataFrame:
                     keys.append(k[new])
                     labels.append(label[start:start + n][t[new]])
                 k, y = np.concatenate(keys), np.concatenate(labels)
-                distinct, where = np.unique(k, return_inverse=True)
-                toxic = np.bincount(where, weights=y, minlength=len(distinct)).astype(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(distinct.view(np.int64)), pa.array(toxic), pa.array(np.bincount(where, minlength=len(distinct)).astype(np.int64) - toxic)], ["key", "toxic", "clean"])
+                every, many = distinct(k)
+                toxic = np.bincount(np.searchsorted(every, k), weights=y, minlength=len(every)).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(every.view(np.int64)), pa.array(toxic), pa.array(many - toxic)], ["key", "toxic", "clean"])
 
     return sample.select("text", "label").mapInArrow(run, "key long, toxic long, clean long").groupBy("key").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
 
@@ -168,9 +176,8 @@ class Index:
             if bound[b] <= 0 or len(who) == self.k and bound[b] < cosine[-1] - 1e-6:
                 break
             got = np.round(q @ self.vectors[b][terms], 6)
-            near = np.flatnonzero(got > (cosine[-1] if len(who) == self.k else 0) - 1e-9)
-            near = near[got[near] > 0]
-            who, cosine = np.r_[who, b * BLOCK + near], np.r_[cosine, got[near]]
+            near = np.flatnonzero((got > 0) & (got > (cosine[-1] if len(who) == self.k else 0) - 1e-9))
+            who, cosine = np.concatenate([who, b * BLOCK + near]), np.concatenate([cosine, got[near]])
             best = np.lexsort((who, -cosine))[:self.k]
             who, cosine = who[best], cosine[best]
         return who, cosine
