@@ -19,17 +19,22 @@ SELECT p_partkey AS name_id, """ + pick("p_partkey", ["wikipedia-article", "wiki
   CASE WHEN p_partkey % 9 = 0 THEN upper(p_name) WHEN p_partkey % 9 = 1 THEN replace(p_name, ' ', '-') || ' apple' WHEN p_partkey % 9 = 2 THEN 'Malus ''' || p_name || '''' WHEN p_partkey % 9 = 3 THEN p_name || ' (3n)'
     WHEN p_partkey % 9 = 4 THEN 'St. ' || replace(p_name, 'e', 'é') WHEN p_partkey % 9 = 5 THEN replace(p_name, ' ', '''s ') || ' (apple)' WHEN p_partkey % 9 = 6 THEN 'Lady ' || p_name || ' apple' WHEN p_partkey % 9 = 7 THEN p_name || ' &amp; ' || p_brand ELSE p_name || '’s' END AS name,
   p_brand AS brand FROM {part}
-UNION ALL SELECT 1000000 + s_suppkey AS name_id, 'toc' AS list, CASE WHEN s_suppkey % 3 = 0 THEN 'Saint  ' || s_name WHEN s_suppkey % 3 = 1 THEN replace(s_name, 'u', 'ü') ELSE 'AB-' || CAST(s_suppkey AS STRING) END AS name, 'x' AS brand FROM {supplier}
+UNION ALL SELECT 1000000 + s_suppkey AS name_id, 'toc' AS list, CASE WHEN s_suppkey % 3 = 0 THEN 'Saint  ' || s_name || CASE WHEN s_suppkey % 2 = 0 THEN ' Stra&szlig;e' ELSE '' END WHEN s_suppkey % 3 = 1 THEN replace(s_name, 'u', CASE WHEN s_suppkey % 4 = 0 THEN 'ü' WHEN s_suppkey % 4 = 1 THEN '&#233;' ELSE '&#xE9;' END) ELSE 'AB-' || CAST(s_suppkey AS STRING) END AS name, 'x' AS brand FROM {supplier}
 UNION ALL SELECT 2000000 + c_custkey AS name_id, CASE WHEN c_custkey % 2 = 0 THEN 'pomiferous' ELSE 'eurisco' END AS list, CASE WHEN c_custkey % 5 = 0 THEN c_mktsegment || ' rootstock' WHEN c_custkey % 5 = 1 THEN 'Crab Apple' WHEN c_custkey % 5 = 2 THEN replace(c_name, 'o', 'ö') || ' Pippin' ELSE c_mktsegment || ' ' || CAST(c_custkey % 97 AS STRING) || '''s' END AS name, 'y' AS brand FROM {customer}"""
 Q = "''"
 
 
+def decoded_sql(x: str) -> str:
+    """The entities that the fixtures hold."""
+    return f"replace(replace(replace(replace({x}, '&#233;', 'é'), '&#xE9;', 'é'), '&szlig;', 'ß'), '&amp;', '&')"
+
+
 def key_sql(x: str) -> str:
-    return f"trim(regexp_replace(regexp_replace(regexp_replace(lower(strip_accents(replace({x}, '&amp;', '&'))), '[''’‘`]', '', 'g'), '\\b(st|saint)\\.?\\s', 'st ', 'g'), '[^a-z0-9]+', ' ', 'g'))"
+    return f"trim(regexp_replace(regexp_replace(regexp_replace(lower(strip_accents({decoded_sql(x)})), '[''’‘`]', '', 'g'), '\\b(st|saint)\\.?\\s', 'st ', 'g'), '[^a-z0-9]+', ' ', 'g'))"
 
 
 def loose_sql(x: str) -> str:
-    return key_sql(f"regexp_replace(regexp_replace(replace({x}, '&amp;', '&'), '(\\w)[''’]s\\b', '\\1', 'g'), '(\\w)s[''’](\\s|$)', '\\1s\\2', 'g')")
+    return key_sql(f"regexp_replace(regexp_replace({decoded_sql(x)}, '(\\w)[''’]s\\b', '\\1', 'g'), '(\\w)s[''’](\\s|$)', '\\1s\\2', 'g')")
 
 
 def build_sql(x: str) -> str:

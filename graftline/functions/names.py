@@ -5,6 +5,7 @@ generation.  `name_key_full` is the Arrow-batched variant with the complete rule
 from __future__ import annotations
 
 import html
+import html.entities
 import re
 import unicodedata
 from functools import cache
@@ -50,13 +51,49 @@ def strip_accents(c: Column | str) -> Column:
     return F.element_at(F.transform(F.array(col(c)), fold), 1)
 
 
+_ENTITY = r"&(?:#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[^\t\n\f <&#;]{1,32};?)"
+
+
+@cache
+def _entities() -> tuple[Column, str]:
+    """The standard's named entities for Latin letters and punctuation as a map, and a pattern of those that need no semicolon."""
+    names = {k: v for k, v in html.entities.html5.items() if len(v) == 1 and (ord(v) < 0x180 or 0x2010 <= ord(v) <= 0x2044)}
+    bare = sorted((k for k in names if not k.endswith(";")), key=len, reverse=True)
+    return F.map_from_arrays(F.lit(list(names)), F.lit(list(names.values()))), "^(" + "|".join(bare) + ")"
+
+
+def _character(number: Column) -> Column:
+    """The character of a numeric reference; the standard's replacements for zero, surrogates and the control range."""
+    control = "".join(html.unescape(f"&#{i};") for i in range(0x80, 0xA0))
+    plain = F.translate(F.decode(F.unhex(F.lpad(F.hex(number), 8, "0")), "UTF-32"), "".join(map(chr, range(0x80, 0xA0))), control)
+    silent = number.between(1, 8) | number.between(14, 31) | number.isin(11, 127)
+    return F.when(number.isNull() | (number == 0) | (number > 0x10FFFF) | number.between(0xD800, 0xDFFF), "\ufffd").when(silent, "").otherwise(plain)
+
+
+def _decoded(entity: Column) -> Column:
+    names, bare = _entities()
+    body = F.substr(entity, F.lit(2))
+    digits = F.regexp_extract(body, "^#(?:[xX]0*([0-9a-fA-F]{0,8})|0*([0-9]{0,18}))(?:;|$)", 0)
+    number = F.when(body.rlike("^#[xX]"), F.conv(F.regexp_extract(digits, "[xX]0*([0-9a-fA-F]+)", 1), 16, 10)).otherwise(F.regexp_extract(digits, "[0-9]+", 0)).try_cast("bigint")
+    number = F.when(body.rlike("^#[xX]?0+;?$"), 0).otherwise(number)
+
+    def named(b: Column) -> Column:
+        opening = F.regexp_extract(b, bare, 1)
+        return F.coalesce(F.try_element_at(names, b), F.concat(F.try_element_at(names, opening), F.substr(b, F.char_length(opening) + 1)), F.concat(F.lit("&"), b))
+
+    return F.when(body.startswith("#"), F.element_at(F.transform(F.array(number), _character), 1)).otherwise(F.element_at(F.transform(F.array(body), named), 1))
+
+
 def unescape(c: Column | str) -> Column:
-    """HTML entities: ampersand, quotes, angle brackets, spaces, quotation marks and accented letters."""
-    out = F.regexp_replace(col(c), r"&([A-Za-z])(acute|grave|circ|uml|tilde|cedil|ring|caron);", "$1")
-    for rx, ch in ((r"&(#0*39|#x0*27|apos);", "'"), (r"&(#0*8217|#x0*2019|rsquo);", "’"), (r"&(#0*8216|#x0*2018|lsquo);", "‘"), (r"&(quot|#0*34);", '"'),
-                   (r"&(nbsp|#0*160);", " "), (r"&lt;", "<"), (r"&gt;", ">"), (r"&(amp|#0*38);", "&")):
-        out = F.regexp_replace(out, rx, ch)
-    return out
+    """HTML entities, numeric and named (Latin letters and punctuation), as the standard decodes them.
+
+    Only text with an ampersand is taken apart.  `name_key_full` knows the mathematical and other names as well."""
+
+    def decode(x: Column) -> Column:
+        between, found = F.split(x, _ENTITY, -1), F.regexp_extract_all(x, F.lit(_ENTITY), 0)
+        return F.when(F.contains(x, F.lit("&")), F.array_join(F.zip_with(between, found, lambda p, e: F.concat(p, F.coalesce(_decoded(e), F.lit("")))), "")).otherwise(x)
+
+    return F.element_at(F.transform(F.array(col(c)), decode), 1)
 
 
 def _words_only(c: Column) -> Column:

@@ -82,3 +82,17 @@ class Cluster:
 def test_cluster_needs_a_shared_folder():
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         lineage.shared_folder(Cluster)
+
+
+def test_entities_as_the_standard_decodes_them(spark):
+    import html
+    import random
+
+    from graftline.functions.names import name_key, unescape
+
+    random.seed(1)
+    bits = ["R", "&#233;", "&#xE9;", "&szlig;", "&amp", "&ampx", "&notit;", "&", "&;", "&#0;", "&#128;", "&#x110000;", "&#55296;", "&#99999999999999999999;", "&frac12", "&bogus;", " ", "inette", "&lt;", "&#1;", "&#x;", "&#", "&rsquo;"]
+    rows = [("".join(random.choices(bits, k=random.randint(0, 8))),) for _ in range(300)] + [(None,)]
+    got = spark.createDataFrame(rows, "t string").select("t", unescape("t").alias("u")).collect()
+    assert all(r["u"] == (None if r["t"] is None else html.unescape(r["t"])) for r in got)
+    assert spark.createDataFrame([("R&#233;inette",)], "t string").select(name_key("t").alias("k")).first()["k"] == "reinette"
