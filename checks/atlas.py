@@ -63,22 +63,22 @@ HHI = f"list_max(list_filter({HDAY}, lambda d: d IS NOT NULL)) + 5"
 
 def rules_sql(table: str, rules, required=(), key="id") -> str:
     lost = " OR ".join(f"{c} IS NULL" for c in required) or "FALSE"
-    parts = [f"SELECT {key} AS id, 'error' AS severity, 'missing {c}' AS message FROM {table} WHERE {c} IS NULL" for c in required]
+    parts = [f"SELECT {key} AS id, 'error' AS severity, 'absent {c}' AS message FROM {table} WHERE {c} IS NULL" for c in required]
     parts += [f"SELECT {key} AS id, '{sev}' AS severity, '{msg}' AS message FROM {table} WHERE NOT ({lost}) AND ({cond})" for sev, msg, cond in rules]
     return " UNION ALL ".join(parts)
 
 
 e, w = "error", "warning"
-VRULES = [(e, "bad id", f"NOT regexp_matches(id, '{qa.ID}')"), (e, "bad name", "name = ''"), (e, "uses must be a non-empty subset of the uses", f"NOT list_has_all({fx.USES}, uses)"),
-          (e, "origin.country must be ISO alpha-2 or null", "NOT regexp_matches(country, '^[A-Z]{2}$')"), (e, "origin.year must be 1000-2030 or null", "year NOT BETWEEN 1000 AND 2030"), (e, "origin.kind invalid", f"origin_kind NOT IN {_in(fx.ORIGIN_KINDS)}"),
-          (w, "history missing/short", "length(history) < 20"), (e, "look.size invalid", f"size NOT IN {_in(fx.LOOK_SIZE)}"), (e, "look.blush invalid", f"blush NOT IN {_in(fx.LOOK_BLUSH)}"), (e, "conf invalid", f"conf NOT IN {_in(fx.CONFIDENCE)}"),
-          (e, "look.blush_cover must be 0-100 or null", "blush_cover NOT BETWEEN 0 AND 100"), (e, "look.russet must be 0-3 or null", "russet NOT BETWEEN 0 AND 3"), (e, "taste.sweet must be 1-5 or null", "sweet NOT BETWEEN 1 AND 5"),
-          (e, "taste.tannin must be 0-5 or null", "tannin NOT BETWEEN 0 AND 5"), (e, "tree.vigor must be 1-5 or null", "vigor NOT BETWEEN 1 AND 5"), (e, "pollination.flower_group must be 1-7 or null", "flower_group NOT BETWEEN 1 AND 7"),
-          (e, "climate.chill_hours must be 0-2500 or null", "chill_hours NOT BETWEEN 0 AND 2500"), (e, "climate.hardiness_zone must be 2-10 or null", "hardiness_zone NOT BETWEEN 2 AND 10"), (e, "climate.heat_tolerance must be 1-5 or null", "heat_tolerance NOT BETWEEN 1 AND 5"),
-          (e, "health.scab must be 1-5 or null", "scab NOT BETWEEN 1 AND 5"), (e, "taste.tags has unknown tags", f"NOT list_has_all({fx.TASTE_TAGS}, tags)"), (w, "more than 8 taste tags", f"list_has_all({fx.TASTE_TAGS}, tags) AND len(tags) > 8"),
-          (w, "taste.summary missing/short", "summary IS NULL OR length(summary) < 20"), (w, "triploid but self-fertile", "ploidy = 'triploid' AND self_fertile = 'yes'"), (e, "season.harvest unparseable", f"harvest IS NOT NULL AND ({HDOY}) IS NULL"),
-          (w, "many nulls but conf is not low", "(chill_hours IS NULL)::INT + (hardiness_zone IS NULL)::INT + (heat_tolerance IS NULL)::INT + (flower_group IS NULL)::INT + (harvest IS NULL)::INT >= 3 AND conf <> 'low'"),
-          (w, "cider use but no cider_class", "list_contains(uses, 'cider') AND cider_class IS NULL")]
+VRULES = [(e, "form id", f"NOT regexp_matches(id, '{qa.ID}')"), (e, "empty name", "name = ''"), (e, "subset uses", f"NOT list_has_all({fx.USES}, uses)"),
+          (e, "form origin.country", "NOT regexp_matches(country, '^[A-Z]{2}$')"), (e, "range origin.year 1000..2030", "year NOT BETWEEN 1000 AND 2030"), (e, "value origin.kind", f"origin_kind NOT IN {_in(fx.ORIGIN_KINDS)}"),
+          (w, "short history", "length(history) < 20"), (e, "value look.size", f"size NOT IN {_in(fx.LOOK_SIZE)}"), (e, "value look.blush", f"blush NOT IN {_in(fx.LOOK_BLUSH)}"), (e, "value conf", f"conf NOT IN {_in(fx.CONFIDENCE)}"),
+          (e, "range look.blush_cover 0..100", "blush_cover NOT BETWEEN 0 AND 100"), (e, "range look.russet 0..3", "russet NOT BETWEEN 0 AND 3"), (e, "range taste.sweet 1..5", "sweet NOT BETWEEN 1 AND 5"),
+          (e, "range taste.tannin 0..5", "tannin NOT BETWEEN 0 AND 5"), (e, "range tree.vigor 1..5", "vigor NOT BETWEEN 1 AND 5"), (e, "range pollination.flower_group 1..7", "flower_group NOT BETWEEN 1 AND 7"),
+          (e, "range climate.chill_hours 0..2500", "chill_hours NOT BETWEEN 0 AND 2500"), (e, "range climate.hardiness_zone 2..10", "hardiness_zone NOT BETWEEN 2 AND 10"), (e, "range climate.heat_tolerance 1..5", "heat_tolerance NOT BETWEEN 1 AND 5"),
+          (e, "range health.scab 1..5", "scab NOT BETWEEN 1 AND 5"), (e, "vocabulary taste.tags", f"NOT list_has_all({fx.TASTE_TAGS}, tags)"), (w, "count taste.tags", f"list_has_all({fx.TASTE_TAGS}, tags) AND len(tags) > 8"),
+          (w, "short taste.summary", "summary IS NULL OR length(summary) < 20"), (w, "conflict tree.ploidy pollination.self_fertile", "ploidy = 'triploid' AND self_fertile = 'yes'"), (e, "form season.harvest", f"harvest IS NOT NULL AND ({HDOY}) IS NULL"),
+          (w, "conflict nulls conf", "(chill_hours IS NULL)::INT + (hardiness_zone IS NULL)::INT + (heat_tolerance IS NULL)::INT + (flower_group IS NULL)::INT + (harvest IS NULL)::INT >= 3 AND conf <> 'low'"),
+          (w, "conflict uses taste.cider_class", "list_contains(uses, 'cider') AND cider_class IS NULL")]
 
 
 @query("variety_rules", oracle(["record"], rules_sql("record", VRULES, ["name", "history"])))
@@ -96,11 +96,11 @@ S = "s_suppkey"
 FIXTURES["stock_record"] = f"""SELECT CASE WHEN {S} % 13 = 0 THEN 'M_9' ELSE 'm' || CAST({S} AS STRING) END AS id, CASE WHEN {S} % 17 = 0 THEN NULL ELSE s_name END AS name, {pick(S, ['Malling', 'Geneva', 'Unknown'])} AS series, {pick(S, fx.SIZE_CLASSES + ['giant'])} AS size_class,
   CAST({S} % 7 AS INT) AS vigor, list_value(10e0 + {S} % 60, 5e0 + {S} % 90) AS size_pct_standard, CASE WHEN {S} % 4 = 0 THEN NULL WHEN {S} % 4 = 1 THEN list_value(2e0) ELSE list_value(2e0, 20e0 - {S} % 9) END AS height_m, CAST({S} % 6 AS INT) AS fire_blight, CAST({S} % 8 AS INT) AS cold,
   CAST(1 + {S} % 12 AS INT) AS hardiness_zone, {pick(S, fx.AVAILABILITY + ['never'], f'{S} % 5 = 0')} AS uk_availability, {pick(S, ['high', 'low', 'sure'])} AS conf FROM {{supplier}}"""
-RRULES = [(e, "bad id", f"NOT regexp_matches(id, '{qa.ID}')"), (e, "series invalid", "series NOT IN ('Malling', 'Geneva')"), (e, "size_class invalid", f"size_class NOT IN {_in(fx.SIZE_CLASSES)}"), (e, "uk_availability invalid", f"uk_availability NOT IN {_in(fx.AVAILABILITY)}"),
-          (e, "conf invalid", f"conf NOT IN {_in(fx.CONFIDENCE)}"), (e, "hardiness_zone must be 2-10 or null", "hardiness_zone NOT BETWEEN 2 AND 10"), (e, "vigor must be 1-5 or null", "vigor NOT BETWEEN 1 AND 5"), (e, "susceptibility.fire_blight must be 1-5 or null", "fire_blight NOT BETWEEN 1 AND 5"),
-          (e, "tolerance.cold must be 1-5 or null", "cold NOT BETWEEN 1 AND 5"), (e, "size_pct_standard must be [lo, hi] within 1-150", "NOT (size_pct_standard[1] >= 1 AND size_pct_standard[1] <= size_pct_standard[2] AND size_pct_standard[2] <= 150)"),
-          (e, "height_m must be [lo, hi] within 0.3-15", "height_m IS NOT NULL AND NOT coalesce(len(height_m) = 2 AND height_m[1] >= 0.3 AND height_m[1] <= height_m[2] AND height_m[2] <= 15, FALSE)"),
-          (w, "vigor and size_pct_standard disagree", "(vigor <= 2 AND (size_pct_standard[1] + size_pct_standard[2]) / 2 > 60) OR (vigor >= 4 AND (size_pct_standard[1] + size_pct_standard[2]) / 2 < 55)")]
+RRULES = [(e, "form id", f"NOT regexp_matches(id, '{qa.ID}')"), (e, "value series", "series NOT IN ('Malling', 'Geneva')"), (e, "value size_class", f"size_class NOT IN {_in(fx.SIZE_CLASSES)}"), (e, "value uk_availability", f"uk_availability NOT IN {_in(fx.AVAILABILITY)}"),
+          (e, "value conf", f"conf NOT IN {_in(fx.CONFIDENCE)}"), (e, "range hardiness_zone 2..10", "hardiness_zone NOT BETWEEN 2 AND 10"), (e, "range vigor 1..5", "vigor NOT BETWEEN 1 AND 5"), (e, "range susceptibility.fire_blight 1..5", "fire_blight NOT BETWEEN 1 AND 5"),
+          (e, "range tolerance.cold 1..5", "cold NOT BETWEEN 1 AND 5"), (e, "pair size_pct_standard 1..150", "NOT (size_pct_standard[1] >= 1 AND size_pct_standard[1] <= size_pct_standard[2] AND size_pct_standard[2] <= 150)"),
+          (e, "pair height_m 0.3..15", "height_m IS NOT NULL AND NOT coalesce(len(height_m) = 2 AND height_m[1] >= 0.3 AND height_m[1] <= height_m[2] AND height_m[2] <= 15, FALSE)"),
+          (w, "conflict vigor size_pct_standard", "(vigor <= 2 AND (size_pct_standard[1] + size_pct_standard[2]) / 2 > 60) OR (vigor >= 4 AND (size_pct_standard[1] + size_pct_standard[2]) / 2 < 55)")]
 
 
 @query("rootstock_rules", oracle(["stock_record"], rules_sql("stock_record", RRULES, ["name"])))
@@ -116,7 +116,7 @@ def rootstock_rules(spark, sf):
 FIXTURES["note_record"] = "SELECT 'c' || CAST(c_custkey AS STRING) AS id, CASE WHEN c_custkey % 19 = 0 THEN NULL ELSE c_name || ' summary' END AS summary, c_mktsegment || ' culture here' AS apple_culture, list_value(c_name) AS local_varieties, c_mktsegment AS pests_diseases, c_name || c_mktsegment AS tips, CASE WHEN c_custkey % 3 = 0 THEN 'sure' ELSE 'low' END AS confidence FROM {customer}"
 
 
-@query("region_note_rules", oracle(["note_record"], rules_sql("note_record", [*[(e, f"{c} too short", f"length({c}) < 20") for c in ("summary", "apple_culture", "pests_diseases", "tips")], (e, "confidence invalid", "confidence NOT IN ('high', 'medium', 'low')")], ["summary"])))
+@query("region_note_rules", oracle(["note_record"], rules_sql("note_record", [*[(e, f"short {c}", f"length({c}) < 20") for c in ("summary", "apple_culture", "pests_diseases", "tips")], (e, "value confidence", "confidence NOT IN ('high', 'medium', 'low')")], ["summary"])))
 def region_note_rules(spark, sf):
     return qa.check_regions(fixture(spark, sf, "note_record"))
 
@@ -130,7 +130,7 @@ def profiles(spark, sf):
                     F.array(F.struct("title", F.array(F.struct(F.col("item_text").alias("text"), F.col("i_src").alias("source"), F.col("c_name").alias("name"))).alias("items"))).alias("sections"), F.array(F.lit("http://z"), F.lit("http://a")).alias("sources"))
 
 
-@query("profile_rules", oracle(["profile_row"], rules_sql("profile_row", [(e, "fact without label/value", "label = ''"), (e, "section without title/items", "title IS NULL"), (e, "item without text", "item_text = ''")], ["updated"])))
+@query("profile_rules", oracle(["profile_row"], rules_sql("profile_row", [(e, "incomplete facts", "label = ''"), (e, "incomplete sections", "title IS NULL"), (e, "incomplete items", "item_text = ''")], ["updated"])))
 def profile_rules(spark, sf):
     return qa.check_profiles(profiles(spark, sf))
 
@@ -143,9 +143,9 @@ def profile_sources(spark, sf):
 FIXTURES["web_record"] = f"SELECT 'v-' || CAST(user_id AS STRING) AS id, event_id, {pick('event_id', ['nfc', 'nursery', 'blog'])} AS src, {pick('event_id * 3', ['http://x', 'ftp://y', 'https://z'], 'event_id % 13 = 0')} AS url, {pick('event_id', ['sweet and juicy', 'one two three four five six', 'crisp'])} AS phrase, {pick('event_id * 7', ['honey', 'tar', 'rose'])} AS tag, CAST(event_id % 7 AS INT) AS sweet, {pick('event_id', ['cool', 'hot'], 'event_id % 3 = 0')} AS needs FROM {{events}}"
 
 
-@query("web_evidence_rules", oracle(["web_record", "record"], """SELECT id, 'error' AS severity, 'climate need invalid' AS message FROM web_record WHERE needs NOT IN ('cool', 'warm', 'any') UNION ALL SELECT id, 'error', 'source 0: src invalid' FROM web_record WHERE src = 'blog' UNION ALL SELECT id, 'error', 'source 0: url required' FROM web_record WHERE url IS NULL OR url NOT LIKE 'http%'
- UNION ALL SELECT id, 'error', 'source 0: words must be short phrases' FROM web_record WHERE phrase LIKE '% six' UNION ALL SELECT id, 'error', 'source 0: unknown tags' FROM web_record WHERE tag = 'tar' UNION ALL SELECT id, 'error', 'source 0: sweet must be 1-5 or null' FROM web_record WHERE sweet NOT BETWEEN 1 AND 5
- UNION ALL SELECT id, 'error', 'unknown variety id' FROM web_record WHERE id NOT IN (SELECT id FROM record)"""))
+@query("web_evidence_rules", oracle(["web_record", "record"], """SELECT id, 'error' AS severity, 'value climate_flavour.needs' AS message FROM web_record WHERE needs NOT IN ('cool', 'warm', 'any') UNION ALL SELECT id, 'error', 'source 0: value src' FROM web_record WHERE src = 'blog' UNION ALL SELECT id, 'error', 'source 0: form url' FROM web_record WHERE url IS NULL OR url NOT LIKE 'http%'
+ UNION ALL SELECT id, 'error', 'source 0: long words' FROM web_record WHERE phrase LIKE '% six' UNION ALL SELECT id, 'error', 'source 0: vocabulary tags' FROM web_record WHERE tag = 'tar' UNION ALL SELECT id, 'error', 'source 0: range sweet 1..5' FROM web_record WHERE sweet NOT BETWEEN 1 AND 5
+ UNION ALL SELECT id, 'error', 'unknown id' FROM web_record WHERE id NOT IN (SELECT id FROM record)"""))
 def web_evidence_rules(spark, sf):
     n = F.lit(None)
     df = fixture(spark, sf, "web_record").select("id", F.array(F.struct("src", "url", F.array("phrase").alias("words"), F.array("tag").alias("tags"), "sweet", n.cast("int").alias("acid"), n.cast("array<string>").alias("against"))).alias("sources"), F.struct("needs").alias("climate_flavour"))
@@ -155,8 +155,8 @@ def web_evidence_rules(spark, sf):
 FIXTURES["book_record"] = f"SELECT CASE WHEN doc_id % 5 = 0 THEN 'x' ELSE 'v-' END || CAST(doc_id AS STRING) AS id, doc_id AS book, 1 AS line, CAST(1 + doc_id % 9 AS INT) AS end, {pick('doc_id', ['exact', 'synonym', 'guess'])} AS match, {pick('doc_id * 3', ['honey', 'tar'])} AS tag, CAST(doc_id % 7 AS INT) AS sweet, {pick('doc_id', ['fine', ' ', 'good'])} AS flavour FROM {{documents}}"
 
 
-@query("book_entry_rules", oracle(["book_record", "record"], """SELECT id, 'error' AS severity, 'match invalid' AS message FROM book_record WHERE match = 'guess' UNION ALL SELECT id, 'error', 'unknown tags' FROM book_record WHERE tag = 'tar' UNION ALL SELECT id, 'error', 'sweet must be 1-5 or null' FROM book_record WHERE sweet NOT BETWEEN 1 AND 5
- UNION ALL SELECT id, 'error', 'flavour must be non-empty or null' FROM book_record WHERE trim(flavour) = '' UNION ALL SELECT id, 'error', 'span outside' FROM book_record JOIN documents ON doc_id = book WHERE "end" > len(string_split(text, chr(10))) UNION ALL SELECT id, 'error', 'unknown variety id' FROM book_record WHERE id NOT IN (SELECT id FROM record)""").replace("AS end,", 'AS "end",'))
+@query("book_entry_rules", oracle(["book_record", "record"], """SELECT id, 'error' AS severity, 'value match' AS message FROM book_record WHERE match = 'guess' UNION ALL SELECT id, 'error', 'vocabulary tags' FROM book_record WHERE tag = 'tar' UNION ALL SELECT id, 'error', 'range sweet 1..5' FROM book_record WHERE sweet NOT BETWEEN 1 AND 5
+ UNION ALL SELECT id, 'error', 'empty flavour' FROM book_record WHERE trim(flavour) = '' UNION ALL SELECT id, 'error', 'span outside' FROM book_record JOIN documents ON doc_id = book WHERE "end" > len(string_split(text, chr(10))) UNION ALL SELECT id, 'error', 'unknown id' FROM book_record WHERE id NOT IN (SELECT id FROM record)""").replace("AS end,", 'AS "end",'))
 def book_entry_rules(spark, sf):
     n = F.lit(None)
     df = fixture(spark, sf, "book_record").select("id", "book", "line", "end", "match", F.array("tag").alias("tags"), n.cast("array<string>").alias("against"), "sweet", n.cast("int").alias("acid"), "flavour", *[n.cast("string").alias(c) for c in ("quality", "storage", "climate")])
@@ -187,8 +187,8 @@ def patches_not_found(spark, sf):
     return bd.patches_not_found(nested(spark, sf), fixture(spark, sf, "patch"))
 
 
-@query("patch_rules", oracle(["record", "patch"], """SELECT id, 'error' AS severity, m AS message FROM (SELECT id, unnest([CASE WHEN patch LIKE '%origin%' OR patch LIKE '%conf%' THEN 'only taste may be patched' END, CASE WHEN patch LIKE '%crunch%' THEN 'unexpected taste key' END, CASE WHEN patch LIKE '%tar%' THEN 'bad tag' END,
- CASE WHEN patch LIKE '%"acid":9%' THEN 'acid must be 1-5' END]) AS m FROM patch) WHERE m IS NOT NULL UNION ALL SELECT id, 'error', 'unknown variety id' FROM patch WHERE id NOT IN (SELECT id FROM record)"""))
+@query("patch_rules", oracle(["record", "patch"], """SELECT id, 'error' AS severity, m AS message FROM (SELECT id, unnest([CASE WHEN patch LIKE '%origin%' OR patch LIKE '%conf%' THEN 'key patch' END, CASE WHEN patch LIKE '%crunch%' THEN 'key taste' END, CASE WHEN patch LIKE '%tar%' THEN 'vocabulary taste.tags' END,
+ CASE WHEN patch LIKE '%"acid":9%' THEN 'range taste.acid 1..5' END]) AS m FROM patch) WHERE m IS NOT NULL UNION ALL SELECT id, 'error', 'unknown id' FROM patch WHERE id NOT IN (SELECT id FROM record)"""))
 def patch_rules(spark, sf):
     return qa.check_patch(fixture(spark, sf, "patch"), nested(spark, sf).select("id"))
 

@@ -182,7 +182,7 @@ PKEEP = CLASSIFY + """,
 pm AS (SELECT c.*, a.munq, a.sweet, a.acid, a.balance, a.aroma, a.firm, a.crunch, a.juice, a.quality, a.pick, a.keeps_to FROM cls c JOIN accession_name a USING (accession_id)),
 pk0 AS (SELECT *, tier = 'firm' OR NOT EXISTS (SELECT 1 FROM pm f WHERE f.variety_id = pm.variety_id AND f.tier = 'firm') OR (munq <> '' AND EXISTS (SELECT 1 FROM pm f WHERE f.variety_id = pm.variety_id AND f.tier = 'firm' AND f.munq = pm.munq)) AS k FROM pm),
 tops AS (SELECT variety_id, munq AS top FROM (SELECT variety_id, munq, row_number() OVER (PARTITION BY variety_id ORDER BY count(*) DESC, bool_or(full_hit) DESC, bool_or(kind = 'exact') DESC, min(accession_id)) AS rn FROM pk0 WHERE k AND munq <> '' GROUP BY variety_id, munq) WHERE rn = 1),
-pkeep AS (SELECT p.*, k AND NOT (munq <> '' AND munq <> coalesce(top, munq)) AS kept, CASE WHEN k AND munq <> '' AND munq <> top THEN 'genotype ' || munq || ' is not ' || top WHEN NOT k THEN 'lower-confidence duplicate of a firm match' END AS reason FROM pk0 p LEFT JOIN tops USING (variety_id))"""
+pkeep AS (SELECT p.*, k AND NOT (munq <> '' AND munq <> coalesce(top, munq)) AS kept, CASE WHEN k AND munq <> '' AND munq <> top THEN 'other_genotype ' || munq || ' ' || top WHEN NOT k THEN 'weaker_match' END AS reason FROM pk0 p LEFT JOIN tops USING (variety_id))"""
 
 
 def _kept(spark, sf):

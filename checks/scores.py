@@ -113,11 +113,11 @@ def score_reasons(spark, sf):
 
 
 def _disease_sql() -> str:
+    num = lambda x: f"CAST(CAST({x} AS DOUBLE) AS VARCHAR)"
     drivers = {
-        "scab": f"'~' || {half_up('scab_events')} || ' infection periods in spring; leaves stay wet ~' || {half_up('lwd_spring')} || ' h a day'",
-        "canker": f"{half_up('canker_days')} || ' mild wet days from October to March'", "mildew": "'warm dry days after humid nights'",
-        "fire_blight": f"'~' || CASE WHEN fire_blight_events < 1 THEN printf('%.1f', floor(fire_blight_events * 10 + 0.5) / 10) ELSE {half_up('fire_blight_events')}::VARCHAR END || ' warm wet blossom days a year' || CASE WHEN fire_blight_status = 'unknown' THEN ', regional status unmapped' ELSE '' END",
-        "rust": "'cedar-apple rust occurs here and spring is wet'"}
+        "scab": f"'spring_infections ' || {num(half_up('scab_events'))} || ' ' || {num(half_up('lwd_spring'))}", "canker": f"'mild_wet_winter_days ' || {num(half_up('canker_days'))}", "mildew": "'humid_nights'",
+        "fire_blight": f"CASE WHEN fire_blight_status = 'unknown' THEN 'blossom_infections_status_unknown ' ELSE 'blossom_infections ' END || CASE WHEN fire_blight_events < 1 THEN {num('floor(fire_blight_events * 10 + 0.5) / 10')} ELSE {num(half_up('fire_blight_events'))} END",
+        "rust": "'rust_and_wet_spring'"}
     return " UNION ALL ".join(
         f"SELECT variety_id, place_id, {i} AS i, '{d}' AS disease, p_{d} AS pressure, coalesce({d}, 3) AS susceptibility, {d} IS NULL AS assumed, loss_{d} AS loss, p_{d} >= 0.33 AND coalesce({d}, 3) >= 3 AS issue, {drivers[d]} AS driver FROM scored WHERE NOT no_bloom"
         for i, d in enumerate(fx.DISEASES))

@@ -128,7 +128,7 @@ def panel_keep(matched: DataFrame) -> DataFrame:
     top = votes.groupBy("variety_id").agg(F.max_by("munq", F.struct("n", "full", "exact", (-F.col("first_id")).alias("o"))).alias("top"))
     j = j.join(top, "variety_id", "left")
     other = F.col("kept") & has_munq & (F.col("munq") != F.col("top"))
-    reason = F.when(other, F.concat(F.lit("genotype "), F.col("munq"), F.lit(" is not "), F.col("top"))).when(~F.col("kept"), "lower-confidence duplicate of a firm match")
+    reason = F.when(other, F.concat_ws(" ", F.lit("other_genotype"), "munq", "top")).when(~F.col("kept"), "weaker_match")
     return j.withColumns({"reason": reason, "kept": F.col("kept") & ~other}).drop("top")
 
 

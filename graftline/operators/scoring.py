@@ -227,17 +227,17 @@ def pressure_word(p: Column | str) -> Column:
 
 
 def disease_driver(d: str) -> Column:
-    """Short phrase on what drives a disease at a place."""
-    events = F.col("fire_blight_events")
-    few = F.when(events < 1, F.format_string("%.1f", events)).otherwise(half_up(events).cast("string"))
-    phrases = {
-        "scab": F.concat(F.lit("~"), half_up("scab_events").cast("string"), F.lit(" infection periods in spring; leaves stay wet ~"), half_up("lwd_spring").cast("string"), F.lit(" h a day")),
-        "canker": F.concat(half_up("canker_days").cast("string"), F.lit(" mild wet days from October to March")),
-        "mildew": F.lit("warm dry days after humid nights"),
-        "fire_blight": F.concat(F.lit("~"), few, F.lit(" warm wet blossom days a year"), F.when(F.col("fire_blight_status") == "unknown", ", regional status unmapped").otherwise("")),
-        "rust": F.lit("cedar-apple rust occurs here and spring is wet"),
+    """What drives a disease at a place: a code and up to two numbers (periods or days a year, wet hours a day)."""
+    codes = {
+        "scab": ("spring_infections", half_up("scab_events"), half_up("lwd_spring")),
+        "canker": ("mild_wet_winter_days", half_up("canker_days"), None),
+        "mildew": ("humid_nights", None, None),
+        "fire_blight": ("blossom_infections", F.when(F.col("fire_blight_events") < 1, F.round("fire_blight_events", 1)).otherwise(half_up("fire_blight_events")), None),
+        "rust": ("rust_and_wet_spring", None, None),
     }
-    return phrases[d]
+    code, *numbers = codes[d]
+    known = F.when(F.col("fire_blight_status") == "unknown", F.lit(f"{code}_status_unknown")).otherwise(code) if d == "fire_blight" else F.lit(code)
+    return F.concat_ws(" ", known, *[n.cast("double").cast("string") for n in numbers if n is not None])
 
 
 def disease_rows(scored: DataFrame) -> DataFrame:
