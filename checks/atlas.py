@@ -10,12 +10,9 @@ from checks.orchard import pick
 from checks.reports import fresh_folder
 from graftline import fixed_values as fx
 from graftline.functions import calendar as cal
-from graftline.functions import codes
 from graftline.functions import numeric as nu
 from graftline.functions import weather as wx
 from graftline.operators import build as bd
-from graftline.operators import corpus as co
-from graftline.operators import matching as mt
 from graftline.operators import quality as qa
 from graftline.sources import html as hx
 from graftline.sources import records as rc
@@ -388,9 +385,6 @@ def curves_and_scales(spark, sf):
                      nu.weeks_shift(F.col("l_suppkey") % 60 - 30).alias("weeks"), nu.ordinal(F.col("l_partkey") % 130).alias("nth"), nu.percentile_centre("l_linenumber", fx.RATING_CENTRE).alias("centre"))
 
 
-_ = (codes, co, mt)
-
-
 def _documents(df, record, size: int = 100):
     """Records packed into documents of a fixed size by key (bounded whatever the scale): rows (doc, entries)."""
     return df.groupBy(F.floor(F.col("k") / size).alias("doc")).agg(F.collect_list(F.struct("id", record.alias("r"))).alias("entries"))

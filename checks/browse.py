@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from checks.base import FIXTURES, fixture, oracle, query
 from checks.climate import rounded
-from checks.scores import FROM, PLACES, TO_SCORES, half_up, prepared, scored
+from checks.scores import FROM, PLACES, TO_SCORES, half_up, scored
 from graftline import fixed_values as fx
 from graftline.functions import calendar as cal
 from graftline.functions import codes
@@ -277,6 +277,3 @@ def variety_classes(spark, sf):
     months = F.array_join(F.transform(cal.eating_months("eating"), lambda m: m.cast("string")), ",")
     return v(spark, sf).select("variety_id", cal.season_band("harvest_doy").alias("season_band"), cal.season_name("harvest_doy").alias("season_name"),
                                codes.chill_class("chill_hours").alias("chill_class"), codes.zone_min_c("hardiness_zone").alias("zone_min_c"), months.alias("eating"))
-
-
-_ = prepared

@@ -5,7 +5,6 @@ from pyspark.sql import functions as F
 
 from checks.base import FIXTURES, fixture, oracle, query
 from graftline import fixed_values as fx
-from graftline.functions import calendar as cal
 from graftline.functions import weather as wx
 from graftline.operators import climatology as cl
 from graftline.operators import cycles as cy
@@ -378,6 +377,3 @@ def compact_place_features(spark, sf):
     f = cl.compact(place_features(_weather(spark, sf), fixture(spark, sf, "humidity_daily")), drop=("gend_per",))
     return f.select("place_id", "koppen_code", "zone_label", "chill_mean", "bloom_vi", "aridity", "tann", "pann", "tmax_hot", "humidity_estimated",
                     joined(F.col("frost_p"), 2).alias("frost_p"))
-
-
-_ = cal

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from checks.base import FIXTURES, fixture, oracle, query
 from checks.climate import rounded
-from checks.labs import HEAD, key_sql, loose_sql, upper_sql
+from checks.labs import key_sql, loose_sql, upper_sql
 from checks.orchard import pick
 from graftline import fixed_values as fx
 from graftline.operators import corpus as co
@@ -37,17 +37,28 @@ hs AS (SELECT *, round(1 + CASE WHEN length(regexp_replace(head, '[^\\p{{Lu}}]',
 hb AS (SELECT book, variety_id, line_no, max(score) AS score, arg_max(key, (score, key)) AS key, any_value(substr(raw, 1, 160)) AS text FROM hs GROUP BY book, variety_id, line_no)"""
 
 
-@query("heading_candidates", oracle(["book_name"], "SELECT book, variety_id, line_no, score, key, text, rank FROM (SELECT *, row_number() OVER (PARTITION BY book, variety_id ORDER BY score DESC, line_no) AS rank FROM hb) WHERE rank <= 6", LINES + "," + LHEAD))
+# every third line is followed by a number, mostly the running page
+PAGED = LINES + """,
+pl AS (SELECT book, 2 * line_no AS line_no, text FROM lines UNION ALL SELECT book, 2 * line_no + 1, ' ' || (line_no * 7 + book % 60) % 4000 FROM lines WHERE line_no % 3 = 2)"""
+PAGE_OF = """pn AS (SELECT book, line_no, row_number() OVER (PARTITION BY book ORDER BY line_no) AS i, list(n) OVER (PARTITION BY book ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS ns FROM (SELECT book, line_no, trim(text)::BIGINT AS n FROM {t} WHERE regexp_matches(trim(text), '^\\d{{1,4}}$'))),
+pr AS (SELECT book, line_no, list_reduce(list_prepend(-1::BIGINT, ns[1:i]), lambda a, b: CASE WHEN b > greatest(a, 0) AND b <= greatest(a, 0) + 40 OR b = 0 AND a <= 0 THEN b ELSE a END) AS p FROM pn),
+pg AS (SELECT t.book, t.line_no, nullif(last_value(p IGNORE NULLS) OVER (PARTITION BY t.book ORDER BY t.line_no), -1) AS page FROM {t} t LEFT JOIN pr USING (book, line_no))"""
+
+
+@query("heading_candidates", oracle(["book_name"], "SELECT book, variety_id, line_no, page, score, key, text, rank FROM (SELECT *, row_number() OVER (PARTITION BY book, variety_id ORDER BY score DESC, line_no) AS rank FROM hb) WHERE rank <= 6".replace("FROM (SELECT *", "FROM (SELECT hb.*, page").replace("FROM hb)", "FROM hb JOIN pg USING (book, line_no))"),
+                                    PAGED + "," + LHEAD.replace("FROM lines WHERE", "FROM pl WHERE") + ",\n" + PAGE_OF.format(t="pl")))
 def heading_candidates(spark, sf):
-    return co.locate(lines(spark, sf), co.variety_headings(fixture(spark, sf, "book_name")))
+    base = lines(spark, sf)
+    numbers = base.where("line_no % 3 = 2").selectExpr("book", "2 * line_no + 1 AS line_no", "concat(' ', (line_no * 7 + book % 60) % 4000) AS text")
+    paged = base.selectExpr("book", "2 * line_no AS line_no", "text").unionByName(numbers)
+    return co.locate(paged, co.variety_headings(fixture(spark, sf, "book_name")), chunk_lines=16)
 
 
 # scanned pages: number lines from the orders of each customer, a third of them in one book
 FIXTURES["page_line"] = """SELECT CASE WHEN o_custkey % 3 = 0 THEN 0 ELSE o_custkey % 40 END AS book, o_orderkey AS line_no, CASE WHEN o_orderkey % 5 = 0 THEN 'plate ' || o_orderpriority WHEN o_orderkey % 11 = 0 THEN ' ' || CAST(o_orderkey % 3000 AS STRING) ELSE CAST(CAST(floor(o_orderkey / 10e0) AS BIGINT) + o_custkey % 7 AS STRING) || ' ' END AS text FROM {orders}"""
 
 
-@query("running_page_numbers", oracle(["page_line"], """SELECT book, line_no, list_reduce(list_prepend(0::BIGINT, ns[1:i]), lambda a, b: CASE WHEN b > a AND b <= a + 40 THEN b ELSE a END) AS page FROM (
- SELECT book, line_no, row_number() OVER (PARTITION BY book ORDER BY line_no) AS i, list(n) OVER (PARTITION BY book ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS ns FROM (SELECT book, line_no, trim(text)::BIGINT AS n FROM page_line WHERE regexp_matches(trim(text), '^\\d{1,4}$'))) ORDER BY 1, 2"""))
+@query("running_page_numbers", oracle(["page_line"], "SELECT book, line_no, page FROM pg", PAGE_OF.format(t="page_line")))
 def running_page_numbers(spark, sf):
     return co.page_numbers(fixture(spark, sf, "page_line"), chunk_lines=4000)
 
@@ -247,6 +258,3 @@ PACKS = {"west": ["AUTOMOBILE", "BUILDING"], "east": ["FURNITURE"], "rest": ["MA
 def region_batches(spark, sf):
     p = fixture(spark, sf, "customer").select(F.col("c_custkey").alias("place_id"), F.col("c_mktsegment").alias("group"))
     return gp.region_batches(p, PACKS)
-
-
-_ = (HEAD, BACKSLASH_N)

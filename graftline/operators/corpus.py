@@ -3,13 +3,12 @@
 `lines` has one row per (book, line_no, text); line numbers start at 1."""
 from __future__ import annotations
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from graftline import fixed_values as fx
-from graftline.functions.names import heading_keys, name_key, strip_accents, upper_key, words
+from graftline.functions.names import heading_keys, name_key, upper_key, words
 from graftline.operators.matching import within_edits
 from graftline.plans.lineage import cut
 
@@ -34,16 +33,20 @@ def _opening(text: str, n: Column) -> Column:
     return F.element_at(F.transform(F.array(F.split(text, r"\s+")), leading), 1)
 
 
-def locate(lines: DataFrame, keys: DataFrame, k: int = 6) -> DataFrame:
-    """Candidate headings: lines that open with a key, scored for capitals, punctuation and length; best six per book and variety.
+def locate(lines: DataFrame, keys: DataFrame, k: int = 6, chunk_lines: int = 500_000) -> DataFrame:
+    """Candidate headings: lines that open with a key, scored for capitals, punctuation and length; best six per book and variety,
+    with the page they stand on.
 
-    A line offers each of its openings (as many words as the longest key has) and meets the keys on equality, so only true
-    openings are ever paired."""
+    Only lines whose first word opens some key are looked at further.  Such a line offers each of its openings (as many words as the
+    longest key has) and meets the keys on equality; texts are fetched for the hits alone."""
     longest = keys.agg(F.max(F.size(F.split("key", " ")))).scalar()
-    raw = lines.select("book", "line_no", F.trim("text").alias("raw")).where(F.length("raw") >= 5).withColumn("longest", longest)
-    raw = raw.withColumn("w", F.split(upper_key(_opening("raw", F.col("longest"))), " "))
-    opened = raw.select("book", "line_no", "raw", F.explode(F.transform(F.sequence(F.lit(1), F.least(F.size("w"), F.col("longest"))), lambda n: F.array_join(F.slice("w", 1, n), " "))).alias("key"))
-    hits = opened.join(keys, "key")
+    raw = F.trim("text")
+    sized = lines.where(F.length(raw) >= 5).select("book", "line_no", raw.alias("raw"), longest.alias("longest"))
+    worded = sized.select("book", "line_no", "longest", F.split(upper_key(_opening("raw", F.col("longest"))), " ").alias("w")).withColumn("first", F.element_at("w", 1))
+    worded = worded.join(keys.select(F.substring_index("key", " ", 1).alias("first")).distinct(), "first", "left_semi")
+    openings = F.transform(F.sequence(F.lit(1), F.least(F.size("w"), F.col("longest"))), lambda n: F.array_join(F.slice("w", 1, n), " "))
+    met = worded.select("book", "line_no", F.explode(openings).alias("key")).join(keys, "key")
+    hits = met.join(lines.select("book", "line_no", raw.alias("raw")), ["book", "line_no"])
     size = F.length("key")
     head = F.col("raw").substr(F.lit(1), size + 6)
     letters, capitals = F.length(F.regexp_replace(head, r"[^\p{L}]", "")), F.length(F.regexp_replace(head, r"[^\p{Lu}]", ""))
@@ -52,43 +55,74 @@ def locate(lines: DataFrame, keys: DataFrame, k: int = 6) -> DataFrame:
              + F.when(F.contains("key", F.lit(" ")), 0.3).otherwise(0.0))
     best = hits.withColumn("score", F.round(score, 2)).groupBy("book", "variety_id", "line_no").agg(F.max(F.struct("score", "key")).alias("b"), F.first(F.substring("raw", 1, 160)).alias("text"))
     w = Window.partitionBy("book", "variety_id").orderBy(F.desc("b.score"), "line_no")
-    return (best.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
-            .select("book", "variety_id", "line_no", F.col("b.score").alias("score"), F.col("b.key").alias("key"), "text", "rank"))
+    ranked = best.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    return (ranked.join(page_numbers(lines, chunk_lines), ["book", "line_no"], "left")
+            .select("book", "variety_id", "line_no", "page", F.col("b.score").alias("score"), F.col("b.key").alias("key"), "text", "rank"))
+
+
+def _page_rule(numbers: list[int]) -> tuple[list[int], list[int]]:
+    """Where a run of number lines leads from every page it could start on, as break points: (from page, page at the end or -1 for
+    "stays").  Pages that lead to the same place are one group from there on, so a number costs at most PAGE_STEP looks."""
+    group = {}  # current page -> the start pages that are there now; a page not listed is still only its own
+    moved: set[int] = set()  # pages nobody is on any more
+    for n in numbers:
+        here = [p for p in range(max(0, n - PAGE_STEP), n) if p not in moved]
+        if here:
+            joined = [s for p in here for s in group.pop(p, [p])] + (group.pop(n, [n]) if n not in moved else [])
+            group[n] = joined
+            moved.update(here)
+            moved.discard(n)
+    end = {s: p for p, starts in group.items() for s in starts}
+    begin, to = [0], [end.get(0, -1)]
+    for s in sorted({x for s in end for x in (s, s + 1)} - {0}):
+        if (e := end.get(s, -1)) != to[-1]:
+            begin.append(s)
+            to.append(e)
+    return begin, to
 
 
 def page_numbers(lines: DataFrame, chunk_lines: int = 500_000) -> DataFrame:
-    """Running page number at each standalone-number line: a number counts if it is above the last page by at most 40.
+    """(book, line_no, page) of every line: the last standalone number accepted so far, null before the first.
 
-    The rule needs the page before, so a book is read in chunks: each chunk works out, for every page it could start from, the
-    page it would end on (a table of 10,000 numbers); the tables of a book are applied in order; then each chunk runs again
-    from its true start.  No task sees more than the number lines of one chunk."""
+    A number is accepted if it is above the last page by at most 40 (a 0 only at the start).  The rule needs the page before, so a book
+    is read in chunks: each works out where it leads from every page it could start on, as a short table of break points; the tables of
+    a book are applied in order; then each chunk runs again from its true start.  No task sees more than the lines of one chunk."""
     n = F.trim("text")
-    numbers = (lines.where(n.rlike(r"^\d{1,4}$")).select("book", "line_no", n.cast("int").alias("n"))
-               .withColumn("chunk", F.floor(F.col("line_no") / chunk_lines).cast("long")))
+    all_lines = lines.select("book", "line_no", F.floor(F.col("line_no") / chunk_lines).cast("long").alias("chunk"), F.when(n.rlike(r"^\d{1,4}$"), n.cast("int")).alias("n"))
+    numbers = all_lines.where("n IS NOT NULL")
     kind = numbers.schema["book"].dataType.simpleString()
 
     def transfer(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("line_no")
-        table = np.arange(MAX_PAGE + 1)
-        for value in pdf["n"].to_numpy():
-            table[(table < value) & (value <= table + PAGE_STEP)] = value
-        return pd.DataFrame({"book": [pdf["book"].iloc[0]], "chunk": [pdf["chunk"].iloc[0]], "table": [table.tolist()]})
+        begin, to = _page_rule(pdf.sort_values("line_no")["n"].tolist())
+        return pd.DataFrame({"book": [pdf["book"].iloc[0]], "chunk": [pdf["chunk"].iloc[0]], "begin": [begin], "to": [to]})
+
+    tables = numbers.groupBy("book", "chunk").applyInPandas(transfer, f"book {kind}, chunk long, begin array<int>, to array<int>")
+    ordered = tables.groupBy("book").agg(F.array_sort(F.collect_list(F.struct("chunk", "begin", "to"))).alias("ts"))
+
+    def step(page: Column, t: Column) -> Column:
+        to = F.element_at(t["to"], F.size(F.filter(t["begin"], lambda b: b <= page)))
+        return F.when(to < 0, page).otherwise(to)
 
-    tables = numbers.groupBy("book", "chunk").applyInPandas(transfer, f"book {kind}, chunk long, table array<int>")
-    ordered = tables.groupBy("book").agg(F.array_sort(F.collect_list(F.struct("chunk", "table"))).alias("ts"))
-    ends = F.aggregate("ts", F.array(F.lit(0)), lambda a, t: F.concat(a, F.array(F.element_at(t["table"], F.element_at(a, -1) + 1))))
-    starts = (ordered.select("book", F.arrays_zip(F.transform("ts", lambda t: t["chunk"]).alias("chunk"), F.slice(ends, 1, F.size("ts")).alias("start")).alias("z"))
-              .select("book", F.explode("z").alias("z")).select("book", "z.chunk", "z.start"))
+    ends = F.aggregate("ts", F.array(F.lit(0)), lambda a, t: F.concat(a, F.array(step(F.element_at(a, -1), t))))
+    ways = (ordered.select("book", F.arrays_zip(F.transform("ts", lambda t: t["chunk"]).alias("chunk"), F.slice(ends, 1, F.size("ts")).alias("start"), F.slice(ends, 2, F.size("ts")).alias("end")).alias("z"))
+            .select("book", F.explode("z").alias("z")).select("book", "z.chunk", "z.start", "z.end"))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("line_no")
         last, pages = int(pdf["start"].iloc[0]), []
-        for value in pdf["n"]:
-            last = int(value) if last < value <= last + PAGE_STEP else last
+        for value in pdf["n"].tolist():
+            last = value if last < value <= last + PAGE_STEP else last
             pages.append(last)
-        return pd.DataFrame({"book": pdf["book"], "line_no": pdf["line_no"], "page": pages})
+        return pd.DataFrame({"book": pdf["book"], "line_no": pdf["line_no"], "last": pages})
 
-    return numbers.join(starts, ["book", "chunk"]).groupBy("book", "chunk").applyInPandas(run, f"book {kind}, line_no long, page int")
+    reached = numbers.join(ways, ["book", "chunk"]).groupBy("book", "chunk").applyInPandas(run, f"book {kind}, line_no long, last int")
+    by_chunk = Window.partitionBy("book").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
+    carried = all_lines.select("book", "chunk").distinct().join(ways, ["book", "chunk"], "left").select("book", "chunk", F.coalesce(F.last("end", True).over(by_chunk), F.lit(0)).alias("carried"))
+    zero = numbers.where("n = 0").groupBy("book").agg(F.min("line_no").alias("zero"))
+    so_far = Window.partitionBy("book", "chunk").orderBy("line_no")
+    page = F.coalesce(F.last("last", True).over(so_far), F.col("carried"))
+    known = all_lines.join(reached, ["book", "line_no"], "left").join(carried, ["book", "chunk"]).join(zero, "book", "left").withColumn("page", page)
+    return known.select("book", "line_no", F.when(F.col("page") > 0, F.col("page")).when(F.col("line_no") >= F.col("zero"), 0).alias("page"))
 
 
 def _entry_lines(entries: DataFrame, lines: DataFrame, before: int = 0, after: int = 0) -> DataFrame:
@@ -175,6 +209,3 @@ def searchable(name: Column | str) -> Column:
     k = name_key(name)
     common = F.forall(F.split(k, " "), lambda w: w.isin(*fx.COMMON_NAME_WORDS))
     return F.when((k != "") & ~common, k)
-
-
-_ = strip_accents

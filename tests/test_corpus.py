@@ -2,7 +2,6 @@
 import random
 import re
 
-from pyspark.sql import functions as F
 
 from graftline import fixed_values as fx
 from graftline.functions.names import name_key, name_key_full
@@ -34,17 +33,18 @@ def test_tags_from_text(spark):
 def test_page_numbers_in_chunks(spark):
     rng = random.Random(5)
     lines, want = [], {}
-    for book in ("a", "b"):
-        last = 0
+    for book in ("a", "b", "c", "d"):
+        last, page = 0, None
         for i in range(1, 400):
-            n = max(0, i // 3 + rng.randint(-3, 60)) if i % 2 else None
+            n = max(0, i // 3 + rng.randint(-3, 60)) if i % 2 and not 120 < i < 260 else None
+            n = 900 if book == "c" and n is not None else 0 if book == "d" and i == 5 else n if book != "d" or i > 20 else None
             lines.append((book, i, f" {n} " if n is not None else "prose 12"))
-            if n is not None:
-                last = n if last < n <= last + 40 else last
-                want[(book, i)] = last
+            if n is not None and (last < n <= last + 40 or last == 0 and n <= 40):
+                page = last = n
+            want[(book, i)] = page
     df = spark.createDataFrame(lines, "book string, line_no long, text string")
     got = {(r["book"], r["line_no"]): r["page"] for r in co.page_numbers(df, chunk_lines=50).collect()}
-    assert got == want
+    assert got == want and want["c", 399] is None and want["d", 6] == 0
 
 
 def edits(a, b):
@@ -97,6 +97,3 @@ def test_entry_text_cut(spark):
     e = spark.createDataFrame([(1, "b", 1, 6)], "entry_id int, book string, line int, end int")
     t = co.entry_text(e, lines).collect()[0]["text"]
     assert t.startswith("HEAD. A greenish fruit more\n\nword word") and t.endswith("word …") and len(t) <= 5002
-
-
-_ = F
