@@ -8,6 +8,7 @@ from checks.orchard import pick
 from graftline import fixed_values as fx
 from graftline.functions import codes
 from graftline.operators import evidence as ev
+from graftline.plans.evidence import merge
 
 TAG5 = ["sweet", "sharp", "honey", "nutty", "mild", "pear", "rose"]
 FIXTURES["event_tag"] = f"SELECT event_id, user_id, value, CASE event_type WHEN 'click' THEN 'sweet' WHEN 'view' THEN 'sharp' WHEN 'purchase' THEN 'honey' WHEN 'signup' THEN 'nutty' ELSE 'mild' END AS t1, {pick('event_id * 3 + user_id', TAG5)} AS t2, {pick('event_id', [1, 2, 3, 4, 5], 'event_id % 7 = 0')} AS sweet, {pick('event_id * 3 + 1', [1, 2, 3, 4, 5], 'event_id % 5 = 0')} AS acid FROM {{events}}"
@@ -18,6 +19,7 @@ FIXTURES["book_entry"] = f"""SELECT event_id, {pick('event_id', ['hogg-1851', 'h
 FIXTURES["web_source"] = f"""SELECT user_id AS variety_id, event_id AS ord, {pick('event_id', ['orangepippin', 'nursery', 'wikipedia', 'other', 'nfc'])} AS src, {pick('event_id * 7', ['https://www.Fruit.example.com/a', 'http://trees.example.org/x?y=1', 'https://shop.example.net/'])} AS url,
   list_value(t2) AS tags, CASE WHEN value < 40e0 THEN list_value({pick('event_id * 11 + user_id', TAG5)}, 'honey') ELSE NULL END AS against, sweet, acid FROM {{event_tag}} WHERE event_id % 3 = 1"""
 FIXTURES["panel_score"] = "SELECT user_id AS variety_id, CAST(1 + max(event_id) % 9 AS DOUBLE) AS sweet, CAST(1 + max(event_id) * 5 % 9 AS DOUBLE) AS acid, CASE WHEN user_id % 6 = 0 THEN NULL ELSE CAST(1 + max(event_id) * 7 % 9 AS DOUBLE) END AS aroma FROM {events} WHERE event_id % 3 = 2 GROUP BY user_id"
+FIXTURES["measured_fixture"] = "SELECT p_partkey AS variety_id, CASE WHEN p_partkey % 4 = 0 THEN NULL ELSE CAST((p_partkey * 13) % 101 AS DOUBLE) END AS pct_ssc, CAST((p_partkey * 29) % 101 AS DOUBLE) AS pct_ta FROM {part}"
 FROM = ("variety", "book", "book_entry", "web_source", "panel_score")
 IMPLIED = "list_filter([CASE WHEN sweet >= 4 THEN 'sweet' END, CASE WHEN acid >= 4 THEN 'sharp' END, CASE WHEN acid <= 2 THEN 'mild' END], lambda x: x IS NOT NULL AND NOT list_contains(tags, x))"
 HOST = "regexp_replace(lower(regexp_extract(url, '^[a-z]+://([^/?#]*)', 1)), '^www\\.', '')"
@@ -47,10 +49,8 @@ def parts(spark, sf):
 
 def merged(spark, sf):
     v, e, _ = parts(spark, sf)
-    voices = ev.tag_voices(e)
-    support, counts, recorded = ev.tag_support(voices), ev.source_counts(e), ev.recorded_tags(v)
-    decisions, added = ev.decide_tags(recorded, support, counts), ev.added_tags(recorded, support)
-    return dict(v=v, e=e, voices=voices, support=support, counts=counts, recorded=recorded, decisions=decisions, added=added, final=ev.final_tags(decisions, added))
+    m = merge(e, v)
+    return dict(v=v, e=m.evidence, voices=m.voices, recorded=ev.recorded_tags(v), support=m.support, counts=m.counts, decisions=m.decisions, added=m.added, final=m.final)
 
 
 @query("evidence_voices", oracle(FROM, "SELECT variety_id, kind, voice, label, count(*) AS sources FROM ev GROUP BY ALL", EV))
@@ -99,11 +99,11 @@ def merged_voices(spark, sf):
     return ev.merge_voices(parts(spark, sf)[1]).withColumn("tags", F.array_join("tags", ","))
 
 
-@query("evidence_stats", oracle(FROM, """SELECT 'with sources' AS stat, count(*) AS n FROM cnt UNION ALL SELECT 'with book entries', count(CASE WHEN books > 0 THEN 1 END) FROM cnt UNION ALL SELECT 'unverified tags', count(CASE WHEN decision = 'unverified' THEN 1 END) FROM dec
- UNION ALL SELECT 'contested tags', count(CASE WHEN decision = 'contested' THEN 1 END) FROM dec UNION ALL SELECT 'added tags', count(*) FROM adt UNION ALL SELECT 'varieties', count(*) FROM variety""", EV))
+@query("evidence_stats", oracle(FROM + ("measured_fixture",), """SELECT 'with sources' AS stat, count(*) AS n FROM cnt UNION ALL SELECT 'with book entries', count(CASE WHEN books > 0 THEN 1 END) FROM cnt UNION ALL SELECT 'unverified tags', count(CASE WHEN decision = 'unverified' THEN 1 END) FROM dec
+ UNION ALL SELECT 'contested tags', count(CASE WHEN decision = 'contested' THEN 1 END) FROM dec UNION ALL SELECT 'added tags', count(*) FROM adt UNION ALL SELECT 'varieties', count(*) FROM variety UNION ALL SELECT 'with measurements', count(DISTINCT variety_id) FROM measured_fixture WHERE variety_id IN (SELECT variety_id FROM variety)""", EV))
 def evidence_stats(spark, sf):
     m = merged(spark, sf)
-    return ev.evidence_stats(m["v"], m["counts"], m["decisions"], m["added"])
+    return ev.evidence_stats(m["v"], m["counts"], m["decisions"], m["added"], fixture(spark, sf, "measured_fixture"))
 
 
 @query("books_in_order", oracle(FROM, "SELECT event_id, variety_id, e.book, year, author FROM book_entry e JOIN book b ON b.book = e.book"))
@@ -134,7 +134,6 @@ def audit_changes(spark, sf):
     return ev.audit_changes(m["decisions"], m["added"], m["voices"])
 
 
-FIXTURES["measured_fixture"] = "SELECT p_partkey AS variety_id, CASE WHEN p_partkey % 4 = 0 THEN NULL ELSE CAST((p_partkey * 13) % 101 AS DOUBLE) END AS pct_ssc, CAST((p_partkey * 29) % 101 AS DOUBLE) AS pct_ta FROM {part}"
 
 
 def _disagree_sql() -> str:
@@ -158,20 +157,26 @@ def audit_unsourced(spark, sf):
     return ev.audit_unsourced(m["v"], m["counts"])
 
 
-@query("flavour_stats", oracle(FROM, "SELECT tag, level, count(*) AS varieties FROM fin GROUP BY tag, level", EV))
+@query("flavour_stats", oracle(FROM, """SELECT 'tag' AS part, tag AS name, level, count(*) AS n FROM fin GROUP BY tag, level UNION ALL SELECT 'book', book, NULL, count(*) FROM book_entry WHERE variety_id IN (SELECT variety_id FROM variety) AND book IN (SELECT book FROM book) GROUP BY book
+ UNION ALL SELECT 'tags', 'dropped', NULL, count(CASE WHEN decision <> 'kept' THEN 1 END) FROM dec UNION ALL SELECT 'tags', 'added', NULL, count(*) FROM adt""", EV))
 def flavour_stats(spark, sf):
-    return ev.flavour_stats(merged(spark, sf)["final"])
+    m = merged(spark, sf)
+    known = fixture(spark, sf, "book_entry").join(m["v"].select("variety_id"), "variety_id", "left_semi").join(fixture(spark, sf, "book").select("book"), "book", "left_semi")
+    return ev.flavour_stats(m["final"], m["decisions"], m["added"], known)
 
 
 FIXTURES["context_note"] = "SELECT user_id AS variety_id, max(CASE WHEN event_id % 5 = 0 THEN 'keeps well' ELSE '' END) AS storage_change, min(CASE WHEN event_id % 7 = 0 THEN 'Nov' END) AS peak, min(CASE WHEN event_id % 4 = 0 THEN 'cool' END) AS needs, min(CASE WHEN event_id % 9 = 0 THEN 'note' END) AS note, count(*) AS n FROM {events} GROUP BY user_id"
 
 
-@query("attached_context", oracle(FROM + ("context_note", "measured_fixture"), """SELECT v.variety_id, nullif(c.storage_change, '') AS storage_change, c.peak, c.needs, CASE WHEN coalesce(c.needs, c.note) IS NOT NULL THEN coalesce(c.note, '') END AS note, p.sweet AS panel_sweet, p.acid AS panel_acid, m.pct_ssc, m.pct_ta, CASE WHEN c.n >= 3 THEN c.n END AS visitor_reports
+@query("attached_context", oracle(FROM + ("context_note", "measured_fixture"), """SELECT v.variety_id, nullif(c.storage_change, '') AS storage_change, c.peak, c.needs, CASE WHEN coalesce(c.needs, c.note) IS NOT NULL THEN coalesce(c.note, '') END AS note, p.sweet AS panel_sweet, p.acid AS panel_acid, p.aroma AS panel_aroma, p.variety_id % 9 + 0.5 AS panel_balance, CASE WHEN p.variety_id IS NOT NULL THEN 2024 END AS panel_tasted, m.pct_ssc, m.pct_ta, m.variety_id % 20 / 2.0 AS ssc, CASE WHEN m.variety_id IS NOT NULL THEN 3 END AS measured_n, CASE WHEN c.n >= 3 THEN c.n END AS visitor_reports, CASE WHEN c.n >= 3 THEN c.n / 2.0 END AS visitor_sweet
  FROM variety v LEFT JOIN context_note c USING (variety_id) LEFT JOIN panel_score p USING (variety_id) LEFT JOIN measured_fixture m USING (variety_id)"""))
 def attached_context(spark, sf):
     c = fixture(spark, sf, "context_note")
-    a = ev.attach_context(fixture(spark, sf, "variety").select("variety_id"), c.drop("n"), fixture(spark, sf, "panel_score"), fixture(spark, sf, "measured_fixture"), c.select("variety_id", "n"))
-    return a.select("variety_id", "storage_change", "peak", F.col("climate_flavour.needs").alias("needs"), F.col("climate_flavour.note").alias("note"), "panel_sweet", "panel_acid", "pct_ssc", "pct_ta", "visitor_reports")
+    panel = fixture(spark, sf, "panel_score").withColumns({"balance": F.expr("variety_id % 9 + 0.5e0"), "juice": F.lit(None).cast("double"), "quality": F.lit(None).cast("double"), "assessed": F.expr("array(named_struct('harvest', 'Oct', 'tasted', 2024))")})
+    measured = fixture(spark, sf, "measured_fixture").withColumns({"ssc": F.expr("variety_id % 20 / 2e0"), "ta": F.lit(1.0), "n": F.lit(3)})
+    a = ev.attach_context(fixture(spark, sf, "variety").select("variety_id"), c.drop("n"), panel, measured, c.selectExpr("variety_id", "n", "n / 2e0 AS sweet"))
+    return a.select("variety_id", "storage_change", "peak", F.col("climate_flavour.needs").alias("needs"), F.col("climate_flavour.note").alias("note"), F.col("panel.sweet").alias("panel_sweet"), F.col("panel.acid").alias("panel_acid"), F.col("panel.aroma").alias("panel_aroma"),
+                    F.col("panel.balance").alias("panel_balance"), F.col("panel.tasted").alias("panel_tasted"), "measured.pct_ssc", "measured.pct_ta", "measured.ssc", F.col("measured.n").alias("measured_n"), F.col("visitors.n").alias("visitor_reports"), F.col("visitors.sweet").alias("visitor_sweet"))
 
 
 @query("tag_names", oracle(["variety"], "SELECT tag, CASE tag WHEN 'pear-drop' THEN 'pear drop' WHEN 'rose' THEN 'rose-water' ELSE tag END AS label, CASE " + " ".join(f"WHEN tag IN ({', '.join(repr(t) for t in ts)}) THEN '{f}'" for f, ts in fx.TAG_FAMILIES) + " END AS family, count(*) AS n FROM (SELECT unnest(tags) AS tag FROM variety) GROUP BY tag"))

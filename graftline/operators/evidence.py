@@ -108,15 +108,17 @@ def merge_voices(evidence: DataFrame) -> DataFrame:
 
 
 def attach_context(varieties: DataFrame, context: DataFrame, panel: DataFrame, measured: DataFrame, visitors: DataFrame) -> DataFrame:
-    """Add storage change, peak, climate need, panel scores, measurements, and visitors' tastings once there are three."""
+    """Add storage change, peak, climate need, the panel's scores and first tasting, measurements, and the visitors' record once there
+    are three reports; each part is a struct, null where there is none."""
     needs = F.when(F.coalesce("needs", "note").isNotNull(), F.struct("needs", F.coalesce("note", F.lit("")).alias("note")))
     c = context.select("variety_id", F.nullif("storage_change", F.lit("")).alias("storage_change"), F.nullif("peak", F.lit("")).alias("peak"), needs.alias("climate_flavour"))
-    shown = visitors.where(F.col("n") >= fx.MIN_TASTINGS).select("variety_id", F.col("n").alias("visitor_reports"))
-    return (varieties.join(c, "variety_id", "left").join(panel.select("variety_id", F.col("sweet").alias("panel_sweet"), F.col("acid").alias("panel_acid")), "variety_id", "left")
-            .join(measured.select("variety_id", "pct_ssc", "pct_ta"), "variety_id", "left").join(shown, "variety_id", "left"))
+    shown = visitors.where(F.col("n") >= fx.MIN_TASTINGS).select("variety_id", F.struct(*[k for k in visitors.columns if k != "variety_id"]).alias("visitors"))
+    scores = panel.select("variety_id", F.struct("sweet", "acid", "balance", "aroma", "juice", "quality", F.try_element_at("assessed", F.lit(1))["tasted"].alias("tasted")).alias("panel"))
+    lab = measured.select("variety_id", F.struct("ssc", "ta", "pct_ssc", "pct_ta", "n").alias("measured"))
+    return varieties.join(c, "variety_id", "left").join(scores, "variety_id", "left").join(lab, "variety_id", "left").join(shown, "variety_id", "left")
 
 
-def evidence_stats(varieties: DataFrame, counts: DataFrame, decisions: DataFrame, added: DataFrame) -> DataFrame:
+def evidence_stats(varieties: DataFrame, counts: DataFrame, decisions: DataFrame, added: DataFrame, measured: DataFrame) -> DataFrame:
     """Totals of the merge as rows (stat, n)."""
     parts = [
         counts.agg(F.lit("with sources").alias("stat"), F.count("*").alias("n")),
@@ -125,6 +127,7 @@ def evidence_stats(varieties: DataFrame, counts: DataFrame, decisions: DataFrame
         decisions.agg(F.lit("contested tags").alias("stat"), F.count(F.when(F.col("decision") == "contested", 1)).alias("n")),
         added.agg(F.lit("added tags").alias("stat"), F.count("*").alias("n")),
         varieties.agg(F.lit("varieties").alias("stat"), F.count("*").alias("n")),
+        varieties.join(measured.select("variety_id"), "variety_id", "left_semi").agg(F.lit("with measurements").alias("stat"), F.countDistinct("variety_id").alias("n")),
     ]
     out = parts[0]
     for p in parts[1:]:
@@ -191,6 +194,11 @@ def audit_unsourced(varieties: DataFrame, counts: DataFrame) -> DataFrame:
     return varieties.select("variety_id", "name").join(counts.select("variety_id"), "variety_id", "left_anti")
 
 
-def flavour_stats(final: DataFrame) -> DataFrame:
-    """Varieties per shown tag and level."""
-    return final.groupBy("tag", "level").agg(F.count("*").alias("varieties"))
+def flavour_stats(final: DataFrame, decisions: DataFrame, added: DataFrame, entries: DataFrame) -> DataFrame:
+    """(part, name, level, n): varieties per shown tag and level, entries per book, tags dropped and added."""
+    none = F.lit(None).cast("string").alias("level")
+    tags = final.groupBy(F.lit("tag").alias("part"), F.col("tag").alias("name"), "level").agg(F.count("*").alias("n"))
+    books = entries.groupBy("book").agg(F.count("*").alias("n")).select(F.lit("book").alias("part"), F.col("book").alias("name"), none, "n")
+    dropped = decisions.agg(F.count(F.when(F.col("decision") != "kept", 1)).alias("n")).select(F.lit("tags").alias("part"), F.lit("dropped").alias("name"), none, "n")
+    more = added.agg(F.count("*").alias("n")).select(F.lit("tags").alias("part"), F.lit("added").alias("name"), none, "n")
+    return tags.unionByName(books).unionByName(dropped).unionByName(more)
