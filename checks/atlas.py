@@ -377,12 +377,12 @@ def virtual_calendar(spark, sf):
 
 
 @query("curves_and_scales", """SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, round(CASE WHEN x >= 4 THEN 100 ELSE c[floor(x)::INT + 1] + (c[floor(x)::INT + 2] - c[floor(x)::INT + 1]) * (x - floor(x)) END, 6) AS at, round(CASE WHEN l_quantity <= 10 THEN l_quantity WHEN l_quantity <= 30 THEN 10 + (l_quantity - 10) / 2 WHEN l_quantity <= 60 THEN 10 + (l_quantity - 10) / 2 ELSE 40 END, 6) AS reached,
- (sign(d) * floor(abs(d) / 7.0 + 0.5))::INT AS weeks, (l_partkey % 130)::VARCHAR || CASE WHEN l_partkey % 130 % 100 BETWEEN 10 AND 20 THEN 'th' WHEN l_partkey % 10 = 1 THEN 'st' WHEN l_partkey % 10 = 2 THEN 'nd' WHEN l_partkey % 10 = 3 THEN 'rd' ELSE 'th' END AS nth, 20 * l_linenumber - 10 AS centre
- FROM (SELECT *, [0, 10, 30, 60, 100]::DOUBLE[] AS c, greatest(0, least(4, (l_quantity - 5) / 10)) AS x, (l_suppkey % 60) - 30 AS d FROM lineitem WHERE l_linenumber <= 5)""".replace("CASE WHEN l_quantity <= 10 THEN l_quantity WHEN l_quantity <= 30 THEN 10 + (l_quantity - 10) / 2 WHEN l_quantity <= 60 THEN 10 + (l_quantity - 10) / 2 ELSE 40 END", "CASE WHEN l_quantity <= 10 THEN l_quantity WHEN l_quantity <= 30 THEN 10 + (l_quantity - 10) / 2 ELSE 20 + (l_quantity - 30) / 3 END").replace("l_partkey % 10 =", "l_partkey % 130 % 10 ="))
+ (sign(d) * floor(abs(d) / 7.0 + 0.5))::INT AS weeks, (l_partkey % 130)::VARCHAR || CASE WHEN l_partkey % 130 % 100 BETWEEN 10 AND 20 THEN 'th' WHEN l_partkey % 10 = 1 THEN 'st' WHEN l_partkey % 10 = 2 THEN 'nd' WHEN l_partkey % 10 = 3 THEN 'rd' ELSE 'th' END AS nth, 20 * (1 + l_linenumber % 5) - 10 AS centre
+ FROM (SELECT *, [0, 10, 30, 60, 100]::DOUBLE[] AS c, greatest(0, least(4, (l_quantity - 5) / 10)) AS x, (l_suppkey % 60) - 30 AS d FROM lineitem)""".replace("CASE WHEN l_quantity <= 10 THEN l_quantity WHEN l_quantity <= 30 THEN 10 + (l_quantity - 10) / 2 WHEN l_quantity <= 60 THEN 10 + (l_quantity - 10) / 2 ELSE 40 END", "CASE WHEN l_quantity <= 10 THEN l_quantity WHEN l_quantity <= 30 THEN 10 + (l_quantity - 10) / 2 ELSE 20 + (l_quantity - 30) / 3 END").replace("l_partkey % 10 =", "l_partkey % 130 % 10 ="))
 def curves_and_scales(spark, sf):
-    li = fixture(spark, sf, "lineitem").where("l_linenumber <= 5").withColumn("c", F.array(*[F.lit(x) for x in (0.0, 10.0, 30.0, 60.0, 100.0)]))
+    li = fixture(spark, sf, "lineitem").withColumn("rating", F.expr("1 + l_linenumber % 5")).withColumn("c", F.array(*[F.lit(x) for x in (0.0, 10.0, 30.0, 60.0, 100.0)]))
     return li.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.round(wx.curve_at("c", F.col("l_quantity") - 5), 6).alias("at"), F.round(wx.offset_for("c", F.col("l_quantity")), 6).alias("reached"),
-                     nu.weeks_shift(F.col("l_suppkey") % 60 - 30).alias("weeks"), nu.ordinal(F.col("l_partkey") % 130).alias("nth"), nu.percentile_centre("l_linenumber", fx.RATING_CENTRE).alias("centre"))
+                     nu.weeks_shift(F.col("l_suppkey") % 60 - 30).alias("weeks"), nu.ordinal(F.col("l_partkey") % 130).alias("nth"), nu.percentile_centre("rating", fx.RATING_CENTRE).alias("centre"))
 
 
 def _documents(df, record, size: int = 100):

@@ -70,7 +70,7 @@ def heading_keys(spark, sf):
 FIXTURES["named_variety"] = """SELECT p_partkey AS variety_id, p_name || CASE WHEN p_partkey % 3 = 0 THEN '''s ' ELSE ' ' END || CAST(p_partkey % 300 AS STRING) AS name,
   list_value(p_type || ' ' || CAST(p_partkey % 1700 AS STRING), p_name || ' ' || CAST((p_partkey + 1) % 300 AS STRING)) AS aka FROM {part}"""
 FIXTURES["source_name"] = """SELECT DISTINCT l.l_returnflag AS source, CASE WHEN l.l_linenumber = 1 THEN upper(v.name) WHEN l.l_linenumber = 2 THEN v.p_type || ' ' || CAST(l.l_partkey % 1700 AS STRING) WHEN l.l_linenumber = 3 THEN replace(v.name, '''s', '') ELSE v.name || ' x' END AS name
-FROM {lineitem} l JOIN (SELECT p_partkey, p_type, p_name || CASE WHEN p_partkey % 3 = 0 THEN '''s ' ELSE ' ' END || CAST(p_partkey % 300 AS STRING) AS name FROM {part}) v ON v.p_partkey = l.l_partkey WHERE l.l_quantity <= 10"""
+FROM {lineitem} l JOIN (SELECT p_partkey, p_type, p_name || CASE WHEN p_partkey % 3 = 0 THEN '''s ' ELSE ' ' END || CAST(p_partkey % 300 AS STRING) AS name FROM {part}) v ON v.p_partkey = l.l_partkey"""
 FIXTURES["curated_name"] = "SELECT 'A' AS source, p_name || ' ' || CAST(p_partkey % 300 AS STRING) || ' x' AS name, max(p_partkey) AS variety_id FROM {part} WHERE p_partkey % 5 = 1 GROUP BY p_name || ' ' || CAST(p_partkey % 300 AS STRING) || ' x'"
 FIXTURES["rejected_name"] = "SELECT DISTINCT 'R' AS source, p_type || ' ' || CAST(p_partkey % 1700 AS STRING) AS name FROM {part} WHERE p_size = 7"
 INDEX = f"""an AS (SELECT variety_id, 0 AS pos, name, 'exact' AS kind FROM named_variety UNION ALL SELECT variety_id, i, aka[i], 'synonym' FROM named_variety, (SELECT unnest([1, 2]) AS i)),
@@ -147,7 +147,7 @@ FIXTURES["accession_name"] = """SELECT ((l.l_orderkey * 10 + l.l_linenumber) * 1
   CASE WHEN l.l_quantity > 45 THEN NULL ELSE CAST(1 + CAST(floor(l.l_quantity) AS INT) % 9 AS DOUBLE) END AS sweet, CAST(1 + l.l_suppkey % 9 AS DOUBLE) AS acid, CAST(1 + l.l_partkey % 9 AS DOUBLE) AS balance, CASE WHEN l.l_partkey % 4 = 0 THEN NULL ELSE CAST(1 + l.l_orderkey % 9 AS DOUBLE) END AS aroma,
   CAST(1 + (l.l_orderkey + l.l_suppkey) % 9 AS DOUBLE) AS firm, CAST(1 + (l.l_orderkey * 3) % 9 AS DOUBLE) AS crunch, CAST(1 + (l.l_partkey * 5) % 9 AS DOUBLE) AS juice, CAST(1 + (l.l_partkey + l.l_orderkey) % 9 AS DOUBLE) AS quality,
   CASE WHEN l.l_suppkey % 5 = 0 THEN NULL ELSE l.l_linestatus || CAST(l.l_suppkey % 2 AS STRING) END AS pick, l.l_returnflag AS keeps_to
-FROM {lineitem} l JOIN (SELECT p_partkey, p_name || CASE WHEN p_partkey % 3 = 0 THEN '''s ' ELSE ' ' END || CAST(p_partkey % 300 AS STRING) AS name, p_type || ' ' || CAST(p_partkey % 1700 AS STRING) AS aka1 FROM {part}) v ON v.p_partkey = l.l_partkey WHERE l.l_discount < 0.03"""
+FROM {lineitem} l JOIN (SELECT p_partkey, p_name || CASE WHEN p_partkey % 3 = 0 THEN '''s ' ELSE ' ' END || CAST(p_partkey % 300 AS STRING) AS name, p_type || ' ' || CAST(p_partkey % 1700 AS STRING) AS aka1 FROM {part}) v ON v.p_partkey = l.l_partkey"""
 FIXTURES["no_curated"] = "SELECT 'P' AS source, p_name AS name, max(p_partkey) AS variety_id FROM {part} GROUP BY p_name"
 
 
@@ -286,7 +286,7 @@ def trial_observations(spark, sf):
 
 
 FIXTURES["descriptor_sugar"] = "SELECT l_suppkey AS accession, CAST(year(l_shipdate) AS INT) AS year, l_quantity AS value FROM {lineitem} WHERE l_returnflag = 'A'"
-FIXTURES["descriptor_firm"] = "SELECT l_suppkey AS accession, CAST(year(l_shipdate) AS INT) AS year, l_tax AS value FROM {lineitem} WHERE l_returnflag = 'N'"
+FIXTURES["descriptor_firm"] = "SELECT l_suppkey AS accession, CAST(year(l_shipdate) AS INT) AS year, l_tax AS value FROM {lineitem} WHERE l_returnflag <> 'A'"
 
 
 @query("descriptor_union", oracle(["descriptor_sugar", "descriptor_firm"], "SELECT accession, year, sum(ssc) AS ssc, count(firm) AS firms FROM (SELECT accession, year, value AS ssc, NULL AS firm FROM descriptor_sugar UNION ALL SELECT accession, year, NULL, value FROM descriptor_firm) GROUP BY accession, year"))

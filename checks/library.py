@@ -72,7 +72,7 @@ def entry_span_checks(spark, sf):
     return co.check_spans(fixture(spark, sf, "book_span"), lines(spark, sf))
 
 
-FIXTURES["entry"] = "SELECT doc_id AS entry_id, doc_id AS book, 1 AS line, CAST(2 + doc_id % 5 AS INT) AS end FROM {documents}"
+FIXTURES["entry"] = "SELECT doc_id AS entry_id, doc_id AS book, 1 AS line, CAST(length(text) - length(replace(text, chr(10), '')) + 1 AS INT) AS end FROM {documents}"
 
 
 @query("entry_texts", oracle(["entry"], """SELECT entry_id, CASE WHEN length(t) <= 5000 THEN t ELSE regexp_replace(substr(t, 1, 5000), ' [^ ]*$', '') || ' …' END AS text FROM (SELECT entry_id, array_to_string(list_transform(list_filter(regexp_split_to_array(j, '\\n\\n+'), lambda p: trim(p, chr(10) || ' ') <> ''),
@@ -84,7 +84,7 @@ def entry_texts(spark, sf):
 
 # quotes: a passage of the benchmark, and the entry's own opening with a misprint and with words run together
 FIXTURES["quote"] = """SELECT d.doc_id AS entry_id, 'flavour' AS field, b.text AS quote FROM {documents} d JOIN {benchmark} b ON b.item_id = d.doc_id % 40
-UNION ALL SELECT doc_id AS entry_id, 'quality' AS field, replace(substr(text, 1, 120), 'th', 'tb') AS quote FROM {documents} UNION ALL SELECT doc_id AS entry_id, 'storage' AS field, replace(substr(text, 10, 90), 'e', ' e') AS quote FROM {documents} WHERE doc_id % 2 = 0"""
+UNION ALL SELECT doc_id AS entry_id, 'quality' AS field, replace(substr(text, CAST(1 + (doc_id * 37) % greatest(length(text), 1) AS INT), 120), 'th', 'tb') AS quote FROM {documents} UNION ALL SELECT doc_id AS entry_id, 'storage' AS field, replace(substr(text, CAST(1 + (doc_id * 101) % greatest(length(text), 1) AS INT), 90), 'e', ' e') AS quote FROM {documents}"""
 
 
 def words_sql(x: str) -> str:
