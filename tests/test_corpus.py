@@ -6,7 +6,6 @@ import re
 from graftline import fixed_values as fx
 from graftline.functions.names import name_key, name_key_full
 from graftline.operators import corpus as co
-from graftline.operators import gaps as gp
 from graftline.operators import matching as mt
 
 
@@ -86,12 +85,6 @@ def test_name_keys(spark):
     assert [r["a"] for r in df][:3] == ["coxs orange pippin", "st edmunds russet", "st cecilia"]
 
 
-def test_components(spark):
-    edges = [(f"n{i:03d}", f"n{i + 1:03d}") for i in range(60)] + [("x", "y"), ("y", "z"), ("z", "x")]
-    got = {r["key"]: r["root"] for r in gp.components(spark.createDataFrame(edges, "a string, b string")).collect()}
-    assert set(got.values()) == {"n000", "x"} and len(got) == 64
-
-
 def test_entry_text_cut(spark):
     lines = spark.createDataFrame([("b", 1, "HEAD. A green-"), ("b", 2, "ish fruit"), ("b", 3, " 12 "), ("b", 4, "more"), ("b", 5, ""), ("b", 6, "word " * 1200)], "book string, line_no long, text string")
     e = spark.createDataFrame([(1, "b", 1, 6)], "entry_id int, book string, line int, end int")
