@@ -7,8 +7,8 @@ by which all registers of the text are filled.  Registers are cut into bands; te
 
 Texts with equal words are one node from the start.  In each bucket the node with most company leads and is compared with the others
 (stars, not pairs); a second star runs among those the first did not join; then what still lies in different components is compared
-pair by pair, left out only where the triangle inequality of the Jaccard distance (by the distances to the leader) or the sizes
-rule a link out.  A link is an exact Jaccard of the element sets of at least `threshold`; classes are its connected components.
+pair by pair, left out only where the triangle inequality of the Jaccard distance (by the distances to the leader), the sizes or the
+number of elements that a text shares with no other rule a link out.  A link is an exact Jaccard of the element sets of at least `threshold`; classes are its connected components.
 
 With 32 bands of 6 registers a pair at 0.8 is missed with probability 6e-5, at 0.85 with 4e-7.
 
@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, LongType, StructField, StructType
 
-from graftline.llm.rows import quoted, slices, texts
+from graftline.llm.rows import quoted, small_batches, text_slices, texts
 from graftline.llm.words import Words, mix, powers, words
 from graftline.plans.lineage import cut
 
@@ -126,14 +126,13 @@ def digests(w: Words, n_texts: int) -> tuple[np.ndarray, np.ndarray]:
 
 def signatures(df: DataFrame, id_col: str, text_col: str, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """(id, text_key, d1, d2, size, bands) of each row; all but the first two null where a text has no words."""
-    slim = df.select(quoted(id_col).alias("id"), F.xxhash64(quoted(text_col)).alias("text_key"), quoted(text_col))
+    slim = small_batches(df).select(quoted(id_col).alias("id"), F.xxhash64(quoted(text_col)).alias("text_key"), quoted(text_col))
     schema = StructType([slim.schema["id"], slim.schema["text_key"], StructField("d1", LongType()), StructField("d2", LongType()), StructField("size", IntegerType()), StructField("bands", ArrayType(LongType()))])
 
     def run(batches):
         for batch in batches:
-            data = texts(batch.column(2))
-            for start, n in slices([len(t) for t in data]):
-                w = words(data[start:start + n])
+            for start, n, data in text_slices(batch.column(2)):
+                w = words(data)
                 text, h, count = elements(w, n)
                 keys = band_keys(prob_minhash(text, h, count.astype(np.float64), n, bands * rows), bands, rows).view(np.int64)
                 size = np.bincount(text, minlength=n)
@@ -149,7 +148,10 @@ def element_set(text: bytes) -> np.ndarray:
     """Sorted full hashes of a text's elements."""
     w = words([text])
     n = len(w.hashes)
-    return np.unique(w.window(min(SHINGLE, n))[0]) if n else np.empty(0, np.uint64)
+    if not n:
+        return np.empty(0, np.uint64)
+    h = np.sort(w.window(min(SHINGLE, n))[0])
+    return h[np.concatenate([[True], h[1:] != h[:-1]])]
 
 
 def _verified(pairs: DataFrame, held: DataFrame) -> DataFrame:
@@ -172,17 +174,34 @@ def _verified(pairs: DataFrame, held: DataFrame) -> DataFrame:
             return got
 
         for batch in batches:
-            out = []
-            for x, y in zip(texts(batch.column(2)), texts(batch.column(3)), strict=True):
-                p, q = of(x), of(y)
-                merged = np.sort(np.concatenate([p, q]))
-                shared = int((merged[1:] == merged[:-1]).sum())
-                out.append(shared / max(len(p) + len(q) - shared, 1))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.float64())], ["a", "b", "jaccard"])
+            for start, n, first in text_slices(batch.column(2)):
+                part, out = batch.slice(start, n), []
+                for x, y in zip(first, texts(part.column(3)), strict=True):
+                    p, q = of(x), of(y)
+                    merged = np.sort(np.concatenate([p, q]))
+                    shared = int((merged[1:] == merged[:-1]).sum())
+                    out.append(shared / max(len(p) + len(q) - shared, 1))
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(out, pa.float64())], ["a", "b", "jaccard"])
 
     return both.mapInArrow(run, schema)
 
 
+def _own_elements(held: DataFrame) -> DataFrame:
+    """(node, own): the number of a text's elements that no other text of the table has, where there are any."""
+    schema = StructType([StructField("element", LongType()), held.schema["node"]])
+
+    def run(batches):
+        for batch in batches:
+            place = batch.schema.get_field_index("node")
+            for start, n, data in text_slices(batch.column(batch.schema.get_field_index("text")), 1 << 18):
+                sets = [element_set(t).view(np.int64) for t in data]
+                who = np.repeat(np.arange(start, start + n), [len(s) for s in sets])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sets)), batch.column(place).take(pa.array(who))], ["element", "node"])
+
+    each = held.mapInArrow(run, schema)
+    return each.groupBy("element").agg(F.count("*").alias("n"), F.min("node").alias("node")).filter("n = 1").groupBy("node").agg(F.count("*").alias("own"))
+
+
 def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
     """(node, label): the smallest node each node is linked to, directly or not; by neighbours' minimum and pointer jumping."""
     both = cut(links.select(F.col("a").alias("node"), F.col("b").alias("other")).unionByName(links.select(F.col("b").alias("node"), F.col("a").alias("other"))))
@@ -202,9 +221,9 @@ def node_labels(rows: DataFrame, docs: DataFrame, id_col: str, text_col: str, th
     """(node, label) of the nodes that share a bucket; `rows` are the written signatures."""
     node = F.struct("d1", "d2").alias("node")
     reps = rows.filter("d1 is not null").groupBy("d1", "d2").agg(F.min("id").alias("id"), F.first("size").alias("size"), F.first("bands").alias("bands"))
-    members = reps.select(F.explode("bands").alias("key"), "d1", "d2")
+    members = reps.select(F.posexplode("bands").alias("band", "key"), "d1", "d2")
     shared = members.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
-    crowded = cut(members.join(shared, "key").select("key", "n", node))
+    crowded = cut(members.join(shared, "key").select("key", "band", "n", node))
     company = crowded.groupBy("node").agg(F.sum("n").alias("company"))
     sizes = rows.filter("d1 is not null").groupBy("d1", "d2").agg(F.min("id").alias("id"), F.min("size").alias("size")).select(node, "id", "size")
     known = cut(company.join(sizes, "node"))
@@ -215,10 +234,9 @@ def node_labels(rows: DataFrame, docs: DataFrame, id_col: str, text_col: str, th
 
     def matching(batches):
         for batch in batches:
-            data = texts(batch.column(1))
             asked = batch.column(0).flatten()
-            for start, n in slices([len(t) for t in data]):
-                d1, d2 = digests(words(data[start:start + n]), n)
+            for start, n, data in text_slices(batch.column(1)):
+                d1, d2 = digests(words(data), n)
                 same = (asked[0].slice(start, n).to_numpy() == d1) & (asked[1].slice(start, n).to_numpy() == d2)
                 yield batch.slice(start, n).filter(pa.array(same)).select([0, 1])
 
@@ -245,13 +263,22 @@ def node_labels(rows: DataFrame, docs: DataFrame, id_col: str, text_col: str, th
     first = with_facts.groupBy("key").agg(lead.alias("l")).select("key", F.col("l.node").alias("leader"))
     near = cut(with_facts.join(labels, "node").join(first, "key").filter("node <> leader")
                .join(cut(tested).select(F.col("a").alias("leader"), F.col("b").alias("node"), "jaccard"), ["leader", "node"], "left")
-               .select("key", "node", "label", "size", F.coalesce("jaccard", F.lit(-1.0)).alias("jaccard")))
+               .select("key", "band", "node", "label", "size", F.coalesce("jaccard", F.lit(-1.0)).alias("jaccard")))
     split = near.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high").select("key")
     mixed = cut(near.join(split, "key"))
-    x, y = mixed.select("key", *[F.col(c).alias(f"{c}_x") for c in ("node", "label", "size", "jaccard")]), mixed.select("key", *[F.col(c).alias(f"{c}_y") for c in ("node", "label", "size", "jaccard")])
+    # elements that no other of these texts has cannot be shared: they bound every Jaccard of their text
+    mixed = cut(mixed.join(_own_elements(held.join(mixed.select("node").distinct(), "node")), "node", "left").withColumn("common", F.col("size") - F.coalesce("own", F.lit(0))))
+    bands = rows.select(node, "bands").join(mixed.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"])
+    mixed = cut(mixed.join(bands, "node"))
+    columns = ("node", "label", "size", "jaccard", "common", "bands")
+    x, y = (mixed.select("key", "band", *[F.col(c).alias(f"{c}_{side}") for c in columns]) for side in "xy")
+    shared = F.least("common_x", "common_y")
     possible = ((F.col("node_x") < F.col("node_y")) & (F.col("label_x") != F.col("label_y")) & (F.least("size_x", "size_y") >= threshold * F.greatest("size_x", "size_y"))
+                & (shared >= threshold * (F.col("size_x") + F.col("size_y") - shared) - 1e-9)
                 & ((F.col("jaccard_x") < 0) | (F.col("jaccard_y") < 0) | (F.abs(F.col("jaccard_x") - F.col("jaccard_y")) <= 1 - threshold + 1e-9)))
-    pairs = x.join(y, (x["key"] == y["key"]) & possible).select(F.col("node_x").alias("a"), F.col("node_y").alias("b")).distinct()
+    # a pair is looked at in the first band it shares
+    met = F.array_position(F.zip_with("bands_x", "bands_y", lambda a, b: a == b), True) == x["band"] + 1
+    pairs = x.join(y, (x["key"] == y["key"]) & possible & met).select(F.col("node_x").alias("a"), F.col("node_y").alias("b")).distinct()
     rest = cut(_verified(pairs, held)).filter(F.col("jaccard") >= threshold)
     return components(facts.select("node"), links.unionByName(rest))
 
