@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StructField, StructType
 
-from graftline.llm.rows import quoted, slices, texts
+from graftline.llm.rows import quoted, small_batches, text_slices
 from graftline.llm.words import mix, powers, words
 
 #: Share of an item's words that may be edited; walks, tables of each, steps sampled by each; runs of words; words of a block of items.
@@ -193,7 +193,7 @@ def matches(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col:
             edits: float = EDITS, block_words: int = BLOCK_WORDS) -> DataFrame:
     """One row per passage: id, item id, first_word, end_word (places in the text's words), distance (edited words), item_words."""
     sc = docs.sparkSession.sparkContext
-    slim = docs.select(quoted(id_col).alias(id_col), quoted(text_col))
+    slim = small_batches(docs).select(quoted(id_col).alias(id_col), quoted(text_col))
     item_type = items.schema[item_id_col].dataType
     schema = StructType([slim.schema[0], StructField(item_id_col, item_type), *[StructField(c, IntegerType()) for c in ("first_word", "end_word", "distance", "item_words")]])
     result = docs.sparkSession.createDataFrame([], schema)
@@ -204,9 +204,8 @@ def matches(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col:
             held = Items(sent.value[0], edits)
             ids = sent.value[1]
             for batch in batches:
-                data = texts(batch.column(1))
-                for start, n in slices([len(t) for t in data]):
-                    if found := find(held, data[start:start + n]):
+                for start, _, data in text_slices(batch.column(1)):
+                    if found := find(held, data):
                         text, item, *rest = zip(*found, strict=True)
                         size = [int(held.size[i]) for i in item]
                         yield pa.RecordBatch.from_pydict({id_col: batch.column(0).take(pa.array([start + t for t in text])), item_id_col: pa.array([ids[i] for i in item]),
@@ -219,16 +218,15 @@ def matches(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col:
 def without_leaks(docs: DataFrame, items: DataFrame, text_col: str = "text", item_text_col: str = "text", edits: float = EDITS, block_words: int = BLOCK_WORDS) -> DataFrame:
     """The rows of `docs` whose text holds no item; decided where the rows lie, without a join."""
     sc = docs.sparkSession.sparkContext
-    kept, place = docs, docs.columns.index(text_col)
+    kept, place = small_batches(docs), docs.columns.index(text_col)
     for block in _blocks(items.withColumn("__n", F.lit(0)), "__n", item_text_col, block_words):
         sent = sc.broadcast([t for _, t in block])
 
         def run(batches, sent=sent):
             held = Items(sent.value, edits)
             for batch in batches:
-                data = texts(batch.column(place))
-                for start, n in slices([len(t) for t in data]):
-                    leaks = {f[0] for f in find(held, data[start:start + n])}
+                for start, n, data in text_slices(batch.column(place)):
+                    leaks = {f[0] for f in find(held, data)}
                     yield batch.slice(start, n).filter(pa.array([i not in leaks for i in range(n)], pa.bool_()))
 
         kept = kept.select(*[quoted(c) for c in kept.columns]).mapInArrow(run, kept.schema)

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
-from graftline.llm.rows import quoted, slices, texts
+from graftline.llm.rows import quoted, small_batches, text_slices
 from graftline.llm.words import words
 
 #: Phrases whose every place counts, with their labels.
@@ -80,14 +80,13 @@ def _salted(grams: np.ndarray, k: int) -> np.ndarray:
 
 def rolling_grams(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id, text_key, at, gram): all rolling runs of both lengths of every text, and one row with its number of words."""
-    slim = df.select(quoted(id_col).alias("id"), F.xxhash64(quoted(text_col)).alias("text_key"), quoted(text_col))
+    slim = small_batches(df).select(quoted(id_col).alias("id"), F.xxhash64(quoted(text_col)).alias("text_key"), quoted(text_col))
     schema = StructType([slim.schema["id"], slim.schema["text_key"], StructField("at", IntegerType()), StructField("gram", LongType())])
 
     def run(batches):
         for batch in batches:
-            data = texts(batch.column(2))
-            for start, n in slices([len(t) for t in data]):
-                w = words(data[start:start + n])
+            for start, n, data in text_slices(batch.column(2)):
+                w = words(data)
                 text, at, gram = [np.arange(n)], [np.diff(w.first)], [np.full(n, COUNTS, np.int64)]
                 for k in (K_PHRASE, K):
                     h, first = w.window(k)

@@ -27,7 +27,7 @@ from graftline.llm.rows import add_from_text, quoted, slices, texts
 from graftline.llm.words import words
 
 #: Labelled rows learned from; cells of hashed words; rank of the interactions; passes, step and shrinkage of the fit; rows of a step.
-SAMPLE, CELLS, RANK, PASSES, STEP, SHRINK, LOT = 12_000, 1 << 16, 8, 12, 0.05, 1e-5, 128
+SAMPLE, CELLS, RANK, PASSES, STEP, SHRINK, LOT = 8_000, 1 << 16, 8, 12, 0.05, 1e-5, 128
 _CLASSES = 13
 _CLASS = np.full(256, 10, np.uint8)  # further punctuation
 for _code, _bytes in enumerate([b"abcdefghijklmnopqrstuvwxyz", b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"0123456789", b" \t", b"\n\r", b"!?", b"|", b"#*$%&", b"<>=", b".,;:"]):

@@ -4,11 +4,22 @@ from __future__ import annotations
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DataType, StructField, StructType
 
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 18
+ARROW_ROWS = 1_000
+_ROWS_OF_A_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """Let the session hand texts to Python in batches of at most ARROW_ROWS rows, as a batch is held whole on both sides."""
+    conf = df.sparkSession.conf
+    if not 0 < int(conf.get(_ROWS_OF_A_BATCH)) <= ARROW_ROWS:
+        conf.set(_ROWS_OF_A_BATCH, str(ARROW_ROWS))
+    return df
 
 
 def texts(column: pa.Array) -> list[bytes]:
@@ -28,6 +39,13 @@ def slices(sizes: list[int], most: int = SLICE_BYTES) -> Iterator[tuple[int, int
         yield start, len(sizes) - start
 
 
+def text_slices(column: pa.Array, most: int = SLICE_BYTES) -> Iterator[tuple[int, int, list[bytes]]]:
+    """(start, length, texts) of runs of rows; only one run's texts are held at a time."""
+    sizes = pc.binary_length(column).fill_null(0).to_pylist()
+    for start, n in slices(sizes, most):
+        yield start, n, texts(column.slice(start, n))
+
+
 def without(df: DataFrame, names: Iterable[str]) -> DataFrame:
     """The frame without columns of these names, in any case; what an operator adds replaces what came under the same name."""
     gone = {n.lower() for n in names}
@@ -45,6 +63,7 @@ def add_from_text(df: DataFrame, text_col: str, added: list[tuple[str, DataType]
     `make` runs once in each task and returns the function from texts to arrays, one array for each added column.  Input columns
     with the name of an added one are replaced; the text goes on to the result unless `keep_text` is off."""
     names = [n for n, _ in added]
+    small_batches(df)
     carried = without(df, names if keep_text else [*names, text_col])
     shown = text_col in carried.columns
     staged = df.select(*[quoted(c) for c in carried.columns], *([] if shown else [quoted(text_col).alias("__text")]))
@@ -54,9 +73,8 @@ def add_from_text(df: DataFrame, text_col: str, added: list[tuple[str, DataType]
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = make()
         for batch in batches:
-            data = texts(batch.column(place))
-            for start, n in slices([len(t) for t in data]):
+            for start, n, data in text_slices(batch.column(place)):
                 part = batch.slice(start, n)
-                yield pa.RecordBatch.from_arrays([*part.columns[:width], *work(data[start:start + n])], [*part.schema.names[:width], *names])
+                yield pa.RecordBatch.from_arrays([*part.columns[:width], *work(data)], [*part.schema.names[:width], *names])
 
     return staged.mapInArrow(run, schema)

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
 from graftline.llm.bpe import PreTokens, Remembered, Vocabulary, default_tokenizer
-from graftline.llm.rows import add_from_text, quoted, texts
+from graftline.llm.rows import add_from_text, quoted, small_batches, text_slices
 
 #: Entries of the broadcast table, pre-tokens of one task's summary and of the head it passes on, remembered misses of one task.
 FREQUENT, SUMMARY, HEAD, REMEMBERED = 32_768, 100_000, 4_096, 300_000
@@ -32,14 +32,15 @@ def _heads(df: DataFrame, text_col: str, content: Any) -> DataFrame:
     def run(batches):
         cut, counts = PreTokens(content.value, Vocabulary(content.value)), Counter()
         for batch in batches:
-            for t in texts(batch.column(0)):
-                counts.update(cut(t.decode("utf-8", "replace")))
+            for _, _, data in text_slices(batch.column(0)):
+                for t in data:
+                    counts.update(cut(t.decode("utf-8", "replace")))
                 if len(counts) > SUMMARY:
                     counts = Counter(dict(counts.most_common(SUMMARY // 2)))
         head = counts.most_common(HEAD)
         yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in head], pa.string()), pa.array([n for _, n in head], pa.int64())], ["word", "n"])
 
-    return df.select(quoted(text_col)).mapInArrow(run, "word string, n long")
+    return small_batches(df).select(quoted(text_col)).mapInArrow(run, "word string, n long")
 
 
 def frequent_lengths(df: DataFrame, text_col: str, content: Any, frequent: int = FREQUENT) -> tuple[bytes, bytes]:

@@ -23,11 +23,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, IntegerType, LongType, StructField, StructType
 
-from graftline.llm.rows import add_from_text, quoted, slices, texts
+from graftline.llm.rows import add_from_text, quoted, small_batches, text_slices
 from graftline.plans.lineage import cut
 
 #: Labelled rows of each class used as examples; terms at most; chi-square a term needs; neighbours; weight of the prior; examples of a block.
-EXAMPLES, TERMS, LEAST_CHI2, NEIGHBOURS, PRIOR, BLOCK = 4_000, 2_048, 25.0, 15, 0.5, 64
+EXAMPLES, TERMS, LEAST_CHI2, NEIGHBOURS, PRIOR, BLOCK = 2_000, 1_024, 25.0, 15, 0.5, 256
 LENGTHS = (4, 5, 6)
 _BITS = 22
 _SHIFT = np.uint64(64 - _BITS)
@@ -88,10 +88,10 @@ def _count_buckets(sample: DataFrame) -> DataFrame:
     def run(batches):
         count = np.zeros((2, 1 << _BITS), np.int32)
         for batch in batches:
-            data, label = texts(batch.column(0)), batch.column(1).to_numpy()
-            for start, n in slices([len(t) for t in data]):
+            label = batch.column(1).to_numpy()
+            for start, n, data in text_slices(batch.column(0)):
                 own = label[start:start + n]
-                parts = [(text[inside].astype(np.uint64) << np.uint64(_BITS)) | ((key[inside] * _ODD) >> _SHIFT) for _, key, inside, text in grams(data[start:start + n])]
+                parts = [(text[inside].astype(np.uint64) << np.uint64(_BITS)) | ((key[inside] * _ODD) >> _SHIFT) for _, key, inside, text in grams(data)]
                 both, _ = distinct(np.concatenate(parts))
                 for c in (0, 1):
                     mine = both[own[(both >> np.uint64(_BITS)).astype(np.int64)] == c]
@@ -114,10 +114,10 @@ def _count_keys(sample: DataFrame, buckets: np.ndarray) -> DataFrame:
     def run(batches):
         marks = np.unpackbits(sent.value).astype(bool)
         for batch in batches:
-            data, label = texts(batch.column(0)), batch.column(1).to_numpy()
-            for start, n in slices([len(t) for t in data]):
+            label = batch.column(1).to_numpy()
+            for start, n, data in text_slices(batch.column(0)):
                 keys, labels = [], []
-                for _, key, inside, text in grams(data[start:start + n]):
+                for _, key, inside, text in grams(data):
                     at = np.flatnonzero(marks[(key * _ODD) >> _SHIFT] & inside)
                     k, t = key[at], text[at]
                     order = np.lexsort((k, t))
@@ -203,7 +203,7 @@ def examples(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, lab
 def build_index(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", train: Column | None = None,
                 most: int = EXAMPLES, terms: int = TERMS, least_chi2: float = LEAST_CHI2) -> tuple[np.ndarray, Index]:
     """The chosen terms and the index of the examples."""
-    sc = docs.sparkSession.sparkContext
+    sc = small_batches(docs).sparkSession.sparkContext
     sample, stands = examples(docs, labels, id_col, text_col, label_col, most, F.lit(True) if train is None else train)
     n = {r["label"]: r["n"] for r in sample.groupBy("label").agg(F.count("*").alias("n")).collect()}
     n_toxic, n_clean = n.get(1, 0), n.get(0, 0)
@@ -220,20 +220,18 @@ def build_index(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text
         own = Terms(sent.value)
         n, total = np.zeros(len(own.keys) + 1, np.int64), 0
         for batch in batches:
-            data = texts(batch.column(0))
-            for start, many in slices([len(t) for t in data]):
-                _, term, _ = own.counts(data[start:start + many])
+            for _, _, data in text_slices(batch.column(0)):
+                _, term, _ = own.counts(data)
                 n[:-1] += np.bincount(term, minlength=len(own.keys))
-            total += len(data)
+            total += batch.num_rows
         n[-1] = total
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(n))), pa.array(n)], ["term", "n"])
 
     def vectors(batches):
         own = Terms(sent.value)
         for batch in batches:
-            data = texts(batch.column(0))
-            for start, many in slices([len(t) for t in data]):
-                text, term, count = own.counts(data[start:start + many])
+            for start, many, data in text_slices(batch.column(0)):
+                text, term, count = own.counts(data)
                 cuts = np.r_[0, np.cumsum(np.bincount(text, minlength=many))].astype(np.int32)
                 yield pa.RecordBatch.from_arrays([batch.column(1).slice(start, many), batch.column(2).slice(start, many), pa.ListArray.from_arrays(pa.array(cuts), pa.array(term)),
                                                   pa.ListArray.from_arrays(pa.array(cuts), pa.array(count.astype(np.int64)))], ["id", "label", "terms", "counts"])
