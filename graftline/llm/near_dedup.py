@@ -32,6 +32,7 @@ from graftline.llm.words import Words, mix, powers, words
 from graftline.plans.lineage import cut
 
 SHINGLE, THRESHOLD, BANDS, ROWS = 5, 0.8, 32, 6
+ROWS_OF_A_PART = 200_000
 _KEEP = np.uint64(20)  # bits of an element's hash left out where the text's number stands beside it
 _TICKS = float(1 << 32)
 
@@ -204,13 +205,15 @@ def _own_elements(held: DataFrame) -> DataFrame:
 
 def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
     """(node, label): the smallest node each node is linked to, directly or not; by neighbours' minimum and pointer jumping."""
-    both = cut(links.select(F.col("a").alias("node"), F.col("b").alias("other")).unionByName(links.select(F.col("b").alias("node"), F.col("a").alias("other"))))
-    state = cut(nodes.select("node", F.col("node").alias("label")))
+    # nodes are few beside the texts: no more partitions than they need, as each round writes them
+    parts = nodes.count() // ROWS_OF_A_PART + 1
+    both = cut(links.select(F.col("a").alias("node"), F.col("b").alias("other")).unionByName(links.select(F.col("b").alias("node"), F.col("a").alias("other"))).coalesce(4 * parts))
+    state = cut(nodes.select("node", F.col("node").alias("label")).coalesce(parts))
     while True:
         told = both.join(state.select(F.col("node").alias("other"), "label"), "other").groupBy("node").agg(F.min("label").alias("heard"))
         lower = state.join(told, "node", "left").select("node", F.col("label").alias("was"), F.least("label", "heard").alias("label"))
         jump = state.select(F.col("node").alias("label"), F.col("label").alias("further"))
-        after = cut(lower.join(jump, "label", "left").select("node", "was", F.least("label", "further").alias("label")))
+        after = cut(lower.join(jump, "label", "left").select("node", "was", F.least("label", "further").alias("label")).coalesce(parts))
         moved = after.filter("label <> was").limit(1).count()
         state = after.select("node", "label")
         if not moved:
