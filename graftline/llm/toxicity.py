@@ -48,7 +48,7 @@ def grams(data: list[bytes]):
     key, have = np.zeros(len(low), np.uint64), 0
     for n in LENGTHS:
         for j in range(have, n):
-            key[:len(low) - j] |= low[j:] << np.uint64(8 * j)
+            key[:max(len(low) - j, 0)] |= low[j:] << np.uint64(8 * j)
         have = n
         yield n, key | np.uint64(n << 56), left >= n, text
 
@@ -97,7 +97,7 @@ def _count_buckets(sample: DataFrame) -> DataFrame:
                     mine = both[own[(both >> np.uint64(_BITS)).astype(np.int64)] == c]
                     bucket, many = distinct((mine & np.uint64((1 << _BITS) - 1)).astype(np.int64))
                     count[c][bucket] += many.astype(np.int32)
-        at = np.flatnonzero(count[1] > 4)
+        at = np.flatnonzero(count[0] | count[1])
         for lot in range(0, len(at), 100_000):
             b = at[lot:lot + 100_000]
             yield pa.RecordBatch.from_arrays([pa.array(b), pa.array(count[1][b].astype(np.int64)), pa.array(count[0][b].astype(np.int64))], ["bucket", "toxic", "clean"])

@@ -213,6 +213,13 @@ def test_toxicity(spark):
     assert {r["predicted"] for r in toxicity.score(docs, labels.filter("toxic = 1")).collect()} == {1}
 
 
+def test_toxicity_by_any_layout(spark):
+    """Terms come from the counts of the whole sample, however few examples a task has."""
+    docs, labels, _ = labelled(spark)
+    one, many = ({(r["doc_id"], r["score"]) for r in toxicity.score(docs.repartition(n), labels).collect()} for n in (1, 200))
+    assert one == many and len({s for _, s in many}) > 2
+
+
 def test_nearest_is_exact():
     rng = np.random.default_rng(5)
     rows = []
