@@ -68,6 +68,18 @@ def test_near_classes(spark):
     assert sorted(i for i in ids if i is not None) == sorted({c for _, c, _ in want if c is not None}) and ids.count(None) == 1
 
 
+def test_near_classes_of_unequal_repeats(spark):
+    """Texts with equal elements are linked however often each repeats its lines."""
+    random.seed(8)
+    rows = []
+    for g in range(10):
+        lines = [" ".join("".join(random.choices("abcdefgh", k=7)) for _ in range(12)) for _ in range(20)]
+        rows += [(10 * g + c, " ".join(lines + [x for x in lines[:2] for _ in range(n)])) for c, n in enumerate((1, 50))]
+    want = brute_classes(rows)
+    assert all(n == 2 for *_, n in want)
+    assert order([tuple(r) for r in near_dedup.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()]) == order(want)
+
+
 def test_near_classes_of_documents(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     rows = [(r["doc_id"], r["text"]) for r in docs.collect()]
