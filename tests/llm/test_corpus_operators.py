@@ -178,6 +178,23 @@ def test_chats(spark):
     assert chat_format.format_chats(df.limit(0)).count() == 0
 
 
+def test_chats_lose_nothing(spark):
+    """Calls without an identifier, what stands beside calls, and further fields stay in the result."""
+    both = {"role": "assistant", "content": "Let me \"look\".", "refusal": None, "tool_calls": [{**call("a"), "type": "function", "z": {"y": [1], "b": None}}, {**call(None, "lookup", {"key": "k"}), "index": 3}]}
+    rows = [(1, 0, "assistant", json.dumps(both)), (1, 1, "tool", json.dumps({"tool_call_id": "a", "is_error": True, "content": "ok", "aa": "é"})), (1, 2, "system", json.dumps({"tool_calls": [call("b")]})),
+            (1, 3, "assistant", json.dumps({"content": None, "tool_calls": [call("c")]})), (1, 4, "assistant", json.dumps({"content": "x", "tool_calls": [call(None)]}))]
+    got = chat_format.format_chats(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()
+    assert all(r["json"] == json.dumps(json.loads(r["json"]), sort_keys=True, separators=(",", ":"), ensure_ascii=False) for r in got)
+    have = {(r["turn"], r["kind"], r["name"]): (r["call_id"], r["status"], r["errors"], json.loads(r["json"])) for r in got}
+    assert len(have) == len(got) == 8
+    assert have[0, "message", None] == (None, "beside_calls", "", {"role": "assistant", "content": 'Let me "look".', "refusal": None})
+    assert have[0, "call", "search"] == ("a", "linked", "", {"after": None, **both["tool_calls"][0]})
+    assert have[0, "call", "lookup"] == (None, "missing_id", "", {"after": None, **both["tool_calls"][1]})
+    assert have[1, "result", None] == ("a", "linked", "", {"tool_call_id": "a", "role": "tool", "is_error": True, "content": "ok", "aa": "é"})
+    assert have[2, "message", None] == (None, "beside_calls", "", {"role": "system", "content": None}) and have[2, "call", "search"][1] == "no_result"
+    assert have[3, "call", "search"][1] == "no_result" and have[4, "message", None] == (None, "plain", "", {"role": "assistant", "content": rows[4][3]})
+
+
 def test_long_chain(spark):
     n = 300
     rows = [(7, i, "assistant", json.dumps({"tool_calls": [call(f"c{i}", after=f"c{i - 1}")]})) for i in range(n)]
