@@ -32,9 +32,9 @@ P = 4
 #: Parts of each group's rows where they meet its estimate, so that a large group is no single task's.
 PARTS = 64
 #: Share of rows in the subset; quantile beyond which a row is rejected; rows a group needs; concentration steps.
-SHARE, TAIL, LEAST, STEPS = 0.75, 1 - 1e-9, 60, 4
-#: Smallest spread that counts, of the four ratios on the logarithmic scale.
-FLOOR = (0.08, 0.35, 0.6, 0.35)
+SHARE, TAIL, LEAST, STEPS = 0.75, 0.999, 60, 4
+#: Smallest spread that counts, of the four ratios on the logarithmic scale; small enough that each ratio alone can pass the cut-off.
+FLOOR = (0.08, 0.35, 0.35, 0.35)
 STATS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines"]
 VECTOR = [f"v{i}" for i in range(P)]
 PRODUCTS = [(i, j) for i in range(P) for j in range(i, P)]

@@ -132,6 +132,19 @@ def test_quality_rules(spark):
     assert all(r["distance"] is None for r in quality_rules.quality_rules(df.limit(20)).collect())
 
 
+def test_each_statistic_rejects(spark):
+    """A text that is odd in one statistic only is rejected, in a group whose centre has no repeats."""
+    rng = np.random.default_rng(3)
+    some = lambda n, size=5: ["".join(rng.choice(list("abcdefghijklm"), rng.integers(size - 2, size + 3))) for _ in range(n)]
+    lines = lambda n: [" ".join(some(9)) for _ in range(n)]
+    rows = [(i, "\n".join(lines(12))) for i in range(150)]
+    rows += [(200, "\n".join(" ".join(some(9, 15)) for _ in range(12))), (201, "\n".join(line.replace(" ", " # ") for line in lines(12))), (202, "\n".join(x for line in lines(12) for x in (line, "read more"))),
+             (203, "\n".join("kab ded fif gog " + " ".join(some(5)) for _ in range(12)))]
+    got = {r["doc_id"]: r for r in quality_rules.quality_rules(spark.createDataFrame([(*r, "en", "s") for r in rows], "doc_id long, text string, lang string, source string")).collect()}
+    assert not any(r["base_failed"] for r in got.values()) and (got[202]["n_repeat_words"], got[203]["n_dup_lines"]) == (0, 0)
+    assert {i for i, r in got.items() if not r["kept"]} == {200, 201, 202, 203}
+
+
 def test_licenses(spark):
     mit = licenses.TEMPLATES[2][1]
     edited = mit.replace("free of charge", "at no charge").replace("including without limitation", "including")
