@@ -1,10 +1,9 @@
 """Toxicity by the nearest labelled examples.
 
 Terms are runs of 4 to 6 bytes of the lower-cased text (other than letters and digits count as blanks), those that toxic examples hold
-more often than others by a chi-square of at least `least_chi2`; at most `terms` of them.  Texts and examples are TF-IDF vectors over these
-terms, document frequencies being counted over all documents.  Each text meets its `k` nearest examples by exact cosine: examples
-lie in blocks, each term has its largest weight in every block, blocks are tried by falling upper bound and left out as soon as the bound
-is below the kth cosine.  Neighbours vote with their cosine squared, times the rows of their class that an example stands for, against
+more often than others by a chi-square of at least `least_chi2`, all of them.  Texts and examples are TF-IDF vectors over these
+terms, document frequencies being counted over all documents.  Each text meets its `k` nearest examples by exact cosine: each
+term has its postings (examples that hold it, and its weight there), and the postings of the text's terms are added up.  Neighbours vote with their cosine squared, times the rows of their class that an example stands for, against
 a prior of fixed weight; the share of toxic votes is the score, the neighbours are the evidence.  A text without any term gets the
 smoothed share of toxic rows among the examples without any.
 
@@ -17,6 +16,8 @@ columns stay, those with the name of an added column are replaced; an empty tabl
 """
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -26,8 +27,8 @@ from pyspark.sql.types import ArrayType, DoubleType, IntegerType, LongType, Stru
 from graftline.llm.rows import add_from_text, quoted, small_batches, text_slices
 from graftline.plans.lineage import cut
 
-#: Labelled rows of each class used as examples; terms at most; chi-square a term needs; neighbours; weight of the prior; examples of a block.
-EXAMPLES, TERMS, LEAST_CHI2, NEIGHBOURS, PRIOR, BLOCK = 2_000, 1_024, 25.0, 15, 0.5, 256
+#: Labelled rows of each class used as examples; chi-square a term needs; neighbours; weight of the prior; examples of a block.
+EXAMPLES, LEAST_CHI2, NEIGHBOURS, PRIOR, BLOCK = 4_000, 25.0, 15, 0.5, 256
 LENGTHS = (4, 5, 6)
 _BITS = 22
 _SHIFT = np.uint64(64 - _BITS)
@@ -142,7 +143,7 @@ def _chi2(n_toxic: int, n_clean: int) -> Column:
 
 
 class Index:
-    """Examples as unit vectors in blocks, and each term's largest weight in each block."""
+    """Postings of each term: the examples that hold it, and its weight in their unit vectors."""
 
     def __init__(self, width: int, rows: list[tuple[int, int, float, np.ndarray, np.ndarray]], idf: np.ndarray, k: int = NEIGHBOURS, prior: float = PRIOR):
         """rows: (id, label, rows it stands for, terms, counts); `idf` by term."""
@@ -156,13 +157,24 @@ class Index:
         self.ids = np.array([r[0] for r in full], np.int64)
         self.labels = np.array([r[1] for r in full], np.int64)
         self.weights = np.array([r[2] for r in full], np.float64)
-        blocks = -(-len(full) // BLOCK)
-        self.vectors = np.zeros((max(blocks, 1), width, BLOCK), np.float32)
-        for i, r in enumerate(full):
-            self.vectors[i // BLOCK, r[3], i % BLOCK] = self.unit(r[3], r[4])
-        self.most = self.vectors.max(2).T.astype(np.float64) if blocks else np.zeros((width, 0))
+        term = np.concatenate([r[3] for r in full]) if full else np.empty(0, np.int64)
+        weight = np.concatenate([self.unit(r[3], r[4]) for r in full]) if full else np.empty(0)
+        by_term = np.argsort(term, kind="stable")
+        self.who = np.repeat(np.arange(len(full), dtype=np.int32), [len(r[3]) for r in full])[by_term]
+        self.weight = weight[by_term].astype(np.float32)
+        self.starts = np.r_[0, np.cumsum(np.bincount(term, minlength=width))].astype(np.int64)
         self.size = len(full)
 
+    @property
+    def vectors(self) -> Iterator[np.ndarray]:
+        """The unit vectors written out (term by example), BLOCK examples at a time."""
+        term = np.repeat(np.arange(len(self.starts) - 1), np.diff(self.starts))
+        for a in range(0, self.size, BLOCK):
+            mine = (self.who >= a) & (self.who < a + BLOCK)
+            block = np.zeros((len(self.starts) - 1, BLOCK), np.float32)
+            block[term[mine], self.who[mine] - a] = self.weight[mine]
+            yield block
+
     def unit(self, terms: np.ndarray, counts: np.ndarray) -> np.ndarray:
         w = (1 + np.log(counts)) * self.idf[terms]
         return w / np.sqrt((w * w).sum())
@@ -170,17 +182,13 @@ class Index:
     def nearest(self, terms: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(example, cosine) of the k nearest with a term in common, nearest first, ties by example."""
         q = self.unit(terms, counts)
-        bound = q @ self.most[terms]
-        who, cosine = np.empty(0, np.int64), np.empty(0)
-        for b in np.argsort(-bound, kind="stable"):
-            if bound[b] <= 0 or len(who) == self.k and bound[b] < cosine[-1] - 1e-6:
-                break
-            got = np.round(q @ self.vectors[b][terms], 6)
-            near = np.flatnonzero((got > 0) & (got > (cosine[-1] if len(who) == self.k else 0) - 1e-9))
-            who, cosine = np.concatenate([who, b * BLOCK + near]), np.concatenate([cosine, got[near]])
-            best = np.lexsort((who, -cosine))[:self.k]
-            who, cosine = who[best], cosine[best]
-        return who, cosine
+        many = self.starts[terms + 1] - self.starts[terms]
+        ends = np.cumsum(many)
+        at = np.repeat(self.starts[terms] - (ends - many), many) + np.arange(ends[-1])
+        cosine = np.round(np.bincount(self.who[at], weights=self.weight[at] * np.repeat(q, many), minlength=self.size), 6)
+        who = np.flatnonzero(cosine > 0)
+        who = who[np.lexsort((who, -cosine[who]))[:self.k]]
+        return who, cosine[who]
 
     def score(self, terms: np.ndarray, counts: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
         who, cosine = self.nearest(terms, counts) if len(terms) and self.size else (np.empty(0, np.int64), np.empty(0))
@@ -201,7 +209,7 @@ def examples(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, lab
 
 
 def build_index(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", train: Column | None = None,
-                most: int = EXAMPLES, terms: int = TERMS, least_chi2: float = LEAST_CHI2) -> tuple[np.ndarray, Index]:
+                most: int = EXAMPLES, least_chi2: float = LEAST_CHI2) -> tuple[np.ndarray, Index]:
     """The chosen terms and the index of the examples."""
     sc = small_batches(docs).sparkSession.sparkContext
     sample, stands = examples(docs, labels, id_col, text_col, label_col, most, F.lit(True) if train is None else train)
@@ -210,10 +218,10 @@ def build_index(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text
     keys = np.empty(0, np.uint64)
     if n_toxic and n_clean:
         counted = _count_buckets(sample).groupBy("bucket").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
-        buckets = [r["bucket"] for r in counted.filter(_chi2(n_toxic, n_clean) >= least_chi2).orderBy(F.desc(_chi2(n_toxic, n_clean)), "bucket").limit(2 * terms).select("bucket").collect()]
+        buckets = [r["bucket"] for r in counted.filter(_chi2(n_toxic, n_clean) >= least_chi2).select("bucket").collect()]
         if buckets:
-            chosen = _count_keys(sample, np.array(buckets)).filter(_chi2(n_toxic, n_clean) >= least_chi2).orderBy(F.desc(_chi2(n_toxic, n_clean)), "key").limit(terms)
-            keys = np.array([r["key"] for r in chosen.select("key").collect()], np.int64).view(np.uint64)
+            chosen = _count_keys(sample, np.array(buckets)).filter(_chi2(n_toxic, n_clean) >= least_chi2)
+            keys = np.sort(np.array([r["key"] for r in chosen.select("key").collect()], np.int64).view(np.uint64))
     sent = sc.broadcast(keys)
 
     def frequencies(batches):

@@ -233,6 +233,19 @@ def test_toxicity_by_any_layout(spark):
     assert one == many and len({s for _, s in many}) > 2
 
 
+def test_toxicity_has_all_terms(spark):
+    """Every run with the chi-square counts, so words beyond the first few still find their neighbours."""
+    rng = np.random.default_rng(6)
+    words = ["".join(rng.choice(list("klmnopqrstuvw"), 10)) for _ in range(80)]
+    rows = [(i, " ".join(rng.choice(words, 60)) if i % 2 else "plain text here", i % 2) for i in range(100)]
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    keys, index = toxicity.build_index(docs, spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int"))
+    runs = lambda t: {key for _, key, inside, _ in toxicity.grams([t.encode()]) for key in key[inside].tolist()}
+    held = [runs(t) for _, t, y in rows if y]
+    want = {k for k in set().union(*held) if (a := sum(k in h for h in held)) and 100 * a * a * 2500 / (a * (100 - a) * 2500) >= 25}
+    assert len(want) > 1500 and len(set(keys.tolist()) & want) >= 0.99 * len(want) and set(keys.tolist()) <= want and index.size == 50
+
+
 def test_nearest_is_exact():
     rng = np.random.default_rng(5)
     rows = []
