@@ -5,7 +5,7 @@ character classes, of distinct and of the most frequent word, of repeated three-
 as a standardised number and once as one of eight bins.  The model adds linear weights and all pairwise interactions of rank `rank`;
 a text is scored in time linear in its features by sum over k of ((sum v x)**2 - sum (v x)**2) / 2.
 
-The model is fitted on a bounded sample, the first `sample` labelled rows by hash of the id (with all labels if there are fewer), in
+The model is fitted on a bounded sample, one text of each of the first `sample` labelled ids by hash (all if there are fewer), in
 one task that sees only this sample; its size is fixed by the parameters and it is broadcast.  Documents are scored where they lie.
 
 Cases: null and empty texts have the statistics of no words; without labels every score is 0.5, with one class only its smoothed
@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, IntegerType
 
-from graftline.llm.rows import add_from_text, quoted, slices, texts
+from graftline.llm.rows import add_from_text, one_text, quoted, slices, texts
 from graftline.llm.words import words
 
 #: Labelled rows learned from; cells of hashed words; rank of the interactions; passes, step and shrinkage of the fit; rows of a step.
@@ -155,11 +155,11 @@ def fit(data: list[bytes], label: np.ndarray, seed: int = 11) -> Machine:
 
 
 def train_machine(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", train: Column | None = None, sample: int = SAMPLE) -> Machine:
-    """The machine fitted on the first labelled rows by hash of the id; `train` says which rows of `labels` may be learned from."""
+    """The machine fitted on the first labelled ids by hash, each with the first of its texts by hash; `train` says which rows of `labels` may be learned from."""
     allowed = F.lit(True) if train is None else train
     rows = labels.filter(quoted(label_col).isNotNull() & quoted(id_col).isNotNull() & allowed).groupBy(quoted(id_col).alias("id")).agg(F.max(quoted(label_col)).cast("int").alias("label"))
     chosen = F.broadcast(rows.orderBy(F.xxhash64("id"), "id").limit(sample))  # at most `sample` ids
-    learned = docs.select(quoted(id_col).alias("id"), quoted(text_col).alias("text")).join(chosen, "id").select("id", "text", "label")
+    learned = one_text(docs.select(quoted(id_col).alias("id"), quoted(text_col).alias("text")).join(chosen, "id")).select("id", "text", "label")
 
     def run(batches):
         data, label, ids = [], [], []

@@ -57,6 +57,11 @@ def quoted(name: str) -> Column:
     return F.col("`" + name.replace("`", "``") + "`")
 
 
+def one_text(labelled: DataFrame) -> DataFrame:
+    """(id, label, text) with one row for each id: the first of its texts by hash, found before the shuffle."""
+    return labelled.groupBy("id", "label").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
+
+
 def add_from_text(df: DataFrame, text_col: str, added: list[tuple[str, DataType]], make: Callable[[], Callable[[list[bytes]], list[pa.Array]]], keep_text: bool = True) -> DataFrame:
     """Append columns computed from the text column, task by task.
 

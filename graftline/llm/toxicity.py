@@ -7,7 +7,7 @@ term has its postings (examples that hold it, and its weight there), and the pos
 a prior of fixed weight; the share of toxic votes is the score, the neighbours are the evidence.  A text without any term gets the
 smoothed share of toxic rows among the examples without any.
 
-The examples are a bounded sample: the first `examples` labelled rows of each class by hash of the id.  Terms, vectors and the index
+The examples are a bounded sample: the first `examples` labelled ids of each class by hash, each with the first of its texts by hash.  Terms, vectors and the index
 are bounded by it and broadcast; documents are scanned where they lie and never shuffled.
 
 Cases: null and empty texts have no term; without labels every score is 0; with one class only, all texts get its smoothed share;
@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, IntegerType, LongType, StructField, StructType
 
-from graftline.llm.rows import add_from_text, quoted, small_batches, text_slices
+from graftline.llm.rows import add_from_text, one_text, quoted, small_batches, text_slices
 from graftline.plans.lineage import cut
 
 #: Labelled rows of each class used as examples; chi-square a term needs; neighbours; weight of the prior; examples of a block.
@@ -199,12 +199,12 @@ class Index:
 
 
 def examples(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, most: int, train: Column) -> tuple[DataFrame, dict[int, float]]:
-    """(id, label, text) of the sample, written to the shared folder, and for each class the labelled rows an example stands for."""
+    """(id, label, text) of the sample, one row for each id, written to the shared folder, and for each class the labelled rows an example stands for."""
     rows = labels.filter(quoted(label_col).isNotNull() & quoted(id_col).isNotNull() & train).groupBy(quoted(id_col).alias("id")).agg(F.max(quoted(label_col)).cast("int").alias("label"))
     total = {r["label"]: r["n"] for r in rows.groupBy("label").agg(F.count("*").alias("n")).collect()}
     first = [rows.filter(F.col("label") == c).orderBy(F.xxhash64("id"), "id").limit(most) for c in (0, 1)]
     chosen = F.broadcast(first[0].unionByName(first[1]))  # at most twice `most` ids
-    sample = cut(docs.select(quoted(id_col).alias("id"), quoted(text_col).alias("text")).join(chosen, "id"))
+    sample = cut(one_text(docs.select(quoted(id_col).alias("id"), quoted(text_col).alias("text")).join(chosen, "id")))
     return sample, {c: max(n / min(n, most), 1.0) for c, n in total.items()}
 
 

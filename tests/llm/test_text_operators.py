@@ -4,6 +4,7 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from graftline.llm import bpe, licenses, quality_classifier, quality_rules, token_counts, toxicity, url_filter
 
@@ -274,6 +275,16 @@ def test_quality_classifier(spark):
     assert len({r["score"] for r in quality_classifier.score(docs, labels.filter("quality = 1")).collect()}) == 1
 
 
+def test_one_text_of_an_id(spark):
+    """However many rows an id has, the fits see one of them."""
+    docs = spark.createDataFrame([(1, f"text {i % 5}") for i in range(500)] + [(2, "other"), (3, None)], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1, 1), (2, 0, 0), (3, 0, 0)], "doc_id long, toxic int, quality int")
+    sample, stands = toxicity.examples(docs, labels, "doc_id", "text", "toxic", 10, F.lit(True))
+    assert sorted((r["id"], r["label"]) for r in sample.collect()) == [(1, 1), (2, 0), (3, 0)] and stands == {0: 1.0, 1: 1.0}
+    one = docs.filter("doc_id > 1").unionByName(sample.filter("id = 1").select(F.col("id").alias("doc_id"), "text"))
+    assert quality_classifier.train_machine(docs, labels).bias == quality_classifier.train_machine(one, labels).bias
+
+
 def test_pairwise_sum():
     """The linear-time score equals the sum over all pairs of features."""
     data = [b"one two two three | !!", b"", b"four " * 50]
