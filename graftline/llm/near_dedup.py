@@ -224,16 +224,16 @@ def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
 def node_labels(rows: DataFrame, docs: DataFrame, id_col: str, text_col: str, threshold: float = THRESHOLD) -> DataFrame:
     """(node, label) of the nodes that share a bucket; `rows` are the written signatures."""
     node = F.struct("d1", "d2").alias("node")
-    reps = rows.filter("d1 is not null").groupBy("d1", "d2").agg(F.min("id").alias("id"), F.first("size").alias("size"), F.first("bands").alias("bands"))
+    reps = rows.filter("d1 is not null").groupBy("d1", "d2").agg(F.first("size").alias("size"), F.first("bands").alias("bands"))
     members = reps.select(F.posexplode("bands").alias("band", "key"), "d1", "d2")
     shared = members.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
     crowded = cut(members.join(shared, "key").select("key", "band", "n", node))
     company = crowded.groupBy("node").agg(F.sum("n").alias("company"))
-    sizes = rows.filter("d1 is not null").groupBy("d1", "d2").agg(F.min("id").alias("id"), F.min("size").alias("size")).select(node, "id", "size")
+    sizes = rows.filter("d1 is not null").groupBy("d1", "d2").agg(F.min(F.struct("id", "text_key")).alias("one"), F.min("size").alias("size")).select(node, "one", "size")
     known = cut(company.join(sizes, "node"))
-    # one text of each node that has company
-    wanted = known.select(F.col("id").alias("w_id"), "node")
-    slim = docs.select(quoted(id_col).alias("id"), quoted(text_col).alias("text"))
+    # one text of each node that has company, met by id and text, as an id may be null or on many rows
+    wanted = known.select(F.col("one.id").alias("w_id"), F.col("one.text_key").alias("w_key"), "node")
+    slim = docs.select(quoted(id_col).alias("id"), quoted(text_col).alias("text"), F.xxhash64(quoted(text_col)).alias("text_key"))
     schema = StructType([known.schema["node"], StructField("text", slim.schema["text"].dataType)])
 
     def matching(batches):
@@ -244,7 +244,7 @@ def node_labels(rows: DataFrame, docs: DataFrame, id_col: str, text_col: str, th
                 same = (asked[0].slice(start, n).to_numpy() == d1) & (asked[1].slice(start, n).to_numpy() == d2)
                 yield batch.slice(start, n).filter(pa.array(same)).select([0, 1])
 
-    held = cut(slim.join(wanted, slim["id"].eqNullSafe(F.col("w_id"))).select("node", "text").mapInArrow(matching, schema).dropDuplicates(["node"]))
+    held = cut(slim.join(wanted, slim["id"].eqNullSafe(F.col("w_id")) & (slim["text_key"] == F.col("w_key"))).select("node", "text").mapInArrow(matching, schema).dropDuplicates(["node"]))
     facts = known.select("node", "company", "size")
     with_facts = cut(crowded.join(facts, "node"))
     lead = F.max(F.struct("company", "node", "size"))

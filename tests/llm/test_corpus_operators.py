@@ -80,6 +80,28 @@ def test_near_classes_of_unequal_repeats(spark):
     assert order([tuple(r) for r in near_dedup.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()]) == order(want)
 
 
+def test_near_classes_of_one_id(spark, monkeypatch):
+    """Rows of one id (or none) are met by their text: no more texts are read than there are rows."""
+    random.seed(9)
+    rows = []
+    for g in range(60):
+        t = ["".join(random.choices("abcdefgh", k=6)) for _ in range(80)]
+        rows += [(None if g % 2 else 7, " ".join(t)), (None if g % 2 else 7, " ".join([*t, "more"]))]
+    seen = spark.sparkContext.accumulator(0)
+    plain = near_dedup.digests
+
+    def counted(w, n):
+        seen.add(n)
+        return plain(w, n)
+
+    monkeypatch.setattr(near_dedup, "digests", counted)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    written = df.sparkSession.createDataFrame(near_dedup.signatures(df, "doc_id", "text").collect(), near_dedup.signatures(df, "doc_id", "text").schema)
+    before = seen.value
+    assert near_dedup.node_labels(written, df, "doc_id", "text").select("label").distinct().count() == 60
+    assert seen.value - before <= len(rows)
+
+
 def test_near_classes_of_documents(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     rows = [(r["doc_id"], r["text"]) for r in docs.collect()]
