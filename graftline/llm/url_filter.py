@@ -82,9 +82,11 @@ def url_filter(df: DataFrame, url_col: str = "url", rules: list[tuple[str, str]]
     suffixes = by_suffix.select("suffix", ((F.col("blocks") + SMOOTH * share) / (F.col("n") + SMOOTH)).alias("f_suffix_share"), F.log1p("n").alias("f_suffix_count"))
     filled = {"f_suffix_share": F.coalesce("f_suffix_share", F.lit(share)), "f_suffix_count": F.coalesce("f_suffix_count", F.lit(0.0))}
     if 0 < overall["blocks"] < overall["n"]:
-        some = labelled.orderBy(F.xxhash64("url"), "url").limit(sample).join(suffixes, "suffix", "left").withColumns(filled)
+        # a url on many rows is one example of that weight
+        urls = labelled.groupBy("url").agg(*[F.first(c).alias(c) for c in labelled.columns if c != "url"], F.count("*").cast("double").alias("rows"))
+        some = urls.orderBy(F.xxhash64("url"), "url").limit(sample).join(suffixes, "suffix", "left").withColumns(filled)
         assembler = VectorAssembler(inputCols=FEATURES, outputCol="__x")
-        model = GBTClassifier(featuresCol="__x", labelCol="label", maxIter=TREES, maxDepth=DEPTH, seed=7, predictionCol="__y").fit(assembler.transform(some).coalesce(1))
+        model = GBTClassifier(featuresCol="__x", labelCol="label", weightCol="rows", maxIter=TREES, maxDepth=DEPTH, seed=7, predictionCol="__y").fit(assembler.transform(some).coalesce(1))
         flat = feats.select(F.struct(*[quoted(c) for c in kept.columns]).alias("__row"), "host", "path", "__rule", "__f.*").join(suffixes, "suffix", "left").withColumns(filled)
         scored = model.transform(assembler.transform(flat)).withColumn("score", vector_to_array("probability")[1])
     else:

@@ -200,6 +200,17 @@ def test_url_filter(spark):
     assert {r["verdict"] for r in url_filter.url_filter(df.filter("page_id in (0, 2)")).collect()} == {"allow"}
 
 
+def test_url_filter_samples_urls(spark):
+    """A url on many rows is one of the sample, not all of it."""
+    from pyspark.sql import functions as F
+
+    urls = [f"http://h{i}.com/{'de' if i % 2 else 'fr'}/{'x' * (i % 2 * 20)}{i}" for i in range(40)] + [f"http://k{i}.com/zz/{'x' * (i % 2 * 20)}{i}" for i in range(10)]
+    first = spark.createDataFrame([(u,) for u in urls[:40]], "url string").orderBy(F.xxhash64("url")).first()["url"]
+    df = spark.createDataFrame([(u,) for u in urls + [first] * 60], "url string")
+    got = url_filter.url_filter(df, sample=40).filter("rule is null").collect()
+    assert len(got) == 10 and len({r["score"] for r in got}) > 1
+
+
 def labelled(spark, n=120):
     rng = np.random.default_rng(4)
     words = ["".join(rng.choice(list("abcdefghij"), rng.integers(3, 8))) for _ in range(300)]
