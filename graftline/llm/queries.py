@@ -136,3 +136,11 @@ def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text", F.coalesce(remainder(3) == 1, F.lit(False)).alias("held_out"))
     scored = quality_classifier.score(docs, _table(spark, sf_dir, "labels"), train=remainder(3) != 1, keep_text=False)
     return scored.select("doc_id", "held_out", "score", "predicted")
+
+
+@_query
+def op11_pitman_yor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from graftline.llm import pitman_yor
+
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", F.coalesce(remainder(10) == 0, F.lit(False)).alias("held_out"))
+    return pitman_yor.score(docs, pitman_yor.fit(docs, remainder(10) != 0), ["doc_id", "held_out"])
