@@ -24,6 +24,7 @@ Cases: a null or empty text is one end; repeated rows are scored each by itself;
 """
 from __future__ import annotations
 
+import functools
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -38,8 +39,9 @@ from graftline.llm.rows import quoted, slices, small_batches, texts
 from graftline.llm.words import lower, mix, powers
 from graftline.plans.lineage import shared_folder
 
-#: Most restaurants of single words; classes; most pairs broadcast; tokens a task holds before it sends them; tokens of a bucket.
-CONTEXTS, CLASSES, FREQUENT, HELD_TOKENS, BUCKET_TOKENS = 4_096, 256, 100_000, 2_000_000, 4_000_000
+#: Most restaurants of single words; classes; most pairs broadcast; tokens a task holds before it sends them; tokens of a bucket;
+#: documents whose sums a task holds before it sends them.
+CONTEXTS, CLASSES, FREQUENT, HELD_TOKENS, BUCKET_TOKENS, HELD_SUMS = 4_096, 256, 100_000, 1_000_000, 500_000, 500_000
 #: Discount and strength of the root, of classes, of words.
 DISCOUNT, STRENGTH = (0.6, 0.75, 0.85), (1.0, 1.0, 1.0)
 EXACT, PROPOSALS = 24, 4
@@ -48,7 +50,6 @@ _BASE = 0x9E3779B97F4A7C15 | 1
 _BASE_INVERSE = pow(_BASE, -1, 2**64)
 _IN_WORD = np.ones(256, bool)
 _IN_WORD[[32, 9, 10, 11, 12, 13]] = False
-_ANY_WIDTH = "array<bigint>"
 
 
 @dataclass
@@ -115,17 +116,20 @@ class Contexts:
 # ---- seating ------------------------------------------------------------------------------
 def lgamma(x: np.ndarray) -> np.ndarray:
     """Logarithm of the gamma function for positive numbers, by Stirling's series after eight steps of the recurrence."""
-    x = np.asarray(x, np.float64)
-    shift = np.zeros_like(x)
-    y = x.copy()
-    for _ in range(8):
-        small = y < 8
-        shift[small] += np.log(y[small])
-        y[small] += 1
+    y = np.array(x, np.float64)
+    shift = 0.0
+    small = np.flatnonzero(y < 8)
+    if len(small):
+        shift = np.zeros_like(y)
+        while len(small):
+            shift[small] += np.log(y[small])
+            y[small] += 1
+            small = small[y[small] < 8]
     z = 1 / (y * y)
     return (y - 0.5) * np.log(y) - y + 0.9189385332046727 + (1 / 12 - z * (1 / 360 - z * (1 / 1260 - z / 1680))) / y - shift
 
 
+@functools.cache
 def stirling(d: float, most: int = EXACT) -> np.ndarray:
     """Logarithms of the generalised Stirling numbers: ways to seat c customers at t tables under discount d."""
     s = np.full((most + 1, most + 1), -np.inf)
@@ -162,8 +166,11 @@ def seat(c: np.ndarray, a: np.ndarray, d: float, rng: np.random.Generator) -> np
     t = np.minimum(c, 1).astype(np.int64)
     table = stirling(d)
     a = np.maximum(a, 1e-12)
+    some = np.flatnonzero((c > 1) & (c <= EXACT))
+    some = some[np.argsort(c[some], kind="stable")]
+    edge = np.searchsorted(c[some], np.arange(2, EXACT + 2))
     for n in range(2, EXACT + 1):
-        at = np.flatnonzero(c == n)
+        at = some[edge[n - 2]:edge[n - 1]]
         if len(at):
             weight = table[n, 1:n + 1] + np.log(a[at])[:, None] * np.arange(1, n + 1)
             upto = np.cumsum(np.exp(weight - weight.max(axis=1, keepdims=True)), axis=1)
@@ -236,7 +243,7 @@ class Dishes:
         customers = np.bincount(self.ctx[at], weights=self.count[at], minlength=size + 1) + np.bincount(self.cls, weights=self.above(t2), minlength=size + 1)
         tables = np.bincount(self.ctx[at], weights=t2[at], minlength=size + 1) + np.bincount(self.cls, weights=t1, minlength=size + 1)
         customers[size], tables[size] = t1.sum(), t0.sum()
-        return customers, tables
+        return customers.astype(np.int64), tables.astype(np.int64)
 
 
 # ---- jobs ---------------------------------------------------------------------------------
@@ -255,7 +262,7 @@ def _flat(column: pa.Array) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False)
 
 
-def _held(batches: Iterator[pa.RecordBatch], place: int, most: int = 1 << 22) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
+def _held(batches: Iterator[pa.RecordBatch], place: int, most: int = 1 << 19) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
     """Slices of rows with their texts, of bounded bytes."""
     for batch in batches:
         column = batch.column(place)
@@ -334,7 +341,10 @@ def _by_bucket(word: np.ndarray, buckets: int, columns: list[tuple[np.ndarray, p
                                        *[_lists(c[entry], entries_in, kind) for c, kind in columns]], ["bucket", "word", "many", *names])
 
 
-STATE = f"bucket int, word array<bigint>, many array<int>, ctx array<smallint>, n array<bigint>, t2 {_ANY_WIDTH}, t1 {_ANY_WIDTH}, t0 {_ANY_WIDTH}"
+#: A bucket: its words, pairs of each, their restaurants and customers; tables of the pairs, of the (word, class) pairs above them, of the
+#: words; customers and tables of all restaurants as far as this bucket goes.
+STATE = "bucket int, word array<bigint>, many array<int>, ctx array<smallint>, n array<bigint>, t2 array<bigint>, t1 array<bigint>, t0 array<bigint>, customers array<bigint>, tables array<bigint>"
+_SEATS = ["t2", "t1", "t0", "customers", "tables"]
 
 
 def _merged(sent: DataFrame, contexts) -> DataFrame:
@@ -361,14 +371,19 @@ def _merged(sent: DataFrame, contexts) -> DataFrame:
         first = np.flatnonzero(np.r_[True, word[1:] != word[:-1]])
         many = np.diff(np.r_[first, len(word)])
         dishes = Dishes(many, ctx, n, own)
-        row = [word[first].view(np.int64), many, ctx, n, *dishes.first()]
-        kinds = [pa.int64(), pa.int32(), pa.int16(), *[pa.int64()] * 4]
+        row = [word[first].view(np.int64), many, ctx, n, *_seated(dishes, dishes.first(), own)]
+        kinds = [pa.int64(), pa.int32(), pa.int16(), *[pa.int64()] * 6]
         yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), *[_lists(x, np.array([len(x)]), k) for x, k in zip(row, kinds, strict=True)]],
-                                         ["bucket", "word", "many", "ctx", "n", "t2", "t1", "t0"])
+                                         ["bucket", "word", "many", "ctx", "n", *_SEATS])
 
     return sent.groupBy("bucket").applyInArrow(run, STATE)
 
 
+def _seated(dishes: Dishes, seats: tuple[np.ndarray, ...], contexts: Contexts) -> list[np.ndarray]:
+    """Tables of a bucket and what they add to the totals."""
+    return [*seats, *dishes.tally(*seats, contexts.size)]
+
+
 def _dishes(batch: pa.RecordBatch, row: int, contexts: Contexts) -> tuple[Dishes, list[np.ndarray]]:
     one = {name: batch.column(name).slice(row, 1) for name in ("many", "ctx", "n", "t2", "t1", "t0")}
     many, ctx, n, t2, t1, t0 = (_flat(c).astype(np.int64) for c in one.values())
@@ -376,21 +391,21 @@ def _dishes(batch: pa.RecordBatch, row: int, contexts: Contexts) -> tuple[Dishes
 
 
 def _totals(state: DataFrame, contexts, v: int) -> Totals:
+    """Totals of all restaurants: each task adds up the rows it holds, so no more than one row per restaurant and task is shuffled."""
+    size = contexts.value.size + 1
+
     def run(batches):
-        own = contexts.value
-        customers = tables = np.zeros(own.size + 1)
+        total = np.zeros((2, size), np.int64)
         for batch in batches:
-            for row in range(batch.num_rows):
-                dishes, seats = _dishes(batch, row, own)
-                c, t = dishes.tally(*seats, own.size)
-                customers, tables = customers + c, tables + t
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(own.size + 1)), pa.array(customers), pa.array(tables)], ["ctx", "c", "t"])
+            for i in (0, 1):
+                total[i] += _flat(batch.column(i)).reshape(-1, size).sum(axis=0)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(size)), pa.array(total[0]), pa.array(total[1])], ["ctx", "c", "t"])
 
-    rows = state.mapInArrow(run, "ctx bigint, c double, t double").groupBy("ctx").agg(F.sum("c").alias("c"), F.sum("t").alias("t")).collect()  # one row per restaurant
-    customers, tables = np.zeros(contexts.value.size + 1), np.zeros(contexts.value.size + 1)
+    rows = state.select("customers", "tables").mapInArrow(run, "ctx bigint, c bigint, t bigint").groupBy("ctx").agg(F.sum("c").alias("c"), F.sum("t").alias("t")).collect()
+    totals = np.zeros((2, size))
     for r in rows:
-        customers[r["ctx"]], tables[r["ctx"]] = r["c"], r["t"]
-    return Totals(customers, tables, 1 / (v + 1))
+        totals[:, r["ctx"]] = r["c"], r["t"]
+    return Totals(totals[0], totals[1], 1 / (v + 1))
 
 
 def _swept(state: DataFrame, contexts, totals: Totals, seed: int) -> DataFrame:
@@ -402,7 +417,7 @@ def _swept(state: DataFrame, contexts, totals: Totals, seed: int) -> DataFrame:
             for row in range(batch.num_rows):
                 dishes, seats = _dishes(batch, row, own)
                 new = dishes.sweep(*seats, sent.value, np.random.default_rng([seed, batch.column(0)[row].as_py()]))
-                yield pa.RecordBatch.from_arrays([*[batch.column(i).slice(row, 1) for i in range(5)], *[_lists(x, np.array([len(x)]), pa.int64()) for x in new]], batch.schema.names)
+                yield pa.RecordBatch.from_arrays([*[batch.column(i).slice(row, 1) for i in range(5)], *[_lists(x, np.array([len(x)]), pa.int64()) for x in _seated(dishes, new, own)]], batch.schema.names)
 
     return state.mapInArrow(run, STATE)
 
@@ -438,7 +453,7 @@ def fit(docs: DataFrame, train: Column, text_col: str = "text", burn: int = 2, s
     for sweep in range(burn + samples):
         state = _written(_swept(state, contexts, _totals(state, contexts, v), seed * 1000 + sweep), f"sweep-{sweep}")
         if sweep >= burn:
-            kept.append(state.withColumn("sample", F.lit(sweep - burn)))
+            kept.append(state.drop("customers", "tables").withColumn("sample", F.lit(sweep - burn)))
             model.totals.append(_totals(state, contexts, v))
     model.seatings = kept[0]
     for k in kept[1:]:
@@ -531,7 +546,7 @@ def score(docs: DataFrame, model: Model, carry: list[str], text_col: str = "text
     def ask(batches):
         key, word_of, ctx_of, p_of, n_of, _ = sent.value
         task, lot = TaskContext.get().partitionId() << 32, 0
-        for part, data in _held(batches, 1, 1 << 23):
+        for part, data in _held(batches, 1, 1 << 21):
             found, lot = tokens(data), lot + 1
             ctx = contexts.value.of(found.before, found.before_cls)
             score, base, known = np.zeros(part.num_rows), np.zeros(part.num_rows), np.zeros(part.num_rows, np.int64)
@@ -561,7 +576,7 @@ def score(docs: DataFrame, model: Model, carry: list[str], text_col: str = "text
     asked = docs.select(own, quoted(text_col)).mapInArrow(ask, f"bucket int, lot bigint, row int, own {kind}, n_tokens bigint, n_known bigint, base_score double, score double, word array<bigint>, many array<int>, ctx array<smallint>, doc array<int>")
     if model.seatings is not None:  # seatings come first in their bucket
         here = model.seatings.select("bucket", "sample", "word", "many", "ctx", "n", "t2", "t1", "t0")
-        asked = asked.withColumn("sample", F.lit(None).cast("int")).withColumns({c: F.lit(None).cast(_ANY_WIDTH) for c in ("n", "t2", "t1", "t0")})
+        asked = asked.withColumn("sample", F.lit(None).cast("int")).withColumns({c: F.lit(None).cast("array<bigint>") for c in ("n", "t2", "t1", "t0")})
         asked = asked.unionByName(here, allowMissingColumns=True)
     else:
         asked = asked.withColumn("sample", F.lit(None).cast("int"))
@@ -569,9 +584,19 @@ def score(docs: DataFrame, model: Model, carry: list[str], text_col: str = "text
 
     def answer(batches):
         totals, unknown = sent.value[5], 1 / (v + 1)
-        judge, of = None, None
+        judge, of, sums, held = None, None, {}, 0
+        kind = None
+
+        def send():
+            for lot, (score, base, known) in sums.items():
+                docs_in = np.flatnonzero(score)  # no token has probability 1
+                k = len(docs_in)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(k, lot)), pa.array(docs_in, pa.int32()), pa.nulls(k, kind), pa.array(np.zeros(k, np.int64)), pa.array(known[docs_in].astype(np.int64)),
+                                                  pa.array(base[docs_in]), pa.array(score[docs_in])], shown)
+
         for batch in batches:
-            bucket, sample, row = (batch.column(c).to_pylist() for c in ("bucket", "sample", "row"))
+            kind = batch.schema.field("own").type
+            bucket, sample, row, lot = (batch.column(c).to_pylist() for c in ("bucket", "sample", "row", "lot"))
             own = np.flatnonzero([r is not None for r in row])
             if len(own):
                 yield pa.RecordBatch.from_arrays([batch.column(c).take(pa.array(own)) for c in shown], shown)
@@ -584,11 +609,15 @@ def score(docs: DataFrame, model: Model, carry: list[str], text_col: str = "text
                     word = np.repeat(_flat(batch.column("word").slice(i, 1)).view(np.uint64), _flat(batch.column("many").slice(i, 1)))
                     ctx, doc = _flat(batch.column("ctx").slice(i, 1)).astype(np.int64), _flat(batch.column("doc").slice(i, 1))
                     p, count = judge(word, ctx)
-                    docs_in, doc = np.unique(doc, return_inverse=True)
-                    k = len(docs_in)
-                    sums = [np.bincount(doc, weights=x, minlength=k) for x in (log_base(count), np.log10(p))]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(k, batch.column("lot")[i].as_py())), pa.array(docs_in, pa.int32()), pa.nulls(k, batch.schema.field("own").type), pa.array(np.zeros(k, np.int64)),
-                                                      pa.array(np.bincount(doc, weights=count > 0, minlength=k).astype(np.int64)), *[pa.array(s) for s in sums]], shown)
+                    new = np.stack([np.bincount(doc, weights=x) for x in (np.log10(p), log_base(count), count > 0)])
+                    old = sums.get(lot[i], np.empty((3, 0)))
+                    width = max(new.shape[1], old.shape[1])
+                    sums[lot[i]] = np.pad(new, ((0, 0), (0, width - new.shape[1]))) + np.pad(old, ((0, 0), (0, width - old.shape[1])))
+                    held += width - old.shape[1]
+                    if held > HELD_SUMS:
+                        yield from send()
+                        sums, held = {}, 0
+        yield from send()
 
     shown = ["lot", "row", "own", "n_tokens", "n_known", "base_score", "score"]
     answered = asked.mapInArrow(answer, f"lot bigint, row int, own {kind}, n_tokens bigint, n_known bigint, base_score double, score double")

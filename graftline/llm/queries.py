@@ -144,3 +144,48 @@ def op11_pitman_yor(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text", F.coalesce(remainder(10) == 0, F.lit(False)).alias("held_out"))
     return pitman_yor.score(docs, pitman_yor.fit(docs, remainder(10) != 0), ["doc_id", "held_out"])
+
+
+@_query
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from graftline.llm.hard_negatives import mine
+
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return mine(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, "vec_id", label, "embedding")
+
+
+ORACLES["op13_hard_negatives"] = """
+WITH e AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v
+           FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x::DOUBLE))) = 0),
+s AS (SELECT a.vec_id AS a, b.vec_id AS b, a.label = b.label AS same, list_sum(list_transform(list_zip(a.v, b.v), lambda p: p[1] * p[2]))::BIGINT AS score
+      FROM (SELECT * FROM e WHERE vec_id % 100 = 0) a JOIN e b ON a.vec_id <> b.vec_id),
+p AS (SELECT a, b, score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY a ORDER BY score DESC, b) <= 5)
+SELECT p.a AS anchor_id, p.b AS positive_id, row_number() OVER (PARTITION BY p.a, p.b ORDER BY s.score DESC, s.b)::INT AS rank, s.b AS negative_id, p.score AS positive_score, s.score AS negative_score
+FROM p JOIN s ON s.a = p.a AND NOT s.same AND 80 * p.score <= 100 * s.score AND 100 * s.score <= 100 * p.score
+QUALIFY row_number() OVER (PARTITION BY p.a, p.b ORDER BY s.score DESC, s.b) <= 5
+"""
+
+
+@_query
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from graftline.llm.prefix_trie import KEY, end_digests, prefix_trie
+
+    trie = prefix_trie(_table(spark, sf_dir, "conversations"), donor=lambda c: c - c % 100, taken=lambda c: F.crc32(c.cast("string")) % 6, most=5)
+    nodes = trie.nodes.join(end_digests(trie.ends), KEY, "left").withColumn("ends_sha256", F.coalesce("ends_sha256", F.sha2(F.lit(""), 256)))
+    return nodes.select("conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", "ends_sha256")
+
+
+ORACLES["op12_prefix_trie"] = """
+WITH ids AS (SELECT DISTINCT conv_id AS c FROM conversations WHERE conv_id IS NOT NULL),
+h AS (SELECT c, c - c % 100 AS donor, xor(list_reduce(list_prepend(4294967295::BIGINT, flatten(list_transform(string_split(c::VARCHAR, ''), lambda x: [ascii(x)::BIGINT, 0, 0, 0, 0, 0, 0, 0]))),
+  lambda s, x: xor(xor(s, x) >> 1, 3988292384::BIGINT * (xor(s, x) & 1))), 4294967295::BIGINT) % 6 AS h FROM ids),
+t AS (SELECT conv_id AS c, list({'r': coalesce(role, ''), 't': coalesce(text, '')} ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS ts FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id),
+r AS (SELECT h.c, list_concat(coalesce(d.ts[1:h], []), o.ts[h + 1:]) AS ts FROM h JOIN t o ON o.c = h.c LEFT JOIN t d ON d.c = h.donor),
+p AS (SELECT c, len(ts) AS n, unnest(range(len(ts) + 1)) AS depth, ts FROM r),
+k AS (SELECT c, n, depth, ts[1:depth] AS k, CASE WHEN depth > 0 THEN ts[1:depth - 1] END AS up, CASE WHEN depth > 0 THEN length(ts[depth].t) ELSE 0 END AS chars FROM p),
+n AS (SELECT k, depth, any_value(up) AS up, min(c) AS conv_id, count(*) AS n_convs, (count(*) - 1) * any_value(chars) AS saved, max(n) = depth AS leaf,
+  sha256(coalesce(string_agg(CASE WHEN n = depth THEN c::VARCHAR END, ',' ORDER BY c), '')) AS ends_sha256 FROM k GROUP BY k, depth),
+below AS (SELECT k.k, sum(saved)::BIGINT AS saved_tokens, sum(leaf::INT)::BIGINT AS n_leaves FROM (SELECT DISTINCT a.k, b.k AS x FROM k a JOIN k b ON a.c = b.c AND a.depth <= b.depth) k JOIN n ON n.k = k.x GROUP BY k.k)
+SELECT n.conv_id, n.depth, u.conv_id AS parent_conv_id, n.n_convs, coalesce(m.children, 0) AS n_children, n_leaves, saved_tokens, n.ends_sha256
+FROM n JOIN below USING (k) LEFT JOIN n u ON u.k = n.up AND u.depth = n.depth - 1 LEFT JOIN (SELECT up, count(*) AS children FROM n WHERE depth > 0 GROUP BY up) m ON m.up = n.k
+"""
