@@ -11,7 +11,7 @@ totals of the at most CONTEXTS + CLASSES + 1 restaurants.  A sweep is one step o
 restaurant the whole seating is drawn anew, given the parent's predictive probability and the totals that the sweep before left (all
 dishes of a sweep at the same time).  Up to EXACT customers the number of tables is drawn from its exact distribution (generalised
 Stirling numbers); above, PROPOSALS parties are seated by the Chinese restaurant rule, jumping from one new table to the next by
-stick breaking, and one is drawn by importance.  After `burn` sweeps the seatings of `samples` sweeps are kept, and the probability of a
+stick breaking (from LARGE customers on in blocks of an eighth of those seated, with the mean chance of a block), and one is drawn by importance.  After `burn` sweeps the seatings of `samples` sweeps are kept, and the probability of a
 token is the mean of their predictive probabilities.
 
 Spark.  Words are 64-bit hashes.  Counts of (word, context) are combined inside tasks, shuffled by bucket of the word, and merged there as
@@ -20,7 +20,7 @@ arrays per bucket and slice of texts, buckets answer with sums per document.  Pa
 (no more than FREQUENT of them) are broadcast with their probability and are not sent, which keeps hot words out of the shuffle.
 
 Cases: a null or empty text is one end; repeated rows are scored each by itself; without training tokens every word is unknown; null
-`train` counts as false; an empty table gives an empty result; other columns named in `carry` come along under their names.
+`train` counts as false; an empty table gives an empty result; other columns named in `carry` come along, but for those with the name of an added one.
 """
 from __future__ import annotations
 
@@ -34,6 +34,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from graftline.llm.rows import quoted, slices, small_batches, texts
 from graftline.llm.words import lower, mix, powers
@@ -44,7 +45,7 @@ from graftline.plans.lineage import shared_folder
 CONTEXTS, CLASSES, FREQUENT, HELD_TOKENS, BUCKET_TOKENS, HELD_SUMS = 4_096, 256, 100_000, 1_000_000, 500_000, 500_000
 #: Discount and strength of the root, of classes, of words.
 DISCOUNT, STRENGTH = (0.6, 0.75, 0.85), (1.0, 1.0, 1.0)
-EXACT, PROPOSALS = 24, 4
+EXACT, PROPOSALS, LARGE = 24, 4, 256
 END = np.uint64(0xE4D0E4D0E4D0E4D1)
 _BASE = 0x9E3779B97F4A7C15 | 1
 _BASE_INVERSE = pow(_BASE, -1, 2**64)
@@ -141,21 +142,38 @@ def stirling(d: float, most: int = EXACT) -> np.ndarray:
     return s
 
 
-def _parties(c: np.ndarray, a: np.ndarray, d: float, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
+def _parties(c: np.ndarray, a: np.ndarray, d: float, rng: np.random.Generator, large: int = LARGE) -> tuple[np.ndarray, np.ndarray]:
     """(tables, log weight) of customers seated one after the other by the Chinese restaurant rule.
 
-    With x = seated - d * tables, the number of customers until the next new table is geometric with a Beta(x, a) chance of staying."""
+    With x = seated - d * tables, the number of customers until the next new table is geometric with a Beta(x, a) chance of staying.
+    From `large` customers on a block of them sits down at once; its new tables are binomial with the mean chance over the block, whose
+    tables are counted to the middle of the block."""
     t, j, weight = np.ones(len(c), np.int64), np.ones(len(c), np.int64), np.zeros(len(c))
-    live = np.flatnonzero(j < c)
+    live = np.flatnonzero(j < np.minimum(c, large))
     while len(live):
         x, al = j[live] - d * t[live], a[live]
         step = rng.geometric(np.maximum(1 - rng.beta(x, al), 1e-15))
-        left = c[live] - j[live]
+        left = np.minimum(c[live], large) - j[live]
         new = step <= left
         m = np.where(new, step, left)
         weight[live] += lgamma(al + x + m) - lgamma(al + x)
         j[live] += m
         t[live] += new
+        live = live[left > m]
+    live = np.flatnonzero(j < c)
+    while len(live):
+        x, al = j[live] - d * t[live], a[live]
+        m = np.minimum(j[live] // 8, c[live] - j[live])
+        grown = m * (1 - d * al / (al + x + 0.5 * m))  # of x over the block
+        grown = m * (1 - d * np.log1p(grown / (al + x)) * al / grown)
+        chance = np.minimum(np.log1p(grown / (al + x)) * al / grown, 1.0)
+        new = rng.binomial(m, chance)
+        end = x + m - d * new
+        # sum of log(a + x) over the block, its ends taken as the ends of a straight line
+        lo, hi = al + x, al + end
+        weight[live] += m * np.where(hi - lo > 1e-9 * lo, (hi * np.log(hi) - lo * np.log(lo)) / np.maximum(hi - lo, 1e-300) - 1, np.log(lo)) - 0.5 * np.log(hi / lo)
+        j[live] += m
+        t[live] += new
         live = live[j[live] < c[live]]
     return t, weight
 
@@ -247,10 +265,10 @@ class Dishes:
 
 
 # ---- jobs ---------------------------------------------------------------------------------
-def _written(df: DataFrame, name: str) -> DataFrame:
-    """The rows written to the shared folder and read again; arrays of small numbers take little room there."""
+def _written(df: DataFrame, name: str, rows: int = 0) -> DataFrame:
+    """The rows written to the shared folder (at most so many in a file) and read again; arrays of small numbers take little room there."""
     at = f"{shared_folder(df.sparkSession)}/pitman-yor-{uuid.uuid4().hex}-{name}"
-    df.write.parquet(at)
+    df.write.option("maxRecordsPerFile", rows).parquet(at)
     return df.sparkSession.read.parquet(at)
 
 
@@ -345,6 +363,7 @@ def _by_bucket(word: np.ndarray, buckets: int, columns: list[tuple[np.ndarray, p
 #: words; customers and tables of all restaurants as far as this bucket goes.
 STATE = "bucket int, word array<bigint>, many array<int>, ctx array<smallint>, n array<bigint>, t2 array<bigint>, t1 array<bigint>, t0 array<bigint>, customers array<bigint>, tables array<bigint>"
 _SEATS = ["t2", "t1", "t0", "customers", "tables"]
+_SUMS = ["own", "n_tokens", "n_known", "base_score", "score"]
 
 
 def _merged(sent: DataFrame, contexts) -> DataFrame:
@@ -448,10 +467,10 @@ def fit(docs: DataFrame, train: Column, text_col: str = "text", burn: int = 2, s
     model = Model(contexts, train_tokens, v, buckets, [], None)
     if not train_tokens:
         return model
-    state = _written(_merged(_sent_pairs(marked, text_col, contexts, buckets), contexts), "seats")
+    state = _written(_merged(_sent_pairs(marked, text_col, contexts, buckets), contexts), "seats", 4)
     kept = []
     for sweep in range(burn + samples):
-        state = _written(_swept(state, contexts, _totals(state, contexts, v), seed * 1000 + sweep), f"sweep-{sweep}")
+        state = _written(_swept(state, contexts, _totals(state, contexts, v), seed * 1000 + sweep), f"sweep-{sweep}", 4)
         if sweep >= burn:
             kept.append(state.drop("customers", "tables").withColumn("sample", F.lit(sweep - burn)))
             model.totals.append(_totals(state, contexts, v))
@@ -531,6 +550,8 @@ def _frequent(model: Model) -> DataFrame:
 
 def score(docs: DataFrame, model: Model, carry: list[str], text_col: str = "text") -> DataFrame:
     """Columns `carry`, n_tokens, n_known, base_score and score (log10) of every row."""
+    added = ("n_tokens", "n_known", "train_tokens", "base_score", "score")
+    carry = [c for c in carry if c.lower() not in added]
     spark = small_batches(docs).sparkSession
     frequent = _frequent(model).collect() if model.seatings is not None else []  # at most FREQUENT pairs
     order = np.argsort(np.array([r["word"] for r in frequent], np.int64).view(np.uint64) * np.uint64(CONTEXTS + CLASSES) + np.array([r["ctx"] for r in frequent], np.uint64)) if frequent else []
@@ -560,20 +581,23 @@ def score(docs: DataFrame, model: Model, carry: list[str], text_col: str = "text
                 base += np.bincount(found.text[near], weights=log_base(n_of[at]), minlength=part.num_rows)
                 known += np.bincount(found.text[near], minlength=part.num_rows)
             size = np.bincount(found.text, minlength=part.num_rows)
-            lots = pa.array(np.full(part.num_rows, task + lot))
-            yield pa.RecordBatch.from_arrays([pa.array((np.arange(part.num_rows) + lot) % buckets, pa.int32()), lots, pa.array(np.arange(part.num_rows), pa.int32()), part.column(0), pa.array(size, pa.int64()),
-                                              pa.array(known), pa.array(base), pa.array(score), *[pa.nulls(part.num_rows, t) for t in empty.values()]], names)
+            whole = np.array([part.num_rows])
+            own = pa.ListArray.from_arrays(pa.array([0, part.num_rows], pa.int32()), part.column(0))
+            yield pa.RecordBatch.from_arrays([pa.array([lot % buckets], pa.int32()), pa.array([task + lot]), own, *[_lists(x, whole, t) for x, t in ((size, pa.int64()), (known, pa.int64()), (base, pa.float64()), (score, pa.float64()))],
+                                              *[pa.nulls(1, t) for t in empty.values()]], names)
             order = np.flatnonzero(far)
             order = order[np.argsort(found.word[order], kind="stable")]
             if len(order):
                 rows = _by_bucket(found.word[order], buckets, [(ctx[order], pa.int16()), (found.text[order], pa.int32())], ["ctx", "doc"])
                 k = rows.num_rows
-                yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(np.full(k, task + lot)), pa.nulls(k, pa.int32()), pa.nulls(k, part.column(0).type), *[pa.nulls(k, t) for t in (pa.int64(), pa.int64(), pa.float64(), pa.float64())], *rows.columns[1:]], names)
+                yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(np.full(k, task + lot)), pa.nulls(k, own.type), *[pa.nulls(k, pa.list_(t)) for t in (pa.int64(), pa.int64(), pa.float64(), pa.float64())], *rows.columns[1:]], names)
 
-    names = ["bucket", "lot", "row", "own", "n_tokens", "n_known", "base_score", "score", *empty]
+    names = ["bucket", "lot", *_SUMS, *empty]
     own = F.struct(*[quoted(c) for c in carry]).alias("own")
-    kind = docs.select(own).schema["own"].dataType.simpleString()
-    asked = docs.select(own, quoted(text_col)).mapInArrow(ask, f"bucket int, lot bigint, row int, own {kind}, n_tokens bigint, n_known bigint, base_score double, score double, word array<bigint>, many array<int>, ctx array<smallint>, doc array<int>")
+    shape = docs.select(own).schema["own"].dataType
+    kind = shape.simpleString()
+    sums = f"lot bigint, own array<{kind}>, n_tokens array<bigint>, n_known array<bigint>, base_score array<double>, score array<double>"
+    asked = docs.select(own, quoted(text_col)).mapInArrow(ask, f"bucket int, {sums}, word array<bigint>, many array<int>, ctx array<smallint>, doc array<int>")
     if model.seatings is not None:  # seatings come first in their bucket
         here = model.seatings.select("bucket", "sample", "word", "many", "ctx", "n", "t2", "t1", "t0")
         asked = asked.withColumn("sample", F.lit(None).cast("int")).withColumns({c: F.lit(None).cast("array<bigint>") for c in ("n", "t2", "t1", "t0")})
@@ -583,43 +607,53 @@ def score(docs: DataFrame, model: Model, carry: list[str], text_col: str = "text
     asked = asked.repartition("bucket").sortWithinPartitions("bucket", F.col("sample").asc_nulls_last())
 
     def answer(batches):
+        """Slices of texts with their own rows go on; of all others a task sends one row of sums per slice."""
         totals, unknown = sent.value[5], 1 / (v + 1)
-        judge, of, sums, held = None, None, {}, 0
-        kind = None
+        judge, of, found, held, kinds = None, None, {}, 0, None
 
         def send():
-            for lot, (score, base, known) in sums.items():
-                docs_in = np.flatnonzero(score)  # no token has probability 1
-                k = len(docs_in)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(k, lot)), pa.array(docs_in, pa.int32()), pa.nulls(k, kind), pa.array(np.zeros(k, np.int64)), pa.array(known[docs_in].astype(np.int64)),
-                                                  pa.array(base[docs_in]), pa.array(score[docs_in])], shown)
+            for lot, (score, base, known) in found.items():
+                whole = np.array([len(score)])
+                yield pa.RecordBatch.from_arrays([pa.array([lot]), pa.nulls(1, kinds[0]), pa.nulls(1, kinds[1]), _lists(known.astype(np.int64), whole, pa.int64()), _lists(base, whole, pa.float64()), _lists(score, whole, pa.float64())], ["lot", *_SUMS])
 
         for batch in batches:
-            kind = batch.schema.field("own").type
-            bucket, sample, row, lot = (batch.column(c).to_pylist() for c in ("bucket", "sample", "row", "lot"))
-            own = np.flatnonzero([r is not None for r in row])
-            if len(own):
-                yield pa.RecordBatch.from_arrays([batch.column(c).take(pa.array(own)) for c in shown], shown)
+            kinds = [batch.schema.field(c).type for c in ("own", "n_tokens")]
+            bucket, sample, lot = (batch.column(c).to_pylist() for c in ("bucket", "sample", "lot"))
+            own = batch.column("own").is_valid().to_pylist()
             for i in range(batch.num_rows):
                 if bucket[i] != of:
                     judge, of = Predictor(contexts.value, totals, unknown), bucket[i]
                 if sample[i] is not None:
                     judge.add(batch, i)
-                elif row[i] is None:
+                elif own[i]:
+                    yield pa.RecordBatch.from_arrays([batch.column(c).slice(i, 1) for c in ("lot", *_SUMS)], ["lot", *_SUMS])
+                else:
                     word = np.repeat(_flat(batch.column("word").slice(i, 1)).view(np.uint64), _flat(batch.column("many").slice(i, 1)))
                     ctx, doc = _flat(batch.column("ctx").slice(i, 1)).astype(np.int64), _flat(batch.column("doc").slice(i, 1))
                     p, count = judge(word, ctx)
                     new = np.stack([np.bincount(doc, weights=x) for x in (np.log10(p), log_base(count), count > 0)])
-                    old = sums.get(lot[i], np.empty((3, 0)))
+                    old = found.get(lot[i], np.empty((3, 0)))
                     width = max(new.shape[1], old.shape[1])
-                    sums[lot[i]] = np.pad(new, ((0, 0), (0, width - new.shape[1]))) + np.pad(old, ((0, 0), (0, width - old.shape[1])))
+                    found[lot[i]] = np.pad(new, ((0, 0), (0, width - new.shape[1]))) + np.pad(old, ((0, 0), (0, width - old.shape[1])))
                     held += width - old.shape[1]
                     if held > HELD_SUMS:
                         yield from send()
-                        sums, held = {}, 0
+                        found, held = {}, 0
         yield from send()
 
-    shown = ["lot", "row", "own", "n_tokens", "n_known", "base_score", "score"]
-    answered = asked.mapInArrow(answer, f"lot bigint, row int, own {kind}, n_tokens bigint, n_known bigint, base_score double, score double")
-    return (answered.groupBy("lot", "row").agg(F.first("own", ignorenulls=True).alias("own"), *[F.sum(c).alias(c) for c in shown[3:]])
-            .select("own.*", "n_tokens", "n_known", F.lit(n).cast("bigint").alias("train_tokens"), "base_score", "score"))
+    def add_up(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The rows of one slice of texts, its sums from all tasks added."""
+        own, size, total = None, None, None
+        for batch in batches:
+            mine = batch.column("own").is_valid().to_pylist()
+            for i in range(batch.num_rows):
+                if mine[i]:
+                    own, size = batch.column("own").slice(i, 1).flatten(), batch.column("n_tokens").slice(i, 1).flatten()
+                new = np.stack([_flat(batch.column(c).slice(i, 1)).astype(np.float64) for c in _SUMS[2:]])
+                width = max(new.shape[1], 0 if total is None else total.shape[1])
+                total = np.pad(new, ((0, 0), (0, width - new.shape[1]))) + (0 if total is None else np.pad(total, ((0, 0), (0, width - total.shape[1]))))
+        known, base, score = total
+        yield pa.RecordBatch.from_arrays([*own.flatten(), size, pa.array(known.astype(np.int64)), pa.array(np.full(len(size), n)), pa.array(base), pa.array(score)], [*carry, *added])
+
+    result = StructType([*shape.fields, *StructType.fromDDL("n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double").fields])
+    return asked.mapInArrow(answer, sums).groupBy("lot").applyInArrow(add_up, result)

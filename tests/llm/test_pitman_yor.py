@@ -95,6 +95,9 @@ def test_seating_is_drawn_from_the_conditional():
     got = np.bincount(t, weights=np.exp(weight - weight.max()), minlength=31)[1:]
     exact = np.exp(table[30, 1:] + np.log(a) * np.arange(1, 31))
     assert np.allclose(got / got.sum(), exact / exact.sum(), atol=0.005)
+    t, weight = py._parties(np.full(100_000, 30), np.full(100_000, a), d, rng, large=8)  # blocks
+    blocks = np.bincount(t, weights=np.exp(weight - weight.max()), minlength=31)[1:]
+    assert np.allclose(blocks / blocks.sum(), exact / exact.sum(), atol=0.02)
     assert np.allclose(py.lgamma(np.array([0.1, 1.0, 7.5, 1e6])), [math.lgamma(x) for x in (0.1, 1.0, 7.5, 1e6)])
     assert py.seat(np.array([0, 1]), np.array([1.0, 1.0]), d, rng).tolist() == [0, 1]
 
@@ -104,3 +107,15 @@ def test_held_out_text_is_likelier_than_by_the_base(spark):
 
     rows = queries()["op11_pitman_yor"](spark, "/root/testdata/sf0.001").where("held_out").collect()
     assert sum(r["score"] for r in rows) > sum(r["base_score"] for r in rows) + 0.2 * sum(r["n_tokens"] for r in rows)
+
+
+@pytest.mark.parametrize("a", [0.02, 3.0, 400.0])
+def test_blocks_seat_like_single_customers(a):
+    """Mean and spread of the tables of 3,000 customers, and the effective weights, with and without blocks."""
+    d, rng = 0.75, np.random.default_rng(8)
+    c = np.full(3_000, 3_000)
+    one, w1 = py._parties(c, np.full(len(c), a), d, rng, large=3_000)
+    many, w2 = py._parties(c, np.full(len(c), a), d, rng)
+    assert abs(one.mean() - many.mean()) < 0.02 * one.mean() + 4 * one.std() / 50
+    assert 0.85 < (one.std() + 0.05) / (many.std() + 0.05) < 1.18
+    assert abs(w1.mean() - w2.mean()) < 0.1 + 5 * w1.std() / 50
