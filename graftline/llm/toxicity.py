@@ -2,12 +2,19 @@
 
 Terms are runs of 4 to 6 bytes of the lower-cased text (other than letters and digits count as blanks), those that toxic examples hold
 more often than others by a chi-square of at least `least_chi2`, all of them.  Texts and examples are TF-IDF vectors over these
-terms, document frequencies being counted over all documents.  Each text meets its `k` nearest examples by exact cosine: each
-term has its postings (examples that hold it, and its weight there), and the postings of the text's terms are added up.  Neighbours vote with their cosine squared, times the rows of their class that an example stands for, against
+terms, document frequencies being counted over all documents.  Each text meets its `k` nearest examples by exact cosine.
+
+The index is inverted and cut into blocks of BLOCK examples, like ones together.  For each term and block that holds it, it has the
+postings (example, weight) and the largest weight.  The weights of a text's terms times those maxima bound its cosine with all examples
+of a block; a text visits its blocks from the highest bound down and stops where a bound lies below its k-th cosine, so most postings
+are never read and no neighbour is lost.  The texts of a slice visit their blocks together, one round for each place in that order.
+
+Neighbours vote with their cosine squared, times the rows of their class that an example stands for, against
 a prior of fixed weight; the share of toxic votes is the score, the neighbours are the evidence.  A text without any term gets the
 smoothed share of toxic rows among the examples without any.
 
-The examples are a bounded sample: the first `examples` labelled ids of each class by hash, each with the first of its texts by hash.  Terms, vectors and the index
+The examples are a bounded sample: the first `examples` labelled ids of each class by hash, each with the first of its texts by hash, as
+far as their texts go into EXAMPLE_BYTES.  Terms, vectors and the index
 are bounded by it and broadcast; documents are scanned where they lie and never shuffled.
 
 Cases: null and empty texts have no term; without labels every score is 0; with one class only, all texts get its smoothed share;
@@ -16,19 +23,20 @@ columns stay, those with the name of an added column are replaced; an empty tabl
 """
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, IntegerType, LongType, StructField, StructType
 
 from graftline.llm.rows import add_from_text, one_text, quoted, small_batches, text_slices
 from graftline.plans.lineage import cut
 
-#: Labelled rows of each class used as examples; chi-square a term needs; neighbours; weight of the prior; examples of a block.
-EXAMPLES, LEAST_CHI2, NEIGHBOURS, PRIOR, BLOCK = 4_000, 25.0, 15, 0.5, 256
+#: Labelled rows of each class used as examples, and the most bytes of their texts; chi-square a term needs; neighbours; weight of the prior; examples of a block.
+EXAMPLES, EXAMPLE_BYTES, LEAST_CHI2, NEIGHBOURS, PRIOR, BLOCK = 4_000, 1 << 26, 25.0, 15, 0.5, 64
+#: Cosines are whole millionths; with the example's number they make one key, so that ties go to the smaller number.
+_MICRO, _NUMBER_BITS = 1_000_000, 24
 LENGTHS = (4, 5, 6)
 _BITS = 22
 _SHIFT = np.uint64(64 - _BITS)
@@ -143,7 +151,7 @@ def _chi2(n_toxic: int, n_clean: int) -> Column:
 
 
 class Index:
-    """Postings of each term: the examples that hold it, and its weight in their unit vectors."""
+    """Block-max inverted index over the examples' unit vectors."""
 
     def __init__(self, width: int, rows: list[tuple[int, int, float, np.ndarray, np.ndarray]], idf: np.ndarray, k: int = NEIGHBOURS, prior: float = PRIOR):
         """rows: (id, label, rows it stands for, terms, counts); `idf` by term."""
@@ -153,59 +161,110 @@ class Index:
         self.share = toxic / sum(weight) if rows else 0.0
         empty = [r for r in rows if not len(r[3])]
         self.without = (sum(r[2] for r in empty if r[1]) + self.share) / (sum(r[2] for r in empty) + 1.0) if rows else 0.0
-        full = sorted((r for r in rows if len(r[3])), key=lambda r: (tuple(r[3].tolist()), r[0]))
-        self.ids = np.array([r[0] for r in full], np.int64)
-        self.labels = np.array([r[1] for r in full], np.int64)
-        self.weights = np.array([r[2] for r in full], np.float64)
+        vectors = {i: self.unit(r[3], r[4]) for i, r in enumerate(rows) if len(r[3])}
+        # examples whose heaviest terms are the same lie together
+        order = sorted(vectors, key=lambda i: (rows[i][3][np.argsort(-vectors[i], kind="stable")[:4]].tolist(), rows[i][0]))
+        full = [rows[i] for i in order]
+        self.size, self.blocks = len(full), -(-len(full) // BLOCK)
+        self.ids, self.labels, self.weights = np.array([r[0] for r in full], np.int64), np.array([r[1] for r in full], np.int64), np.array([r[2] for r in full], np.float64)
         term = np.concatenate([r[3] for r in full]) if full else np.empty(0, np.int64)
-        weight = np.concatenate([self.unit(r[3], r[4]) for r in full]) if full else np.empty(0)
+        who = np.repeat(np.arange(self.size, dtype=np.int32), [len(r[3]) for r in full])
         by_term = np.argsort(term, kind="stable")
-        self.who = np.repeat(np.arange(len(full), dtype=np.int32), [len(r[3]) for r in full])[by_term]
-        self.weight = weight[by_term].astype(np.float32)
-        self.starts = np.r_[0, np.cumsum(np.bincount(term, minlength=width))].astype(np.int64)
-        self.size = len(full)
-
-    @property
-    def vectors(self) -> Iterator[np.ndarray]:
-        """The unit vectors written out (term by example), BLOCK examples at a time."""
-        term = np.repeat(np.arange(len(self.starts) - 1), np.diff(self.starts))
-        for a in range(0, self.size, BLOCK):
-            mine = (self.who >= a) & (self.who < a + BLOCK)
-            block = np.zeros((len(self.starts) - 1, BLOCK), np.float32)
-            block[term[mine], self.who[mine] - a] = self.weight[mine]
-            yield block
+        term, self.who = term[by_term].astype(np.int64), who[by_term]
+        self.weight = (np.concatenate([vectors[i] for i in order]) if full else np.empty(0))[by_term].astype(np.float32)
+        # segments: the postings of one term in one block
+        key = term * max(self.blocks, 1) + self.who // BLOCK
+        first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.empty(0, np.int64)
+        self.segment, self.start = key[first], np.r_[first, len(key)].astype(np.int64)
+        self.most = np.maximum.reduceat(self.weight, first) if len(first) else np.empty(0, np.float32)
+        self.of_term = np.searchsorted(self.segment, np.arange(width + 1) * max(self.blocks, 1))
 
     def unit(self, terms: np.ndarray, counts: np.ndarray) -> np.ndarray:
         w = (1 + np.log(counts)) * self.idf[terms]
         return w / np.sqrt((w * w).sum())
 
+    def bounds(self, text: np.ndarray, term: np.ndarray, q: np.ndarray, n: int) -> np.ndarray:
+        """(text, block): the most any example of the block can reach."""
+        many = self.of_term[term + 1] - self.of_term[term]
+        at = _runs(self.of_term[term], many)
+        return np.bincount(np.repeat(text, many) * self.blocks + self.segment[at] % self.blocks, weights=np.repeat(q, many) * self.most[at], minlength=n * self.blocks).reshape(n, self.blocks)
+
+    def nearest_of(self, text: np.ndarray, term: np.ndarray, count: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """(text, k): numbers of the nearest examples with a term in common (-1 where there are no more) and their cosines; entries are sorted by text."""
+        best = np.full((n, self.k), -1, np.int64)
+        if len(text) and self.size:
+            q = (1 + np.log(count)) * self.idf[term]
+            q = q / np.sqrt(np.bincount(text, weights=q * q, minlength=n))[text]
+            cuts = np.searchsorted(text, np.arange(n + 1))
+            bound = self.bounds(text, term, q, n)
+            turn = np.argsort(-bound, axis=1, kind="stable")
+            live = np.unique(text)
+            for place in range(self.blocks):
+                block = turn[live, place]
+                reach = bound[live, block]
+                on = (reach > 0) & (reach + 2 / _MICRO >= (best[live].min(axis=1) >> _NUMBER_BITS) / _MICRO)
+                live, block = live[on], block[on]
+                if not len(live):
+                    break
+                best[live] = self._merged(best[live], self._keys(cuts, live, block, term, q))
+        best = -np.sort(-best, axis=1)
+        return np.where(best >= 0, (1 << _NUMBER_BITS) - 1 - (best & ((1 << _NUMBER_BITS) - 1)), -1), np.maximum(best >> _NUMBER_BITS, 0) / _MICRO
+
+    def _keys(self, cuts: np.ndarray, live: np.ndarray, block: np.ndarray, term: np.ndarray, q: np.ndarray) -> np.ndarray:
+        """(pair, example of the block): cosine and number as one key, -1 where the cosine is 0."""
+        many = cuts[live + 1] - cuts[live]
+        entry, pair = _runs(cuts[live], many), np.repeat(np.arange(len(live)), many)
+        wanted = term[entry] * self.blocks + block[pair]
+        at = np.minimum(np.searchsorted(self.segment, wanted), len(self.segment) - 1)
+        met = self.segment[at] == wanted
+        at, entry, pair = at[met], entry[met], pair[met]
+        size = self.start[at + 1] - self.start[at]
+        post = _runs(self.start[at], size)
+        place = np.repeat(pair * BLOCK - block[pair] * BLOCK, size) + self.who[post]
+        cosine = np.rint(np.bincount(place, weights=self.weight[post] * np.repeat(q[entry], size), minlength=len(live) * BLOCK) * _MICRO).astype(np.int64).reshape(-1, BLOCK)
+        number = block[:, None] * BLOCK + np.arange(BLOCK)
+        return np.where(cosine > 0, (cosine << _NUMBER_BITS) + (1 << _NUMBER_BITS) - 1 - number, -1)
+
+    def _merged(self, held: np.ndarray, new: np.ndarray) -> np.ndarray:
+        return np.partition(np.concatenate([held, new], axis=1), BLOCK, axis=1)[:, BLOCK:]
+
     def nearest(self, terms: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(example, cosine) of the k nearest with a term in common, nearest first, ties by example."""
-        q = self.unit(terms, counts)
-        many = self.starts[terms + 1] - self.starts[terms]
-        ends = np.cumsum(many)
-        at = np.repeat(self.starts[terms] - (ends - many), many) + np.arange(ends[-1])
-        cosine = np.round(np.bincount(self.who[at], weights=self.weight[at] * np.repeat(q, many), minlength=self.size), 6)
-        who = np.flatnonzero(cosine > 0)
-        who = who[np.lexsort((who, -cosine[who]))[:self.k]]
-        return who, cosine[who]
-
-    def score(self, terms: np.ndarray, counts: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
-        who, cosine = self.nearest(terms, counts) if len(terms) and self.size else (np.empty(0, np.int64), np.empty(0))
-        if not len(who):
-            return self.without, who, cosine
-        vote = cosine**2 * self.weights[who]
-        return float((vote @ self.labels[who] + self.prior * self.share) / (vote.sum() + self.prior)), who, cosine
-
-
-def examples(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, most: int, train: Column) -> tuple[DataFrame, dict[int, float]]:
+        """(example, cosine) of the k nearest of one text, nearest first, ties by example."""
+        who, cosine = self.nearest_of(np.zeros(len(terms), np.int64), terms, counts, 1)
+        return who[0][who[0] >= 0], cosine[0][who[0] >= 0]
+
+    def score_of(self, text: np.ndarray, term: np.ndarray, count: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Scores, and the nearest examples with their cosines."""
+        who, cosine = self.nearest_of(text, term, count, n)
+        if not self.size:
+            return np.full(n, self.without), who, cosine
+        vote = cosine**2 * np.where(who >= 0, self.weights[who], 0)
+        score = ((vote * self.labels[who]).sum(axis=1) + self.prior * self.share) / (vote.sum(axis=1) + self.prior)
+        return np.where(who[:, 0] >= 0, score, self.without), who, cosine
+
+
+def _runs(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """start .. start + size - 1 of each run, one after the other."""
+    return np.repeat(start - (np.cumsum(size) - size), size) + np.arange(size.sum())
+
+
+def examples(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, most: int, train: Column, most_bytes: int = EXAMPLE_BYTES) -> tuple[DataFrame, dict[int, float]]:
     """(id, label, text) of the sample, one row for each id, written to the shared folder, and for each class the labelled rows an example stands for."""
     rows = labels.filter(quoted(label_col).isNotNull() & quoted(id_col).isNotNull() & train).groupBy(quoted(id_col).alias("id")).agg(F.max(quoted(label_col)).cast("int").alias("label"))
     total = {r["label"]: r["n"] for r in rows.groupBy("label").agg(F.count("*").alias("n")).collect()}
     first = [rows.filter(F.col("label") == c).orderBy(F.xxhash64("id"), "id").limit(most) for c in (0, 1)]
     chosen = F.broadcast(first[0].unionByName(first[1]))  # at most twice `most` ids
     sample = cut(one_text(docs.select(quoted(id_col).alias("id"), quoted(text_col).alias("text")).join(chosen, "id")))
-    return sample, {c: max(n / min(n, most), 1.0) for c, n in total.items()}
+    size = F.coalesce(F.sum(F.octet_length("text")).over(Window.partitionBy("label").orderBy(F.xxhash64("id"), "id").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sized = sample.select("id", "label", (size < most_bytes).alias("fits"))  # at most twice `most` rows
+    n = {r["label"]: (r["n"], r["kept"]) for r in sized.groupBy("label").agg(F.count("*").alias("n"), F.count_if("fits").alias("kept")).collect()}
+    kept = sample.join(F.broadcast(sized.where("fits").select("id")), "id", "left_semi")
+    return kept, {c: max(every / min(every, most), 1.0) * (n[c][0] / n[c][1] if c in n else 1.0) for c, every in total.items()}
+
+
+def _numbers(df: DataFrame) -> np.ndarray:
+    """One column of whole numbers on the driver; at most as many as the sample's bytes hold."""
+    return df.toArrow().column(0).to_numpy().astype(np.int64)
 
 
 def build_index(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", train: Column | None = None,
@@ -218,10 +277,10 @@ def build_index(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text
     keys = np.empty(0, np.uint64)
     if n_toxic and n_clean:
         counted = _count_buckets(sample).groupBy("bucket").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
-        buckets = [r["bucket"] for r in counted.filter(_chi2(n_toxic, n_clean) >= least_chi2).select("bucket").collect()]
-        if buckets:
-            chosen = _count_keys(sample, np.array(buckets)).filter(_chi2(n_toxic, n_clean) >= least_chi2)
-            keys = np.sort(np.array([r["key"] for r in chosen.select("key").collect()], np.int64).view(np.uint64))
+        buckets = _numbers(counted.filter(_chi2(n_toxic, n_clean) >= least_chi2).select("bucket"))
+        if len(buckets):
+            chosen = _count_keys(sample, buckets).filter(_chi2(n_toxic, n_clean) >= least_chi2)
+            keys = np.sort(_numbers(chosen.select("key")).view(np.uint64))
     sent = sc.broadcast(keys)
 
     def frequencies(batches):
@@ -245,10 +304,14 @@ def build_index(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text
                                                   pa.ListArray.from_arrays(pa.array(cuts), pa.array(count.astype(np.int64)))], ["id", "label", "terms", "counts"])
 
     df = {r["term"]: r["n"] for r in docs.select(quoted(text_col)).mapInArrow(frequencies, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()} if len(keys) else {}
-    rows = sample.select("text", "id", "label").mapInArrow(vectors, StructType([sample.schema["id"], sample.schema["label"], StructField("terms", ArrayType(LongType())), StructField("counts", ArrayType(LongType()))])).collect()
+    held = sample.select("text", "id", "label").mapInArrow(vectors, StructType([sample.schema["id"], sample.schema["label"], StructField("terms", ArrayType(LongType())), StructField("counts", ArrayType(LongType()))])).toArrow().combine_chunks()
     total = df.get(len(keys), 0)
     idf = np.log((1 + total) / (1 + np.array([df.get(i, 0) for i in range(len(keys))], np.float64))) + 1 if len(keys) else np.empty(0)
-    return keys, Index(len(keys), [(r["id"], r["label"], stands[r["label"]], np.array(r["terms"], np.int64), np.array(r["counts"], np.float64)) for r in rows], idf)
+    ids, label = held.column("id").to_pylist(), held.column("label").to_pylist()
+    size = pc.list_value_length(held.column("terms")).to_numpy()
+    ends = np.cumsum(size)
+    term, count = (pa.concat_arrays([c.flatten() for c in held.column(name).chunks]).to_numpy() if held.num_rows else np.empty(0, np.int64) for name in ("terms", "counts"))
+    return keys, Index(len(keys), [(ids[i], label[i], stands[label[i]], term[e - s:e], count[e - s:e].astype(np.float64)) for i, (s, e) in enumerate(zip(size.tolist(), ends.tolist(), strict=True))], idf)
 
 
 def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", train: Column | None = None, keep_text: bool = True, most: int = EXAMPLES) -> DataFrame:
@@ -258,7 +321,6 @@ def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     keys, index = build_index(docs, labels, id_col, text_col, label_col, train, most)
     sent = docs.sparkSession.sparkContext.broadcast((keys, index))
     evidence = ArrayType(StructType([StructField("example", LongType()), StructField("label", IntegerType()), StructField("cosine", DoubleType())]))
-    arrow = pa.list_(pa.struct([("example", pa.int64()), ("label", pa.int32()), ("cosine", pa.float64())]))
 
     def make():
         keys, index = sent.value
@@ -266,13 +328,11 @@ def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
         def work(data: list[bytes]) -> list[pa.Array]:
             text, term, count = own.counts(data)
-            cuts = np.r_[0, np.cumsum(np.bincount(text, minlength=len(data)))]
-            scores, proof = [], []
-            for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
-                s, who, cosine = index.score(term[a:b], count[a:b].astype(np.float64))
-                scores.append(s)
-                proof.append([{"example": int(index.ids[w]), "label": int(index.labels[w]), "cosine": float(c)} for w, c in zip(who[:3], cosine[:3], strict=True)])
-            return [pa.array(scores, pa.float64()), pa.array([int(s >= 0.5) for s in scores], pa.int32()), pa.array(proof, arrow)]
+            scores, who, cosine = index.score_of(text, term, count.astype(np.float64), len(data))
+            shown = who[:, :3] >= 0
+            near = who[:, :3][shown]
+            proof = pa.StructArray.from_arrays([pa.array(index.ids[near]), pa.array(index.labels[near], pa.int32()), pa.array(cosine[:, :3][shown])], ["example", "label", "cosine"])
+            return [pa.array(scores, pa.float64()), pa.array(scores >= 0.5).cast(pa.int32()), pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(shown.sum(axis=1))].astype(np.int32)), proof)]
 
         return work
 
