@@ -1,17 +1,21 @@
 """Near-duplicate texts by ProbMinHash, banding and exact verification.
 
-A text's elements are its distinct runs of five words (a text of fewer words is one element).  Every element sends arrivals of a Poisson
-process to random registers; a register keeps the element that arrives first.  All elements have the same rate, however often a text
-repeats them, so two texts agree in a register with the Jaccard of their element sets, by which links are defined.  The process of an
+A text's elements are its distinct runs of five words (a text of fewer words is one element), weighted 1 + log(times it repeats them).  Every
+element sends arrivals of a Poisson process, whose rate is its weight, to random registers; a register keeps the element that arrives
+first, so two texts agree in a register with the probability Jaccard of their weighted elements.  The process of an
 element is drawn from its hash and stops at the time by which all registers of the text are filled.  Registers are cut into bands;
 texts that share a band meet.
 
+Two texts are linked if the probability Jaccard of their weighted elements is at least `threshold`, or the plain Jaccard of the sets;
+both are worked out exactly for every pair that meets.  They differ only where a text repeats an element, so such a text sends the bands
+of a second set of registers with all weights one, and any other text has both at once.
+
 Texts with equal words are one node from the start.  In each bucket the node with most company leads and is compared with the others
 (stars, not pairs); a second star runs among those the first did not join; then what still lies in different components is compared
 pair by pair, left out only where the triangle inequality of the Jaccard distance (by the distances to the leader), the sizes or the
-number of elements that a text shares with no other rule a link out.  A link is an exact Jaccard of the element sets of at least `threshold`; classes are its connected components.
+share of elements that a text has alone rule a link out for both similarities (one minus either is a distance).  Classes are the connected components of the links.
 
-With 32 bands of 6 registers a pair at 0.8 is missed with probability 6e-5, at 0.85 with 4e-7, also if its texts repeat passages unequally often.
+With 32 bands of 6 registers a pair at 0.8 is missed with probability 6e-5, at 0.85 with 4e-7, in either similarity.
 
 Hot groups: copies collapse by a combined aggregation, buckets are joined by ordinary joins whose skewed partitions adaptive execution
 splits, labels spread by minimum and pointer jumping.  Everything read again is written to the shared checkpoint folder.
@@ -24,9 +28,9 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, IntegerType, LongType, StructField, StructType
+from pyspark.sql.types import ArrayType, BooleanType, DoubleType, IntegerType, LongType, StructField, StructType
 
 from graftline.llm.rows import quoted, small_batches, text_slices, texts
 from graftline.llm.words import Words, mix, powers, words
@@ -127,81 +131,115 @@ def digests(w: Words, n_texts: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def signatures(df: DataFrame, id_col: str, text_col: str, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """(id, text_key, d1, d2, size, bands) of each row; all but the first two null where a text has no words."""
+    """(id, text_key, d1, d2, size, repeats, bands) of each row; all but the first two null where a text has no words.
+
+    The keys of a band are the same for weighted and plain registers; a text that repeats an element has those of both."""
     slim = small_batches(df).select(quoted(id_col).alias("id"), F.xxhash64(quoted(text_col)).alias("text_key"), quoted(text_col))
-    schema = StructType([slim.schema["id"], slim.schema["text_key"], StructField("d1", LongType()), StructField("d2", LongType()), StructField("size", IntegerType()), StructField("bands", ArrayType(LongType()))])
+    schema = StructType([slim.schema["id"], slim.schema["text_key"], StructField("d1", LongType()), StructField("d2", LongType()), StructField("size", IntegerType()), StructField("repeats", BooleanType()), StructField("bands", ArrayType(LongType()))])
 
     def run(batches):
         for batch in batches:
             for start, n, data in text_slices(batch.column(2)):
                 w = words(data)
-                text, h, _ = elements(w, n)
-                keys = band_keys(prob_minhash(text, h, np.ones(len(h)), n, bands * rows), bands, rows).view(np.int64)
+                text, h, count = elements(w, n)
                 size = np.bincount(text, minlength=n)
                 none = size == 0
+                repeats = np.bincount(text, weights=count > 1, minlength=n) > 0
+                keys = np.zeros((n, 2 * bands), np.uint64)
+                keys[:, :bands] = keys[:, bands:] = band_keys(prob_minhash(text, h, 1 + np.log(count), n, bands * rows), bands, rows)
+                if repeats.any():
+                    mine = repeats[text]
+                    few = np.cumsum(repeats) - 1
+                    keys[repeats, bands:] = band_keys(prob_minhash(few[text[mine]], h[mine], np.ones(mine.sum()), int(repeats.sum()), bands * rows), bands, rows)
                 d1, d2 = digests(w, n)
-                lists = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * bands), pa.array(keys.reshape(-1)), mask=pa.array(none))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(start, n), batch.column(1).slice(start, n), pa.array(d1, mask=none), pa.array(d2, mask=none), pa.array(size.astype(np.int32), mask=none), lists], ["id", "text_key", "d1", "d2", "size", "bands"])
+                sent = np.c_[np.ones((n, bands), bool), keys[:, bands:] != keys[:, :bands]]
+                lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(sent.sum(axis=1))].astype(np.int32)), pa.array(keys[sent].view(np.int64)), mask=pa.array(none))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(start, n), batch.column(1).slice(start, n), pa.array(d1, mask=none), pa.array(d2, mask=none), pa.array(size.astype(np.int32), mask=none),
+                                                  pa.array(repeats, mask=none), lists], ["id", "text_key", "d1", "d2", "size", "repeats", "bands"])
 
     return slim.mapInArrow(run, schema)
 
 
-def element_set(text: bytes) -> np.ndarray:
-    """Sorted full hashes of a text's elements."""
+def weighted_elements(text: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted full hashes of a text's elements, and their weights."""
     w = words([text])
     n = len(w.hashes)
     if not n:
-        return np.empty(0, np.uint64)
-    h = np.sort(w.window(min(SHINGLE, n))[0])
-    return h[np.concatenate([[True], h[1:] != h[:-1]])]
+        return np.empty(0, np.uint64), np.empty(0)
+    h, count = np.unique(w.window(min(SHINGLE, n))[0], return_counts=True)
+    return h, 1 + np.log(count)
+
+
+def element_set(text: bytes) -> np.ndarray:
+    """Sorted full hashes of a text's elements."""
+    return weighted_elements(text)[0]
+
+
+def similarities(one: tuple[np.ndarray, np.ndarray], other: tuple[np.ndarray, np.ndarray]) -> tuple[float, float]:
+    """(Jaccard of the sets, probability Jaccard of the weighted elements), both exact.
+
+    The latter sums, over shared elements i, 1 / sum_j max(x_j / x_i, y_j / y_i); with the shared elements in order of x / y the inner
+    sums are running sums."""
+    (p, x), (q, y) = one, other
+    _, at, bt = np.intersect1d(p, q, assume_unique=True, return_indices=True)
+    union = len(p) + len(q) - len(at)
+    if not len(at):
+        return 0.0, 0.0
+    plain = len(at) / union
+    xs, ys = x[at], y[bt]
+    if (x == 1).all() and (y == 1).all():
+        return plain, plain
+    ratio = xs / ys
+    order = np.argsort(ratio, kind="stable")
+    xs, ys, ratio = xs[order], ys[order], ratio[order]
+    larger = np.cumsum(xs[::-1])[::-1]           # x of shared elements from this one on
+    smaller = np.cumsum(ys) - ys                 # y of those before
+    return plain, float((xs / (x.sum() - xs.sum() + larger + ratio * (y.sum() - ys.sum() + smaller))).sum())
 
 
 def _verified(pairs: DataFrame, held: DataFrame) -> DataFrame:
-    """(a, b, jaccard) of the pairs (nodes a, b), from the texts of the nodes."""
+    """(a, b, jaccard, weighted) of the pairs (nodes a, b), from the texts of the nodes: both similarities."""
     a = held.select(F.col("node").alias("a"), F.col("text").alias("text_a"))
     b = held.select(F.col("node").alias("b"), F.col("text").alias("text_b"))
     both = pairs.join(a, "a").join(b, "b").select("a", "b", "text_a", "text_b")
     node = both.schema["a"].dataType
-    schema = StructType([StructField("a", node), StructField("b", node), StructField("jaccard", held.sparkSession.range(0).select(F.lit(0.0)).schema[0].dataType)])
+    schema = StructType([StructField("a", node), StructField("b", node), StructField("jaccard", DoubleType()), StructField("weighted", DoubleType())])
 
     def run(batches):
-        known: dict[bytes, np.ndarray] = {}
+        known: dict[bytes, tuple[np.ndarray, np.ndarray]] = {}
 
-        def of(text: bytes) -> np.ndarray:
+        def of(text: bytes) -> tuple[np.ndarray, np.ndarray]:
             got = known.get(text)
             if got is None:
                 if len(known) >= 64:
                     known.clear()
-                got = known[text] = element_set(text)
+                got = known[text] = weighted_elements(text)
             return got
 
         for batch in batches:
             for start, n, first in text_slices(batch.column(2)):
-                part, out = batch.slice(start, n), []
-                for x, y in zip(first, texts(part.column(3)), strict=True):
-                    p, q = of(x), of(y)
-                    merged = np.sort(np.concatenate([p, q]))
-                    shared = int((merged[1:] == merged[:-1]).sum())
-                    out.append(shared / max(len(p) + len(q) - shared, 1))
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(out, pa.float64())], ["a", "b", "jaccard"])
+                part = batch.slice(start, n)
+                both = [similarities(of(x), of(y)) for x, y in zip(first, texts(part.column(3)), strict=True)]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *[pa.array([s[i] for s in both], pa.float64()) for i in (0, 1)]], ["a", "b", "jaccard", "weighted"])
 
     return both.mapInArrow(run, schema)
 
 
 def _own_elements(held: DataFrame) -> DataFrame:
-    """(node, own): the number of a text's elements that no other text of the table has, where there are any."""
-    schema = StructType([StructField("element", LongType()), held.schema["node"]])
+    """(node, own, own_share): the number of a text's elements that no other text of the table has, and their share of its weight, where there are any."""
+    schema = StructType([StructField("element", LongType()), held.schema["node"], StructField("share", DoubleType())])
 
     def run(batches):
         for batch in batches:
             place = batch.schema.get_field_index("node")
             for start, n, data in text_slices(batch.column(batch.schema.get_field_index("text")), 1 << 18):
-                sets = [element_set(t).view(np.int64) for t in data]
-                who = np.repeat(np.arange(start, start + n), [len(s) for s in sets])
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sets)), batch.column(place).take(pa.array(who))], ["element", "node"])
+                sets = [weighted_elements(t) for t in data]
+                who = np.repeat(np.arange(start, start + n), [len(h) for h, _ in sets])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([h for h, _ in sets]).view(np.int64)), batch.column(place).take(pa.array(who)), pa.array(np.concatenate([w / max(w.sum(), 1.0) for _, w in sets]))], ["element", "node", "share"])
 
     each = held.mapInArrow(run, schema)
-    return each.groupBy("element").agg(F.count("*").alias("n"), F.min("node").alias("node")).filter("n = 1").groupBy("node").agg(F.count("*").alias("own"))
+    alone = each.groupBy("element").agg(F.count("*").alias("n"), F.min("node").alias("node"), F.min("share").alias("share")).filter("n = 1")
+    return alone.groupBy("node").agg(F.count("*").alias("own"), F.sum("share").alias("own_share"))
 
 
 def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
@@ -225,11 +263,11 @@ def node_labels(rows: DataFrame, docs: DataFrame, id_col: str, text_col: str, th
     """(node, label) of the nodes that share a bucket; `rows` are the written signatures."""
     node = F.struct("d1", "d2").alias("node")
     reps = rows.filter("d1 is not null").groupBy("d1", "d2").agg(F.first("size").alias("size"), F.first("bands").alias("bands"))
-    members = reps.select(F.posexplode("bands").alias("band", "key"), "d1", "d2")
+    members = reps.select(F.explode("bands").alias("key"), "d1", "d2")
     shared = members.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
-    crowded = cut(members.join(shared, "key").select("key", "band", "n", node))
+    crowded = cut(members.join(shared, "key").select("key", "n", node))
     company = crowded.groupBy("node").agg(F.sum("n").alias("company"))
-    sizes = rows.filter("d1 is not null").groupBy("d1", "d2").agg(F.min(F.struct("id", "text_key")).alias("one"), F.min("size").alias("size")).select(node, "one", "size")
+    sizes = rows.filter("d1 is not null").groupBy("d1", "d2").agg(F.min(F.struct("id", "text_key")).alias("one"), F.min("size").alias("size"), F.min("repeats").alias("repeats")).select(node, "one", "size", "repeats")
     known = cut(company.join(sizes, "node"))
     # one text of each node that has company, met by id and text, as an id may be null or on many rows
     wanted = known.select(F.col("one.id").alias("w_id"), F.col("one.text_key").alias("w_key"), "node")
@@ -245,9 +283,10 @@ def node_labels(rows: DataFrame, docs: DataFrame, id_col: str, text_col: str, th
                 yield batch.slice(start, n).filter(pa.array(same)).select([0, 1])
 
     held = cut(slim.join(wanted, slim["id"].eqNullSafe(F.col("w_id")) & (slim["text_key"] == F.col("w_key"))).select("node", "text").mapInArrow(matching, schema).dropDuplicates(["node"]))
-    facts = known.select("node", "company", "size")
+    facts = known.select("node", "company", "size", "repeats")
     with_facts = cut(crowded.join(facts, "node"))
-    lead = F.max(F.struct("company", "node", "size"))
+    lead = F.max(F.struct("company", "node", "size", "repeats"))
+    linked = (F.col("jaccard") >= threshold) | (F.col("weighted") >= threshold)
     links, tested = None, None
     labels = None
     for _ in range(2):
@@ -255,35 +294,40 @@ def node_labels(rows: DataFrame, docs: DataFrame, id_col: str, text_col: str, th
         if labels is not None:  # the second star is among those the first did not join to its leader
             first = with_facts.groupBy("key").agg(lead.alias("l")).select("key", F.col("l.node").alias("leader"))
             asking = (with_facts.join(labels, "node").join(first, "key").join(labels.select(F.col("node").alias("leader"), F.col("label").alias("leaders")), "leader")
-                      .filter("label <> leaders").select("key", "node", "company", "size"))
-        leaders = asking.groupBy("key").agg(lead.alias("l")).select("key", F.col("l.node").alias("a"), F.col("l.size").alias("size_a"))
-        stars = asking.join(leaders, "key").filter("node <> a").filter(F.least("size", "size_a") >= threshold * F.greatest("size", "size_a")).select("a", F.col("node").alias("b")).distinct()
+                      .filter("label <> leaders").select("key", "node", "company", "size", "repeats"))
+        leaders = asking.groupBy("key").agg(lead.alias("l")).select("key", F.col("l.node").alias("a"), F.col("l.size").alias("size_a"), F.col("l.repeats").alias("repeats_a"))
+        stars = asking.join(leaders, "key").filter("node <> a").filter((F.least("size", "size_a") >= threshold * F.greatest("size", "size_a")) | F.col("repeats") | F.col("repeats_a")).select("a", F.col("node").alias("b")).distinct()
         found = cut(_verified(stars, held))
         tested = found if tested is None else tested.unionByName(found)
-        fresh = found.filter(F.col("jaccard") >= threshold)
+        fresh = found.filter(linked)
         links = fresh if links is None else links.unionByName(fresh)
         labels = components(facts.select("node"), links)
     # what is left: pairs of one bucket in different components, the leader's own pairs being done
     first = with_facts.groupBy("key").agg(lead.alias("l")).select("key", F.col("l.node").alias("leader"))
     near = cut(with_facts.join(labels, "node").join(first, "key").filter("node <> leader")
-               .join(cut(tested).select(F.col("a").alias("leader"), F.col("b").alias("node"), "jaccard"), ["leader", "node"], "left")
-               .select("key", "band", "node", "label", "size", F.coalesce("jaccard", F.lit(-1.0)).alias("jaccard")))
+               .join(cut(tested).select(F.col("a").alias("leader"), F.col("b").alias("node"), "jaccard", "weighted"), ["leader", "node"], "left")
+               .select("key", "node", "label", "size", "repeats", *[F.coalesce(c, F.lit(-1.0)).alias(c) for c in ("jaccard", "weighted")]))
     split = near.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high").select("key")
     mixed = cut(near.join(split, "key"))
-    # elements that no other of these texts has cannot be shared: they bound every Jaccard of their text
-    mixed = cut(mixed.join(_own_elements(held.join(mixed.select("node").distinct(), "node")), "node", "left").withColumn("common", F.col("size") - F.coalesce("own", F.lit(0))))
+    # elements that no other of these texts has cannot be shared: they bound both similarities of their text
+    mixed = cut(mixed.join(_own_elements(held.join(mixed.select("node").distinct(), "node")), "node", "left").withColumns({"common": F.col("size") - F.coalesce("own", F.lit(0)), "shared": 1 - F.coalesce("own_share", F.lit(0.0))}))
     bands = rows.select(node, "bands").join(mixed.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"])
     mixed = cut(mixed.join(bands, "node"))
-    columns = ("node", "label", "size", "jaccard", "common", "bands")
-    x, y = (mixed.select("key", "band", *[F.col(c).alias(f"{c}_{side}") for c in columns]) for side in "xy")
+    columns = ("node", "label", "size", "repeats", "jaccard", "weighted", "common", "shared", "bands")
+    x, y = (mixed.select("key", *[F.col(c).alias(f"{c}_{side}") for c in columns]) for side in "xy")
     shared = F.least("common_x", "common_y")
-    possible = ((F.col("node_x") < F.col("node_y")) & (F.col("label_x") != F.col("label_y")) & (F.least("size_x", "size_y") >= threshold * F.greatest("size_x", "size_y"))
-                & (shared >= threshold * (F.col("size_x") + F.col("size_y") - shared) - 1e-9)
-                & ((F.col("jaccard_x") < 0) | (F.col("jaccard_y") < 0) | (F.abs(F.col("jaccard_x") - F.col("jaccard_y")) <= 1 - threshold + 1e-9)))
+
+    def apart(c: str) -> Column:
+        return (F.col(f"{c}_x") >= 0) & (F.col(f"{c}_y") >= 0) & (F.abs(F.col(f"{c}_x") - F.col(f"{c}_y")) > 1 - threshold + 1e-9)
+
+    plain = (F.least("size_x", "size_y") >= threshold * F.greatest("size_x", "size_y")) & (shared >= threshold * (F.col("size_x") + F.col("size_y") - shared) - 1e-9) & ~apart("jaccard")
+    # no coupling of the weights agrees more often than the weights that both can share
+    weighted = (F.col("repeats_x") | F.col("repeats_y")) & (F.least("shared_x", "shared_y") >= threshold - 1e-9) & ~apart("weighted")
+    possible = (F.col("node_x") < F.col("node_y")) & (F.col("label_x") != F.col("label_y")) & (plain | weighted)
     # a pair is looked at in the first band it shares
-    met = F.array_position(F.zip_with("bands_x", "bands_y", lambda a, b: a == b), True) == x["band"] + 1
+    met = F.element_at(F.array_intersect("bands_x", "bands_y"), 1) == x["key"]
     pairs = x.join(y, (x["key"] == y["key"]) & possible & met).select(F.col("node_x").alias("a"), F.col("node_y").alias("b")).distinct()
-    rest = cut(_verified(pairs, held)).filter(F.col("jaccard") >= threshold)
+    rest = cut(_verified(pairs, held)).filter(linked)
     return components(facts.select("node"), links.unionByName(rest))
 
 

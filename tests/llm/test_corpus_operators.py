@@ -9,9 +9,20 @@ from graftline.llm import chat_format, decontaminate, near_dedup
 SF = "/root/testdata/sf0.001"
 
 
+def probability_jaccard(p, x, q, y):
+    """By its definition; equal weights on both sides make it the Jaccard of the sets."""
+    a, b = dict(zip(p.tolist(), x.tolist())), dict(zip(q.tolist(), y.tolist()))
+    both = a.keys() & b.keys()
+    if max([*a.values(), *b.values()]) == 1:
+        return len(both) / len(a.keys() | b.keys())
+    every = np.array([(a.get(k, 0.0), b.get(k, 0.0)) for k in a.keys() | b.keys()])
+    return sum(1 / np.maximum(every[:, 0] / a[i], every[:, 1] / b[i]).sum() for i in both)
+
+
 def brute_classes(rows):
-    """Smallest id of each connected component of pairs with an exact Jaccard of 0.8 or more."""
-    sets = [(i, set(near_dedup.element_set((t or "").encode()).tolist())) for i, t in rows]
+    """Smallest id of each connected component of pairs with an exact Jaccard, or probability Jaccard, of 0.8 or more."""
+    held = [near_dedup.weighted_elements((t or "").encode()) for _, t in rows]
+    sets = [(i, set(h.tolist())) for (i, _), (h, _) in zip(rows, held)]
     up = list(range(len(sets)))
 
     def top(a):
@@ -22,10 +33,8 @@ def brute_classes(rows):
     for a, (_, x) in enumerate(sets):
         for b in range(a):
             y = sets[b][1]
-            if x and y and min(len(x), len(y)) >= 0.8 * max(len(x), len(y)):
-                k = len(x & y)
-                if k >= 0.8 * (len(x) + len(y) - k):
-                    up[max(top(a), top(b))] = min(top(a), top(b))
+            if x & y and max(probability_jaccard(*held[a], *held[b]), len(x & y) / len(x | y)) >= 0.8:
+                up[max(top(a), top(b))] = min(top(a), top(b))
     groups = {}
     for a, (i, _) in enumerate(sets):
         groups.setdefault(top(a), []).append(i)
@@ -108,6 +117,34 @@ def test_near_classes_of_documents(spark):
     assert order([tuple(r) for r in near_dedup.classes(docs).collect()]) == order(brute_classes(rows))
 
 
+def test_similarities_are_exact():
+    rng = np.random.default_rng(3)
+    for _ in range(40):
+        sides = []
+        for _ in "xy":
+            h = np.sort(rng.choice(60, rng.integers(1, 50), replace=False)).astype(np.uint64)
+            sides.append((h, 1 + np.log(rng.integers(1, 9, len(h)) if rng.random() < 0.8 else np.ones(len(h)))))
+        plain, weighted = near_dedup.similarities(*sides)
+        shared, union = (len(f(sides[0][0], sides[1][0])) for f in (np.intersect1d, np.union1d))
+        assert abs(plain - shared / union) < 1e-12 and abs(weighted - probability_jaccard(*sides[0], *sides[1])) < 1e-9
+
+
+def test_weighted_links(spark):
+    """Texts whose repeated lines are alike and whose single ones are not: linked by weight alone."""
+    random.seed(12)
+    line = lambda n: " ".join("".join(random.choices("abcdefgh", k=7)) for _ in range(n))
+    rows = []
+    for g in range(8):
+        common = [line(14) for _ in range(6)]
+        rows += [(10 * g + c, "\n".join([x for x in common for _ in range(40)] + [line(30) for _ in range(1)])) for c in range(3)]
+    a, b = (near_dedup.weighted_elements(t.encode()) for _, t in rows[:2])
+    plain, weighted = near_dedup.similarities(a, b)
+    assert plain < 0.8 <= weighted
+    want = brute_classes(rows)
+    assert all(n == 3 for *_, n in want)
+    assert order([tuple(r) for r in near_dedup.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()]) == order(want)
+
+
 def test_prob_minhash_estimates():
     """Equal registers estimate the probability Jaccard of weighted sets."""
     rng = np.random.default_rng(7)
