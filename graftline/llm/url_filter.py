@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from graftline.llm.rows import quoted, without
+from graftline.plans.lineage import cut
 
 RULES = [("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/")]
 #: Labelled URLs the trees see; trees and their depth; weight of the overall share in a suffix's share.
@@ -71,11 +72,12 @@ def url_filter(df: DataFrame, url_col: str = "url", rules: list[tuple[str, str]]
     from pyspark.ml.functions import vector_to_array
 
     rules = RULES if rules is None else rules
-    kept = without(df, ADDED) if url_col.lower() not in ADDED else df
-    parts = with_parts(kept, url_col).withColumn("__rule", rule_for(F.col("host"), F.col("path"), rules))
-    # a column's own name cannot clash: features live in one struct
-    feats = parts.withColumn("__f", F.struct(*[c.alias(n) for n, c in lexical_features(quoted(url_col), F.col("host"), F.col("path")).items()]))
-    labelled = feats.filter("__rule is not null").select(quoted(url_col).alias("url"), "__f.*", (F.col("__rule.verdict") == "block").cast("double").alias("label"))
+    kept = without(df, ADDED)
+    # the caller's columns travel in one struct, so no name of theirs meets one of these
+    parts = with_parts(df.select(F.struct(*[quoted(c) for c in kept.columns]).alias("row") if kept.columns else F.struct(F.lit(0)).alias("row"), quoted(url_col).cast("string").alias("url")))
+    feats = parts.withColumn("by", rule_for(F.col("host"), F.col("path"), rules)).withColumns(lexical_features(F.col("url"), F.col("host"), F.col("path")))
+    own = [c for c in feats.columns if c.startswith("f_")]
+    labelled = feats.filter("by is not null").select("url", "suffix", *own, (F.col("by.verdict") == "block").cast("double").alias("label"))
     by_suffix = labelled.groupBy("suffix").agg(F.sum("label").alias("blocks"), F.count("*").alias("n"))
     overall = by_suffix.agg(F.coalesce(F.sum("blocks"), F.lit(0.0)).alias("blocks"), F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()
     share = overall["blocks"] / overall["n"] if overall["n"] else 0.0
@@ -84,12 +86,12 @@ def url_filter(df: DataFrame, url_col: str = "url", rules: list[tuple[str, str]]
     if 0 < overall["blocks"] < overall["n"]:
         # a url on many rows is one example of that weight
         urls = labelled.groupBy("url").agg(*[F.first(c).alias(c) for c in labelled.columns if c != "url"], F.count("*").cast("double").alias("rows"))
-        some = urls.orderBy(F.xxhash64("url"), "url").limit(sample).join(suffixes, "suffix", "left").withColumns(filled)
-        assembler = VectorAssembler(inputCols=FEATURES, outputCol="__x")
-        model = GBTClassifier(featuresCol="__x", labelCol="label", weightCol="rows", maxIter=TREES, maxDepth=DEPTH, seed=7, predictionCol="__y").fit(assembler.transform(some).coalesce(1))
-        flat = feats.select(F.struct(*[quoted(c) for c in kept.columns]).alias("__row"), "host", "path", "__rule", "__f.*").join(suffixes, "suffix", "left").withColumns(filled)
-        scored = model.transform(assembler.transform(flat)).withColumn("score", vector_to_array("probability")[1])
+        # written once: the trees go over the sample many times, and over the table never
+        some = cut(urls.orderBy(F.xxhash64("url"), "url").limit(sample).join(suffixes, "suffix", "left").withColumns(filled).select("rows", "label", *FEATURES).coalesce(1))
+        assembler = VectorAssembler(inputCols=FEATURES, outputCol="x")
+        model = GBTClassifier(featuresCol="x", labelCol="label", weightCol="rows", maxIter=TREES, maxDepth=DEPTH, seed=7, predictionCol="y").fit(assembler.transform(some))
+        scored = model.transform(assembler.transform(feats.join(suffixes, "suffix", "left").withColumns(filled))).withColumn("score", vector_to_array("probability")[1])
     else:
-        scored = feats.select(F.struct(*[quoted(c) for c in kept.columns]).alias("__row"), "host", "path", "__rule").withColumn("score", F.lit(1.0 if overall["blocks"] else 0.0))
-    verdict = F.coalesce("__rule.verdict", F.when(F.col("score") >= 0.5, "block").otherwise("allow"))
-    return scored.select("__row.*", "host", "path", F.col("__rule.rule").alias("rule"), "score", verdict.alias("verdict"))
+        scored = feats.withColumn("score", F.lit(1.0 if overall["blocks"] else 0.0))
+    verdict = F.coalesce("by.verdict", F.when(F.col("score") >= 0.5, "block").otherwise("allow"))
+    return scored.select(*(["row.*"] if kept.columns else []), "host", "path", F.col("by.rule").alias("rule"), "score", verdict.alias("verdict"))
