@@ -68,6 +68,18 @@ class Vocabulary:
             self.strings[i] = s
         self.split_special = re.compile("(" + "|".join(re.escape(s) for s in sorted(self.special, key=len, reverse=True)) + ")") if self.special else None
 
+    def texts(self, ids: np.ndarray, size: list[int | None]) -> list[str | None]:
+        """The text of each list of ids, all lists in a row; a list without size is null."""
+        known = (ids >= 0) & (ids < self.width)
+        strings = self.strings[np.where(known, ids, 0)]
+        strings[~known] = ""
+        strings = strings.tolist()
+        out, at = [], 0
+        for n in size:
+            out.append(None if n is None else " ".join(s for s in strings[at:at + n] if s))
+            at += n or 0
+        return out
+
     def encode_words(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all words in a row, and the number of ids of each."""
         size = np.array([len(w) for w in words], np.int64)
@@ -229,19 +241,24 @@ def decode(df: DataFrame, ids_col: str = "ids", decoded_col: str = "decoded", to
             for start in range(0, batch.num_rows, 512):
                 part = batch.slice(start, 512)
                 column = part.column(place)
-                flat = column.flatten()
-                ids = flat.fill_null(-1).to_numpy(zero_copy_only=False)
-                known = (ids >= 0) & (ids < vocabulary.width)
-                strings = vocabulary.strings[np.where(known, ids, 0)]
-                strings[~known] = ""
-                strings = strings.tolist()
-                size = pc.list_value_length(column).to_pylist()
-                out, at = [], 0
-                for n in size:
-                    out.append(None if n is None else " ".join(s for s in strings[at:at + n] if s))
-                    at += n or 0
+                ids = column.flatten().fill_null(-1).to_numpy(zero_copy_only=False)
+                out = vocabulary.texts(ids, pc.list_value_length(column).to_pylist())
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(out, pa.string())], schema.names)
 
     return carried.select(*[quoted(c) for c in carried.columns]).mapInArrow(run, schema)
 
 
+def encode_and_decode(df: DataFrame, text_col: str = "text", ids_col: str = "ids", decoded_col: str = "decoded", tokenizer: str | None = None, keep_text: bool = True) -> DataFrame:
+    """What `decode(encode(df))` gives, in one pass: a task holds one vocabulary, and the ids don't go through Spark in between."""
+    content = _broadcast(df.sparkSession, tokenizer or default_tokenizer())
+
+    def make():
+        encoder = Encoder(content.value)
+
+        def work(data: list[bytes]) -> list[pa.Array]:
+            ids, count = encoder.encode(data)
+            return [pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(count)].astype(np.int32)), pa.array(ids, pa.int32())), pa.array(encoder.vocabulary.texts(ids, count.tolist()), pa.string())]
+
+        return work
+
+    return add_from_text(df, text_col, [(ids_col, ArrayType(IntegerType())), (decoded_col, StringType())], make, keep_text)
