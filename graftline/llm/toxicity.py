@@ -1,7 +1,8 @@
 """Toxicity by the nearest labelled examples.
 
 Terms are runs of 4 to 6 bytes of the lower-cased text (other than letters and digits count as blanks), those that toxic examples hold
-more often than others by a chi-square of at least `least_chi2`, all of them.  Texts and examples are TF-IDF vectors over these
+more often than others by a chi-square of at least `least_chi2` and at least `least_lean` times as often, all of them (what nearly as many
+clean examples hold says nothing about a text, and would make up nearly all postings).  Texts and examples are TF-IDF vectors over these
 terms, document frequencies being counted over all documents.  Each text meets its `k` nearest examples by exact cosine.
 
 The index is inverted and cut into blocks of BLOCK examples, like ones together.  For each term and block that holds it, it has the
@@ -33,8 +34,9 @@ from pyspark.sql.types import ArrayType, DoubleType, IntegerType, LongType, Stru
 from graftline.llm.rows import add_from_text, one_text, quoted, small_batches, text_slices
 from graftline.plans.lineage import cut
 
-#: Labelled rows of each class used as examples, and the most bytes of their texts; chi-square a term needs; neighbours; weight of the prior; examples of a block.
-EXAMPLES, EXAMPLE_BYTES, LEAST_CHI2, NEIGHBOURS, PRIOR, BLOCK = 4_000, 1 << 26, 25.0, 15, 0.5, 64
+#: Labelled rows of each class used as examples, and the most bytes of their texts; chi-square and lean towards toxic examples a term needs;
+#: neighbours; weight of the prior; examples of a block.
+EXAMPLES, EXAMPLE_BYTES, LEAST_CHI2, LEAST_LEAN, NEIGHBOURS, PRIOR, BLOCK = 4_000, 1 << 26, 25.0, 1.5, 15, 0.5, 64
 #: Cosines are whole millionths; with the example's number they make one key, so that ties go to the smaller number.
 _MICRO, _NUMBER_BITS = 1_000_000, 24
 LENGTHS = (4, 5, 6)
@@ -268,7 +270,7 @@ def _numbers(df: DataFrame) -> np.ndarray:
 
 
 def build_index(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", train: Column | None = None,
-                most: int = EXAMPLES, least_chi2: float = LEAST_CHI2) -> tuple[np.ndarray, Index]:
+                most: int = EXAMPLES, least_chi2: float = LEAST_CHI2, least_lean: float = LEAST_LEAN) -> tuple[np.ndarray, Index]:
     """The chosen terms and the index of the examples."""
     sc = small_batches(docs).sparkSession.sparkContext
     sample, stands = examples(docs, labels, id_col, text_col, label_col, most, F.lit(True) if train is None else train)
@@ -279,7 +281,8 @@ def build_index(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text
         counted = _count_buckets(sample).groupBy("bucket").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
         buckets = _numbers(counted.filter(_chi2(n_toxic, n_clean) >= least_chi2).select("bucket"))
         if len(buckets):
-            chosen = _count_keys(sample, buckets).filter(_chi2(n_toxic, n_clean) >= least_chi2)
+            leans = F.col("toxic") * n_clean >= F.col("clean") * F.lit(least_lean * n_toxic)
+            chosen = _count_keys(sample, buckets).filter((_chi2(n_toxic, n_clean) >= least_chi2) & leans)
             keys = np.sort(_numbers(chosen.select("key")).view(np.uint64))
     sent = sc.broadcast(keys)
 
