@@ -58,6 +58,16 @@ def oracle(fixtures: tuple[str, ...] | list[str], body: str, extra: str = "") ->
     return ("WITH " + ",\n".join(parts) + "\n" if parts else "") + body
 
 
+def ratio_sql(pairs: str) -> str:
+    """Recursive CTEs: gr(a, b, ratio) for the pairs (a, b) of a CTE, by longest common substrings.  Needs WITH RECURSIVE."""
+    run = "len(list_filter(range(1, least(ahi - i, bhi - j) + 1), lambda k: substr(a, i + 1, k) = substr(b, j + 1, k)))"
+    return f"""gs(a, b, todo, m) AS (SELECT a, b, [[0::BIGINT, length(a), 0, length(b)]], 0::BIGINT FROM (SELECT DISTINCT a, b FROM {pairs}) UNION ALL
+ SELECT a, b, list_concat(todo[2:], CASE WHEN best[1] = 0 THEN [] ELSE list_filter([[alo, -best[2], blo, -best[3]], [best[1] - best[2], ahi, best[1] - best[3], bhi]], lambda s: s[1] < s[2] AND s[3] < s[4]) END), m + best[1]
+ FROM (SELECT *, list_max(flatten(list_transform(range(alo, ahi), lambda i: list_transform(range(blo, bhi), lambda j: [{run}, -i, -j])))) AS best
+  FROM (SELECT *, todo[1][1] AS alo, todo[1][2] AS ahi, todo[1][3] AS blo, todo[1][4] AS bhi FROM gs WHERE len(todo) > 0))),
+gr AS (SELECT a, b, 2.0::DOUBLE * max(m) / (length(a) + length(b)) AS ratio FROM gs WHERE len(todo) = 0 GROUP BY a, b)"""
+
+
 def query(name: str, sql: str | None = None):
     """Register a query function and, where there is one, its oracle SQL."""
 

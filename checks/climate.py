@@ -370,10 +370,11 @@ def feature_status(spark, sf):
 
 
 @query("compact_place_features", oracle(BOTH, f"""SELECT p.place_id, k.code AS koppen_code, p.zone_lab AS zone_label, {', '.join(f'floor({c} * 100 + 0.5) / 100 AS {c}' for c in ('chill_mean', 'bloom_vi', 'aridity', 'tann', 'pann', 'tmax_hot'))}, d.est AS humidity_estimated,
- {joined_sql('list_transform(frost_p, lambda x: floor(x * 100 + 0.5) / 100)', 2)} AS frost_p
+ {joined_sql('list_transform(frost_p, lambda x: floor(x * 100 + 0.5) / 100)', 2)} AS frost_p, CASE WHEN p.no_bloom THEN NULL ELSE {joined_sql('list_transform(hm.rh, lambda x: floor(x * 100 + 0.5) / 100)', 2)} END AS rh_m, CASE WHEN p.no_bloom THEN NULL ELSE {joined_sql('list_transform(hm.lwd, lambda x: floor(x * 100 + 0.5) / 100)', 2)} END AS lwd_m
  FROM (SELECT *, (CASE WHEN floor(z) + 1 < 1 THEN '<1' ELSE (floor(z)::INT + 1)::VARCHAR END) || CASE WHEN z - floor(z) >= 0.5 THEN 'b' ELSE 'a' END AS zone_lab FROM place) p JOIN kcode k USING (place_id)
- JOIN (SELECT place_id, max(tmax) AS tmax_hot FROM normals GROUP BY place_id) x USING (place_id) JOIN (SELECT place_id, any_value(estimated) AS est FROM dew GROUP BY place_id) d USING (place_id)""", TO_PLACE + "," + KOPPEN_SQL))
+ JOIN (SELECT place_id, max(tmax) AS tmax_hot FROM normals GROUP BY place_id) x USING (place_id) JOIN (SELECT place_id, any_value(estimated) AS est FROM dew GROUP BY place_id) d USING (place_id)
+ LEFT JOIN (SELECT place_id, list(rh ORDER BY cm) AS rh, list(lwd ORDER BY cm) AS lwd FROM (SELECT place_id, cm, avg(rh) AS rh, avg(lwd) AS lwd FROM season WHERE ci >= 0 AND bloom IS NOT NULL GROUP BY place_id, cm) GROUP BY place_id) hm USING (place_id)""", TO_PLACE + "," + KOPPEN_SQL))
 def compact_place_features(spark, sf):
     f = cl.compact(place_features(_weather(spark, sf), fixture(spark, sf, "humidity_daily")), drop=("gend_per",))
     return f.select("place_id", "koppen_code", "zone_label", "chill_mean", "bloom_vi", "aridity", "tann", "pann", "tmax_hot", "humidity_estimated",
-                    joined(F.col("frost_p"), 2).alias("frost_p"))
+                    *[joined(F.col(c), 2).alias(c) for c in ("frost_p", "rh_m", "lwd_m")])

@@ -157,6 +157,14 @@ def audit_unsourced(spark, sf):
     return ev.audit_unsourced(m["v"], m["counts"])
 
 
+FIXTURES["researcher_note"] = "SELECT user_id AS variety_id, max(CASE WHEN event_id % 5 = 0 THEN 'two|kinds of' || chr(10) || event_type WHEN event_id % 3 = 0 THEN '' END) AS note FROM {events} GROUP BY user_id"
+
+
+@query("audit_notes", oracle(["variety", "researcher_note"], "SELECT row_number() OVER (ORDER BY name, variety_id) AS row, variety_id, name, replace(replace(note, '|', '/'), chr(10), ' ') AS note FROM researcher_note JOIN variety USING (variety_id) WHERE note <> ''"))
+def audit_notes(spark, sf):
+    return ev.audit_notes(fixture(spark, sf, "variety"), fixture(spark, sf, "researcher_note"))
+
+
 @query("flavour_stats", oracle(FROM, """SELECT 'tag' AS part, tag AS name, level, count(*) AS n FROM fin GROUP BY tag, level UNION ALL SELECT 'book', book, NULL, count(*) FROM book_entry WHERE variety_id IN (SELECT variety_id FROM variety) AND book IN (SELECT book FROM book) GROUP BY book
  UNION ALL SELECT 'tags', 'dropped', NULL, count(CASE WHEN decision <> 'kept' THEN 1 END) FROM dec UNION ALL SELECT 'tags', 'added', NULL, count(*) FROM adt""", EV))
 def flavour_stats(spark, sf):

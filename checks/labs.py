@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from checks.base import FIXTURES, fixture, oracle, query
+from checks.base import FIXTURES, fixture, oracle, query, ratio_sql
 from checks.climate import rounded
 from checks.orchard import pick
 from graftline.functions import calendar as cal
@@ -111,10 +111,15 @@ def match_review(spark, sf):
     return mt.review(_matches(spark, sf), fixture(spark, sf, "named_variety"))
 
 
-@query("close_names", oracle(NAMES, f"""SELECT m.source, m.name, k.known, CASE WHEN levenshtein({key_sql('m.name')}, k.known) <= floor(greatest(length({key_sql('m.name')}), length(k.known)) * 0.2 + 1e-9) THEN 'spelling' ELSE 'contained' END AS how
- FROM (SELECT DISTINCT source, name FROM source_name WHERE (source, name) NOT IN (SELECT (source, name) FROM mn)) m, (SELECT DISTINCT {key_sql('name')} AS known FROM an) k
- WHERE k.known <> '' AND (levenshtein({key_sql('m.name')}, k.known) <= floor(greatest(length({key_sql('m.name')}), length(k.known)) * 0.2 + 1e-9) OR list_has_all(string_split({key_sql('m.name')}, ' '), string_split(k.known, ' '))
-  OR (len(list_distinct(string_split({key_sql('m.name')}, ' '))) > 1 AND list_has_all(string_split(k.known, ' '), string_split({key_sql('m.name')}, ' '))))""", INDEX))
+CLOSE = f"""ours AS (SELECT {key_sql('name')} AS known, max(variety_id) AS variety_id FROM an WHERE {key_sql('name')} <> '' GROUP BY 1),
+ms AS (SELECT source, name, {key_sql('name')} AS ask FROM (SELECT DISTINCT source, name FROM source_name WHERE (source, name) NOT IN (SELECT (source, name) FROM mn)) WHERE {key_sql('name')} <> ''),
+cp AS (SELECT known AS a, ask AS b FROM ours, (SELECT DISTINCT ask FROM ms) WHERE levenshtein(known, ask) <= floor((length(known) + length(ask)) * 0.2 + 1e-9)),
+{ratio_sql('cp')},
+top AS (SELECT a AS known, b AS ask, ratio, row_number() OVER (PARTITION BY b ORDER BY ratio DESC, a DESC)::INT AS rank FROM gr WHERE ratio >= 0.8 QUALIFY rank <= 3)"""
+
+
+@query("close_names", oracle(NAMES, """SELECT source, name, known, variety_id, CASE WHEN rank IS NULL THEN 'contained' ELSE 'spelling' END AS how, ratio, rank FROM ms, ours LEFT JOIN top USING (known, ask)
+ WHERE rank IS NOT NULL OR list_has_all(string_split(ask, ' '), string_split(known, ' ')) OR (len(list_distinct(string_split(ask, ' '))) > 1 AND list_has_all(string_split(known, ' '), string_split(ask, ' ')))""", INDEX + ",\n" + CLOSE).replace("WITH ", "WITH RECURSIVE ", 1))
 def close_names(spark, sf):
     missing = mt.unmatched(fixture(spark, sf, "source_name"), _matches(spark, sf))
     return mt.close_names(missing, fixture(spark, sf, "named_variety"))
@@ -204,6 +209,14 @@ def panel_records(spark, sf):
     return lab.panel_records(_kept(spark, sf))
 
 
+FIXTURES["assessment"] = "SELECT ((l_orderkey * 10 + l_linenumber) * 100000 + l_partkey) * 10000 + l_suppkey AS accession_id, CASE WHEN l_suppkey % 7 = 0 THEN NULL ELSE CAST(l_shipdate AS STRING) END AS harvest, CAST(year(l_shipdate) + 1 AS INT) AS tasted FROM {lineitem}"
+
+
+@query("panel_assessments", oracle(ACC + ("assessment",), "SELECT variety_id, row_number() OVER (PARTITION BY variety_id ORDER BY accession_id) AS nth, accession_id, a.name, harvest, tasted FROM pkeep p JOIN assessment USING (accession_id) JOIN accession_name a USING (accession_id) WHERE kept", PKEEP))
+def panel_assessments(spark, sf):
+    return lab.panel_assessments(_kept(spark, sf).join(fixture(spark, sf, "assessment"), "accession_id"))
+
+
 # ---- laboratory -------------------------------------------------------------------------------
 FIXTURES["lab_obs"] = """SELECT l_returnflag AS source, l_partkey AS variety_id, l_suppkey AS accession, CASE WHEN l_partkey % 6 = 0 OR l_linenumber >= 6 THEN 'storage' ELSE 'harvest' END AS stage,
   CASE WHEN l_linenumber % 5 = 0 THEN NULL ELSE l_quantity END AS ssc, CASE WHEN l_linenumber % 3 = 0 THEN NULL ELSE floor(l_tax * 100e0 + 0.5e0) END AS ta, CASE WHEN l_discount = 0 THEN NULL ELSE floor(l_discount * 100e0 + 0.5e0) END AS firm,

@@ -1,11 +1,13 @@
 """Text corpus and coverage queries."""
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
-from checks.base import FIXTURES, fixture, oracle, query
+from checks.base import FIXTURES, fixture, oracle, query, ratio_sql
 from checks.climate import rounded
-from checks.labs import key_sql, loose_sql, upper_sql
+from checks.labs import decoded_sql, key_sql, loose_sql, upper_sql
 from checks.orchard import pick
 from graftline import fixed_values as fx
 from graftline.operators import corpus as co
@@ -97,11 +99,13 @@ qw AS (SELECT entry_id, field, {words_sql('quote')} AS ws FROM quote),
 qx AS (SELECT entry_id, field, unnest(range(1, len(ws) + 1)) AS i, ws FROM qw WHERE len(ws) > 0),
 qy AS (SELECT entry_id, field, i, ws[i] AS x, CASE WHEN i < len(ws) THEN ws[i] || ws[i + 1] END AS nx, CASE WHEN i > 1 THEN ws[i - 1] || ws[i] END AS px FROM qx),
 direct AS (SELECT q.entry_id, field, i, x, bool_or(p.p IS NOT NULL) AS hit FROM (SELECT entry_id, field, i, x, unnest([x, nx, px]) AS f FROM qy) q LEFT JOIN pool p ON p.entry_id = q.entry_id AND p.p = q.f GROUP BY q.entry_id, field, i, x),
-nearw AS (SELECT DISTINCT o.entry_id, o.x FROM (SELECT DISTINCT entry_id, x FROM direct WHERE NOT hit AND length(x) >= 4) o JOIN pool p ON p.entry_id = o.entry_id AND abs(length(p.p) - length(o.x)) <= 2 AND levenshtein(o.x, p.p) <= floor(greatest(length(o.x), length(p.p)) * 0.2 + 1e-9))"""
+np AS (SELECT DISTINCT o.entry_id, o.x AS a, p.p AS b FROM (SELECT DISTINCT entry_id, x FROM direct WHERE NOT hit AND length(x) >= 4) o JOIN pool p ON p.entry_id = o.entry_id AND abs(length(p.p) - length(o.x)) <= 2 AND levenshtein(o.x, p.p) <= floor((length(o.x) + length(p.p)) * 0.2 + 1e-9)),
+{ratio_sql('np')},
+nearw AS (SELECT DISTINCT entry_id, a AS x FROM np JOIN gr USING (a, b) WHERE ratio >= 0.8)"""
 
 
 @query("quote_verification", oracle(["entry", "quote"], """SELECT entry_id, field, count(*) AS words, round(avg(CASE WHEN hit OR n.x IS NOT NULL THEN 1 ELSE 0 END), 6) AS share, avg(CASE WHEN hit OR n.x IS NOT NULL THEN 1 ELSE 0 END) >= 0.8 AS ok
- FROM direct d LEFT JOIN nearw n USING (entry_id, x) GROUP BY entry_id, field""", LINES + "," + QUOTES).replace("AS end FROM", 'AS "end" FROM'))
+ FROM direct d LEFT JOIN nearw n USING (entry_id, x) GROUP BY entry_id, field""", LINES + "," + QUOTES).replace("AS end FROM", 'AS "end" FROM').replace("WITH ", "WITH RECURSIVE ", 1))
 def quote_verification(spark, sf):
     return rounded(co.verify_quotes(fixture(spark, sf, "entry"), fixture(spark, sf, "quote"), lines(spark, sf)), "share")
 
@@ -110,9 +114,16 @@ FIXTURES["tasting_summary"] = f"""SELECT doc_id AS variety_id, text || {pick('do
   CASE WHEN doc_id % 3 = 0 THEN list_value('honey', 'nutty') WHEN doc_id % 3 = 1 THEN list_value('a', 'b', 'c', 'd', 'e', 'f', 'g') END AS tags FROM {{documents}}"""
 
 
-@query("tags_from_text")
+# SQL has no look-behind: the text is split at the pattern, and what stands before each place must not end in a negation
+TAGGED = ("rx AS (SELECT * FROM (VALUES " + ", ".join(f"({i}, '{t}', '{x.replace(chr(39), chr(39) * 2)}')" for i, (t, x) in enumerate((t, re.sub(r"\(\?!.*?\)", "", x)) for t, x in fx.TAG_PATTERNS.items())) + ") AS v(n, tag, x)),\n"
+          f"""sp AS (SELECT variety_id, text, tags, n, tag, regexp_split_to_array(text, '(?i:' || x || ')') AS parts, regexp_extract_all(text, '(?i:' || x || ')') AS found FROM tasting_summary, rx WHERE text <> '' AND regexp_matches(text, '(?i:' || x || ')')),
+pl AS (SELECT variety_id, tags, n, tag, text, unnest(list_transform(range(1, len(found) + 1), lambda k: list_sum(list_transform(parts[1:k], lambda q: length(q)))::BIGINT + coalesce(list_sum(list_transform(found[1:k - 1], lambda q: length(q))), 0)::BIGINT)) AS before, unnest(found) AS hit FROM sp),
+ok AS (SELECT DISTINCT variety_id, tags, n, tag FROM pl WHERE NOT regexp_matches(substr(text, greatest(1, before - 59), least(before, 60)), '{fx.NEGATION}[^.;]{{0,25}}$')
+ AND NOT (tag = 'pear' AND regexp_matches(lower(substr(text, before + length(hit) + 1, 5)), '^([- ]drop|main)')))""")
+
+
+@query("tags_from_text", oracle(["tasting_summary"], """SELECT variety_id, (row_number() OVER (PARTITION BY variety_id ORDER BY n) - 1)::INT AS pos, tag FROM ok WHERE NOT list_contains(coalesce(tags, []), tag) QUALIFY row_number() OVER (PARTITION BY variety_id ORDER BY n) <= 8 - coalesce(len(tags), 0)""", TAGGED))
 def tags_from_text(spark, sf):
-    """Look-behind has no SQL counterpart; tests/test_corpus.py checks it against a direct reading."""
     return co.scan_tags(fixture(spark, sf, "tasting_summary"))
 
 
@@ -237,7 +248,7 @@ def heirloom_tiers(spark, sf):
 FIXTURES["collection_row"] = "SELECT list AS collection, CASE WHEN name_id % 13 = 0 THEN '12 / 4.5' WHEN name_id % 7 = 0 THEN ' ' || name || '-NL' ELSE name END AS name, CASE WHEN name_id % 11 = 0 THEN 'rootstock' WHEN name_id % 3 = 0 THEN NULL ELSE 'cultivar' END AS type, CASE WHEN name_id % 5 = 0 THEN 'Malus sylvestris' WHEN name_id % 5 = 1 THEN NULL ELSE 'Malus domestica' END AS species FROM {listed_name}"
 
 
-@query("collection_names", oracle(["collection_row"], """SELECT DISTINCT collection, n AS name FROM (SELECT collection, regexp_replace(replace(trim(name), '&amp;', '&'), '-(NL|IT|ES|CH|BE|FR|PL|DE)$', '') AS n FROM collection_row WHERE coalesce(type, '') <> 'rootstock' AND (species IS NULL OR species = 'Malus domestica')) WHERE n <> '' AND NOT regexp_matches(n, '^[\\d\\s/.-]+$')"""))
+@query("collection_names", oracle(["collection_row"], f"""SELECT DISTINCT collection, n AS name FROM (SELECT collection, regexp_replace({decoded_sql('trim(name)')}, '-(NL|IT|ES|CH|BE|FR|PL|DE)$', '') AS n FROM collection_row WHERE coalesce(type, '') <> 'rootstock' AND (species IS NULL OR species = 'Malus domestica')) WHERE n <> '' AND NOT regexp_matches(n, '^[\\d\\s/.-]+$')"""))
 def collection_names(spark, sf):
     return gp.collection_names(fixture(spark, sf, "collection_row"))
 

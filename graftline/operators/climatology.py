@@ -81,7 +81,11 @@ def _sd(c: Column | str, at_least: float | None = None) -> Column:
 
 
 def summarise_cycles(metrics: DataFrame) -> DataFrame:
-    """Cross-year summary, one row per place.  Bloom-dependent values use only the years that bloomed."""
+    """Cross-year summary, one row per place.  Bloom-dependent values use only the years that bloomed.
+
+    Where the metrics hold the monthly sums of humidity, their means rh_m[12] and lwd_m[12] come out of the same aggregation."""
+    monthly = [F.array(*[F.try_divide(F.sum(F.col(f"{c}_sums")[m]), F.sum(F.col("month_days")[m])) for m in range(12)]).alias(f"{c}_m")
+               for c in ("rh", "lwd") if f"{c}_sums" in metrics.columns]
     hits, nights, lows, spread = [], [], [], []
     for g in range(fx.FLOWER_GROUPS):
         n, low = F.col("frost_nights")[g], F.col("frost_min")[g]
@@ -110,7 +114,7 @@ def summarise_cycles(metrics: DataFrame) -> DataFrame:
         F.avg("canker_days").alias("canker_days"), F.avg("fire_blight_days").alias("fire_blight_events"),
         F.avg("mildew_idx").alias("mildew_idx"), F.avg("scab_events").alias("scab_events"), F.avg("lwd_spring").alias("lwd_spring"),
         F.avg("gs_precip").alias("gs_precip"), F.avg("gs_et0").alias("gs_et0"), F.avg("rh_gs").alias("rh_gs"),
-        F.avg("snow_days").alias("snow_days"), F.avg("frost_free_days").alias("frost_free_days"))
+        F.avg("snow_days").alias("snow_days"), F.avg("frost_free_days").alias("frost_free_days"), *monthly)
     z = F.zip_with("frost_min", "spread", lambda low, sd: (F.lit(fx.FROST_NIGHT) - low) / sd)
     chance = F.zip_with("hits", F.transform(z, norm_cdf), lambda hit, fit: F.lit(0.5) * hit + F.lit(0.5) * fit)
     out = out.withColumns({"frost_p": chance, "zone": wx.usda_zone("ext_min_mean"), "bloomed": F.col("n_bloom") > 0})
@@ -125,7 +129,7 @@ def summarise_cycles(metrics: DataFrame) -> DataFrame:
         "aridity": F.col("gs_precip") / F.greatest(F.lit(1.0), F.col("gs_et0")),
         "no_bloom": ~F.col("bloomed"),
         "tropical": (F.col("ext_min_mean") > 12) | (F.col("chill_mean") < 30),
-        **{name: F.when(F.col("bloomed"), c) for name, c in only_bloomed.items()},
+        **{name: F.when(F.col("bloomed"), c) for name, c in (only_bloomed | {c: F.col(c) for c in ("rh_m", "lwd_m") if monthly}).items()},
     }).drop("freezes", "freeze_vi", "frost_years", "hits", "spread", "zone", "bloomed")
 
 

@@ -3,13 +3,17 @@
 `lines` has one row per (book, line_no, text); line numbers start at 1."""
 from __future__ import annotations
 
-import pandas as pd
+import itertools
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from graftline import fixed_values as fx
 from graftline.functions.names import heading_keys, name_key, upper_key, words
-from graftline.operators.matching import within_edits
+from graftline.operators.closeness import close_pairs
 from graftline.plans.lineage import cut
 
 MAX_PAGE = 9999
@@ -46,7 +50,9 @@ def locate(lines: DataFrame, keys: DataFrame, k: int = 6, chunk_lines: int = 500
     worded = worded.join(keys.select(F.substring_index("key", " ", 1).alias("first")).distinct(), "first", "left_semi")
     openings = F.transform(F.sequence(F.lit(1), F.least(F.size("w"), F.col("longest"))), lambda n: F.array_join(F.slice("w", 1, n), " "))
     met = worded.select("book", "line_no", F.explode(openings).alias("key")).join(keys, "key")
-    hits = met.join(lines.select("book", "line_no", raw.alias("raw")), ["book", "line_no"])
+    # no more of a line is looked at, or shown, than its beginning
+    seen = F.greatest(F.lit(160), keys.agg(F.max(F.length("key"))).scalar() + 9)
+    hits = met.join(lines.select("book", "line_no", raw.alias("raw")).join(met.select("book", "line_no").distinct(), ["book", "line_no"], "left_semi").withColumn("raw", F.col("raw").substr(F.lit(1), seen.cast("int"))), ["book", "line_no"])
     size = F.length("key")
     head = F.col("raw").substr(F.lit(1), size + 6)
     letters, capitals = F.length(F.regexp_replace(head, r"[^\p{L}]", "")), F.length(F.regexp_replace(head, r"[^\p{Lu}]", ""))
@@ -81,6 +87,23 @@ def _page_rule(numbers: list[int]) -> tuple[list[int], list[int]]:
     return begin, to
 
 
+def _dealt(numbers: DataFrame) -> DataFrame:
+    """Number lines with each chunk whole and in order; a task streams over many chunks."""
+    return numbers.repartition("book", "chunk").sortWithinPartitions("book", "chunk", "line_no")
+
+
+def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    """(book, chunk, rows) of each chunk in turn; a chunk may go over the end of a batch."""
+    rows = itertools.chain.from_iterable(zip(*(c.to_pylist() for c in b.columns), strict=True) for b in batches)
+    for (book, chunk), group in itertools.groupby(rows, key=lambda r: r[:2]):
+        yield book, chunk, list(group)
+
+
+def _lots(chunks: Iterator[tuple], size: int = 1_000) -> Iterator[list[tuple]]:
+    while some := list(itertools.islice(chunks, size)):
+        yield some
+
+
 def page_numbers(lines: DataFrame, chunk_lines: int = 500_000) -> DataFrame:
     """(book, line_no, page) of every line: the last standalone number accepted so far, null before the first.
 
@@ -91,12 +114,14 @@ def page_numbers(lines: DataFrame, chunk_lines: int = 500_000) -> DataFrame:
     all_lines = lines.select("book", "line_no", F.floor(F.col("line_no") / chunk_lines).cast("long").alias("chunk"), F.when(n.rlike(r"^\d{1,4}$"), n.cast("int")).alias("n"))
     numbers = all_lines.where("n IS NOT NULL")
     kind = numbers.schema["book"].dataType.simpleString()
+    book_type = to_arrow_type(numbers.schema["book"].dataType)
 
-    def transfer(pdf: pd.DataFrame) -> pd.DataFrame:
-        begin, to = _page_rule(pdf.sort_values("line_no")["n"].tolist())
-        return pd.DataFrame({"book": [pdf["book"].iloc[0]], "chunk": [pdf["chunk"].iloc[0]], "begin": [begin], "to": [to]})
+    def transfer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for some in _lots(_chunks(batches)):
+            rules = [_page_rule([r[3] for r in rows]) for _, _, rows in some]
+            yield pa.RecordBatch.from_pydict({"book": pa.array([b for b, _, _ in some], book_type), "chunk": [c for _, c, _ in some], "begin": pa.array([r[0] for r in rules], pa.list_(pa.int32())), "to": pa.array([r[1] for r in rules], pa.list_(pa.int32()))})
 
-    tables = numbers.groupBy("book", "chunk").applyInPandas(transfer, f"book {kind}, chunk long, begin array<int>, to array<int>")
+    tables = _dealt(numbers.select("book", "chunk", "line_no", "n")).mapInArrow(transfer, f"book {kind}, chunk long, begin array<int>, to array<int>")
     ordered = tables.groupBy("book").agg(F.array_sort(F.collect_list(F.struct("chunk", "begin", "to"))).alias("ts"))
 
     def step(page: Column, t: Column) -> Column:
@@ -107,15 +132,17 @@ def page_numbers(lines: DataFrame, chunk_lines: int = 500_000) -> DataFrame:
     ways = (ordered.select("book", F.arrays_zip(F.transform("ts", lambda t: t["chunk"]).alias("chunk"), F.slice(ends, 1, F.size("ts")).alias("start"), F.slice(ends, 2, F.size("ts")).alias("end")).alias("z"))
             .select("book", F.explode("z").alias("z")).select("book", "z.chunk", "z.start", "z.end"))
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("line_no")
-        last, pages = int(pdf["start"].iloc[0]), []
-        for value in pdf["n"].tolist():
-            last = value if last < value <= last + PAGE_STEP else last
-            pages.append(last)
-        return pd.DataFrame({"book": pdf["book"], "line_no": pdf["line_no"], "last": pages})
-
-    reached = numbers.join(ways, ["book", "chunk"]).groupBy("book", "chunk").applyInPandas(run, f"book {kind}, line_no long, last int")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for some in _lots(_chunks(batches)):
+            out = []
+            for book, _, rows in some:
+                last = rows[0][4]
+                for _, _, line_no, value, _ in rows:
+                    last = value if last < value <= last + PAGE_STEP else last
+                    out.append((book, line_no, last))
+            yield pa.RecordBatch.from_pydict({"book": pa.array([r[0] for r in out], book_type), "line_no": pa.array([r[1] for r in out], pa.int64()), "last": pa.array([r[2] for r in out], pa.int32())})
+
+    reached = _dealt(numbers.join(ways, ["book", "chunk"]).select("book", "chunk", F.col("line_no").cast("long").alias("line_no"), "n", "start")).mapInArrow(run, f"book {kind}, line_no long, last int")
     by_chunk = Window.partitionBy("book").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
     carried = all_lines.select("book", "chunk").distinct().join(ways, ["book", "chunk"], "left").select("book", "chunk", F.coalesce(F.last("end", True).over(by_chunk), F.lit(0)).alias("carried"))
     zero = numbers.where("n = 0").groupBy("book").agg(F.min("line_no").alias("zero"))
@@ -154,8 +181,8 @@ def check_spans(entries: DataFrame, lines: DataFrame) -> DataFrame:
 
 
 def verify_quotes(entries: DataFrame, quotes: DataFrame, lines: DataFrame, at_least: float = 0.8) -> DataFrame:
-    """Share of each quote's words that the entry's own lines contain: verbatim, run together with a neighbour, or within a fifth
-    of the letters (words of four letters or more).  A quote needs 80%.
+    """Share of each quote's words that the entry's own lines contain: verbatim, run together with a neighbour, or in a spelling with a
+    sequence ratio of 0.8 and at most two letters more or less (words of four letters or more).  A quote needs 80%.
 
     `quotes`: entry_id, field, quote.  The lines are read two above and two below the entry.  The entry words and the words
     found directly are each read several times, so both are cut off at the shared folder."""
@@ -172,7 +199,7 @@ def verify_quotes(entries: DataFrame, quotes: DataFrame, lines: DataFrame, at_le
     direct = cut(forms.join(pool.withColumn("hit", F.lit(1)), ["entry_id", "p"], "left").groupBy("entry_id", "field", "i", "x").agg(F.max("hit").alias("hit")))
     open_words = direct.where("hit IS NULL AND length(x) >= 4").select("entry_id", "x").distinct()
     # spellings are compared once per pair of distinct words, however many entries they occur in
-    alike = within_edits(open_words.select("x").distinct(), pool.select("p").distinct(), "x", "p").where(F.abs(F.length("x") - F.length("p")) <= 2).select("x", "p")
+    alike = close_pairs(open_words.select("x").distinct(), pool.select("p").distinct(), "x", "p", 0.8, most_apart=2).select("x", "p")
     near = open_words.join(alike, "x").join(pool, ["entry_id", "p"], "left_semi").select("entry_id", "x").distinct().withColumn("near", F.lit(1))
     found = direct.join(near, ["entry_id", "x"], "left").withColumn("found", F.coalesce("hit", "near", F.lit(0)))
     return found.groupBy("entry_id", "field").agg(F.count("*").alias("words"), F.avg("found").alias("share")).withColumn("ok", F.col("share") >= at_least)

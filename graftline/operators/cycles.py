@@ -269,12 +269,22 @@ def _water_metrics() -> list[Column]:
     ]
 
 
+def _humidity_metrics() -> list[Column]:
+    """Sums of relative humidity and leaf-wet hours by calendar month, and the days behind them; means over years are made of these."""
+    month = [(F.col("ci") >= 0) & (F.col("cmonth") == m) for m in range(12)]
+    none = F.lit(0.0)
+    return [F.array(*[F.sum(F.when(m, F.col(c)).otherwise(none)) for m in month]).alias(f"{c}_sums") for c in ("rh", "lwd")] + [
+        F.array(*[F.count(F.when(m, F.col("rh"))) for m in month]).alias("month_days")]
+
+
 FAMILIES = {"frost": _frost_metrics, "season": _season_metrics, "wetness": _wetness_metrics, "water": _water_metrics}
+#: Families that are only worked out when asked for.
+FURTHER = {"humidity": _humidity_metrics}
 
 
 def cycle_metrics(season: DataFrame, families: list[str] | None = None) -> DataFrame:
     """One row per (place_id, cycle).  Winter metrics always; the other families are null in a year without bloom."""
-    chosen = [m for f in (families or list(FAMILIES)) for m in FAMILIES[f]()]
+    chosen = [m for f in (families or list(FAMILIES)) for m in (FAMILIES | FURTHER)[f]()]
     out = season.groupBy(*SEASON).agg(*_winter_metrics(), *chosen)
     kept = SEASON + ["lat", "southern", "chill", "chill_hours", "gate_vi", "winter_min", "canker_days", "bloom"]
     out = out.select(*kept, *[F.when(F.col("bloom").isNotNull(), F.col(c)).alias(c) for c in out.columns if c not in kept])

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from graftline import fixed_values as fx
 from graftline.functions.codes import book_voice, evidence_level, implied_tags, mapped, modern_label, modern_voice, panel_tags
+from graftline.functions.ordered import global_row_number
 
 NO_TAGS = "array<string>"
 
@@ -194,6 +195,15 @@ def audit_unsourced(varieties: DataFrame, counts: DataFrame) -> DataFrame:
     return varieties.select("variety_id", "name").join(counts.select("variety_id"), "variety_id", "left_anti")
 
 
+def audit_notes(varieties: DataFrame, notes: DataFrame) -> DataFrame:
+    """Researchers' notes as table rows in the order of the names: (row, variety_id, name, note); bars and line ends would break the table.
+
+    `notes`: variety_id, note."""
+    told = notes.where("note IS NOT NULL AND note <> ''").join(varieties.select("variety_id", "name"), "variety_id")
+    flat = F.translate(F.replace("note", F.lit("|"), F.lit("/")), "\n", " ")
+    return global_row_number(told.select("variety_id", "name", flat.alias("note")), [F.asc("name"), F.asc("variety_id")])
+
+
 def flavour_stats(final: DataFrame, decisions: DataFrame, added: DataFrame, entries: DataFrame) -> DataFrame:
     """(part, name, level, n): varieties per shown tag and level, entries per book, tags dropped and added."""
     none = F.lit(None).cast("string").alias("level")

@@ -1,11 +1,14 @@
 """Name matching: indexes of known names, source names resolved against them, close spellings, collisions and links."""
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from graftline import fixed_values as fx
 from graftline.functions.names import build_key, loose_key, name_key, parse_accession, unescape
+from graftline.operators.closeness import close_pairs
 from graftline.plans.lineage import cut
 
 
@@ -162,15 +165,34 @@ def within_edits(left: DataFrame, right: DataFrame, left_text: str, right_text:
     return pairs.withColumn("edits", F.levenshtein(left_text, right_text)).where(F.col("edits") <= allowed_edits(F.greatest(n, m), share))
 
 
-def close_names(missing: DataFrame, varieties: DataFrame) -> DataFrame:
-    """For names that matched nothing: known names within a fifth of their letters, and known names whose words are all in
-    the missing name (or, for missing names of several words, contain all of its words).
+def _closest(known: DataFrame, asked: DataFrame, best: int, ratio: float) -> DataFrame:
+    """(ask, known, ratio, rank) of the `best` closest known names of each.
+
+    High ratios need long pieces in common and so few candidates; a name that has enough partners there is done, the others are asked
+    again with a lower one."""
+    closest = Window.partitionBy("ask").orderBy(F.desc("ratio"), F.desc("known"))
+    parts = []
+    for r in [r for r in (0.94, 0.87) if r > ratio] + [ratio]:
+        found = close_pairs(known, asked, "known", "ask", r).withColumn("rank", F.row_number().over(closest)).where(F.col("rank") <= best)
+        if r > ratio:
+            found = cut(found)
+            done = found.where(F.col("rank") == best).select("ask")
+            found, asked = found.join(done, "ask", "left_semi"), cut(asked.join(done, "ask", "left_anti"))
+        parts.append(found)
+    return reduce(lambda a, b: a.unionByName(b), parts)
+
+
+def close_names(missing: DataFrame, varieties: DataFrame, best: int = 3, ratio: float = 0.8) -> DataFrame:
+    """For names that matched nothing: the `best` closest known names by sequence ratio (ties to the later spelling), and known names whose
+    words are all in the missing name (or, for missing names of several words, contain all of its words); each with the last variety
+    of that name.
 
     `missing`: distinct (source, name).  Containment is found by joining on each name's rarest word."""
     ask = cut(missing.select("source", "name", name_key("name").alias("ask")).where("ask <> ''"))
-    known = cut(all_names(varieties).select(name_key("name").alias("known")).where("known <> ''").distinct())
+    ours = cut(all_names(varieties).select(name_key("name").alias("known"), "variety_id").where("known <> ''").groupBy("known").agg(F.max("variety_id").alias("variety_id")))
+    known = ours.select("known")
     asked = ask.select("ask").distinct()
-    near = within_edits(asked, known, "ask", "known").select("ask", "known", F.lit("spelling").alias("how"))
+    near = _closest(known, asked, best, ratio)
     split = lambda c: F.array_distinct(F.split(F.col(c), " "))                  # noqa: E731
     ka, aa = known.select("known", split("known").alias("kw")), asked.select("ask", split("ask").alias("aw"))
     freq = ka.select(F.explode("kw").alias("w")).groupBy("w").agg(F.count("*").alias("f"))
@@ -183,8 +205,8 @@ def close_names(missing: DataFrame, varieties: DataFrame) -> DataFrame:
               .select("ask", "known", F.lit("contained").alias("how")))
     around = (rarest(aa.where(F.size("aw") > 1), "ask", "aw").join(ka.select("known", "kw", F.explode("kw").alias("w")), "w").where(F.size(F.array_except("aw", "kw")) == 0)
               .select("ask", "known", F.lit("contained").alias("how")))
-    hits = near.unionByName(inside).unionByName(around).groupBy("ask", "known").agg(F.max("how").alias("how"))
-    return ask.join(hits, "ask").select("source", "name", "known", "how")
+    hits = near.withColumn("how", F.lit("spelling")).unionByName(inside.unionByName(around), allowMissingColumns=True).groupBy("ask", "known").agg(*[F.max(c).alias(c) for c in ("how", "ratio", "rank")])
+    return ask.join(hits, "ask").join(ours, "known").select("source", "name", "known", "variety_id", "how", "ratio", "rank")
 
 
 # ---- links, collisions, lists --------------------------------------------------------------

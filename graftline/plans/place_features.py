@@ -12,15 +12,15 @@ from graftline.operators import cycles as cy
 def place_features(daily: DataFrame, humidity_daily: DataFrame | None = None, min_valid: int = fx.MIN_VALID_DAYS) -> DataFrame:
     """All metrics of a place in one row.
 
-    One shuffle of the days by place, partial aggregates for the normals; every join after that is between tables with one
-    row per place."""
+    Normals are partial aggregates where the days lie; the days are shuffled by place once, for the seasons.  One pass over these gives the
+    cycle metrics with the monthly sums, whose aggregate over the years is the summary.  Every join after that is between tables with
+    one row per place."""
     normals = cl.monthly_normals(daily)
     clim = None if humidity_daily is None else cl.humidity_climatology(humidity_daily)
     dew = cl.dew_terms(normals, clim)
     season = cy.season_days(daily, dew, min_valid)
-    summary = cl.summarise_cycles(cy.cycle_metrics(season))
-    monthly = cl.monthly_humidity(cy.humidity_by_month(season))
+    summary = cl.summarise_cycles(cy.cycle_metrics(season, [*cy.FAMILIES, "humidity"]))
     hottest = F.array_max("tmax_m")
     return (normals.drop("first_day", "last_day", "lat", "southern").join(summary, "place_id")
             .join(dew.select("place_id", "dew_gap", F.col("estimated").alias("humidity_estimated")), "place_id")
-            .join(monthly, "place_id", "left").withColumn("tmax_hot", hottest))
+            .withColumn("tmax_hot", hottest))

@@ -4,25 +4,44 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from graftline.sources import pieces as pc
+
 
 def read_records(spark: SparkSession, folder: str, schema: str) -> DataFrame:
     """A folder of JSON arrays as one table; `file` keeps the order of the files."""
     return spark.read.schema(schema).option("multiLine", True).json(folder).withColumn("file", F.col("_metadata.file_name"))
 
 
+_BEGIN = r"^\s*\uFEFF?\s*\{"
+
+
 def read_keyed(spark: SparkSession, folder: str, schema: str) -> DataFrame:
-    """JSON objects {id: record} as rows (file, id, record fields); keys that start with '_' are metadata."""
-    raw = spark.read.text(folder, wholetext=True).select(F.regexp_extract(F.col("_metadata.file_name"), r"^(.*?)(\.[^.]*)?$", 1).alias("file"), "value")
-    rows = raw.select("file", F.explode(F.from_json("value", "map<string,string>")).alias("id", "json")).where(~F.col("id").startswith("_"))
+    """JSON objects {id: record} as rows (file, id, record fields); keys that start with '_' are metadata.
+
+    A file is read in blocks and cut at the commas between its entries, so its size does not matter; a key that comes twice is two rows."""
+    first = lambda: F.col("depth").isin(0, 1)                                   # noqa: E731
+    entries = pc.joined(pc.since(pc.json_pieces(spark, folder), {"entry": first}), ["path", "name", "entry"])
+    one = F.concat(F.lit("{"), F.regexp_replace("text", _BEGIN, ""), F.lit("}"))  # what follows the entry is not read
+    rows = entries.select(F.col("name").alias("file"), F.explode(F.from_json(one, "map<string,string>")).alias("id", "json")).where(~F.col("id").startswith("_"))
     return rows.select("file", "id", F.from_json("json", schema).alias("r")).select("file", "id", "r.*")
 
 
 def read_bundle(spark: SparkSession, folder: str, schema: str) -> DataFrame:
-    """Bundles {"_source": {...}, "records": {id: record}} as rows; files without a source are left out."""
-    raw = spark.read.text(folder, wholetext=True).select("value")
-    b = raw.select(F.from_json("value", f"_source struct<key:string, title:string, year:int, url:string, where:string>, records map<string, struct<{_inner(schema)}>>").alias("b"))
-    rows = b.where("b._source IS NOT NULL").select(F.col("b._source.key").alias("source"), F.col("b._source.title").alias("title"), F.explode("b.records").alias("id", "r"))
-    return rows.select("source", "title", "id", "r.*")
+    """Bundles {"_source": {...}, "records": {id: record}} as rows; files without a source are left out.
+
+    Files are read in blocks and cut at the commas between sections and between records."""
+    marks = {"section": lambda: F.col("depth").isin(0, 1), "entry": lambda: F.col("depth").isin(0, 1, 2)}
+    entries = pc.joined(pc.since(pc.json_pieces(spark, folder), marks), ["path", "section", "entry"]).withColumn("text", F.regexp_replace("text", _BEGIN, ""))
+    opening = F.col("section") == F.col("entry")
+    named = entries.where(opening).select("path", "section", F.regexp_extract("text", r'^\s*"([^"\\]*)"\s*:', 1).alias("key"))
+    entries = entries.join(named, ["path", "section"])
+    told = entries.where("key = '_source'").groupBy("path", "section").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("entry", "text"))), lambda e: e["text"]), ",").alias("text"))
+    told = told.select("path", F.from_json(F.concat(F.lit("{"), "text", F.lit("}")), "_source struct<key:string, title:string, year:int, url:string, where:string>")["_source"].alias("s")).where("s IS NOT NULL")
+    head = r'^\s*"records"\s*:\s*\{'
+    held = entries.where((F.col("key") == "records") & (~opening | F.col("text").rlike(head)))
+    one = F.concat(F.lit("{"), F.when(opening, F.regexp_replace("text", head, "")).otherwise(F.col("text")), F.lit("}"))
+    rows = held.select("path", F.explode(F.from_json(one, f"map<string, struct<{_inner(schema)}>>")).alias("id", "r"))
+    return rows.join(told, "path").select(F.col("s.key").alias("source"), F.col("s.title").alias("title"), "id", "r.*")
 
 
 def _inner(ddl: str) -> str:

@@ -5,6 +5,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graftline.functions.spread import spread
+from graftline.sources import pieces as pc
 
 
 def numbered_lines(texts: DataFrame, key: str, text: str) -> DataFrame:
@@ -13,9 +14,12 @@ def numbered_lines(texts: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def read_book_lines(spark: SparkSession, folder: str) -> DataFrame:
-    """A folder of text books -> (book, line_no, text); the book is the file name without its ending."""
-    raw = spark.read.text(folder, wholetext=True).select(F.regexp_extract(F.col("_metadata.file_name"), r"^(.*?)(\.[^.]*)?$", 1).alias("book"), "value")
-    return numbered_lines(raw, "book", "value")
+    """A folder of text books -> (book, line_no, text); the book is the file name without its ending.
+
+    A book is read in blocks, and the lines of the blocks before are added to the numbers of a block.  A line feed at the very end
+    begins no further line."""
+    lines = pc.numbered(pc.read_pieces(spark, folder, "\n"))
+    return lines.select(F.col("name").alias("book"), F.col("number").cast("long").alias("line_no"), F.regexp_replace("value", r"\r$", "").alias("text"))
 
 
 def listing_lines(lines: DataFrame, text: str = "text") -> DataFrame:

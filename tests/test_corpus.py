@@ -78,6 +78,34 @@ def test_within_edits(spark):
     assert {tuple(r) for r in got.collect()} == want and len(want) > 60
 
 
+def test_close_pairs(spark):
+    """Every pair with the ratio, and no other, in either order of the texts; short alphabets make many blocks."""
+    from difflib import SequenceMatcher
+
+    from graftline.operators.closeness import close_pairs
+
+    rng = random.Random(17)
+    left, right = set(), set()
+    for letters, n in (("ab", 60), ("abcdef", 80), ("abcdefghijklmnopqrstuvwxyz é", 80)):
+        for _ in range(n):
+            w = [rng.choice(letters) for _ in range(rng.randint(1, 24))]
+            left.add("".join(w))
+            for _ in range(2):
+                x = list(w)
+                for _ in range(rng.randint(0, max(1, len(w) // 4))):
+                    i = rng.randrange(len(x) + 1)
+                    x[i:i + rng.randint(0, 1)] = [rng.choice(letters)] if rng.random() < 0.6 else []
+                right.add("".join(x))
+    left |= {"a" * 250, "ab" * 120}  # longer than 200 letters common ones do not count
+    right |= {"a" * 249, "ab" * 119, ""}
+    a, b = spark.createDataFrame([(x,) for x in left] + [(None,)], "x string"), spark.createDataFrame([(x,) for x in right], "y string")
+    for ratio, apart in ((0.8, None), (0.9, None), (0.8, 1)):
+        want = {(x, y) for x in left for y in right if SequenceMatcher(None, x, y).ratio() >= ratio and (apart is None or abs(len(x) - len(y)) <= apart)}
+        got = close_pairs(a, b, "x", "y", ratio, apart).collect()
+        assert {(r["x"], r["y"]) for r in got} == want and len(got) == len(want) > 50
+        assert all(r["ratio"] == SequenceMatcher(None, r["x"], r["y"]).ratio() for r in got)
+
+
 def test_name_keys(spark):
     names = ["Cox’s Orange Pippin", "St. Edmund's Russet", "Saint Cecilia", "Königin  Sophien", "D&#39;Arcy Spice", "Belle de Boskoop™", "Crème brûlée", "ﬁne old", "Peck & Co", "Ångström"]
     df = spark.createDataFrame([(n,) for n in names], "n string").select(name_key("n").alias("a"), name_key_full("n").alias("b")).collect()

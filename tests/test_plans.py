@@ -26,6 +26,21 @@ def test_scan_is_pruned(spark):
     _ = (fixture, vw)
 
 
+def test_place_features_go_over_the_seasons_once(spark):
+    """Normals are partial sums of two narrow scans; the days are shuffled whole for the seasons alone, and gaps are filled once."""
+    from graftline.plans.place_features import place_features
+
+    days = spark.range(3 * 366 * 4).selectExpr("id % 3 AS place_id", "45.0 AS lat", "date_add(date '2001-01-01', cast(id / 3 as int)) AS day", "10.0 + id % 9 AS tmax", "1.0 + id % 5 AS tmin", "0.5 AS prcp")
+    import tempfile
+
+    at = tempfile.mkdtemp(prefix="run-")
+    days.write.mode("overwrite").parquet(at)
+    f = place_features(spark.read.parquet(at))
+    f.collect()
+    plan = f._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert plan.count("FileScan parquet") <= 3 and plan.count("REPARTITION_BY_COL") == 1 and plan.count("Generate explode(slots") == 1, (plan.count("FileScan parquet"), plan.count("REPARTITION_BY_COL"), plan.count("Generate explode(slots"))
+
+
 def test_entry_and_contract(spark):
     df = entry.entry(spark)
     assert df.count() > 0 and set(entry.oracle_sql()) <= set(entry.queries())

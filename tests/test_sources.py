@@ -23,6 +23,57 @@ def test_records_keyed_and_bundles(spark, tmp_path):
     assert (r["source"], r["id"], r["ssc"], r["n"]) == ("abc", "gala", 12.5, 2)
 
 
+@pytest.fixture
+def tiny_blocks(spark):
+    """Files are cut into blocks of a few hundred bytes."""
+    names = {"spark.sql.files.maxPartitionBytes": "300", "spark.sql.files.openCostInBytes": "0", "spark.sql.files.minPartitionNum": "1"}
+    before = {n: spark.conf.get(n, None) for n in names}
+    for n, v in names.items():
+        spark.conf.set(n, v)
+    yield
+    for n, v in before.items():
+        spark.conf.unset(n) if v is None else spark.conf.set(n, v)
+
+
+def _awkward(i: int) -> dict:
+    texts = ['plain', 'a, b, "c" {d} [e]', 'ends in a backslash \\\\', 'quote \\" comma, "', '{"not": "json"}, ', 'Grüße, 中文, ü', "", "x, " * 40, ",,,", '\\\\", {']
+    return {"line": i, "end": i + 2, "tags": [texts[i % 10], "sweet, sharp"][: i % 3], "note": texts[(i * 7) % 10] or None}
+
+
+@pytest.mark.parametrize("indent", [None, 1])
+def test_keyed_records_in_blocks(spark, tmp_path, tiny_blocks, indent):
+    want = {}
+    for f in ("one", "two"):
+        rows = {f"{f}, {i}": _awkward(i) for i in range(120)}
+        want |= {(f, k): v for k, v in rows.items()}
+        (tmp_path / f"{f}.json").write_text(json.dumps({"_meta": {"a": [1, {"b": ", "}]}, **rows, "_last": None}, indent=indent, ensure_ascii=f == "one"))
+    (tmp_path / "none.json").write_text("{}")
+    assert spark.read.text(str(tmp_path)).rdd.getNumPartitions() > 20
+    got = {(r["file"], r["id"]): {"line": r["line"], "end": r["end"], "tags": r["tags"], "note": r["note"]} for r in records.read_keyed(spark, str(tmp_path), BOOK_ENTRY).collect()}
+    assert got == want
+
+
+@pytest.mark.parametrize("first", [True, False])
+def test_bundles_in_blocks(spark, tmp_path, tiny_blocks, first):
+    source = {"key": "a, b", "title": 'T "x", {', "year": 1999}
+    rows = {f"id {i}, {{": {"ssc": i / 2, "n": i} for i in range(150)}
+    held = {"_source": source, "other": [1, [2, {"ssc": 3}]], "records": rows} if first else {"records": rows, "more": {"x": {"ssc": 1}}, "_source": source}
+    (tmp_path / "x.json").write_text(json.dumps(held))
+    (tmp_path / "y.json").write_text(json.dumps({"records": {"fuji": {"ssc": 1.0}}}))
+    (tmp_path / "z.json").write_text(json.dumps({"_source": {"key": "empty"}, "records": {}}))
+    (tmp_path / "n.json").write_text(json.dumps({"_source": {"key": "null"}, "records": None}))
+    got = {(r["source"], r["title"], r["id"]): (r["ssc"], r["n"]) for r in records.read_bundle(spark, str(tmp_path), LAB_RECORD).collect()}
+    assert got == {("a, b", 'T "x", {', k): (v["ssc"], v["n"]) for k, v in rows.items()}
+
+
+def test_books_in_blocks(spark, tmp_path, tiny_blocks):
+    books = {b: [f"line {i} of {b}" + "x" * (i % 50) if i % 7 else "" for i in range(n)] for b, n in (("long", 900), ("short", 3))}
+    for b, lines in books.items():
+        (tmp_path / f"{b}.txt").write_bytes(("\r\n" if b == "short" else "\n").join(lines).encode() + b"\n")
+    read = text.read_book_lines(spark, str(tmp_path))
+    assert {(r["book"], r["line_no"]): r["text"] for r in read.collect()} == {(b, i + 1): t for b, lines in books.items() for i, t in enumerate(lines)}
+
+
 def test_delimited(spark, tmp_path):
     f = tmp_path / "panel.csv"
     f.write_text("﻿MUNQ,Accession Name\n1,Gala\n", encoding="utf-8")
