@@ -118,7 +118,7 @@ cp AS (SELECT known AS a, ask AS b FROM ours, (SELECT DISTINCT ask FROM ms) WHER
 top AS (SELECT a AS known, b AS ask, ratio, row_number() OVER (PARTITION BY b ORDER BY ratio DESC, a DESC)::INT AS rank FROM gr WHERE ratio >= 0.8 QUALIFY rank <= 3)"""
 
 
-@query("close_names", oracle(NAMES, """SELECT source, name, known, variety_id, CASE WHEN rank IS NULL THEN 'contained' ELSE 'spelling' END AS how, ratio, rank FROM ms, ours LEFT JOIN top USING (known, ask)
+@query("close_names", oracle(NAMES, """SELECT source, name, known, variety_id, CASE WHEN rank IS NULL THEN 'contained' ELSE 'spelling' END AS how, ratio, rank FROM (SELECT * FROM ms, ours) LEFT JOIN top USING (known, ask)
  WHERE rank IS NOT NULL OR list_has_all(string_split(ask, ' '), string_split(known, ' ')) OR (len(list_distinct(string_split(ask, ' '))) > 1 AND list_has_all(string_split(known, ' '), string_split(ask, ' ')))""", INDEX + ",\n" + CLOSE).replace("WITH ", "WITH RECURSIVE ", 1))
 def close_names(spark, sf):
     missing = mt.unmatched(fixture(spark, sf, "source_name"), _matches(spark, sf))

@@ -60,6 +60,11 @@ def meeting_keys(text: str, ratio: float = LEAST_RATIO, most_apart: int | None =
             yield text[i] + text[i + 2:i + 4], PARTED, i
 
 
+def _parts(df: DataFrame) -> int:
+    """Texts are small beside the work on them, so their partitions must not be merged by size."""
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
 def _keyed(df: DataFrame, text: str, name: str, ratio: float, most_apart: int | None) -> DataFrame:
     """(name, key, kind, first and last place) of every text and key."""
     names = [name, "key", "kind", f"{name}_lo", f"{name}_hi"]
@@ -79,7 +84,7 @@ def _keyed(df: DataFrame, text: str, name: str, ratio: float, most_apart: int |
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
 
-    return df.select(F.col(text).alias(name)).where(F.col(name).isNotNull()).mapInArrow(run, f"{name} string, key string, kind int, {name}_lo int, {name}_hi int")
+    return df.select(F.col(text).alias(name)).where(F.col(name).isNotNull()).repartition(_parts(df), name).mapInArrow(run, f"{name} string, key string, kind int, {name}_lo int, {name}_hi int")
 
 
 def close_pairs(first: DataFrame, second: DataFrame, first_text: str, second_text: str, ratio: float = LEAST_RATIO, most_apart: int | None = None) -> DataFrame:
@@ -99,9 +104,10 @@ def close_pairs(first: DataFrame, second: DataFrame, first_text: str, second_tex
     front = (F.col("_a_lo") - F.col("_b_hi") <= outside) & (F.col("_b_lo") - F.col("_a_hi") <= outside)
     end = ((n - F.col("_a_hi")) - (m - F.col("_b_lo")) <= outside + 1) & ((m - F.col("_b_hi")) - (n - F.col("_a_lo")) <= outside + 1)
     near = front & end
-    met = a.join(b, (a["key"] == b["key"]) & kinds & sizes & ((F.col("kind") == SUBSEQUENCE) | near)).select("_a", "_b").distinct()
+    a, b = a.repartition(_parts(first), "key"), b.repartition(_parts(first), "key")
+    met = a.join(b, (a["key"] == b["key"]) & kinds & sizes & ((F.col("kind") == SUBSEQUENCE) | near)).select("_a", "_b").repartition(_parts(first), "_a", "_b").distinct()
     # letters outside the blocks can be edited away one by one
-    likely = met.where(F.levenshtein("_a", "_b") <= outside)
+    likely = met.where(F.levenshtein("_a", "_b") <= outside).repartition(_parts(first))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -172,7 +172,7 @@ def _closest(known: DataFrame, asked: DataFrame, best: int, ratio: float) -> Dat
     again with a lower one."""
     closest = Window.partitionBy("ask").orderBy(F.desc("ratio"), F.desc("known"))
     parts = []
-    for r in [r for r in (0.94, 0.87) if r > ratio] + [ratio]:
+    for r in [r for r in (0.9,) if r > ratio] + [ratio]:
         found = close_pairs(known, asked, "known", "ask", r).withColumn("rank", F.row_number().over(closest)).where(F.col("rank") <= best)
         if r > ratio:
             found = cut(found)
