@@ -205,10 +205,29 @@ def verify_quotes(entries: DataFrame, quotes: DataFrame, lines: DataFrame, at_le
     return found.groupBy("entry_id", "field").agg(F.count("*").alias("words"), F.avg("found").alias("share")).withColumn("ok", F.col("share") >= at_least)
 
 
+#: Stands before each place of a pattern; a character that Unicode keeps for such use, which is no part of a word.
+PLACE, NO_PLACE = "\ufdd0", "\ufdd1"
+
+
+def _ascii_words(pattern: str) -> str:
+    r"""The pattern with word bounds between ASCII letters, digits and underscores only; Java 17 counts every letter in \b."""
+    return pattern.replace(r"\b", r"(?:(?<=\w)(?!\w)|(?<!\w)(?=\w))")
+
+
 def tag_found(text: Column | str, pattern: str) -> Column:
-    """Whether a pattern occurs without a negation in the clause before it (at most 25 characters back)."""
+    """Whether a pattern occurs without a negation in the clause before it (at most 25 characters back).
+
+    The places are found from left to right, none within another, and each is judged by the end of what stands before it."""
     c = F.col(text) if isinstance(text, str) else text
-    return c.rlike(f"(?=(?i:{pattern}))(?<!{fx.NEGATION}[^.;]{{0,25}})")          # the look-behind only runs where the pattern is
+    rx, negated = _ascii_words(f"(?iu:{pattern})"), _ascii_words(fx.NEGATION) + r"[^.;]{0,25}\z"
+    between = F.split(F.regexp_replace(F.translate(c, PLACE, NO_PLACE), rx, f"{PLACE}$0"), PLACE)
+
+    def place(seen: Column, more: Column) -> Column:
+        before = F.right(F.concat(seen["before"], more), F.lit(60))
+        return F.transform(F.array(before), lambda b: F.struct(b.alias("before"), (seen["found"] | ~b.rlike(negated)).alias("found")))[0]
+
+    start = F.struct(F.lit("").alias("before"), F.lit(False).alias("found"))
+    return c.rlike(rx) & F.aggregate(F.slice(between, 1, F.size(between) - 1), start, place)["found"]
 
 
 def scan_tags(texts: DataFrame, patterns: dict[str, str] = fx.TAG_PATTERNS, limit: int = fx.MAX_TAGS) -> DataFrame:

@@ -118,3 +118,10 @@ def test_entry_text_cut(spark):
     e = spark.createDataFrame([(1, "b", 1, 6)], "entry_id int, book string, line int, end int")
     t = co.entry_text(e, lines).collect()[0]["text"]
     assert t.startswith("HEAD. A greenish fruit more\n\nword word") and t.endswith("word …") and len(t) <= 5002
+
+
+def test_tags_by_places(spark):
+    """Places do not lie within one another, are judged by the text before them alone, and words end at any letter beyond ASCII."""
+    texts = {1: "without any of the 21 letters raspberries", 2: "novanilla", 3: "purépear", 4: "no honey; honey", 5: "not a trace of vanilla, honey and some more vanilla"}
+    df = spark.createDataFrame([(k, t, None) for k, t in texts.items()], "variety_id int, text string, tags array<string>")
+    assert {(r["variety_id"], r["tag"]) for r in co.scan_tags(df).collect()} == {(3, "pear"), (4, "honey"), (5, "vanilla")}
