@@ -111,20 +111,21 @@ def _with_ratios(j: DataFrame) -> DataFrame:
         "heat_ratio": F.col("hot32") / allowance,
         "harvest_vi": vi, "dafb": half_up(dafb),
     })
-    good = F.size(F.filter("gend_per", lambda g: g >= F.col("gdd_need"))) / F.size("gend_per")
-    return j.withColumns({"season_ratio": or_infinite(F.col("gend_median"), F.col("gdd_need")),
-                          "ok_years": F.when(F.col("gdd_need").isNotNull(), good),
-                          "shift": half_up(F.col("harvest_vi") - F.col("harvest_doy"))})
+    return j.withColumns({"season_ratio": or_infinite(F.col("gend_median"), F.col("gdd_need")), "shift": half_up(F.col("harvest_vi") - F.col("harvest_doy"))})
 
 
 def _with_factors(j: DataFrame) -> DataFrame:
+    """The ramps stand in one projection with the years counted in an array, which Spark compiles in small pieces; with what follows
+    they would make one method too large for the JVM to compile."""
+    good = F.size(F.filter("gend_per", lambda g: g >= F.col("gdd_need"))) / F.size("gend_per")
+    ok_years = F.when(F.col("gdd_need").isNotNull(), good)
     night = F.when(F.coalesce("colour_cool_nights", F.lit(False)) & (F.col("fall_tmin") > 14), piecewise("fall_tmin", fx.WARM_NIGHT_RAMP)).otherwise(1.0)
     return j.withColumns({
-        "f_chill": F.when(F.col("tropical"), 0.0).otherwise(piecewise("chill_ratio", fx.CHILL_RAMP)),
+        "ok_years": ok_years, "f_chill": F.when(F.col("tropical"), 0.0).otherwise(piecewise("chill_ratio", fx.CHILL_RAMP)),
         "f_hardiness": piecewise("zone_margin", fx.HARDINESS_RAMP),
         "f_frost": piecewise("frost_chance", fx.FROST_RAMP),
         "f_season": F.when(F.col("harvest_doy").isNull(), 0.7).otherwise(
-            F.least(piecewise("season_ratio", fx.SEASON_RAMP), F.lit(0.2) + F.lit(0.8) * F.col("ok_years"))),
+            F.least(piecewise("season_ratio", fx.SEASON_RAMP), F.lit(0.2) + F.lit(0.8) * ok_years)),
         "f_heat": piecewise("heat_ratio", fx.HEAT_RAMP) * F.when(F.col("hot38") > 2, 0.85).otherwise(1.0) * night,
         "f_water": piecewise("aridity", fx.WATER_RAMP),
     })
@@ -175,9 +176,10 @@ def _combined(j: DataFrame) -> DataFrame:
 def join_pairs(pairs: DataFrame, varieties: DataFrame, prepared: DataFrame) -> DataFrame:
     """Attach both sides to (variety_id, place_id) pairs by key.
 
-    No side is forced: Spark broadcasts one only when its measured size allows, and splits skewed keys otherwise.  Where both
-    sides have a column (name, country), the variety's is kept."""
-    return pairs.join(varieties, "variety_id").join(prepared.drop(*[c for c in varieties.columns if c != "place_id"]), "place_id")
+    Both sides are tables that grow, and their arrays make them many times the size Spark reckons from their files; so they are
+    merged, not broadcast, and skewed keys are split.  Where both sides have a column (name, country), the variety's is kept."""
+    places = prepared.drop(*[c for c in varieties.columns if c != "place_id"])
+    return pairs.join(varieties.hint("merge"), "variety_id").join(places.hint("merge"), "place_id")
 
 
 def score(pairs: DataFrame, varieties: DataFrame, prepared: DataFrame, ref: Column) -> DataFrame:
