@@ -87,12 +87,15 @@ def climate_changes(here: DataFrame, home: DataFrame) -> DataFrame:
     return j.select("variety_id", "place_id", F.explode(items).alias("i")).select("variety_id", "place_id", "i.*")
 
 
+def _place_words(text: Column) -> Column:
+    """Distinct words of four letters or more."""
+    return F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(r"([a-zà-ÿ']{4,})"), 1))
+
+
 def place_name_words(regions: DataFrame) -> DataFrame:
-    """Distinct words (four letters or more, no generic words) of a region's name and id."""
-    text = F.lower(F.concat_ws(" ", F.col("name"), F.regexp_replace(F.col("place_id").cast("string"), "-", " ")))
-    words = F.array_distinct(F.regexp_extract_all(text, F.lit(r"([a-zà-ÿ']{4,})"), 1))
-    return (regions.select("place_id", "country", F.explode(words).alias("word"))
-            .where(~F.col("word").isin(*fx.GENERIC_PLACE_WORDS)))
+    """(place_id, country, words): the distinct words (no generic ones) of a region's name and id."""
+    text = F.concat_ws(" ", F.col("name"), F.regexp_replace(F.col("place_id").cast("string"), "-", " "))
+    return regions.select("place_id", F.col("country").alias("r_country"), F.filter(_place_words(text), lambda w: ~w.isin(*fx.GENERIC_PLACE_WORDS)).alias("r_words"))
 
 
 def home_place(varieties: DataFrame, regions: DataFrame, grown: DataFrame, scored: DataFrame, ref_id, national_home: str = "GB") -> DataFrame:
@@ -100,13 +103,12 @@ def home_place(varieties: DataFrame, regions: DataFrame, grown: DataFrame, score
     score.  Varieties without one, and those of the reference country without a named origin, get the reference place.
 
     `regions` holds usable places only (place_id, name, country); `scored` has (variety_id, place_id, climate)."""
-    by_word = place_name_words(regions)
-    origin = varieties.select("variety_id", "country", F.explode(F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce("place", F.lit(""))), F.lit(r"([a-zà-ÿ']{4,})"), 1))).alias("word"))
-    named = origin.join(by_word, ["country", "word"]).select("variety_id", "place_id").distinct().withColumn("named", F.lit(4))
-    # same-country candidates come from the scored pairs, so no country group is ever paired with itself
-    pairs = scored.select("variety_id", "place_id", "climate").join(varieties.select("variety_id", "country"), "variety_id")
-    pairs = pairs.join(regions.select("place_id", F.col("country").alias("r_country")), "place_id")
-    pairs = pairs.join(named, ["variety_id", "place_id"], "left").join(grown.select("variety_id", "place_id").distinct().withColumn("grown", F.lit(1)), ["variety_id", "place_id"], "left")
+    # candidates come from the scored pairs, so no country or word is ever paired with itself
+    origin = varieties.select("variety_id", "country", _place_words(F.coalesce("place", F.lit(""))).alias("words"))
+    pairs = scored.select("variety_id", "place_id", "climate").join(origin, "variety_id").join(place_name_words(regions), "place_id")
+    named = F.when((F.col("country") == F.col("r_country")) & F.arrays_overlap("words", "r_words"), 4)
+    pairs = pairs.withColumn("named", named).drop("words", "r_words")
+    pairs = pairs.join(grown.select("variety_id", "place_id").distinct().withColumn("grown", F.lit(1)), ["variety_id", "place_id"], "left")
     same = F.when(F.col("country") == F.col("r_country"), 2).otherwise(0)
     pairs = pairs.withColumn("k", F.coalesce("named", F.lit(0)) + same + F.coalesce("grown", F.lit(0))).where("k >= 2")
     w = Window.partitionBy("variety_id").orderBy(F.desc("k"), F.desc("climate"), F.asc("place_id"))

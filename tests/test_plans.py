@@ -56,3 +56,16 @@ def test_against_sql(spark, name):
     got = rows_of(df.columns, [tuple(r) for r in df.collect()])
     rel = con.execute(entry.oracle_sql()[name])
     assert got == rows_of([d[0] for d in rel.description], rel.fetchall())
+
+
+def test_pairs_are_merged(spark):
+    """Varieties and places grow, so neither is sent whole to every task; words of places are never paired with all that share them."""
+    import __spark_entry__ as entry
+
+    def plan(name):
+        df = entry.queries()[name](spark, "/root/testdata/sf0.001")
+        return df._jdf.queryExecution().executedPlan().toString()
+
+    for name in ("ripening", "variety_place_scores", "disease_losses"):
+        assert "BroadcastHashJoin" not in plan(name), name
+    assert "Generate" not in plan("home_place")
