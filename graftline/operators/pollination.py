@@ -6,6 +6,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from graftline.plans.lineage import cut
 
 
 def own_cost() -> Column:
@@ -80,29 +81,74 @@ def needs_pollination(favs: DataFrame, varieties: DataFrame) -> DataFrame:
     return j.where((F.col("self_fertile") == "no") | (F.col("ploidy") == "triploid")).select("selection_id", "variety_id", "position")
 
 
-#: Picks that are compared together.
-PICKS_OF_A_BLOCK = 32
 TASTE_KEYS = ["sweet", "acid", "aroma", "tannin", "crisp", "juicy"]
+#: Parts in which the tastes of a class are compared with each other.
+TASTE_PARTS = 16
+#: Tastes are looked for in cells up to this distance, beyond it in the whole class.
+CELLS_WITHIN = 1.5
 
 
 def similar_to(picks: DataFrame, varieties: DataFrame, n: int = 6) -> DataFrame:
     """The n varieties most like each pick.
 
-    Picks are a query set of any size: they are packed in blocks, each variety meets every block once, and each task keeps only its
-    best n per pick before the shuffle."""
+    Likeness depends on the profile alone: the class (uses and tags) and the taste.  Of each profile the first n + 1 varieties are kept,
+    which is enough for any pick.  A pick's profile first meets the profiles of its own class; the likeness of the last of the best
+    n + 1 found there bounds how far the taste may be off in each other class, and most classes are too far whatever the taste.  What is
+    left meets on the class and on cells of three tastes.  The work grows with the pairs of profiles of one class, not with the pairs of
+    varieties; classes are compared pair by pair, so it is quadratic where nearly every variety has tags of its own."""
     taste = [F.coalesce(F.col(k).cast("double"), F.lit(2.5)).alias(k) for k in TASTE_KEYS]
-    v = varieties.select("variety_id", F.lower("name").alias("sort_name"), "uses", F.coalesce("tags", F.array().cast("array<string>")).alias("tags"), *taste)
-    wanted = picks.select("variety_id").distinct()
-    blocks = wanted.count() // PICKS_OF_A_BLOCK + 1
-    chosen = v.join(wanted, "variety_id", "left_semi").withColumn("block", F.pmod(F.xxhash64("variety_id"), F.lit(blocks)))
-    packed = chosen.groupBy("block").agg(F.collect_list(F.struct("variety_id", "uses", "tags", *TASTE_KEYS)).alias("picks"))
-
-    def likeness(p: Column) -> Column:
-        d = F.sqrt(reduce(lambda a, b: a + b, [(p[k] - F.col(k)) * (p[k] - F.col(k)) for k in TASTE_KEYS]))
-        both, either = F.size(F.array_intersect(p["tags"], "tags")), F.greatest(F.lit(1), F.size(F.array_union(p["tags"], "tags")))
-        use = F.when(F.arrays_overlap(p["uses"], "uses"), 0.1).otherwise(-0.4)
-        return F.struct(p["variety_id"].alias("pick_id"), (F.lit(1.0) / (F.lit(1.0) + d) * 0.6 + both / either * 0.7 + use).alias("likeness"))
-
-    rows = v.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long")))).join(packed, "block").select("variety_id", "sort_name", F.explode(F.transform("picks", likeness)).alias("s")).select("variety_id", "sort_name", "s.*")
+    tidy = lambda c: F.array_sort(F.array_distinct(c))                          # noqa: E731
+    v = varieties.select("variety_id", F.lower("name").alias("sort_name"), tidy(F.col("uses")).alias("uses"),
+                         tidy(F.coalesce("tags", F.array().cast("array<string>"))).alias("tags"), *taste)
+    v = cut(v.withColumn("class", F.to_json(F.struct("uses", "tags"))))
+    profile = ["class", *TASTE_KEYS]
+    first = v.withColumn("nth", F.row_number().over(Window.partitionBy(*profile).orderBy("sort_name", "variety_id"))).where(F.col("nth") <= n + 1)
+    members = F.array_sort(F.collect_list(F.struct("sort_name", "variety_id")))
+    profiles = cut(first.groupBy(*profile).agg(members.alias("members"), F.first("uses").alias("uses"), F.first("tags").alias("tags")))
+    picked = cut(v.join(picks.select("variety_id").distinct(), "variety_id", "left_semi").select(F.col("variety_id").alias("pick_id"), *profile))
+    wanted = picked.select(*profile).distinct()
+    mine = [F.col(k).alias(f"p_{k}") for k in profile]
+    asked = [f"p_{k}" for k in profile]
+    off = F.sqrt(reduce(lambda a, b: a + b, [(F.col(f"p_{k}") - F.col(k)) * (F.col(f"p_{k}") - F.col(k)) for k in TASTE_KEYS]))
+    like = F.lit(1.0) / (F.lit(1.0) + off) * 0.6 + F.col("shared") * 0.7 + F.col("use")
+
+    # how like each other two classes are
+    classes = cut(profiles.groupBy("class").agg(F.first("uses").alias("uses"), F.first("tags").alias("tags")))
+    other = classes.select(F.col("class").alias("p_class"), F.col("uses").alias("p_uses"), F.col("tags").alias("p_tags"))
+    both, either = F.size(F.array_intersect("p_tags", "tags")), F.greatest(F.lit(1), F.size(F.array_union("p_tags", "tags")))
+    use = F.when(F.arrays_overlap("p_uses", "uses"), 0.1).otherwise(-0.4)
+    alike = cut(other.join(wanted.select(F.col("class").alias("p_class")).distinct(), "p_class", "left_semi").crossJoin(classes)
+                .select("p_class", "class", (both / either).alias("shared"), use.alias("use")))
+
+    def best(met: DataFrame) -> DataFrame:
+        """The profiles that can hold one of the first n + 1 varieties, then these varieties."""
+        by = Window.partitionBy(*asked)
+        near = met.withColumn("at", F.rank().over(by.orderBy(F.desc("likeness")))).where(F.col("at") <= n + 1)
+        rows = near.select(*asked, "likeness", F.explode("members").alias("m")).select(*asked, "likeness", "m.sort_name", "m.variety_id")
+        return rows.withColumn("at", F.row_number().over(by.orderBy(F.desc("likeness"), "sort_name", "variety_id"))).where(F.col("at") <= n + 1)
+
+    part = F.pmod(F.xxhash64(*TASTE_KEYS), F.lit(TASTE_PARTS)).cast("int")
+    parts = F.explode(F.array(*[F.lit(i) for i in range(TASTE_PARTS)]))
+    seekers = wanted.withColumn("part", part).select("part", *mine)
+    own = alike.where("p_class = class").select("p_class", "shared", "use")
+    here = seekers.join(own, "p_class").withColumn("class", F.col("p_class")).join(profiles.select(*profile, "members", parts.alias("part")), ["class", "part"])
+    top = cut(best(here.select(*asked, "members", like.alias("likeness"))))
+
+    # other classes: what a taste at no distance would give must reach the last of the best
+    last = top.groupBy(*asked).agg(F.min(F.when(F.col("at") == n + 1, F.col("likeness"))).alias("last"))
+    room = F.col("last") - 1e-9 - F.col("shared") * 0.7 - F.col("use")
+    reach = F.when(room > 0, F.lit(0.6) / room - 1.0)
+    open_ = last.join(alike.where("p_class <> class"), "p_class").withColumn("reach", reach).where(F.col("last").isNull() | F.col("reach").isNull() | (F.col("reach") >= 0)).drop("last")
+    within = F.col("reach") + 1e-9
+    cells, looked = TASTE_KEYS[:3], open_.where(F.col("reach") < CELLS_WITHIN)
+    for k in cells:
+        low, high = (F.floor(F.col(f"p_{k}") + 0.25 + s * within).cast("int") for s in (-1, 1))
+        looked = looked.withColumn(f"c_{k}", F.explode(F.sequence(low, high)))
+    placed = profiles.select(*profile, "members", *[F.floor(F.col(k) + 0.25).cast("int").alias(f"c_{k}") for k in cells])
+    close = looked.join(placed, ["class", *[f"c_{k}" for k in cells]]).where(off <= within)
+    far = open_.where(F.col("reach").isNull() | (F.col("reach") >= CELLS_WITHIN)).join(profiles.select(*profile, "members"), "class").where(F.col("reach").isNull() | (off <= within))
+    rest = best(close.select(*asked, "members", like.alias("likeness")).unionByName(far.select(*asked, "members", like.alias("likeness"))))
+    found = top.drop("at").unionByName(rest.drop("at"))
+    pairs = picked.select("pick_id", *mine).join(found, asked).where("variety_id <> pick_id")
     w = Window.partitionBy("pick_id").orderBy(F.desc("likeness"), "sort_name", "variety_id")
-    return rows.where("variety_id <> pick_id").withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n).drop("sort_name")
+    return pairs.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n).select("variety_id", "pick_id", "likeness", "rank")

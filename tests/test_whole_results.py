@@ -96,3 +96,28 @@ def test_entities_as_the_standard_decodes_them(spark):
     got = spark.createDataFrame(rows, "t string").select("t", unescape("t").alias("u")).collect()
     assert all(r["u"] == (None if r["t"] is None else html.unescape(r["t"])) for r in got)
     assert spark.createDataFrame([("R&#233;inette",)], "t string").select(name_key("t").alias("k")).first()["k"] == "reinette"
+
+
+def test_picks_meet_by_profile(spark):
+    """Varieties of one profile are one row where picks are compared, and no close one of another class is lost."""
+    import math
+    import random
+
+    rnd = random.Random(5)
+    rows = [(i, f"V{rnd.randrange(60)}", rnd.choice([None, ["dessert"], ["cider", "crab"], ["dessert", "cider"]]), rnd.choice([None, ["a"], ["a", "b"], ["b", "a", "c"], ["d"], ["c", "d", "e"]]),
+             *[rnd.choice([None, 1, 2, 3, 4, 5]) for _ in range(2)], *[3] * 4) for i in range(300)] + [(300, "alone", ["x"], ["y"], 1, 5, 1, 5, 1, 5)]
+    v = spark.createDataFrame(rows, "variety_id long, name string, uses array<string>, tags array<string>, " + ", ".join(f"{k} int" for k in pollination.TASTE_KEYS))
+    out = pollination.similar_to(v.select("variety_id").where("variety_id % 3 = 0"), v)
+    assert "block" not in out._jdf.queryExecution().optimizedPlan().toString()
+    got = sorted((r["pick_id"], r["rank"], r["variety_id"]) for r in out.collect())
+
+    def like(p, q):
+        d = math.sqrt(sum((float(2.5 if x is None else x) - float(2.5 if y is None else y)) ** 2 for x, y in zip(p[4:], q[4:])))
+        a, b = set(p[3] or []), set(q[3] or [])
+        return 1.0 / (1.0 + d) * 0.6 + len(a & b) / max(1, len(a | b)) * 0.7 + (0.1 if set(p[2] or []) & set(q[2] or []) else -0.4)
+
+    want = []
+    for p in rows[::3]:
+        near = sorted((-like(p, q), q[1].lower(), q[0]) for q in rows if q[0] != p[0])[:6]
+        want += [(p[0], i + 1, x[2]) for i, x in enumerate(near)]
+    assert got == sorted(want)
