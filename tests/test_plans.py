@@ -69,3 +69,16 @@ def test_pairs_are_merged(spark):
     for name in ("ripening", "variety_place_scores", "disease_losses"):
         assert "BroadcastHashJoin" not in plan(name), name
     assert "Generate" not in plan("home_place")
+
+
+def test_names_of_accessions_are_read_once(spark):
+    """Accessions of one name are one row until the end, and each gets its row."""
+    from graftline.operators import matching
+
+    index = spark.createDataFrame([("gala", True, 1, "exact")], "key string, strict boolean, variety_id long, kind string")
+    names = ["Gala", "Gala (LA 3A)", "Gala (Kent)", "Gala (red sport)"]
+    a = spark.range(40).selectExpr("id AS accession_id", "'P' AS source", f"element_at(array{tuple(names)}, CAST(id % 4 AS INT) + 1) AS name")
+    out = matching.classify_accessions(a, index)
+    assert "Aggregate [accession_id" not in out._jdf.queryExecution().optimizedPlan().toString()
+    got = {r["accession_id"]: (r["name"], r["tier"]) for r in out.collect()}
+    assert got == {i: (names[i % 4], "loose" if i % 4 == 2 else "firm") for i in range(40) if i % 4 != 3}
