@@ -37,19 +37,32 @@ def _opening(text: str, n: Column) -> Column:
     return F.element_at(F.transform(F.array(F.split(text, r"\s+")), leading), 1)
 
 
+#: So many classes of one heading, or lots of classes of one book, are paired by one task.
+CLASSES_AT_ONCE, LOTS = 512, 16
+
+
+def _heading_classes(keys: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(variety_id, class) and (class, key): varieties with the same headings have the same candidates and make one class."""
+    sets = keys.groupBy("variety_id").agg(F.array_sort(F.collect_set("key")).alias("keys"))
+    classes = cut(sets.select("keys").distinct().withColumn("class", F.monotonically_increasing_id()))
+    return sets.join(classes, "keys").select("variety_id", "class"), classes.select("class", F.explode("keys").alias("key"))
+
+
 def locate(lines: DataFrame, keys: DataFrame, k: int = 6, chunk_lines: int = 500_000) -> DataFrame:
     """Candidate headings: lines that open with a key, scored for capitals, punctuation and length; best six per book and variety,
     with the page they stand on.
 
     Only lines whose first word opens some key are looked at further.  Such a line offers each of its openings (as many words as the
-    longest key has) and meets the keys on equality; texts are fetched for the hits alone."""
+    longest key has) and meets the keys on equality; texts are fetched for the hits alone.  A line among the best six of a variety is
+    among the best six with its own key, so no more lines of a book and key meet the varieties, and those as classes of equal headings;
+    rows for every variety are made last, after which nothing is moved."""
     longest = keys.agg(F.max(F.size(F.split("key", " ")))).scalar()
     raw = F.trim("text")
     sized = lines.where(F.length(raw) >= 5).select("book", "line_no", raw.alias("raw"), longest.alias("longest"))
     worded = sized.select("book", "line_no", "longest", F.split(upper_key(_opening("raw", F.col("longest"))), " ").alias("w")).withColumn("first", F.element_at("w", 1))
     worded = worded.join(keys.select(F.substring_index("key", " ", 1).alias("first")).distinct(), "first", "left_semi")
     openings = F.transform(F.sequence(F.lit(1), F.least(F.size("w"), F.col("longest"))), lambda n: F.array_join(F.slice("w", 1, n), " "))
-    met = worded.select("book", "line_no", F.explode(openings).alias("key")).join(keys, "key")
+    met = worded.select("book", "line_no", F.explode(openings).alias("key")).join(keys.select("key").distinct(), "key", "left_semi")
     # no more of a line is looked at, or shown, than its beginning
     seen = F.greatest(F.lit(160), keys.agg(F.max(F.length("key"))).scalar() + 9)
     hits = met.join(lines.select("book", "line_no", raw.alias("raw")).join(met.select("book", "line_no").distinct(), ["book", "line_no"], "left_semi").withColumn("raw", F.col("raw").substr(F.lit(1), seen.cast("int"))), ["book", "line_no"])
@@ -59,11 +72,19 @@ def locate(lines: DataFrame, keys: DataFrame, k: int = 6, chunk_lines: int = 500
     after = F.when(F.length("raw") > size, F.col("raw").substr(size + 1, F.lit(8))).otherwise(".")
     score = (F.lit(1.0) + F.when(capitals / F.greatest(F.lit(1), letters) > 0.8, 2.0).otherwise(0.0) + F.when(after.rlike(r"^[^a-z]*[.,—:;-]"), 0.5).otherwise(0.0)
              + F.when(F.contains("key", F.lit(" ")), 0.3).otherwise(0.0))
-    best = hits.withColumn("score", F.round(score, 2)).groupBy("book", "variety_id", "line_no").agg(F.max(F.struct("score", "key")).alias("b"), F.first(F.substring("raw", 1, 160)).alias("text"))
-    w = Window.partitionBy("book", "variety_id").orderBy(F.desc("b.score"), "line_no")
-    ranked = best.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
-    return (ranked.join(page_numbers(lines, chunk_lines), ["book", "line_no"], "left")
-            .select("book", "variety_id", "line_no", "page", F.col("b.score").alias("score"), F.col("b.key").alias("key"), "text", "rank"))
+    scored = hits.withColumn("score", F.round(score, 2)).groupBy("book", "key", "line_no").agg(F.max("score").alias("score"), F.first(F.substring("raw", 1, 160)).alias("text"))
+    of_key = Window.partitionBy("book", "key").orderBy(F.desc("score"), "line_no")
+    first = scored.withColumn("rank", F.row_number().over(of_key)).where(F.col("rank") <= k).drop("rank").join(page_numbers(lines, chunk_lines), ["book", "line_no"], "left")
+    members, class_keys = _heading_classes(keys)
+    # a heading of many classes is dealt in shares, and its lines to each of them
+    shares = class_keys.groupBy("key").agg(F.ceil(F.count("*") / CLASSES_AT_ONCE).cast("int").alias("shares"))
+    dealt = class_keys.join(shares, "key").select("key", "class", F.pmod(F.xxhash64("class"), F.col("shares")).cast("int").alias("share"))
+    offered = first.join(shares, "key").withColumn("share", F.explode(F.sequence(F.lit(0), F.col("shares") - 1))).drop("shares")
+    pairs = offered.join(dealt, ["key", "share"]).drop("share").withColumn("lot", F.pmod(F.xxhash64("class"), F.lit(LOTS)).cast("int")).repartition("book", "lot")
+    line = Window.partitionBy("book", "lot", "class", "line_no").orderBy(F.desc("score"), F.desc("key"))
+    w = Window.partitionBy("book", "lot", "class").orderBy(F.desc("score"), "line_no")
+    best = pairs.withColumn("n", F.row_number().over(line)).where("n = 1").withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    return best.join(members, "class").select("book", "variety_id", "line_no", "page", "score", "key", "text", "rank")
 
 
 def _page_rule(numbers: list[int]) -> tuple[list[int], list[int]]:

@@ -121,3 +121,31 @@ def test_picks_meet_by_profile(spark):
         near = sorted((-like(p, q), q[1].lower(), q[0]) for q in rows if q[0] != p[0])[:6]
         want += [(p[0], i + 1, x[2]) for i, x in enumerate(near)]
     assert got == sorted(want)
+
+
+def test_headings_meet_varieties_as_classes(spark):
+    """Lines are ranked before rows for every variety are made, and each variety has its own best six."""
+    from graftline.operators import corpus
+
+    heads = [["BLUE PEARMAIN"], ["BLUE PEARMAIN", "BLUE"], ["GOLDEN RUSSET", "BLUE PEARMAIN"], ["GOLDEN RUSSET"], ["NEVER SEEN"]]
+    rows = [(v, k) for v in range(60) for k in heads[v % 5]]
+    texts = ["Blue Pearmain. Large", "BLUE PEARMAIN", "blue skies", "Golden Russet, small", "GOLDEN RUSSET", "12", "Blue pearmain again"] * 4
+    lines = spark.createDataFrame([(b, i + 1, t) for b in range(3) for i, t in enumerate(texts)], "book long, line_no long, text string")
+    out = corpus.locate(lines, spark.createDataFrame(rows, "variety_id long, key string"))
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert not any("variety_id" in p for p in plan.splitlines() if "Window [" in p)
+
+    def score(text, key):
+        head = [c for c in text[:len(key) + 6] if c.isalpha()]
+        after = text[len(key):len(key) + 8] if len(text) > len(key) else "."
+        return round(1 + 2.0 * (sum(c.isupper() for c in head) / max(1, len(head)) > 0.8) + 0.5 * (after[0] in ".,:;-") + 0.3 * (" " in key), 2)
+
+    want = []
+    for v in range(60):
+        hits = []
+        for i, t in enumerate(texts):
+            u = t.upper().replace(".", "").replace(",", "")
+            if found := [(score(t, k), k) for k in heads[v % 5] if u == k or u.startswith(k + " ")]:
+                hits.append((-max(found)[0], i + 1, max(found)[1], 12 if i >= 5 else None, t))
+        want += [(b, v, n, page, -s, k, t, r + 1) for b in range(3) for r, (s, n, k, page, t) in enumerate(sorted(hits, key=lambda h: h[:2])[:6])]
+    assert sorted(tuple(r) for r in out.collect()) == sorted(want, key=lambda r: r[:3])
