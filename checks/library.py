@@ -13,6 +13,7 @@ from graftline import fixed_values as fx
 from graftline.operators import corpus as co
 from graftline.operators import gaps as gp
 from graftline.plans.coverage import coverage as cover
+from graftline.plans.lineage import cut
 from graftline.sources import text as tx
 
 BACKSLASH_N = "chr(10)"
@@ -182,9 +183,8 @@ def consolidated_listing(spark, sf):
 
 @query("merge_edges", gap_sql("SELECT p AS a, c AS b FROM ed"))
 def merge_edges(spark, sf):
-    c = coverage(spark, sf)
-    clean_aliases = gp.alias_keys(gp.clean_listing(fixture(spark, sf, "listing")))
-    return gp.synonym_edges(c.listed, clean_aliases).select("a", "b")
+    clean = cut(gp.clean_listing(fixture(spark, sf, "listing")))
+    return gp.synonym_edges(gp.consolidate(clean), gp.alias_keys(clean)).select("a", "b")
 
 
 @query("merged_listing", gap_sql("SELECT key, name, array_to_string(sources, ',') AS sources, url FROM mg"))

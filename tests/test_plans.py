@@ -82,3 +82,14 @@ def test_names_of_accessions_are_read_once(spark):
     assert "Aggregate [accession_id" not in out._jdf.queryExecution().optimizedPlan().toString()
     got = {r["accession_id"]: (r["name"], r["tier"]) for r in out.collect()}
     assert got == {i: (names[i % 4], "loose" if i % 4 == 2 else "firm") for i in range(40) if i % 4 != 3}
+
+
+def test_edges_do_not_wait_for_merges(spark, monkeypatch):
+    """Edges between listed names follow from the listing alone; nothing is merged for them."""
+    from graftline.operators import gaps
+
+    def merged(*_):
+        raise AssertionError("merged")
+
+    monkeypatch.setattr(gaps, "merge_candidates", merged)
+    assert set(entry.queries()["merge_edges"](spark, SMALL).columns) == {"a", "b"}
