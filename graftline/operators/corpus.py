@@ -13,7 +13,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 from graftline import fixed_values as fx
 from graftline.functions.names import heading_keys, name_key, upper_key, words
-from graftline.operators.closeness import close_pairs
+from graftline.operators.closeness import close_in_groups
 from graftline.plans.lineage import cut
 
 MAX_PAGE = 9999
@@ -219,9 +219,7 @@ def verify_quotes(entries: DataFrame, quotes: DataFrame, lines: DataFrame, at_le
     forms = q.select("entry_id", "field", "i", "x", F.explode(F.array_compact("forms")).alias("p"))
     direct = cut(forms.join(pool.withColumn("hit", F.lit(1)), ["entry_id", "p"], "left").groupBy("entry_id", "field", "i", "x").agg(F.max("hit").alias("hit")))
     open_words = direct.where("hit IS NULL AND length(x) >= 4").select("entry_id", "x").distinct()
-    # spellings are compared once per pair of distinct words, however many entries they occur in
-    alike = close_pairs(open_words.select("x").distinct(), pool.select("p").distinct(), "x", "p", 0.8, most_apart=2).select("x", "p")
-    near = open_words.join(alike, "x").join(pool, ["entry_id", "p"], "left_semi").select("entry_id", "x").distinct().withColumn("near", F.lit(1))
+    near = close_in_groups(open_words, pool, "entry_id", "x", "p", 0.8, most_apart=2).select("entry_id", "x").distinct().withColumn("near", F.lit(1))
     found = direct.join(near, ["entry_id", "x"], "left").withColumn("found", F.coalesce("hit", "near", F.lit(0)))
     return found.groupBy("entry_id", "field").agg(F.count("*").alias("words"), F.avg("found").alias("share")).withColumn("ok", F.col("share") >= at_least)
 

@@ -149,3 +149,27 @@ def test_headings_meet_varieties_as_classes(spark):
                 hits.append((-max(found)[0], i + 1, max(found)[1], 12 if i >= 5 else None, t))
         want += [(b, v, n, page, -s, k, t, r + 1) for b in range(3) for r, (s, n, k, page, t) in enumerate(sorted(hits, key=lambda h: h[:2])[:6])]
     assert sorted(tuple(r) for r in out.collect()) == sorted(want, key=lambda r: r[:3])
+
+
+def test_texts_meet_in_few_chance_keys():
+    """Names longer than eight letters meet in what is left of them, not in three letters that most names share."""
+    from graftline.operators.closeness import SUBSEQUENCE, meeting_keys
+
+    a, b = ({k for k in meeting_keys(x, 0.88) if k[1] == SUBSEQUENCE} for x in ("large widget 107", "large widget 17"))
+    assert a & b and {k[1] for k in meeting_keys("large widget 17", 0.88, 2)} == {SUBSEQUENCE}
+
+
+def test_quote_words_meet_inside_their_entry(spark, monkeypatch):
+    """A misprint finds its word in its own entry alone; words of other entries are never paired with it."""
+    from graftline.operators import closeness
+    from graftline.operators import corpus as co
+
+    seen = []
+    checked = closeness.sequence_ratios
+    monkeypatch.setattr(closeness, "sequence_ratios", lambda pairs, ratio: seen.append({tuple(r) for r in pairs.collect()}) or checked(pairs, ratio))
+    entries = spark.createDataFrame([(1, 1, 1, 1), (2, 2, 1, 1)], "entry_id long, book long, line int, end int")
+    lines = spark.createDataFrame([(1, 1, "aromatic flavour"), (2, 1, "aromatics savour")], "book long, line_no long, text string")
+    quotes = spark.createDataFrame([(1, "f", "aromatjc flavoar"), (2, "f", "flavoar savovr")], "entry_id long, field string, quote string")
+    got = {(r["entry_id"], r["words"], r["share"], r["ok"]) for r in co.verify_quotes(entries, quotes, lines).collect()}
+    assert got == {(1, 2, 1.0, True), (2, 2, 0.5, False)}
+    assert seen == [{("aromatjc", "aromatic"), ("flavoar", "flavour"), ("savovr", "savour")}], seen
