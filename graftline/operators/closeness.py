@@ -130,7 +130,8 @@ def close_pairs(first: DataFrame, second: DataFrame, first_text: str, second_tex
     # texts that meet in a subsequence of the needed length need not meet in letters together as well
     drawn = F.when(F.col("kind") == SUBSEQUENCE, F.length(a["key"]) == F.ceil(F.lit(ratio) * (n + m) / 2 - 1e-9)).otherwise(front & end & ~m.between(F.col("_a_from"), F.col("_a_to")))
     a, b = a.repartition(_parts(first), "key").alias("a"), b.drop("_b_from", "_b_to").repartition(_parts(first), "key").alias("b")
-    met = a.join(b, (F.col("a.key") == F.col("b.key")) & kinds & sizes & drawn).select("_a", "_b").repartition(_parts(first), "_a", "_b").distinct()
+    # keys are many times the texts they are reckoned from, so neither side is sent whole to every task
+    met = a.hint("merge").join(b, (F.col("a.key") == F.col("b.key")) & kinds & sizes & drawn).select("_a", "_b").repartition(_parts(first), "_a", "_b").distinct()
     # letters outside the blocks can be edited away one by one
     likely = met.where(F.levenshtein("_a", "_b") <= outside)
     return sequence_ratios(likely.select(F.col("_a").alias(first_text), F.col("_b").alias(second_text)), ratio)
@@ -163,7 +164,7 @@ def close_in_groups(first: DataFrame, second: DataFrame, group: str, first_text:
     a = a.withColumn("_m", F.explode(F.sequence(F.greatest(F.lit(0), F.col("_n") - most_apart), F.col("_n") + most_apart)))
     a = a.where(2 * F.least("_n", "_m") >= (F.col("_n") + F.col("_m")) * F.lit(ratio) - 1e-9).withColumn("_outside", F.floor((F.col("_n") + F.col("_m")) * F.lit(1 - ratio) + 1e-9).cast("int"))
     b = second.select(group, second_text, F.length(second_text).alias("_m"), _letters(second_text).alias("_y"))
-    likely = a.join(b, [group, "_m"]).where((F.bit_count(F.col("_x").bitwiseXOR(F.col("_y"))) <= F.col("_outside")) & (F.levenshtein(first_text, second_text) <= F.col("_outside")))
+    likely = a.hint("merge").join(b, [group, "_m"]).where((F.bit_count(F.col("_x").bitwiseXOR(F.col("_y"))) <= F.col("_outside")) & (F.levenshtein(first_text, second_text) <= F.col("_outside")))
     likely = cut(likely.select(group, first_text, second_text))
     alike = sequence_ratios(likely.select(first_text, second_text).distinct(), ratio)
     return likely.join(alike, [first_text, second_text], "left_semi").select(group, first_text, second_text)
