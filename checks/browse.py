@@ -250,12 +250,7 @@ def _table_sql() -> str:
 
 @query("rootstock_table", oracle(["rootstock"], _table_sql()))
 def rootstock_table(spark, sf):
-    df, out = fixture(spark, sf, "rootstock"), None
-    for k in rs.TABLE_COLUMNS:
-        for d in (False, True):
-            p = rs.rootstock_table(df, k, d).select(F.lit(f"{k} {'desc' if d else 'asc'}").alias("sort"), "rootstock_id", "position")
-            out = p if out is None else out.unionByName(p)
-    return out
+    return rs.rootstock_positions(fixture(spark, sf, "rootstock"))
 
 
 @query("pairing_advice", oracle(["variety"], """SELECT variety_id, row_number() OVER (PARTITION BY variety_id ORDER BY o) - 1 AS pos, advice FROM (

@@ -26,6 +26,17 @@ def global_row_number(df: DataFrame, order: list[Column], name: str = "row") ->
     return inside.join(offsets, "_range").withColumn(name, F.col("_before") + F.col("_inside") + 1).drop("_range", "_inside", "_before")
 
 
+def row_numbers_within(df: DataFrame, group: str, order: list[Column], name: str = "row") -> DataFrame:
+    """1-based position of every row among the rows of its group by `order`; all groups are dealt and numbered in one pass."""
+    order = [F.asc(group), *order]
+    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    inside = cut(ranged.select("*", F.spark_partition_id().alias("_range"), F.monotonically_increasing_id().bitwiseAND(F.lit(_IN_PARTITION)).alias("_inside")))
+    sizes = inside.groupBy(group, "_range").agg(F.count("*").alias("_n"), F.min("_inside").alias("_first"))
+    before = F.sum("_n").over(Window.partitionBy(group).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1))
+    offsets = sizes.select(group, "_range", (F.coalesce(before, F.lit(0)) - F.col("_first") + 1).alias("_shift"))
+    return inside.join(offsets, [group, "_range"]).withColumn(name, F.col("_inside") + F.col("_shift")).drop("_range", "_inside", "_shift")
+
+
 def counts_below(df: DataFrame, group: str, value: str, width: float) -> DataFrame:
     """(group, value, equal, below, total): how many rows of the group have the value, a smaller one, and any.
 

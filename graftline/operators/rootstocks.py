@@ -6,7 +6,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from graftline.functions.ordered import global_row_number
+from graftline.functions.ordered import global_row_number, row_numbers_within
 from graftline import fixed_values as fx
 from graftline.functions.codes import mapped, size_ordinal
 from graftline.functions.numeric import clamp, half_up
@@ -122,6 +122,18 @@ def rootstock_table(rootstocks: DataFrame, sort: str = "size", descending: bool
     return global_row_number(df, [*table_order(sort, descending), F.asc("rootstock_id")], "position")
 
 
+def rootstock_positions(rootstocks: DataFrame) -> DataFrame:
+    """(sort, rootstock_id, position) of every rootstock by every column of the comparison table, up and down.
+
+    All columns of one direction are ordered in one pass, each name read once."""
+    keys = F.array(*[F.struct(F.lit(k).alias("column"), (F.lit(None) if k == "name" else c()).cast("double").alias("key")) for k, c in TABLE_COLUMNS.items()])
+    rows = rootstocks.select("rootstock_id", natural_name("name").alias("natural"), F.explode(keys).alias("k")).select("rootstock_id", "natural", "k.*")
+    orders = {"asc": [F.asc_nulls_last("key"), F.asc("natural")], "desc": [F.desc_nulls_last("key"), F.desc("natural")]}
+    up, down = (row_numbers_within(rows, "column", [*o, F.asc("rootstock_id")], "position").select(F.concat("column", F.lit(f" {d}")).alias("sort"), "rootstock_id", "position")
+                for d, o in orders.items())
+    return up.unionByName(down)
+
+
 def pairing_advice(varieties: DataFrame) -> DataFrame:
     """Advice codes of what a variety needs from its rootstock, one row per code."""
     c = F.col

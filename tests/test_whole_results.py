@@ -173,3 +173,21 @@ def test_quote_words_meet_inside_their_entry(spark, monkeypatch):
     got = {(r["entry_id"], r["words"], r["share"], r["ok"]) for r in co.verify_quotes(entries, quotes, lines).collect()}
     assert got == {(1, 2, 1.0, True), (2, 2, 0.5, False)}
     assert seen == [{("aromatjc", "aromatic"), ("flavoar", "flavour"), ("savovr", "savour")}], seen
+
+
+def test_rootstock_columns_are_ordered_together(spark, monkeypatch):
+    """All columns of one direction are ordered in one pass, and stand as each would alone."""
+    from checks.base import fixture
+    from graftline.functions import ordered
+    from graftline.operators import rootstocks as rs
+
+    written, cut = [], ordered.cut
+    monkeypatch.setattr(ordered, "cut", lambda df: written.append(df) or cut(df))
+    import __spark_entry__ as entry
+
+    got = {tuple(r) for r in entry.queries()["rootstock_table"](spark, "/root/testdata/sf0.001").collect()}
+    assert len(written) == 2
+    df = fixture(spark, "/root/testdata/sf0.001", "rootstock")
+    for k, d in (("size", False), ("height", True), ("name", True)):
+        label = f"{k} {'desc' if d else 'asc'}"
+        assert {(r["rootstock_id"], r["position"]) for r in rs.rootstock_table(df, k, d).collect()} == {g[1:] for g in got if g[0] == label}
