@@ -68,10 +68,12 @@ def window_mean(table: Column | str, start_vi: Column) -> Column:
 
 
 def prepare_places(places: DataFrame) -> DataFrame:
-    """Add what scoring needs per place: disease pressures, the mean of the 60 days after bloom, six-week window means."""
+    """Add what scoring needs per place: disease pressures with their words and drivers, the mean of the 60 days after bloom, six-week
+    window means."""
     p = site_pressures(spread(places, "place_id"))
     after = [wx.span_mean(m, F.col("bloom_vi"), F.col("bloom_vi") + 60, "southern") for m in ("tmax_m", "tmin_m")]
-    return p.withColumns({"t60": (after[0] + after[1]) / 2, "win_tmax": _window_means("tmax_m", 42), "win_tmin": _window_means("tmin_m", 42)})
+    said = {f"word_{d}": pressure_word(f"p_{d}") for d in fx.DISEASES} | {f"driver_{d}": disease_driver(d) for d in fx.DISEASES}
+    return p.withColumns({"t60": (after[0] + after[1]) / 2, "win_tmax": _window_means("tmax_m", 42), "win_tmin": _window_means("tmin_m", 42)} | said)
 
 
 def reference_place(prepared: DataFrame, place_id) -> Column:
@@ -243,21 +245,24 @@ def disease_driver(d: str) -> Column:
 
 
 def disease_rows(scored: DataFrame) -> DataFrame:
-    """One row per pair and disease; `issue_rank` 1..3 marks the worst issues (pressure and susceptibility both matter)."""
+    """One row per pair and disease; `issue_rank` 1..3 marks the worst issues (pressure and susceptibility both matter).
+
+    A pair counts for each issue those that are worse; words and drivers stand with the place, and bands follow once per row."""
+    issue = {d: F.coalesce((F.col(f"p_{d}") >= 0.33) & (_need(d, fx.DEFAULT_SUSCEPTIBILITY) >= 3), F.lit(False)) for d in fx.DISEASES}
+    order = {d: F.when(issue[d], -F.col(f"loss_{d}")) for d in fx.DISEASES}
+    s = scored.where(~F.col("no_bloom")).withColumns({f"o_{d}": order[d] for d in fx.DISEASES})
     rows = []
     for i, d in enumerate(fx.DISEASES):
-        loss = F.col(f"loss_{d}")
-        tone = banded(loss, [(0.4, "bad"), (0.2, "warn"), (0.08, "ok"), (None, "good")])
-        issue = (F.col(f"p_{d}") >= 0.33) & (_need(d, fx.DEFAULT_SUSCEPTIBILITY) >= 3)
-        rows.append(F.struct(F.lit(d).alias("disease"), F.lit(i).alias("i"), F.col(f"p_{d}").alias("pressure"), pressure_word(f"p_{d}").alias("word"),
-                             _need(d, fx.DEFAULT_SUSCEPTIBILITY).alias("susceptibility"), F.col(d).isNull().alias("assumed"), loss.alias("loss"),
-                             tone.alias("tone"), issue.alias("issue"), disease_driver(d).alias("driver")))
-    all_rows = F.array(*rows)
-    issues = F.transform(F.filter(all_rows, lambda r: r["issue"]), lambda r: F.struct((-r["loss"]).alias("o"), r["i"].alias("i")))
-    s = scored.where(~F.col("no_bloom")).select("variety_id", "place_id", all_rows.alias("rows"), F.slice(F.array_sort(issues), 1, 3).alias("top"))
-    s = s.select("variety_id", "place_id", "top", F.explode("rows").alias("r"))
-    place = F.array_position(F.transform("top", lambda t: t["i"]), F.col("r.i")).cast("int")
-    return s.select("variety_id", "place_id", "r.*", F.nullif(place, F.lit(0)).alias("issue_rank")).drop("i")
+        mine = F.col(f"o_{d}")
+        worse = [(F.col(f"o_{e}") <= mine) if j < i else (F.col(f"o_{e}") < mine) for j, e in enumerate(fx.DISEASES) if e != d]
+        rank = reduce(lambda a, b: a + b, [F.when(w, 1).otherwise(0) for w in worse], F.lit(1))
+        rows.append(F.struct(F.lit(d).alias("disease"), F.col(f"p_{d}").alias("pressure"), F.col(f"word_{d}").alias("word"), F.col(d).alias("rated"),
+                             F.col(f"loss_{d}").alias("loss"), F.col(f"driver_{d}").alias("driver"), F.when(mine.isNotNull(), rank).alias("rank")))
+    r = s.select("variety_id", "place_id", F.inline(F.array(*rows)))
+    susceptibility = _need("rated", fx.DEFAULT_SUSCEPTIBILITY)
+    tone = banded("loss", [(0.4, "bad"), (0.2, "warn"), (0.08, "ok"), (None, "good")])
+    return r.select("variety_id", "place_id", "disease", "pressure", "word", susceptibility.alias("susceptibility"), F.col("rated").isNull().alias("assumed"), "loss", tone.alias("tone"),
+                    ((F.col("pressure") >= 0.33) & (susceptibility >= 3)).alias("issue"), "driver", F.when(F.col("rank") <= 3, F.col("rank")).alias("issue_rank"))
 
 
 def flavour_here(scored: DataFrame) -> DataFrame:

@@ -205,3 +205,20 @@ def test_points_of_one_position_are_searched_once(spark, monkeypatch):
     nearest = {0: [0, 2, 4, 6], 1: [0, 1, 2, 3], 2: [1, 3, 5, 7]}
     assert {(p, q) for p, q, _ in got} == {(p, q) for p in range(300) for q in nearest[p % 3]} and len(got) == 1200
     assert searched[0] == (3, 8), searched
+
+
+def test_disease_issues_are_ranked_by_counting(spark):
+    """The worst three issues, ties by the order of diseases; nothing is sorted or put into words per pair."""
+    from checks import scores
+    from graftline import fixed_values as fx
+    from graftline.operators import scoring as sc
+
+    scored = scores.scored(spark, "/root/testdata/sf0.001")
+    plan = sc.disease_rows(scored)._jdf.queryExecution().optimizedPlan().toString()
+    assert "array_sort" not in plan and "fire_blight_status" not in plan.split("Join")[0]
+    over = {"p_scab": 0.5, "p_canker": 0.5, "p_mildew": 0.2, "p_fire_blight": 0.9, "p_rust": 0.5, "loss_scab": 0.3, "loss_canker": 0.3, "loss_mildew": 0.9, "loss_fire_blight": 0.1, "loss_rust": 0.6}
+    from pyspark.sql import functions as F
+
+    one = scored.where("NOT no_bloom").limit(1).withColumns({k: F.lit(x) for k, x in over.items()} | {d: F.lit(None).cast("int") if d == "rust" else F.lit(4) for d in fx.DISEASES})
+    got = {r["disease"]: (r["issue"], r["issue_rank"], r["tone"], r["assumed"], r["susceptibility"]) for r in sc.disease_rows(one).collect()}
+    assert got == {"scab": (True, 2, "warn", False, 4), "canker": (True, 3, "warn", False, 4), "mildew": (False, None, "bad", False, 4), "fire_blight": (True, None, "ok", False, 4), "rust": (True, 1, "bad", True, 3)}
