@@ -9,26 +9,28 @@ from graftline.operators import tastings as ts
 
 
 def current_reports(reports: DataFrame, version: str = "updated_at") -> DataFrame:
-    """The latest version of each report (of equal times the one with the larger hash); a stream's state holds one row a report.
+    """The latest version of each report (of equal times the one with the larger hash).
 
     Later edits replace text and labels, however late they come."""
-    latest = F.struct(F.col(version), F.xxhash64(*[F.to_json(F.struct(c)) for c in reports.columns]))
-    return reports.groupBy("number").agg(F.max_by(F.struct(*[c for c in reports.columns if c != "number"]), latest).alias("r")).select("number", "r.*")
+    rest = [c for c in reports.columns if c != "number"]
+    latest = F.struct(F.col(version), F.xxhash64(*[F.to_json(F.struct(c)) for c in ("number", *rest)]))
+    return reports.groupBy("number").agg(F.max_by(F.struct(*rest), latest).alias("r")).select("number", "r.*")
 
 
 def keep_current_reports(reports: DataFrame, store: str, checkpoint: str, version: str = "updated_at") -> StreamingQuery:
-    """Write the reports that each batch changes, in their new version, as the batch's own folder of the store."""
+    """Write the reports that each batch brings, in their latest version there, as the batch's own folder of the store.
 
-    def write(changed: DataFrame, batch: int) -> None:
-        changed.write.mode("overwrite").parquet(f"{store}/batch={batch}")
+    The store is the state: a batch costs what it brings, however many reports came before it."""
 
-    return (current_reports(reports, version).writeStream.outputMode("update").option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(write).start())
+    def write(brought: DataFrame, batch: int) -> None:
+        current_reports(brought, version).write.mode("overwrite").parquet(f"{store}/batch={batch}")
 
+    return reports.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(write).start()
 
-def stored_reports(spark: SparkSession, store: str) -> DataFrame:
-    """Every report as its last batch left it."""
-    rows = spark.read.parquet(store)
-    return rows.groupBy("number").agg(F.max_by(F.struct(*[c for c in rows.columns if c not in ("number", "batch")]), "batch").alias("r")).select("number", "r.*")
+
+def stored_reports(spark: SparkSession, store: str, version: str = "updated_at") -> DataFrame:
+    """Every report in the latest version that any batch brought."""
+    return current_reports(spark.read.parquet(store).drop("batch"), version)
 
 
 def stored_summary(spark: SparkSession, store: str, names: DataFrame) -> DataFrame:

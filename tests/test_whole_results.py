@@ -222,3 +222,17 @@ def test_disease_issues_are_ranked_by_counting(spark):
     one = scored.where("NOT no_bloom").limit(1).withColumns({k: F.lit(x) for k, x in over.items()} | {d: F.lit(None).cast("int") if d == "rust" else F.lit(4) for d in fx.DISEASES})
     got = {r["disease"]: (r["issue"], r["issue_rank"], r["tone"], r["assumed"], r["susceptibility"]) for r in sc.disease_rows(one).collect()}
     assert got == {"scab": (True, 2, "warn", False, 4), "canker": (True, 3, "warn", False, 4), "mildew": (False, None, "bad", False, 4), "fire_blight": (True, None, "ok", False, 4), "rust": (True, 1, "bad", True, 3)}
+
+
+def test_report_batches_cost_what_they_bring(spark, tmp_path):
+    """A batch keeps no state of earlier reports; the latest version wins, however late an older one comes."""
+    from graftline.streaming import tastings as st
+
+    schema = "number long, body string, updated_at timestamp"
+    batches = [[(1, "a", "2000-01-03"), (2, "b", "2000-01-01")], [(1, "old", "2000-01-02"), (3, "c", "2000-01-01")], [(2, "new", "2000-02-01"), (2, "mid", "2000-01-15")], [(3, None, "2000-01-05")]]
+    for n, rows in enumerate(batches):
+        spark.createDataFrame(rows, "number long, body string, t string").selectExpr("number", "body", "CAST(t AS timestamp) AS updated_at").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        q = st.keep_current_reports(spark.readStream.schema(schema).parquet(str(tmp_path / "in")), str(tmp_path / "store"), str(tmp_path / "cp"))
+        q.awaitTermination()
+        assert not q.lastProgress["stateOperators"] and spark.read.parquet(str(tmp_path / "store" / f"batch={n}")).count() == len({r[0] for r in rows})
+    assert {(r["number"], r["body"]) for r in st.stored_reports(spark, str(tmp_path / "store")).collect()} == {(1, "a"), (2, "new"), (3, None)}
