@@ -37,8 +37,8 @@ def _opening(text: str, n: Column) -> Column:
     return F.element_at(F.transform(F.array(F.split(text, r"\s+")), leading), 1)
 
 
-#: So many classes of one heading, or lots of classes of one book, are paired by one task.
-CLASSES_AT_ONCE, LOTS = 512, 16
+#: So many varieties of one heading and so many books with it are paired by one task at most.
+VARIETIES_AT_ONCE, BOOKS_AT_ONCE = 4096, 1024
 
 
 def _heading_classes(keys: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -48,24 +48,71 @@ def _heading_classes(keys: DataFrame) -> tuple[DataFrame, DataFrame]:
     return sets.join(classes, "keys").select("variety_id", "class"), classes.select("class", F.explode("keys").alias("key"))
 
 
+#: Words of 64 places each that keys are marked in; the table is 2 MB however many keys there are.
+KEY_WORDS = 1 << 18
+
+
+def _marked(key: Column | str) -> tuple[Column, Column]:
+    """The word a key is marked in, and its place there."""
+    h = F.xxhash64(key)
+    return F.pmod(F.shiftright(h, 6), F.lit(KEY_WORDS)).cast("int"), F.pmod(h, F.lit(64)).cast("int")
+
+
+def _key_marks(keys: DataFrame) -> Column:
+    """All keys as marks in one array, so that most openings that are no key are left out where the lines lie."""
+    word, place = _marked("key")
+    marks = keys.select(word.alias("word"), place.alias("place")).groupBy("word").agg(F.bit_or(F.expr("shiftleft(1L, place)")).alias("marks"))
+    every = keys.sparkSession.range(KEY_WORDS).select(F.col("id").cast("int").alias("word")).join(marks, "word", "left").select("word", F.coalesce("marks", F.lit(0)).alias("marks"))
+    return every.agg(F.transform(F.array_sort(F.collect_list(F.struct("word", "marks"))), lambda x: x["marks"])).scalar()
+
+
+def _ways(found: DataFrame, live: DataFrame) -> DataFrame:
+    """(book, key, at): the other keys found in the book that some class has beside a key.
+
+    Two keys of a class are looked for in the books of the one that fewer books have."""
+    a, b = live.select("class", F.col("key").alias("a"), F.col("books").alias("m")), live.select("class", F.col("key").alias("b"), F.col("books").alias("n"))
+    beside = a.join(b, "class").where("m < n OR m = n AND a < b").select("a", "b").distinct()
+    both = found.withColumnRenamed("key", "a").join(beside, "a").join(found.withColumnRenamed("key", "b"), ["book", "b"])
+    return both.select("book", F.explode(F.array(F.struct(F.col("a").alias("key"), F.col("b").alias("at")), F.struct(F.col("b").alias("key"), F.col("a").alias("at")))).alias("w")).select("book", "w.*")
+
+
+def _best_lines(others: Column, k: int) -> Column:
+    """The best lines of a class that has `key` and `others`; null if one of its keys that comes before `key` stands in the book as well."""
+
+    def of_several(cand: Column) -> Column:
+        better = lambda x, y: (y["line_no"] == x["line_no"]) & ((y["worse"] < x["worse"]) | ((y["worse"] == x["worse"]) & (y["key"] > x["key"])))
+        return F.slice(F.array_sort(F.filter(cand, lambda x: ~F.exists(cand, lambda y: better(x, y)))), 1, k)
+
+    def chosen(mine: Column) -> Column:
+        several = F.when(~F.exists(mine, lambda x: x["key"] < F.col("key")), F.element_at(F.transform(F.array(F.concat(F.col("lines"), mine)), of_several), 1))
+        return F.when(F.size(mine) == 0, F.col("lines")).otherwise(several)
+
+    mine = F.filter("beside", lambda x: F.array_contains(others, x["key"]))
+    return F.when(F.size("beside") == 0, F.col("lines")).otherwise(F.element_at(F.transform(F.array(mine), chosen), 1))
+
+
 def locate(lines: DataFrame, keys: DataFrame, k: int = 6, chunk_lines: int = 500_000) -> DataFrame:
     """Candidate headings: lines that open with a key, scored for capitals, punctuation and length; best six per book and variety,
     with the page they stand on.
 
-    Only lines whose first word opens some key are looked at further.  Such a line offers each of its openings (as many words as the
-    longest key has) and meets the keys on equality; texts are fetched for the hits alone.  A line among the best six of a variety is
-    among the best six with its own key, so no more lines of a book and key meet the varieties, and those as classes of equal headings;
-    rows for every variety are made last, after which nothing is moved."""
+    A line offers each of its openings (as many words as the longest key has), and those that are a key stay, with the beginning of
+    their line.  A line among the best six of a variety is among the best six with its own key, so no more lines of a book and key are
+    kept, in one row, together with those of other keys found in the book that a class has as well; where a book has several keys of a
+    class, their lines are merged at the first of these keys.  Rows for every book and variety are made last, out of a row for the book
+    and key and a list of varieties with the key: nothing that grows with books times varieties is moved, sorted or written."""
+    keys = cut(keys)
     longest = keys.agg(F.max(F.size(F.split("key", " ")))).scalar()
-    raw = F.trim("text")
-    sized = lines.where(F.length(raw) >= 5).select("book", "line_no", raw.alias("raw"), longest.alias("longest"))
-    worded = sized.select("book", "line_no", "longest", F.split(upper_key(_opening("raw", F.col("longest"))), " ").alias("w")).withColumn("first", F.element_at("w", 1))
-    worded = worded.join(keys.select(F.substring_index("key", " ", 1).alias("first")).distinct(), "first", "left_semi")
-    openings = F.transform(F.sequence(F.lit(1), F.least(F.size("w"), F.col("longest"))), lambda n: F.array_join(F.slice("w", 1, n), " "))
-    met = worded.select("book", "line_no", F.explode(openings).alias("key")).join(keys.select("key").distinct(), "key", "left_semi")
     # no more of a line is looked at, or shown, than its beginning
     seen = F.greatest(F.lit(160), keys.agg(F.max(F.length("key"))).scalar() + 9)
-    hits = met.join(lines.select("book", "line_no", raw.alias("raw")).join(met.select("book", "line_no").distinct(), ["book", "line_no"], "left_semi").withColumn("raw", F.col("raw").substr(F.lit(1), seen.cast("int"))), ["book", "line_no"])
+    raw = F.trim("text")
+    sized = lines.where(F.length(raw) >= 5).select("book", "line_no", raw.alias("raw"), longest.alias("longest"))
+
+    def openings(w: Column) -> Column:
+        return F.transform(F.sequence(F.lit(1), F.least(F.size(w), F.col("longest"))), lambda n: F.array_join(F.slice(w, 1, n), " "))
+
+    opened = sized.select("book", "line_no", F.col("raw").substr(F.lit(1), seen.cast("int")).alias("raw"), F.explode_outer(F.element_at(F.transform(F.array(F.split(upper_key(_opening("raw", F.col("longest"))), " ")), openings), 1)).alias("key"))
+    word, place = _marked("key")
+    hits = opened.where(F.bit_get(F.element_at(_key_marks(keys), word + 1), place) == 1).join(keys.select("key").distinct(), "key", "left_semi")
     size = F.length("key")
     head = F.col("raw").substr(F.lit(1), size + 6)
     letters, capitals = F.length(F.regexp_replace(head, r"[^\p{L}]", "")), F.length(F.regexp_replace(head, r"[^\p{Lu}]", ""))
@@ -74,17 +121,28 @@ def locate(lines: DataFrame, keys: DataFrame, k: int = 6, chunk_lines: int = 500
              + F.when(F.contains("key", F.lit(" ")), 0.3).otherwise(0.0))
     scored = hits.withColumn("score", F.round(score, 2)).groupBy("book", "key", "line_no").agg(F.max("score").alias("score"), F.first(F.substring("raw", 1, 160)).alias("text"))
     of_key = Window.partitionBy("book", "key").orderBy(F.desc("score"), "line_no")
-    first = scored.withColumn("rank", F.row_number().over(of_key)).where(F.col("rank") <= k).drop("rank").join(page_numbers(lines, chunk_lines), ["book", "line_no"], "left")
+    first = scored.withColumn("rank", F.row_number().over(of_key)).where(F.col("rank") <= k).drop("rank")
+    paged = first.join(page_numbers(lines, chunk_lines), ["book", "line_no"], "left").groupBy("book", "line_no", "key").agg(*[F.first(c).alias(c) for c in ("score", "page", "text")])
+    top = cut(paged.select("book", "key", F.struct((-F.col("score")).alias("worse"), "line_no", "key", "page", "text").alias("line")))
+
+    found = top.select("book", "key").distinct()
     members, class_keys = _heading_classes(keys)
-    # a heading of many classes is dealt in shares, and its lines to each of them
-    shares = class_keys.groupBy("key").agg(F.ceil(F.count("*") / CLASSES_AT_ONCE).cast("int").alias("shares"))
-    dealt = class_keys.join(shares, "key").select("key", "class", F.pmod(F.xxhash64("class"), F.col("shares")).cast("int").alias("share"))
-    offered = first.join(shares, "key").withColumn("share", F.explode(F.sequence(F.lit(0), F.col("shares") - 1))).drop("shares")
-    pairs = offered.join(dealt, ["key", "share"]).drop("share").withColumn("lot", F.pmod(F.xxhash64("class"), F.lit(LOTS)).cast("int")).repartition("book", "lot")
-    line = Window.partitionBy("book", "lot", "class", "line_no").orderBy(F.desc("score"), F.desc("key"))
-    w = Window.partitionBy("book", "lot", "class").orderBy(F.desc("score"), "line_no")
-    best = pairs.withColumn("n", F.row_number().over(line)).where("n = 1").withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
-    return best.join(members, "class").select("book", "variety_id", "line_no", "page", "score", "key", "text", "rank")
+    live = cut(class_keys.join(found.groupBy("key").agg(F.count("*").alias("books")), "key"))
+    held = live.join(members, "class")
+    # a heading of many varieties is dealt in shares and its books in parts; each share meets each part
+    sizes = cut(held.groupBy("key").agg(F.ceil(F.count("*") / VARIETIES_AT_ONCE).cast("int").alias("shares"), F.ceil(F.first("books") / BOOKS_AT_ONCE).cast("int").alias("parts")))
+    lists = held.join(sizes, "key").withColumn("share", F.pmod(F.xxhash64("variety_id"), F.col("shares")).cast("int")).groupBy("class", "key", "share", "parts").agg(F.collect_list(F.struct("variety_id")).alias("varieties"))
+    lists = lists.join(live.groupBy("class").agg(F.collect_set("key").alias("all")), "class").groupBy("key", "share", "parts").agg(F.collect_list(F.struct(F.array_remove("all", F.col("key")).alias("others"), "varieties")).alias("classes"))
+    dealt = lists.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
+    at = F.explode(F.concat(F.array("key"), F.coalesce("ats", F.array().cast("array<string>"))))
+    spread = top.join(_ways(found, live).groupBy("book", "key").agg(F.collect_set("at").alias("ats")), ["book", "key"], "left").select("book", at.alias("key"), "line")
+    tops = spread.groupBy("book", "key").agg(F.collect_list("line").alias("all")).select("book", "key", F.array_sort(F.filter("all", lambda x: x["key"] == F.col("key"))).alias("lines"), F.filter("all", lambda x: x["key"] != F.col("key")).alias("beside"))
+    placed = tops.join(sizes, "key").withColumn("part", F.pmod(F.xxhash64("book"), F.col("parts")).cast("int"))
+    offered = placed.withColumn("share", F.explode(F.sequence(F.lit(0), F.col("shares") - 1))).drop("shares", "parts")
+    pairs = offered.join(dealt, ["key", "share", "part"]).select("book", "key", "lines", "beside", F.explode("classes").alias("c"))
+    best = pairs.select("book", F.col("c.varieties").alias("varieties"), _best_lines(F.col("c.others"), k).alias("best"))
+    rows = best.select("book", "varieties", F.posexplode("best").alias("at", "x")).select("book", "at", "x", F.explode("varieties").alias("v"))
+    return rows.select("book", "v.variety_id", "x.line_no", "x.page", (-F.col("x.worse")).alias("score"), "x.key", "x.text", (F.col("at") + 1).alias("rank"))
 
 
 def _page_rule(numbers: list[int]) -> tuple[list[int], list[int]]:

@@ -125,3 +125,33 @@ def test_tags_by_places(spark):
     texts = {1: "without any of the 21 letters raspberries", 2: "novanilla", 3: "purépear", 4: "no honey; honey", 5: "not a trace of vanilla, honey and some more vanilla"}
     df = spark.createDataFrame([(k, t, None) for k, t in texts.items()], "variety_id int, text string, tags array<string>")
     assert {(r["variety_id"], r["tag"]) for r in co.scan_tags(df).collect()} == {(3, "pear"), (4, "honey"), (5, "vanilla")}
+
+
+def test_headings_of_many_varieties(spark, monkeypatch):
+    """Keys within one another, of many varieties and in many books; nothing is moved once books and varieties have met."""
+    monkeypatch.setattr(co, "VARIETIES_AT_ONCE", 3, raising=False)
+    monkeypatch.setattr(co, "BOOKS_AT_ONCE", 4, raising=False)
+    rng = random.Random(9)
+    some = ["COX ORANGE", "COX ORANGE PIPPIN", "RED STREAK", "RED STREAK PIPPIN", "GOLDENBALL", "OLD RED STREAK"]
+    varieties = {v: set(rng.sample(some, rng.randint(1, 4))) for v in range(40)}
+    lines = []
+    for book in range(12):
+        for n in range(1, rng.randint(2, 40)):
+            key = rng.choice([*some, "NOTHING HERE"])
+            lines.append((f"b{book}", n, f" {rng.choice([key, key.title(), key.lower()])}{rng.choice(['', '.', ' and more', ', x'])}"))
+    want = {}
+    for book, n, text in lines:
+        raw = text.strip()
+        upper = " ".join(re.findall("[A-Z0-9]+", raw.upper()))
+        for v, keys in varieties.items():
+            for key in keys:
+                if upper == key or upper.startswith(key + " "):
+                    head = [c for c in raw[:len(key) + 6] if c.isalpha()]
+                    after = raw[len(key):len(key) + 8] if len(raw) > len(key) else "."
+                    score = round(1 + 2 * (sum(c.isupper() for c in head) / max(1, len(head)) > 0.8) + 0.5 * bool(re.match("[^a-z]*[.,—:;-]", after)) + 0.3 * (" " in key), 2)
+                    want.setdefault((book, v), {}).setdefault(n, []).append((score, key, raw))
+    want = {(b, v, n, s, key, raw, i) for (b, v), at in want.items() for i, (n, (s, key, raw)) in enumerate(sorted(((n, max(x)) for n, x in at.items()), key=lambda x: (-x[1][0], x[0]))[:6], 1)}
+    df = co.locate(spark.createDataFrame(lines, "book string, line_no long, text string"), spark.createDataFrame([(v, key) for v, keys in varieties.items() for key in keys], "variety_id int, key string"))
+    assert {(r["book"], r["variety_id"], r["line_no"], r["score"], r["key"], r["text"], r["rank"]) for r in df.collect()} == want and len(want) > 1000 and df.count() == len(want)
+    plan = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert "varieties" in plan.split("Exchange")[0] and "Window" not in plan.split("Exchange")[0]
