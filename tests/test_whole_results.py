@@ -236,3 +236,20 @@ def test_report_batches_cost_what_they_bring(spark, tmp_path):
         q.awaitTermination()
         assert not q.lastProgress["stateOperators"] and spark.read.parquet(str(tmp_path / "store" / f"batch={n}")).count() == len({r[0] for r in rows})
     assert {(r["number"], r["body"]) for r in st.stored_reports(spark, str(tmp_path / "store")).collect()} == {(1, "a"), (2, "new"), (3, None)}
+
+
+def test_panel_records_name_every_accession(spark):
+    """A record tells when each accession was picked and tasted, and what each of several had."""
+    from graftline.operators import lab
+
+    scores = ", ".join(f"{c} double" for c in lab.PANEL_SCORES)
+    rows = [(1, 5, "Gala  (Kent)", "G1", "loose", "synonym", "2001-09-01", 2002, "mid", 2.0), (1, 9, "Gala", "", "firm", "exact", None, 2003, "mid", None), (1, 3, "Gala x", "G2", "loose", "exact", "2000-09-01", 2001, "late", 9.0),
+            (2, 7, "Fuji", "G1", "firm", "synonym", "1999-10-01", None, "", 4.0)]
+    df = spark.createDataFrame([(v, i, name, munq, tier, kind, h, t, pick, None, i != 3, *[score] * 8) for v, i, name, munq, tier, kind, h, t, pick, score in rows],
+                               f"variety_id int, accession_id long, name string, munq string, tier string, kind string, harvest string, tasted int, pick string, keeps_to string, kept boolean, {scores}")
+    got = {r["variety_id"]: r for r in lab.panel_records(df).collect()}
+    one, two = got[1], got[2]
+    assert (one["accession"], one["accessions"], one["harvest"], one["tasted"]) == ("Gala; Gala (Kent)", [9, 5], [None, "2001-09-01"], [2003, 2002])
+    assert (one["each_name"], one["each_munq"], one["each_sweet"], one["each_quality"]) == (["Gala", "Gala (Kent)"], [None, "G1"], [None, 2.0], [None, 2.0])
+    assert (one["n"], one["sweet"], one["match"], one["pick"]) == (2, 2.0, "exact", "mid")
+    assert (two["accession"], two["accessions"], two["harvest"], two["tasted"], two["each_name"], two["each_sweet"], two["n"]) == ("Fuji", [7], ["1999-10-01"], [None], None, None, 1)
