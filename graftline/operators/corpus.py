@@ -4,6 +4,7 @@
 from __future__ import annotations
 
 import itertools
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -284,11 +285,42 @@ def verify_quotes(entries: DataFrame, quotes: DataFrame, lines: DataFrame, at_le
 
 #: Stands before each place of a pattern; a character that Unicode keeps for such use, which is no part of a word.
 PLACE, NO_PLACE = "\ufdd0", "\ufdd1"
+#: So many characters before a place decide whether it is negated.
+BEFORE = 60
 
 
 def _ascii_words(pattern: str) -> str:
-    r"""The pattern with word bounds between ASCII letters, digits and underscores only; Java 17 counts every letter in \b."""
-    return pattern.replace(r"\b", r"(?:(?<=\w)(?!\w)|(?<!\w)(?=\w))")
+    r"""The pattern with word bounds between ASCII letters, digits and underscores only; Java 17 counts every letter in \b.
+
+    A bound before a letter is looked at only where that letter stands."""
+    bound = r"(?:(?<=\w)(?!\w)|(?<!\w)(?=\w))"
+    return re.sub(r"\\b([A-Za-z0-9])(?![?*{])", lambda m: f"(?={m[1]}){bound}{m[1]}", pattern).replace(r"\b", bound)
+
+
+def _stems(pattern: str) -> list[str] | None:
+    """The letters each alternative of a pattern begins with: whatever matches contains one of them.  None if one begins otherwise."""
+    parts, depth = [""], 0
+    for x in re.findall(r"\\.|\[\^?\]?(?:\\.|[^\]\\])*\]|.", pattern, re.S):
+        depth += (x == "(") - (x == ")")
+        if x == "|" and depth == 0:
+            parts.append("")
+        else:
+            parts[-1] += x
+    found = [re.match(r"(?:\\b)*((?:[A-Za-z0-9 -](?![?*{]))+)", x) for x in parts]
+    stems = {m[1].lower() for m in found if m}
+    return sorted(x for x in stems if not any(x != y and x.startswith(y) for y in stems)) if all(found) else None
+
+
+#: Characters beyond ASCII that Unicode takes for letters of ASCII where case does not matter.
+LIKE_ASCII = {"\u0130": "i", "\u0131": "i", "\u017f": "s", "\u212a": "k"}
+
+
+def _folded(text: Column | str) -> Column:
+    """The text with one case, as many characters as before."""
+    c = F.col(text) if isinstance(text, str) else text
+    for k, v in LIKE_ASCII.items():
+        c = F.replace(c, F.lit(k), F.lit(v))
+    return F.lower(c)
 
 
 def tag_found(text: Column | str, pattern: str) -> Column:
@@ -297,22 +329,43 @@ def tag_found(text: Column | str, pattern: str) -> Column:
     The places are found from left to right, none within another, and each is judged by the end of what stands before it."""
     c = F.col(text) if isinstance(text, str) else text
     rx, negated = _ascii_words(f"(?iu:{pattern})"), _ascii_words(fx.NEGATION) + r"[^.;]{0,25}\z"
-    between = F.split(F.regexp_replace(F.translate(c, PLACE, NO_PLACE), rx, f"{PLACE}$0"), PLACE)
+    between = F.split(F.regexp_replace(F.replace(c, F.lit(PLACE), F.lit(NO_PLACE)), rx, f"{PLACE}$0"), PLACE)
 
     def place(seen: Column, more: Column) -> Column:
-        before = F.right(F.concat(seen["before"], more), F.lit(60))
+        before = F.right(F.concat(seen["before"], more), F.lit(BEFORE))
         return F.transform(F.array(before), lambda b: F.struct(b.alias("before"), (seen["found"] | ~b.rlike(negated)).alias("found")))[0]
 
+    def judged(parts: Column) -> Column:
+        return F.aggregate(F.slice(parts, 1, F.size(parts) - 1), start, place)["found"]
+
     start = F.struct(F.lit("").alias("before"), F.lit(False).alias("found"))
-    return c.rlike(rx) & F.aggregate(F.slice(between, 1, F.size(between) - 1), start, place)["found"]
+    return F.element_at(F.transform(F.array(between), judged), 1)
 
 
 def scan_tags(texts: DataFrame, patterns: dict[str, str] = fx.TAG_PATTERNS, limit: int = fx.MAX_TAGS) -> DataFrame:
     """Tags a written summary names but the record lacks, as many as the record has room for (eight in all).
 
+    A text is first searched for the letters that patterns begin with; a pattern is tried only where its letters occur, from as far
+    before them as its places are judged by.
+
     `texts`: variety_id, text, tags."""
-    named = F.array_compact(F.array(*[F.when(tag_found("text", rx), F.lit(tag)) for tag, rx in patterns.items()]))
     t = texts.where("text IS NOT NULL AND text <> ''").withColumn("tags", F.coalesce("tags", F.array().cast("array<string>")))
+    t = t.withColumn("_folded", _folded("text"))
+
+    def first(pattern: str) -> Column:
+        stems = _stems(pattern)
+        if stems is None:
+            return F.lit(1)
+        at = [F.when(F.contains("_folded", F.lit(x)), F.instr("_folded", x)) for x in stems]
+        return F.least(*at) if len(at) > 1 else at[0]
+
+    t = t.select("variety_id", "text", "tags", *[first(rx).alias(f"_at{i}") for i, rx in enumerate(patterns.values())])
+
+    def found(i: int, rx: str) -> Column:
+        at = F.col(f"_at{i}")
+        return at.isNotNull() & tag_found(F.substr("text", F.greatest(F.lit(1), at - BEFORE - 1)), rx)
+
+    named = F.array_compact(F.array(*[F.when(found(i, rx), F.lit(tag)) for i, (tag, rx) in enumerate(patterns.items())]))
     new = F.slice(F.array_except(named, "tags"), 1, F.greatest(F.lit(0), F.lit(limit) - F.size("tags")))
     return t.select("variety_id", F.posexplode(new).alias("pos", "tag"))
 

@@ -155,3 +155,15 @@ def test_headings_of_many_varieties(spark, monkeypatch):
     assert {(r["book"], r["variety_id"], r["line_no"], r["score"], r["key"], r["text"], r["rank"]) for r in df.collect()} == want and len(want) > 1000 and df.count() == len(want)
     plan = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
     assert "varieties" in plan.split("Exchange")[0] and "Window" not in plan.split("Exchange")[0]
+
+
+def test_tags_are_tried_where_their_letters_are(spark):
+    """Letters that patterns begin with are looked for first, in any case; patterns without such letters are tried everywhere."""
+    texts = {1: "x" * 80 + " VANİLLA muſK", 2: "prose, a rose, rose-like; " + "é" * 90 + " Not a pear but pears. No pearmain", 3: "steady minute teas tea", 4: "not rosewater" + " " * 90 + "no nuts. Nut", 5: "12 zz", 6: "﷐honey ﷐ pear-drop"}
+    df = spark.createDataFrame([(k, t, None) for k, t in texts.items()], "variety_id int, text string, tags array<string>")
+    tags = co.scan_tags(df)
+    assert {(r["variety_id"], r["tag"]) for r in tags.collect()} == {(1, "vanilla"), (1, "musky"), (2, "rose"), (2, "pear"), (3, "tea"), (4, "nutty"), (6, "honey"), (6, "pear-drop")}
+    other = {"digits": r"\d+|none", "class": "[ab]c|steady", "group": "(?:z|y){2}", "late": "a[(|]b|é{3}"}
+    assert {(r["variety_id"], r["tag"]) for r in co.scan_tags(df, other).collect()} == {(5, "digits"), (3, "class"), (5, "group"), (2, "late")}
+    plan = tags._jdf.queryExecution().optimizedPlan().toString()
+    assert "RLIKE(text" not in plan and plan.count("lower(") == 1
