@@ -100,7 +100,8 @@ def locate(lines: DataFrame, keys: DataFrame, k: int = 6, chunk_lines: int = 500
     their line.  A line among the best six of a variety is among the best six with its own key, so no more lines of a book and key are
     kept, in one row, together with those of other keys found in the book that a class has as well; where a book has several keys of a
     class, their lines are merged at the first of these keys.  Rows for every book and variety are made last, out of a row for the book
-    and key and a list of varieties with the key: nothing that grows with books times varieties is moved, sorted or written."""
+    and key and a list of varieties with the key, and are not moved, sorted or written after; of what is moved, only the lists of a
+    heading in very many books and the rows of one with very many varieties are repeated, once for some thousand pairs."""
     keys = cut(keys)
     longest = keys.agg(F.max(F.size(F.split("key", " ")))).scalar()
     # no more of a line is looked at, or shown, than its beginning
